@@ -11,7 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,33 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: str, tie
 
 def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def worker_state(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: functions are new in each task, modules aren't."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_tidelake_worker", types.ModuleType("_tidelake_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lowers the session's rows in an Arrow batch: rows here are whole texts, and a batch has to fit in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows in an Arrow batch of the jobs within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
