@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import chat, exact_dedup, mixing, packing, secrets, substring_dedup, topk_search, warc
+from tidelake.llm import chat, exact_dedup, mixing, packing, quality, secrets, substring_dedup, topk_search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.grades_of(_table(spark, sf_dir, "labels")))
+    rated = quality.scored(docs.select("doc_id", "text"), model).select("doc_id", "rating.*")
+    return rated.withColumn("kept", F.col("p_top") >= 0.5)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
