@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,17 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
+def _load() -> None:
+    for name in ("join_queries", "aggregate_queries", "window_queries", "relational_queries", "scalar_queries", "estimator_queries", "stream_queries", "source_queries"):
+        if (Path(__file__).parent / f"{name}.py").exists():
+            import_module(f"tidelake.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
