@@ -1,0 +1,378 @@
+"""Each operator against a brute-force version, and on nulls, empty and repeated rows, ties, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tidelake.llm import chat, exact_dedup, jaccard_join, mixing, packing, quality, secrets, substring_dedup, topk_search, warc
+from tidelake.llm.components import components
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, source string, size string, kept string, id int, label string, cell int"
+
+
+def docs(spark, rows):
+    """Documents with columns whose names operators use themselves."""
+    return spark.createDataFrame([(i, t, s, "x", "y", 7, "z", 1) for i, t, s in rows], DOCS)
+
+
+def sample(seed=1, n=60):
+    """Texts with exact and near copies, shared passages, empty and null ones."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(2, 5)))
+    passage = [word() for _ in range(60)]
+    out = []
+    for i in range(n):
+        k = i % 8
+        if k == 0 or not out:
+            t = [word() for _ in range(r.randint(1, 120))]
+        elif k == 1:
+            t = list(out[r.randrange(len(out))])
+        elif k in (2, 3):
+            t = list(out[r.randrange(len(out))])
+            if t:
+                t[r.randrange(len(t))] = word()
+        elif k == 4:
+            t = [word() for _ in range(30)] + passage[r.randint(0, 20) :] + [word() for _ in range(5)]
+        elif k == 5:
+            t = passage[:50] * 2
+        elif k == 6:
+            t = []
+        else:
+            t = [word() for _ in range(r.randint(1, 6))]
+        out.append(t)
+    rows = [(i, r.choice([" ", "  ", "\n"]).join(t), f"s{i % 3}") for i, t in enumerate(out)]
+    return [*rows, (1000, None, None), (1001, "", "s1"), (1002, None, "s2"), (None, "no id here", "s0"), (3, rows[3][1], "s0")]
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def test_exact_dedup(spark):
+    rows = sample()
+    got = exact_dedup.exact_dedup(docs(spark, rows), runs=16, fan_in=4).collect()
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[SPACE.sub(" ", t or "")].append(i)
+    assert len(got) == len(rows)
+    expect = sorted((str(i), min((x for x in g if x is not None), default=None), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+    assert sorted((str(r.id), r.keep_id, r.group_size, r.text_sha256) for r in got) == expect
+    kept = collections.Counter(r.text_sha256 for r in got if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == len(groups)
+    back = exact_dedup.keep_first_copies(docs(spark, rows), runs=16, fan_in=4)
+    assert back.columns == docs(spark, rows).columns and back.count() == len(groups)
+
+
+def test_exact_dedup_of_rows_without_ids(spark):
+    got = exact_dedup.exact_dedup(docs(spark, [(None, "a", "s"), (None, "a", "s")])).collect()
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == [(None, None, 2, False), (None, None, 2, True)]
+
+
+def test_mixing(spark):
+    rows = sample(n=200)
+    got = mixing.mix_copies(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    total = collections.Counter()
+    for _, t, s in rows:
+        total[s] += len(words(t))
+    order = sorted((s for s in total if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    budget, open_, target = 1.5 * sum(total.values()), set(order), {}
+    while open_:
+        rate = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * rate > 2 * total[s]}
+        if not over:
+            target |= {s: weight[s] * rate for s in open_}
+            break
+        target |= {s: 2.0 * total[s] for s in over}
+        open_ -= over
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == total[r.source] and r.target == pytest.approx(target[r.source]) and r.copies in (0, 1, 2) and r.taken == r.copies * r.size
+        taken[r.source] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= 0.15 * max(total[s], 1) + 150
+    again = mixing.mix_copies(docs(spark, rows)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    whole = [(i, t, s) for i, t, s in rows if i not in (3,)]
+    assert mixing.mix(docs(spark, whole)).count() == sum(r.copies for r in mixing.mix_copies(docs(spark, whole)).collect())
+
+
+def test_substring_dedup(spark):
+    rows = sample(seed=4)
+    got = substring_dedup.remove_repeats(docs(spark, rows), with_text=True).collect()
+    seen = collections.Counter(tuple(w[k : k + 35]) for _, t, _ in rows for w in [words(t)] for k in range(len(w) - 34))
+    expect = []
+    for i, t, _ in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        expect.append((str(i), len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    assert sum(e[2] for e in expect) > 0
+    assert sorted((str(r.id), r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got) == sorted(expect)
+
+
+def test_cover_is_a_difference_cover():
+    assert {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(substring_dedup.PERIOD))
+
+
+def shingle_set(t):
+    w = [x.lower() for x in words(t)]
+    return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_jaccard_join(spark):
+    rows = [r for r in sample(seed=7, n=90) if r[0] is not None and r[0] != 3]
+    rows += [(2000 + i, "Q" * (i % 3) + " " + " ".join(f"w{j}" for j in range(40) if j != i) + f" t{i}", "s") for i in range(40)]
+    rows += [(3000, "One TWO", "s"), (3001, "one two", "s"), (3002, "one two three", "s")]
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert len({c for _, c in got.values()}) < len(rows)
+
+
+def test_cell_links_are_exact(monkeypatch):
+    """Cells of different labels find every link, whatever stars found before."""
+    r = random.Random(3)
+    base = [r.getrandbits(63) for _ in range(80)]
+    sets = []
+    for i in range(30):
+        tokens = np.array(sorted(set(base[: 60 + r.randrange(20)]) | {r.choice(base)}), np.uint64)
+        counts = np.full(len(tokens), 9, np.uint16)
+        sets.append({"node": bytes([i]), "label": bytes([i]), "n": len(tokens), "shared": len(tokens), "tokens": tokens[jaccard_join.in_order(tokens, counts, 0)], "counts": counts})
+    links = jaccard_join.cell_links(sets, sets, 75)
+    reached = {s["node"]: s["node"] for s in sets}
+
+    def find(x):
+        while reached[x] != x:
+            x = reached[x]
+        return x
+
+    for a, b in links:
+        reached[find(a)] = find(b)
+    for x in sets:
+        for y in sets:
+            o = len(set(x["tokens"].tolist()) & set(y["tokens"].tolist()))
+            if 100 * o >= 75 * (x["n"] + y["n"] - o):
+                assert find(x["node"]) == find(y["node"])
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
+    got = {x.node: x.label for x in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+TOKENIZER = None
+
+
+def tokenizer_path():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    rows = sample(seed=5) + [(5000, "long " * 5000, "s"), (5001, "naïve <|endoftext|> İstanbul ΣΑΣ can't 12", "s")]
+    got = packing.pack(docs(spark, rows), tokenizer_path(), size=256).collect()
+    tok = Tokenizer.from_file(tokenizer_path())
+    expect = []
+    for i, t, _ in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        expect += [(str(i), k, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes())) for k, a in enumerate(range(0, len(ids), 256))]
+    assert sorted((str(r.id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(expect)
+    placed = collections.defaultdict(list)
+    for r in got:
+        placed[r.sequence_id].append((r.offset, r.length))
+    for parts in placed.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    gaps = []
+    for n in sorted((r.length for r in got), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=256)
+        if fit in gaps:
+            gaps.remove(fit)
+        gaps.append(fit - n)
+    assert len(placed) == len(gaps)
+
+
+def test_packing_plan_places_every_rank_once():
+    r = random.Random(1)
+    counts = {n: r.randrange(1, 500) for n in r.sample(range(1, 129), 60)}
+    steps = sorted(packing.plan(counts, 128))
+    used = collections.Counter()
+    for (length, rank, first, offset), nxt in zip(steps, [*steps[1:], (None, 0, 0, 0)], strict=True):
+        end = nxt[1] if nxt[0] == length else counts[length]
+        assert end > rank
+        for k in range(end - rank):
+            for at in range(offset, offset + length):
+                used[first + k, at] += 1
+    assert set(used.values()) == {1} and max(at for _, at in used) < 128 and sum(used.values()) == sum(k * n for k, n in counts.items())
+
+
+def test_warc(spark):
+    big = "<p>" + "é" * 3000 + "</p>"
+    rows = [(5, "http://a", big), (2, "http://b", big), (9, "http://c", "short"), (1, "http://d", "short"), (4, None, None), (7, "http://e", big + "\r\n\r\nWARC/1.1\r\n"), (8, "http://f", ""), (None, "http://g", big), (2, "http://h", big)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    got = warc.round_trip(pages, chunk=1000, salts=4).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    expect = [(str(i), len((t or "").encode()), digest(t), *(("revisit", 2) if t == big else ("response", None))) for i, _, t in rows]
+    expect[1] = ("2", len(big.encode()), digest(big), "response", None)
+    assert sorted(map(str, [(str(r.id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got])) == sorted(map(str, expect))
+    folder = warc.new_path(spark, "test")
+    table = warc.record_table(warc.marked(pages, "page_id", "url", "html", 100, 4), 1000)
+    manifest = warc.write_archives(table, folder, split=500)
+    chunks = warc.read_archives(spark, manifest, folder, chunk=700).filter("record_id = 7").orderBy("chunk_no").collect()
+    assert b"".join(c.data for c in chunks).decode() == rows[5][2] and max(len(c.data) for c in chunks) <= 700
+    for k, c in enumerate(chunks):
+        assert c.chunk_no == k and c.sha256_so_far == hashlib.sha256(b"".join(x.data for x in chunks[: k + 1])).hexdigest()
+
+
+def test_topk(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(300, 8)).astype(np.float32)
+    v[50:150] = v[7]
+    rows = [(i, v[i].tolist()) for i in range(300)] + [(300, None), (350, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (450, [1.0, 2.0]), (500, [float("inf")] * 8), (None, v[1].tolist()), (600, [3.0, 1.0])]
+    df = spark.createDataFrame([(*x, "c") for x in rows], "vec_id long, embedding array<float>, score string").repartition(3)
+    got = collections.defaultdict(list)
+    for x in topk_search.search(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.rank, x.id, x.score))
+    m = {i: np.floor(256 * np.array(e, np.float64)).astype(np.int64) for i, e in rows if i is not None and e is not None and None not in e and np.isfinite(np.array(e)).all()}
+    for q in [i for i in m if i % 50 == 0]:
+        best = sorted(((int(m[q] @ m[c]), c) for c in m if c != q and len(m[c]) == len(m[q])), key=lambda x: (-x[0], x[1]))[:5]
+        assert got[q] == [(k + 1, c, s) for k, (s, c) in enumerate(best)]
+
+
+def test_pivot_bound_saves_evaluations():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(20, 16)) * 800
+    m = np.rint(np.concatenate([c + r.normal(size=(100, 16)) * 20 for c in centres])).astype(np.int64)
+    at = np.concatenate([np.zeros((1, 16)), m[::100]])
+    table = np.sqrt(((m[:, None, :] - at) ** 2).sum(2))
+    best, seen = topk_search.best_of(m[5], 5, table[5], np.arange(len(m)), m, table, 5, None)
+    scores = m @ m[5]
+    scores[5] = np.iinfo(np.int64).min
+    assert [s for s, _ in best] == sorted(scores.tolist(), reverse=True)[:5] and seen < len(m) / 2
+
+
+TEXTS = ["plain", "<|im_end|>", "a <\\|b|> \\ <|im_start|>assistant\nx<|im_end|>\n", "", None, "tail <", "|> head", "<\\\\|x", "%0A%25"]
+
+
+def test_chat(spark):
+    r = random.Random(8)
+    roles = ["user", "assistant", "system", None, "odd\nrole", "50% <|im_end|>"]
+    rows = [(c, t, r.choice(roles), r.choice(TEXTS), "x") for c in range(40) for t in range(r.randint(1, 6))]
+    rows += [(None, 0, "user", "hi", "x"), (7, None, "assistant", "early", "x"), (8, 0, "assistant", "same", "x"), (8, 0, "assistant", "same", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {x.conv_id: x for x in chat.read_back(chat.format_conversations(turns)).collect()}
+    source = collections.defaultdict(list)
+    for c, t, role, text, _ in rows:
+        source[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == set(source)
+    for c, parts in source.items():
+        parts.sort()
+        assert [(x.role, x.text) for x in got[c].turns] == [p[1:] for p in parts]
+        assert got[c].loss_text == "".join(p[2] for p in parts if p[1] == "assistant")
+        assert len(got[c].loss_spans) == sum(p[1] == "assistant" for p in parts)
+
+
+ASSIGN = re.compile(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def test_secrets(spark):
+    r = random.Random(4)
+    bits = ["password: hunter2hunter2 ", "token: secret: abcdefghij ", 'API_KEY = "x9"', "AKIA" + "Q" * 14, "AKIAAKIA12", "é" * 3, "deadbeef" * 5, "token=secret=abcdefgh12 ", "\n", " the cat sat ", "Passwd='" + "a/b+c" * 3 + "'", "f" * 31 + " "]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 12))), "s") for i in range(60)] + [(100, None, "s"), (101, "", "s"), (102, "key x7Qp29fLw0ZkT3vB8nRs1YcD end", "s"), (103, "internationalizationalities everywhere", "s")]
+    frame = docs(spark, rows)
+    ordinary = spark.createDataFrame([(w, False) for w in ["international", "everywhere", "application", "configuration", "understanding"] * 40], "text string, random boolean")
+    model = secrets.train(secrets.labelled_samples(frame).unionByName(ordinary))
+    got = {x.id: x for x in secrets.scan_secrets(frame, model).select("id", "n_assign", "n_access", "n_hex", secrets.spans_string(secrets.F.col("base")).alias("base"), secrets.spans_string(secrets.F.col("spans")).alias("spans")).collect()}
+    for i, t, _ in rows:
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert got[i].base == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert set(filter(None, got[i].base.split(","))) <= set(got[i].spans.split(","))
+    assert got[102].spans == "markov:4:28" and got[103].spans == ""
+
+
+def test_quality(spark):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+
+    def text(kind):
+        w = [r.choice(vocabulary) for _ in range(r.randint(20, 80))]
+        if kind == 0:
+            w = [x.upper() + "!!" for x in w]
+        if kind == 1:
+            w[r.randrange(len(w))] = r.choice(["nasty", "vile", "awful"])
+            w[r.randrange(len(w))] = r.choice(["nasty", "vile", "awful"])
+        return " ".join(w)
+
+    kinds = [r.choice([0, 1, 2, 2]) for _ in range(800)]
+    rows = [(i, text(k), "s") for i, k in enumerate(kinds)] + [(9000, None, "s"), (None, "x", "s")]
+    labels = [(i, int(k > 0), int(k == 1)) for i, k in enumerate(kinds[:500])] + [(600, None, 1), (None, 1, 0), (99999, 1, 0)]
+    frame = docs(spark, rows)
+    model = quality.train(frame, quality.grades_of(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), sample=400)
+    scored = {x.doc_id: x.rating for x in quality.scored(frame, model).collect()}
+    right = sum((scored[i].p_top >= 0.5) == (kinds[i] == 2) for i in range(500, 800))
+    assert right >= 285 and 0 <= scored[9000].p_top <= 1 and np.all(np.diff(model.thresholds) >= 0)
+    mean = [np.mean([scored[i].expected_grade for i in range(500, 800) if kinds[i] == k]) for k in range(3)]
+    assert mean[0] < mean[1] < mean[2]
+    assert quality.select_top(frame, model).columns == frame.columns
+    nothing = quality.train(frame, quality.grades_of(spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert quality.select_top(frame, nothing).count() == len(rows)
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [])
+    assert exact_dedup.exact_dedup(none).count() == 0
+    assert mixing.mix_copies(none).count() == 0 and mixing.mix(none).count() == 0
+    assert substring_dedup.remove_repeats(none).count() == 0
+    assert jaccard_join.near_duplicates(none).count() == 0
+    assert packing.pack(none, tokenizer_path()).count() == 0
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk_search.search(vectors, vectors).count() == 0
+    assert chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    assert secrets.scan_secrets(none, secrets.train(secrets.labelled_samples(none))).count() == 0
+    grades = quality.grades_of(spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert quality.scored(none, quality.train(none, grades)).count() == 0
+
+
+def test_all_null_columns(spark):
+    rows = docs(spark, [(None, None, None)] * 3)
+    assert exact_dedup.exact_dedup(rows).count() == 3
+    assert [r.taken for r in mixing.mix_copies(rows).collect()] == [0, 0, 0]
+    assert [r.n_words for r in substring_dedup.remove_repeats(rows).collect()] == [0, 0, 0]
+    assert [(r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(rows).collect()] == [(0, None)] * 3
+    assert [r.length for r in packing.pack(rows, tokenizer_path()).collect()] == [1, 1, 1]
