@@ -1 +1 @@
-"""See the README."""
+"""Readers and writers beyond spark.read and df.write."""
