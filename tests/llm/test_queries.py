@@ -1,0 +1,39 @@
+"""Queries of the training-data operators against their SQL, and the pipeline stage by stage."""
+
+import collections
+
+import pytest
+from compare import SF, connect, same
+
+from tidelake.llm import queries
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_agrees_with_sql(spark, name):
+    same(spark, connect(), queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_one_query_an_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    kept = {}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.staged(step(spark, docs, SF), "test")
+        assert docs.columns == columns
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()]
+    assert 0 < len(kept["quality"]) < len(before) and all(before[i] == t for rows in kept.values() for i, t in rows)
+    texts = collections.Counter(" ".join(t.split()) for _, t in kept["exact_dedup"])
+    assert max(texts.values()) == 1 and len(texts) == len({" ".join(t.split()) for _, t in kept["quality"]})
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(t.lower().split()) for _, t in kept["near_dedup"] if t.split()]
+    assert not any(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert {i for i, _ in kept["near_dedup"]} <= {i for i, _ in kept["exact_dedup"]}
+    copies = collections.Counter(i for i, _ in kept["mixing"])
+    assert set(copies.values()) <= {1, 2}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert collections.Counter(p.doc_id for p in pieces if p.piece == 0) == copies
