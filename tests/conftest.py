@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parents[1]))
+for folder in (Path(__file__).parent, Path(__file__).parents[1]):
+    sys.path.insert(0, str(folder))
 
 
 @pytest.fixture(scope="session")
