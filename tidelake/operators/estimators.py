@@ -277,3 +277,45 @@ def random_intercept(df: DataFrame, y: str, x: list[str], unit: str) -> DataFram
     rows = [(n, float(b), float(s)) for n, b, s in zip(["const", *x], beta, np.sqrt(np.diag(cov)), strict=True)]
     rows += [("sd_unit", math.sqrt(ratio * s2), math.nan), ("sd_residual", math.sqrt(s2), math.nan)]
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double")
+
+
+def within_between(df: DataFrame, y: str, x: str, group: str, controls: list[str]) -> DataFrame:
+    """Slope of y on x with controls, split by group of rows: each group's weight (its share of the squared residual of x), its own slope, and their mixture.
+
+    Frisch-Waugh: x is residualised once; slope = sum u y / sum u u, and both sums are sums over groups.
+    """
+    u = residuals(df.dropna(subset=[y, x, group, *controls]), x, controls, "__u")
+    parts = u.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__u") ** 2).alias("uu"), F.sum(F.col("__u") * F.col(y)).alias("uy"))
+    all_ = Window.partitionBy(F.lit(0))
+    return parts.select(group, "n", (F.col("uu") / F.sum("uu").over(all_)).alias("weight"), (F.col("uy") / F.col("uu")).alias("slope"), (F.sum("uy").over(all_) / F.sum("uu").over(all_)).alias("mixture"))
+
+
+def prediction_interval(terms: list[float], coef: list[float], cov: list[list[float]], z: float = 1.959963984540054) -> tuple[float, float, float]:
+    """Prediction at some terms with its delta-method interval."""
+    t, c = np.array(terms), np.array(coef)
+    fit, se = float(t @ c), math.sqrt(float(t @ np.array(cov) @ t))
+    return fit, fit - z * se, fit + z * se
+
+
+def stratified_slopes(df: DataFrame, y: str, x: str, by: str, bins: int) -> DataFrame:
+    """Slope of y on x in each equal-frequency bin of a column."""
+    from tidelake.operators.windows import quantile_bins
+
+    return quantile_bins(df, by, bins, "bin").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"))
+
+
+def compare_estimates(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Ledger of two coefficient tables: change, whether the sign holds and whether intervals overlap."""
+    a = old.select(*keys, *[F.col(c).alias(f"{c}_old") for c in ("coef", "lo", "hi")])
+    b = new.select(*keys, *[F.col(c).alias(f"{c}_new") for c in ("coef", "lo", "hi")])
+    return a.join(b, keys, "full_outer").withColumns({
+        "change": F.col("coef_new") - F.col("coef_old"), "same_sign": F.signum("coef_new") == F.signum("coef_old"),
+        "overlap": (F.col("lo_new") <= F.col("hi_old")) & (F.col("lo_old") <= F.col("hi_new")),
+    })
+
+
+def cell_noise(df: DataFrame, cell: list[str], score: str, band: str) -> DataFrame:
+    """By cell the mean score and its sampling variance s^2 / n; cells of one row take their band's pooled variance."""
+    cells = df.groupBy(*cell, band).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.var_samp(score).alias("s2"))
+    pooled = cells.filter("n >= 2").groupBy(band).agg((F.sum(F.expr("(n - 1) * s2")) / F.sum(F.expr("n - 1"))).alias("pooled"))
+    return cells.join(pooled, band, "left").select(*cell, band, "n", "mean", (F.coalesce(F.when(F.col("n") >= 2, F.col("s2")), F.col("pooled")) / F.col("n")).alias("noise"))

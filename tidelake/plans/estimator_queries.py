@@ -135,3 +135,64 @@ def g33(spark, sf):
     rows = table(spark, sf, "orders").withColumn("gain_", F.col("o_totalprice") - 200000)
     out = G.policy_value(rows, "o_custkey", "o_orderkey", "gain_", "o_orderpriority", 0.1)
     return out.select(F.round("gain", 4).alias("gain"), F.round("oracle", 4).alias("oracle"), r6(F.col("precision")).alias("precision"), "selected")
+
+
+@query("d35_within_between", """WITH r AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS x, l_returnflag AS g FROM lineitem), m AS (SELECT avg(x) AS mx FROM r), p AS (SELECT g, count(*) AS n, sum(pow(x - mx, 2)) AS uu, sum((x - mx) * y) AS uy FROM r, m GROUP BY 1)
+SELECT g AS l_returnflag, n, round(uu / sum(uu) OVER (), 6) AS weight, round(uy / uu, 6) AS slope, round(sum(uy) OVER () / sum(uu) OVER (), 6) AS mixture FROM p""")
+def d35(spark, sf):
+    out = G.within_between(_rows(spark, sf), "y", "l_quantity", "l_returnflag", [])
+    return out.select("l_returnflag", "n", *[r6(F.col(c)).alias(c) for c in ("weight", "slope", "mixture")])
+
+
+@query("g34_cell_noise", """WITH c AS (SELECT user_id, event_type, user_id % 4 AS band, count(value) AS n, avg(value) AS mean, var_samp(value) AS s2 FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2, 3), p AS (SELECT band, sum((n - 1) * s2) / sum(n - 1) AS pooled FROM c WHERE n >= 2 GROUP BY 1)
+SELECT user_id, event_type, c.band, n, round(mean, 6) AS mean, round(CASE WHEN n >= 2 THEN s2 ELSE pooled END / n, 6) AS noise FROM c LEFT JOIN p ON c.band = p.band""")
+def g34(spark, sf):
+    rows = table(spark, sf, "events").filter("event_id % 3 = 0").withColumn("band", F.col("user_id") % 4)
+    out = G.cell_noise(rows, ["user_id", "event_type"], "value", "band")
+    return out.select("user_id", "event_type", "band", "n", r6(F.col("mean")).alias("mean"), r6(F.col("noise")).alias("noise"))
+
+
+@query("g35_group_difference", """WITH s AS (SELECT user_id, sum(value) FILTER (WHERE event_type = 'click') AS a, count(*) FILTER (WHERE event_type = 'click') AS na, sum(value) FILTER (WHERE event_type <> 'click') AS b, count(*) FILTER (WHERE event_type <> 'click') AS nb, row_number() OVER (ORDER BY user_id) - 1 AS rk FROM events GROUP BY 1), g AS (SELECT count(*) AS g FROM s),
+p AS (SELECT id % 100 AS draw, ('0x' || substr(md5(id || ':6'), 1, 12))::BIGINT % g AS rk FROM (SELECT unnest(range((SELECT g FROM g) * 100)) AS id), g), d AS (SELECT draw, sum(a) / sum(na) - sum(b) / sum(nb) AS v FROM p JOIN s ON p.rk = s.rk GROUP BY 1)
+SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM d""")
+def g35(spark, sf):
+    click = F.col("event_type") == "click"
+    value = lambda p: F.when(p, F.col("value"))
+    sums = table(spark, sf, "events").groupBy("user_id").agg(F.sum(value(click)).alias("a"), F.count_if(click).alias("na"), F.sum(value(~click)).alias("b"), F.count_if(~click).alias("nb"))
+    drawn = G.draw_counts(sums.select("user_id"), "user_id", 100, 6).join(sums, "user_id")
+    total = lambda c: F.sum(F.col("cnt") * F.col(c))
+    v = drawn.groupBy("draw").agg((total("a") / total("na") - total("b") / total("nb")).alias("v"))
+    return v.agg(r6(F.percentile("v", F.lit(0.025))).alias("lo"), r6(F.percentile("v", F.lit(0.975))).alias("hi"))
+
+
+@query("g37_tercile_slopes", "WITH q AS (SELECT quantile_cont(l_tax, [1 / 3.0, 2 / 3.0]) AS e FROM lineitem), b AS (SELECT len(list_filter(list_distinct(e), lambda x: x < l_tax)) AS bin, l_extendedprice / 1000 AS y, l_quantity AS x FROM lineitem, q) SELECT bin, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_r2(y, x), 6) AS r2 FROM b GROUP BY 1")
+def g37(spark, sf):
+    return G.stratified_slopes(_rows(spark, sf), "y", "l_quantity", "l_tax", 3).select("bin", "n", r6(F.col("slope")).alias("slope"), r6(F.col("r2")).alias("r2"))
+
+
+@query("g25_prediction_interval")
+def g25(spark, sf):
+    rows = _rows(spark, sf)
+    xx, xy, yy, n = G.gram(rows, ["l_quantity"], "y")
+    import numpy as np
+
+    beta = np.linalg.solve(xx, xy)
+    cov = np.linalg.inv(xx) * (yy - beta @ xy) / (n - 2)
+    out = [(float(q), *map(float, G.prediction_interval([1.0, q], beta.tolist(), cov.tolist()))) for q in (1.0, 25.0, 50.0)]
+    return spark.createDataFrame(out, "x double, fit double, lo double, hi double").select("x", *[r6(F.col(c)).alias(c) for c in ("fit", "lo", "hi")])
+
+
+@query("g39_estimate_ledger")
+def g39(spark, sf):
+    rows = _rows(spark, sf)
+    old, new = G.ols(rows.filter("l_returnflag = 'A'"), "y", _X), G.ols(rows, "y", _X)
+    return G.compare_estimates(old, new, ["term"]).select("term", r6(F.col("change")).alias("change"), "same_sign", "overlap")
+
+
+@query("g29_bootstrap_spearman")
+def g29(spark, sf):
+    from tidelake.operators.aggregates import rank_correlation
+
+    drawn = G.resampled_rows(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", 10, 3)
+    rho = rank_correlation(drawn, "event_id", "value", ["draw"], [], average=True)
+    return rho.agg(r6(F.percentile("rho", F.lit(0.025))).alias("lo"), r6(F.percentile("rho", F.lit(0.975))).alias("hi"))

@@ -187,3 +187,24 @@ def e30(spark, sf):
 @query("e31_quota", "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE r <= CASE c_mktsegment WHEN 'BUILDING' THEN 7 WHEN 'MACHINERY' THEN 12 ELSE 0 END")
 def e31(spark, sf):
     return O.quota(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", {"BUILDING": 7, "MACHINERY": 12}, ["c_custkey"])
+
+
+@query("a14_newest_first", "WITH m AS (SELECT *, strftime(o_orderdate, '%Y/%m') AS month FROM orders), d AS (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY month DESC) AS dr FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY month DESC, o_orderkey DESC) AS r FROM d WHERE dr <= 3 AND o_orderstatus <> 'P') SELECT o_custkey, o_orderkey FROM r WHERE r <= 2")
+def a14(spark, sf):
+    from tidelake.sources.readers import newest_games
+
+    rows = table(spark, sf, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy/MM"))
+    return newest_games(rows, "o_custkey", "month", "o_orderkey", 3, 2, F.col("o_orderstatus") != "P").select("o_custkey", "o_orderkey")
+
+
+@query("a28_back_filled", "SELECT s_suppkey, s_name, NULL::VARCHAR AS sex FROM supplier")
+def a28(spark, sf):
+    from tidelake.sources.readers import back_filled
+
+    return back_filled(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey long, s_name string, sex string")
+
+
+@query("e7_band_means_to_rows", f"WITH {MOVES}, b AS (SELECT game, ply, value, avg(value) OVER (PARTITION BY game) AS mean FROM m) SELECT game, count(*) FILTER (WHERE value > mean) AS above FROM b GROUP BY 1")
+def e7b(spark, sf):
+    m = moves(spark, sf)
+    return m.join(m.groupBy("game").agg(F.avg("value").alias("mean")), "game").groupBy("game").agg(F.count_if(F.col("value") > F.col("mean")).alias("above"))
