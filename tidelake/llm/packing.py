@@ -14,7 +14,7 @@ to all tasks; pieces look up their own rank.  Ranks within a class come from sal
 
 Tokens: white space never lies in a token of this family, so a text's ids are
 those of its stretches without ASCII white space, one after the other; a worker tokenizes
-each distinct stretch once and keeps it in a bounded table.
+each distinct stretch once and keeps it in a bounded table (see StretchIds).
 
 Defined cases: null text is empty, its ids are the end id alone.  Rows with equal
 identifiers are packed each.  A null identifier stays null.  An empty table gives an empty result.  Other
@@ -28,10 +28,12 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,40 +41,77 @@ from tidelake.llm.blocks import read_blocks
 from tidelake.llm.common import salt_count, salted_rank, small_batches, stage, worker_state
 
 
+#: Each byte's sign in a byte-level vocabulary: itself if it is printable, else one from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
 class StretchIds:
-    """Token ids by stretch of text without white space."""
+    """Token ids by stretch of text without white space.
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000) -> None:
+    A stretch of lower-case Latin letters, perhaps with one comma or full stop behind it, is one word of the
+    model, and goes to the model itself; all others take the tokenizer's whole way.
+    """
+
+    def __init__(self, tokenizer_json: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_str(tokenizer_json), most
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+        # Only a tokenizer that does as said above is taken apart; any other is asked for each stretch.
+        probe = ["thé", "zzxy,", "añob.", "the"]
+        self.plain = [self._word(x) for x in probe] == [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe] and self._lowers()
         self.clear()
 
+    def _lowers(self) -> bool:
+        a, b = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Thé QUICK, Brown", "thé quick, brown"))
+        return a == b
+
     def clear(self) -> None:
-        numbers: defaultdict[bytes, int] = defaultdict(lambda: len(numbers))
+        numbers: defaultdict[str, int] = defaultdict(lambda: len(numbers))
         self.numbers, self.known = numbers, 0
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _word(self, stretch: str) -> list[int] | None:
+        """Ids of a stretch that is one word; null of any other."""
+        core, end = (stretch[:-1], self.ends[stretch[-1]]) if stretch[-1:] in self.ends else (stretch, [])
+        if not core.isalpha() or max(core) >= "\u0250" or core != core.lower():
+            return None
+        signs = core if core.isascii() else "".join(BYTE_SIGNS[b] for b in core.encode())
+        return [x.id for x in self.tokenizer.model.tokenize(signs)] + end
+
+    def _learn(self, fresh: list[str]) -> None:
+        found = [self._word(x) for x in fresh] if self.plain else [None] * len(fresh)
+        if rest := [k for k, x in enumerate(found) if x is None]:
+            for k, e in zip(rest, self.tokenizer.encode_batch_fast([fresh[k] for k in rest], add_special_tokens=False), strict=True):
+                found[k] = e.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        self.known += len(fresh)
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         if len(self.numbers) > self.most:
             self.clear()
-        stretches = [t.split() for t in texts]
-        numbers = [np.fromiter(map(self.numbers.__getitem__, s), np.int64, len(s)) for s in stretches]
-        if fresh := list(self.numbers)[self.known :]:
-            found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-            self.known = len(self.numbers)
-        out = []
-        for n in numbers:
+        rows = pa.array(texts, pa.large_string())
+        if self.plain:  # special tokens are looked for in the text as it stands
+            rows = pc.if_else(pc.match_substring(rows, "<|"), rows, pc.ascii_lower(rows))
+        split = pc.ascii_split_whitespace(rows)
+        coded = split.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+        if len(self.numbers) > self.known:
+            self._learn(list(islice(self.numbers, self.known, None)))
+        at = numbers[np.asarray(coded.indices)]
+        cuts = np.cumsum(np.asarray(split.value_lengths()))
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            n = at[a:b]
             sizes = self.sizes[n]
             ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(self.starts[n] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+            yield self.flat[np.repeat(self.starts[n] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def pieces_of(docs: DataFrame, tokenizer_json: str, size: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +120,7 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, size: int, end_id: int, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_state(("stretches", hash(tokenizer_json)), lambda: StretchIds(tokenizer_json))
         end = np.array([end_id], np.uint32)
-        for block in read_blocks(batches, 2_000_000):
+        for block in read_blocks(batches, 4_000_000):
             rows = []
             for i, ids in zip(block.ids, table.ids(block.texts), strict=True):
                 data, n = np.concatenate([ids, end]).astype("<u4").tobytes(), len(ids) + 1
