@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "markov")
 #: What a text with such a match has to hold; a cheap test before the matching.
 HINTS = {"assign": r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])""", "access": "AKIA", "hex": r"[0-9a-f]{32}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Weight, in pairs, of a chain's single characters where it has seen few pairs.
+BACK_OFF = 5.0
 TOKEN = r"[A-Za-z0-9+/_=-]"
 
 
@@ -95,7 +97,10 @@ def train(samples: DataFrame) -> list[int]:
     pairs = samples.filter("length(text) >= 2").select("random", "text", at.alias("at")).select("random", number(F.col("at")).alias("a"), number(F.col("at") + 1).alias("b")).filter("a >= 0 and b >= 0")
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = {(kind, a): sum(counts.get((kind, a, b), 0) for b in range(k)) for kind in (True, False) for a in range(k)}
-    chance = lambda kind, a, b: (counts.get((kind, a, b), 0) + 0.5) / (total[kind, a] + 0.5 * k)
+    ending = {(kind, b): sum(counts.get((kind, a, b), 0) for a in range(k)) for kind in (True, False) for b in range(k)}
+    alone = lambda kind, b: (ending[kind, b] + 0.5) / (sum(ending[kind, x] for x in range(k)) + 0.5 * k)
+    base = {(kind, b): alone(kind, b) for kind in (True, False) for b in range(k)}
+    chance = lambda kind, a, b: (counts.get((kind, a, b), 0) + BACK_OFF * base[kind, b]) / (total[kind, a] + BACK_OFF)
     return [round(1000 * math.log(chance(True, a, b) / chance(False, a, b))) for a in range(k) for b in range(k)]
 
 
