@@ -82,6 +82,32 @@ def test_random_intercept_finds_its_variances(spark):
     assert abs(got["a"].coef - 2) < 0.1 and abs(got["sd_residual"].coef - 1) < 0.05 and 0.6 < got["sd_unit"].coef < 1.5
 
 
+def test_nested_intercepts_reach_the_likelihood_of_the_truth(spark):
+    r = np.random.default_rng(9)
+    players, games = np.repeat(np.arange(30), 24), np.repeat(np.arange(30 * 4), 6)
+    x = r.normal(size=720)
+    y = 2 + 0.5 * x + r.normal(size=30)[players] * 1.5 + r.normal(size=120)[games] * 0.7 + r.normal(size=720)
+    df = spark.createDataFrame([(float(a), float(b), int(p), int(g)) for a, b, p, g in zip(x, y, players, games, strict=True)], "x double, y double, p int, g int")
+    got = {t.term: t for t in G.nested_intercepts(df, "y", ["x"], "p", "g", rounds=4).collect()}
+
+    def likelihood(a, b, c):
+        """Block by block: players are independent."""
+        xvx, xvy, parts = np.zeros((2, 2)), np.zeros(2), []
+        for k in range(30):
+            own = players == k
+            v = c * np.eye(own.sum()) + a + b * (games[own][:, None] == games[own])
+            m, inv = np.column_stack([np.ones(own.sum()), x[own]]), np.linalg.inv(v)
+            xvx, xvy = xvx + m.T @ inv @ m, xvy + m.T @ inv @ y[own]
+            parts.append((m, inv, y[own], np.linalg.slogdet(v)[1]))
+        beta = np.linalg.solve(xvx, xvy)
+        return -0.5 * sum(d + (w - m @ beta) @ inv @ (w - m @ beta) for m, inv, w, d in parts), beta
+
+    a, b, c = (got[t].coef ** 2 for t in ("sd_outer", "sd_inner", "sd_residual"))
+    at, beta = likelihood(a, b, c)
+    assert got["const"].coef == pytest.approx(beta[0], abs=1e-6) and got["x"].coef == pytest.approx(beta[1], abs=1e-6)
+    assert all(at >= likelihood(a * f, b * g, c)[0] - 1e-4 for f, g in ((1.2, 1), (0.8, 1), (1, 1.2), (1, 0.8))) and at >= likelihood(2.25, 0.49, 1.0)[0]
+
+
 def test_segmented(spark):
     r = np.random.default_rng(4)
     x = r.uniform(0, 10, 800)

@@ -319,3 +319,53 @@ def cell_noise(df: DataFrame, cell: list[str], score: str, band: str) -> DataFra
     cells = df.groupBy(*cell, band).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.var_samp(score).alias("s2"))
     pooled = cells.filter("n >= 2").groupBy(band).agg((F.sum(F.expr("(n - 1) * s2")) / F.sum(F.expr("n - 1"))).alias("pooled"))
     return cells.join(pooled, band, "left").select(*cell, band, "n", "mean", (F.coalesce(F.when(F.col("n") >= 2, F.col("s2")), F.col("pooled")) / F.col("n")).alias("noise"))
+
+
+def nested_intercepts(df: DataFrame, y: str, x: list[str], outer: str, inner: str, rounds: int = 6, points: int = 7) -> DataFrame:
+    """Model with intercepts of ``outer`` units and of ``inner`` units within them, by maximum likelihood: term, coef, se, and the rows sd_outer, sd_inner, sd_residual.
+
+    With ratios p (outer) and q (inner) of the variances to the residual's, the inverse of a block needs only sums: an inner unit of
+    n rows with column sums s gives s / (1 + q n) and n / (1 + q n) to its outer unit, and the outer unit's totals t and w give p t t' / (1 + p w).
+    So one pass over the inner units' sums yields the likelihood at a whole grid of ratios; ``rounds`` grids, each a
+    quarter of the last, close in on the best.  Hot units are partial aggregates.  Ratios that want to be 0 stay at the grid's lower end (1e-6).
+    """
+    df = df.dropna(subset=[y, *x, outer, inner])
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
+    k = len(cols)
+    pairs = list(combinations_with_replacement(range(k), 2))
+    units = df.groupBy(outer, inner).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]).persist()
+    xx, xy, yy, n_all = gram(df, x, y)
+    whole = np.zeros((k, k))
+    whole[:-1, :-1], whole[:-1, -1], whole[-1, :-1], whole[-1, -1] = xx, xy, xy, yy
+
+    def grid(ps: list[float], qs: list[float]) -> list[tuple]:
+        by_q = units.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("d", 1 + F.col("q") * F.col("n"))
+        inside = by_q.groupBy("q").agg(F.sum(F.log("d")).alias("log"), *[F.sum(F.col("q") / F.col("d") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{a}") for a, (i, j) in enumerate(pairs)])
+        totals = by_q.groupBy(outer, "q").agg(F.sum(F.col("n") / F.col("d")).alias("w"), *[F.sum(F.col(f"s{i}") / F.col("d")).alias(f"t{i}") for i in range(k)])
+        by_p = totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("d", 1 + F.col("p") * F.col("w"))
+        across = by_p.groupBy("p", "q").agg(F.sum(F.log("d")).alias("log_p"), *[F.sum(F.col("p") / F.col("d") * F.col(f"t{i}") * F.col(f"t{j}")).alias(f"o{a}") for a, (i, j) in enumerate(pairs)])
+        out = []
+        for r in across.join(F.broadcast(inside), "q").collect():  # a row a grid point
+            m = whole.copy()
+            for a, (i, j) in enumerate(pairs):
+                m[i, j] -= r[f"m{a}"] + r[f"o{a}"]
+                m[j, i] = m[i, j]
+            beta = np.linalg.solve(m[:-1, :-1], m[:-1, -1])
+            s2 = (m[-1, -1] - beta @ m[:-1, -1]) / n_all
+            ll = -0.5 * (n_all * (math.log(2 * math.pi * s2) + 1) + r["log"] + r["log_p"])
+            out.append((ll, r["p"], r["q"], beta, np.linalg.inv(m[:-1, :-1]) * s2, s2))
+        return out
+
+    low, high = math.log(1e-6), math.log(1e3)
+    centre, half = [(low + high) / 2] * 2, (high - low) / 2
+    best = None
+    for _ in range(rounds):
+        axes = [sorted({math.exp(min(high, max(low, c + half * (2 * i / (points - 1) - 1)))) for i in range(points)}) for c in centre]
+        found = max(grid(*axes), key=lambda r: r[0])
+        best = found if best is None or found[0] > best[0] else best
+        centre, half = [math.log(best[1]), math.log(best[2])], half / 4
+    units.unpersist()
+    _, p, q, beta, cov, s2 = best
+    rows = [(n, float(b), float(s)) for n, b, s in zip(["const", *x], beta, np.sqrt(np.diag(cov)), strict=True)]
+    rows += [(n, math.sqrt(v), math.nan) for n, v in (("sd_outer", p * s2), ("sd_inner", q * s2), ("sd_residual", s2))]
+    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double")

@@ -196,3 +196,9 @@ def g29(spark, sf):
     drawn = G.resampled_rows(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", 10, 3)
     rho = rank_correlation(drawn, "event_id", "value", ["draw"], [], average=True)
     return rho.agg(r6(F.percentile("rho", F.lit(0.025))).alias("lo"), r6(F.percentile("rho", F.lit(0.975))).alias("hi"))
+
+
+@query("g13_nested_intercepts")
+def g13(spark, sf):
+    rows = table(spark, sf, "events").withColumn("game", F.floor(F.col("event_id") / 500))
+    return _rounded(G.nested_intercepts(rows, "value", [], "user_id", "game", rounds=3), "coef", "se")
