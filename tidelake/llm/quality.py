@@ -104,15 +104,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     w, t = np.zeros(size), np.linspace(-1, 1, levels - 1) - 2.0
     if not rows or len(set(grades.tolist())) < 2:
         return Model(w.astype(np.float32), np.full(levels - 1, -60.0))
-    doc = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+    n = len(rows)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f, _ in rows])
     feature, value = (np.concatenate(x) for x in zip(*rows, strict=True))
-    used, feature = np.unique(feature, return_inverse=True)
-    n, k, spread = len(rows), len(used), np.zeros(len(used))
+    there = np.bincount(feature, minlength=size) > 0
+    used, feature = np.flatnonzero(there), (np.cumsum(there) - 1)[feature].astype(np.int32)
+    k, spread = len(used), np.zeros(len(used))
     for cut in range(1, levels):
         sides = []
         for side in (grades >= cut, grades < cut):
-            own, count = np.where(side[doc], value, 0), max(1, side.sum())
-            mean, square = np.bincount(feature, own, k) / count, np.bincount(feature, own * value, k) / count
+            own, count = side[doc], max(1, side.sum())
+            mean, square = (np.bincount(feature[own], v, k) / count for v in (value[own], value[own] ** 2))
             sides.append((mean, (square - mean**2 + 1 / count) / count))
         spread = np.maximum(spread, (sides[1][0] - sides[0][0]) / np.sqrt(sides[0][1] + sides[1][1]))
     spread = np.sqrt(np.where(spread >= LEAST_Z, spread, 0))
@@ -147,7 +149,7 @@ def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality is not null and toxic is not null").select(F.col(id_col).cast("long").alias("id"), grade.alias("grade"))
 
 
-def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the model on the documents of ``sample`` rows of grades (id, grade)."""
     small_batches(docs.sparkSession)
     some = grades.filter("id is not null").orderBy(F.xxhash64("id", F.lit(3)), "id", "grade").limit(sample)
@@ -162,8 +164,8 @@ def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 800
 
     got = rows.select("id", "text", F.col("grade").cast("int")).mapInArrow(take, "id long, grade int, f binary, v binary").collect()
     got.sort(key=lambda r: (r["id"], r["grade"], bytes(r["f"]), bytes(r["v"])))
-    pairs = [(np.frombuffer(r["f"], np.int32).astype(np.int64), np.frombuffer(r["v"], np.float32).astype(np.float64)) for r in got]
-    return fit(pairs, np.array([r["grade"] for r in got], np.int64), levels)
+    pairs, grades_ = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got], np.array([r["grade"] for r in got], np.int64)
+    return fit(pairs, grades_, levels)
 
 
 def scorer(model: Model):
