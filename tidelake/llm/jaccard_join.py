@@ -253,8 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = stage(postings.join(firsts, "token"), "groups")
     stars = _stars(groups, classes, percent)
     links = stars.unionAll(_settled(groups, classes, components(stars), percent))
-    named = classes.select("node", "low_id").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
+    # Both sides of the join over labels are staged: a label that most classes have can then be split.
+    named = stage(classes.select("node", "low_id").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    lowest = stage(named.groupBy("label").agg(F.min("low_id").alias("component_id")), "lowest")
     by_class = stage(named.select("node", "label").join(lowest, "label").select(F.col("node").alias("digest"), "component_id"), "classes")
     alone, joined = sets.filter("digest is null"), sets.filter("digest is not null").select("id", "n", "digest").join(by_class, "digest")
     return alone.select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")).unionAll(joined.select("id", F.col("n").alias("n_shingles"), "component_id"))
