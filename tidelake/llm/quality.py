@@ -149,7 +149,7 @@ def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality is not null and toxic is not null").select(F.col(id_col).cast("long").alias("id"), grade.alias("grade"))
 
 
-def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the model on the documents of ``sample`` rows of grades (id, grade)."""
     small_batches(docs.sparkSession)
     some = grades.filter("id is not null").orderBy(F.xxhash64("id", F.lit(3)), "id", "grade").limit(sample)
