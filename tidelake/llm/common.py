@@ -79,17 +79,24 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: str, tie
     """Adds ``out``, each row's rank (long, from 0) in its group of ``keys``, in the order (``order``, ``salt``, ``tie``).
 
     No task sorts a whole group.  Rows are ranked in cells (keys, order, salt); a cell's
-    start is the number of rows in the cells before it.  Only cell counts, not rows,
-    meet by group.  ``df`` should be a staged table, as it is read twice.  ``attach`` can
-    join columns to the cells (named __c0, __c1, .. for the keys) before the rows meet them.
+    start is the number of rows in the cells before it: those of earlier (keys, order), found over totals of
+    these, and those of smaller salts.  So rows meet by cell, cells by (keys, order), and only totals by keys.
+    ``df`` should be a staged table, as it is read twice.  ``attach`` can join columns to the
+    totals (keys are named __c0, __c1, ..) before the cells meet them.
     """
-    cell = [*keys, *order, salt]
+    cell, group = [*keys, *order, salt], [*keys, *order]
     marks = {c: f"__c{i}" for i, c in enumerate(cell)}
-    counts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in [*order, salt]]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(c).alias(m) for c, m in marks.items()], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    if attach:
-        starts = attach(starts)
+    counts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(c).alias(m) for c, m in marks.items()], "__n")
+    inner = Window.partitionBy(*[marks[c] for c in group]).orderBy(marks[salt]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(inner), F.lit(0))).drop("__n")
+    if order:
+        outer = Window.partitionBy(*[marks[k] for k in keys]).orderBy(*[F.asc_nulls_last(marks[c]) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+        totals = counts.groupBy(*[marks[c] for c in group]).agg(F.sum("__n").alias("__n"))
+        totals = totals.withColumn("__before", F.coalesce(F.sum("__n").over(outer), F.lit(0))).drop("__n")
+        totals = attach(totals) if attach else totals
+        totals = totals.withColumnsRenamed({marks[c]: f"__t{i}" for i, c in enumerate(group)})
+        starts = starts.join(totals, [starts[marks[c]].eqNullSafe(totals[f"__t{i}"]) for i, c in enumerate(group)])
+        starts = starts.withColumn("__start", F.col("__start") + F.col("__before")).drop("__before", *[f"__t{i}" for i in range(len(group))])
     local = F.row_number().over(Window.partitionBy(*cell).orderBy(*[F.asc_nulls_last(c) for c in tie])) - 1
     ranked = df.withColumn("__local", local)
     both = ranked.join(starts, [ranked[c].eqNullSafe(starts[m]) for c, m in marks.items()])
@@ -101,7 +108,7 @@ def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def worker_state(key: tuple, make: Callable):
-    """What a Python worker keeps from task to task: functions are new in each task, modules aren't."""
+    """What a Python worker keeps from task to task: functions are new in each task, modules aren't. """
     import sys
     import types
 
