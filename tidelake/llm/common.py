@@ -108,14 +108,15 @@ def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def worker_state(key: tuple, make: Callable):
-    """What a Python worker keeps from task to task: functions are new in each task, modules aren't. """
+    """What a Python worker keeps from task to task: functions are new in each task, modules aren't.  It holds one thing: the last that was asked for."""
     import sys
     import types
 
     held = sys.modules.setdefault("_tidelake_worker", types.ModuleType("_tidelake_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get("key") != key:
+        held.clear()
+        held.update(key=key, value=make())
+    return held["value"]
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
