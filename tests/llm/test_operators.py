@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelake.llm import chat, exact_dedup, jaccard_join, mixing, packing, quality, secrets, substring_dedup, topk_search, warc
 from tidelake.llm.components import components
@@ -353,6 +354,39 @@ def test_quality(spark):
     assert quality.select_top(frame, nothing).count() == len(rows)
 
 
+def test_quality_learns_from_every_label_of_the_sample(spark):
+    """More labels than 3,000: what only the last 1,000 of them in the sample's order show is learnt too."""
+    ids = [r.id for r in spark.range(4000).orderBy(F.xxhash64("id", F.lit(3)), "id").collect()]
+    late, r = set(ids[3000::2]), random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(50)]
+    rows = [(i, " ".join([*r.choices(vocabulary, k=8), *["vile"] * (i in late), *["LOW!!"] * (i % 20 == 0)]), "s") for i in range(4000)]
+    labels = [(i, int(i % 20 > 0), int(i in late)) for i in range(4000)]
+    model = quality.train(docs(spark, rows), quality.grades_of(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    asked = docs(spark, [(1, " ".join([*vocabulary[:8], "vile"]), "s"), (2, " ".join(vocabulary[:8]), "s")])
+    top = {x.doc_id: x.rating.p_top for x in quality.scored(asked, model).collect()}
+    assert top[1] < 0.5 < top[2]
+
+
+def test_quality_screen_is_that_of_all_rows_at_once(spark):
+    r = np.random.default_rng(8)
+    grades = r.integers(0, 3, 300)
+    rows = [np.flatnonzero(r.random(40) < np.where(np.arange(40) < 5, 0.6 - 0.25 * g, 0.3)) for g in grades]
+    values = [r.random(len(f)).astype(np.float32) * 6 for f in rows]
+    frame = spark.createDataFrame([(i, int(g), bytearray(f.astype(np.int32).tobytes()), bytearray(v.tobytes())) for i, (g, f, v) in enumerate(zip(grades, rows, values, strict=True))], "id long, grade int, f binary, v binary")
+    pairs_of = lambda b: [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for f, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+    got = {x.feature: x.spread for x in quality._screened(frame.repartition(7), pairs_of, np.bincount(grades, minlength=3)).collect()}
+    dense = np.zeros((300, 40))
+    for i, (f, v) in enumerate(zip(rows, values, strict=True)):
+        dense[i, f] = v
+    want = np.zeros(40)
+    for cut in (1, 2):
+        above, below = dense[grades >= cut], dense[grades < cut]
+        error = np.sqrt(sum((x.var(0) + 1 / len(x)) / len(x) for x in (above, below)))
+        want = np.maximum(want, (below.mean(0) - above.mean(0)) / error)
+    assert {f for f in range(40) if want[f] >= quality.LEAST_Z} == set(got) != set()
+    assert all(s == pytest.approx(np.sqrt(want[f]), rel=1e-6) for f, s in got.items())
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert exact_dedup.exact_dedup(none).count() == 0

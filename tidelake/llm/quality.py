@@ -16,7 +16,8 @@ positive: features are evidence against a text, and passages that many good text
 share don't make up for it.
 
 The model is fit on a bounded sample, ``sample`` labelled rows with the smallest hash
-of their id; the driver gets their features, nothing else.  It is full-batch gradient
+of their id.  Their features are staged and screened by partial aggregates on executors; the driver gets
+the features that stay, nothing else.  It is full-batch gradient
 descent with per-coordinate steps on the regularised likelihood, the same on every run.  Scoring is a
 scalar function over whole texts: rows keep all their columns and nothing is
 shuffled.
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,9 +42,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import small_batches, worker_state
+from tidelake.llm.common import drop_staged, small_batches, stage, worker_state
 
 BITS, LEAST_Z, SHARE_SCALE = 18, 4.0, 6.0
+#: Sums of the screen are whole numbers of this fraction; values are 6 at most, so 2**20 rows fit in 64 bits.
+FIXED = 2.0**30
 AGAIN = xxhash.xxh3_64_intdigest("again") >> (64 - BITS)
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "X"), (r"[a-zß-öø-ÿ]+", "x"), (r"[0-9]+", "0"), (r"(.)\1+", r"\1\1"))]
 
@@ -98,8 +101,24 @@ class Model:
         return _sigmoid(z[:, None] - self.thresholds)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> Model:
-    """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam on all rows."""
+def spreads(sums: np.ndarray, squares: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The screen: by feature the root of the standard errors by which its mean is lower above some threshold than below; 0 for those that go.
+
+    ``sums`` and ``squares`` have a row a grade and a column a feature, ``counts`` the documents of each grade.
+    """
+    spread = np.zeros(sums.shape[1])
+    for cut in range(1, len(counts)):
+        sides = []
+        for side in (slice(cut, None), slice(0, cut)):
+            count = max(1, counts[side].sum())
+            mean, square = sums[side].sum(0) / count, squares[side].sum(0) / count
+            sides.append((mean, (square - mean**2 + 1 / count) / count))
+        spread = np.maximum(spread, (sides[1][0] - sides[0][0]) / np.sqrt(sides[0][1] + sides[1][1]))
+    return np.sqrt(np.where(spread >= LEAST_Z, spread, 0))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, spread: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> Model:
+    """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam on all rows; rows hold features with a spread only."""
     size = 1 << BITS
     w, t = np.zeros(size), np.linspace(-1, 1, levels - 1) - 2.0
     if not rows or len(set(grades.tolist())) < 2:
@@ -107,19 +126,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     n = len(rows)
     doc = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f, _ in rows])
     feature, value = (np.concatenate(x) for x in zip(*rows, strict=True))
-    there = np.bincount(feature, minlength=size) > 0
-    used, feature = np.flatnonzero(there), (np.cumsum(there) - 1)[feature].astype(np.int32)
-    k, spread = len(used), np.zeros(len(used))
-    for cut in range(1, levels):
-        sides = []
-        for side in (grades >= cut, grades < cut):
-            own, count = side[doc], max(1, side.sum())
-            mean, square = (np.bincount(feature[own], v, k) / count for v in (value[own], value[own] ** 2))
-            sides.append((mean, (square - mean**2 + 1 / count) / count))
-        spread = np.maximum(spread, (sides[1][0] - sides[0][0]) / np.sqrt(sides[0][1] + sides[1][1]))
-    spread = np.sqrt(np.where(spread >= LEAST_Z, spread, 0))
-    stays = spread[feature] > 0
-    doc, feature, value = doc[stays], feature[stays], (value * spread[feature])[stays]
+    used = np.flatnonzero(spread)
+    k, spread = len(used), spread[used]
+    feature = np.searchsorted(used, feature).astype(np.int32)
+    value = value * spread[feature]
     v = np.zeros(k)
     params, first, second = [v, t], [np.zeros(k), np.zeros(len(t))], [np.zeros(k), np.zeros(len(t))]
     for step in range(1, steps + 1):
@@ -149,23 +159,63 @@ def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality is not null and toxic is not null").select(F.col(id_col).cast("long").alias("id"), grade.alias("grade"))
 
 
-def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the model on the documents of ``sample`` rows of grades (id, grade)."""
     small_batches(docs.sparkSession)
     some = grades.filter("id is not null").orderBy(F.xxhash64("id", F.lit(3)), "id", "grade").limit(sample)
     # The sample is bounded, so it can be sent to all tasks.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id")
+    packed = lambda ids, grades_, pairs: pa.RecordBatch.from_arrays([ids, grades_, pa.array([f.astype(np.int32).tobytes() for f, _ in pairs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in pairs], pa.binary())], names=["id", "grade", "f", "v"])
+    pairs_of = lambda b: [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for f, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = worker_state(("features",), Features)
         for b in batches:
-            found = list(features.of(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([f.astype(np.int32).tobytes() for f, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], names=["id", "grade", "f", "v"])
+            yield packed(b.column(0), b.column(2), list(features.of(b.column(1).to_pylist())))
+
+    kind = "id long, grade int, f binary, v binary"
+    taken = stage(rows.select("id", "text", F.col("grade").cast("int")).mapInArrow(take, kind), "labelled")
+    counts = np.zeros(levels, np.int64)
+    for r in taken.groupBy("grade").count().collect():  # a row a grade
+        counts[r["grade"]] = r["count"]
+    spread = np.zeros(1 << BITS)
+    for r in _screened(taken, pairs_of, counts).collect():  # at most 2**BITS rows
+        spread[r["feature"]] = r["spread"]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield packed(b.column(0), b.column(1), [(f[stays], v[stays]) for f, v in pairs_of(b) for stays in [spread[f] > 0]])
 
-    got = rows.select("id", "text", F.col("grade").cast("int")).mapInArrow(take, "id long, grade int, f binary, v binary").collect()
+    got = taken.mapInArrow(keep, kind).collect()
+    drop_staged(taken)
     got.sort(key=lambda r: (r["id"], r["grade"], bytes(r["f"]), bytes(r["v"])))
     pairs, grades_ = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got], np.array([r["grade"] for r in got], np.int64)
-    return fit(pairs, grades_, levels)
+    return fit(pairs, grades_, levels, spread)
+
+
+def _screened(taken: DataFrame, pairs_of: Callable, counts: np.ndarray) -> DataFrame:
+    """feature, spread of the features that stay.  Tasks add up their documents, features meet by number; whole numbers add up to the same in any order."""
+    levels, size = len(counts), 1 << BITS
+    names = [f"{c}{g}" for c in "sq" for g in range(levels)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * levels, size), np.int64)
+        for b in batches:
+            for g, (f, v) in zip(b.column(1).to_pylist(), pairs_of(b), strict=True):
+                v = v.astype(np.float64)
+                np.add.at(total[g], f, np.rint(v * FIXED).astype(np.int64))
+                np.add.at(total[levels + g], f, np.rint(v * v * FIXED).astype(np.int64))
+        there = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (there, *total[:, there])], names=["feature", *names])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.array([b.column(c).to_numpy() for c in names]) / FIXED
+            spread = spreads(total[:levels], total[levels:], counts)
+            yield pa.RecordBatch.from_arrays([b.column("feature").filter(pa.array(spread > 0)), pa.array(spread[spread > 0])], names=["feature", "spread"])
+
+    added = taken.mapInArrow(add, ", ".join(f"{c} long" for c in ("feature", *names)))
+    return added.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).mapInArrow(screen, "feature long, spread double")
 
 
 def scorer(model: Model):
