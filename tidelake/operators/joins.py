@@ -94,10 +94,15 @@ def token_match(query: str, candidate: str, least: int = 2) -> Column:
 
 
 def blocked_token_join(queries: DataFrame, candidates: DataFrame, query: str, candidate: str) -> DataFrame:
-    """The theta join over token_match(), dealt by the first letters of tokens: no pair without a common letter is tried."""
-    a = queries.withColumn("__b", F.explode(F.array_distinct(F.transform(F.filter(query, lambda t: F.length(t) >= 2), lambda t: F.substring(t, 1, 1)))))
-    b = candidates.withColumn("__b", F.explode(F.array_distinct(F.transform(candidate, lambda t: F.substring(t, 1, 1)))))
-    return a.join(b, "__b").drop("__b").distinct().filter(token_match(query, candidate))
+    """The theta join over token_match(), dealt by the first letters of tokens: no pair without a common letter is tried.
+
+    Lists of tokens are tried once however many rows hold them; rows meet the pairs of lists that match.
+    """
+    first = lambda tokens: F.explode(F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 1, 1))))
+    a = queries.select(query).distinct().withColumn("__b", first(F.filter(query, lambda t: F.length(t) >= 2)))
+    b = candidates.select(candidate).distinct().withColumn("__b", first(F.col(candidate)))
+    pairs = a.join(b, "__b").drop("__b").distinct().filter(token_match(query, candidate))
+    return queries.distinct().join(pairs, query).join(candidates.distinct(), candidate).select(*queries.columns, *candidates.columns)
 
 
 def best_match(scored: DataFrame, query: str, score: str, value: str, candidate: str, rating: str) -> DataFrame:

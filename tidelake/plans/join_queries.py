@@ -113,6 +113,17 @@ def c12(spark, sf):
     return J.blocked_token_join(q, c, "qt", "ct").select("q", "c")
 
 
+_ALL_NAMES = "SELECT p_partkey AS k, string_split(lower(p_name), ' ') AS t FROM part"
+
+
+@query("c12_theta_tokens_whole", f"WITH c AS ({_ALL_NAMES}), d AS (SELECT DISTINCT t FROM c), m AS (SELECT q.t AS qt, c.t AS ct FROM d q JOIN d c ON len(list_filter(q.t, lambda t: len(t) >= 2)) > 0 AND len(list_filter(list_filter(q.t, lambda t: len(t) >= 2), lambda t: len(list_filter(c.t, lambda x: x = t OR starts_with(x, t) OR starts_with(t, x))) = 0)) = 0) SELECT q.k AS q, c.k AS c FROM m JOIN c q ON q.t = m.qt JOIN c ON c.t = m.ct")
+def c12_whole(spark, sf):
+    tokens = F.split(F.lower("p_name"), " ")
+    q = table(spark, sf, "part").select(F.col("p_partkey").alias("q"), tokens.alias("qt"))
+    c = table(spark, sf, "part").select(F.col("p_partkey").alias("c"), tokens.alias("ct"))
+    return J.blocked_token_join(q, c, "qt", "ct").select("q", "c")
+
+
 @query("c13_best_match", """WITH s AS (SELECT l_orderkey % 50 AS q, l_partkey AS cand, l_returnflag AS sex, l_linenumber AS score, l_extendedprice AS rating FROM lineitem),
 t AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY score DESC) AS r FROM s)
 SELECT q, CASE WHEN count(DISTINCT sex) > 1 THEN 'ambiguous' WHEN count(*) > 1 THEN 'matched_multi_same' ELSE 'matched' END AS status, CASE WHEN count(DISTINCT sex) = 1 THEN min(sex) END AS sex,
