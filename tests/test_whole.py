@@ -1,10 +1,12 @@
 """Queries that take whole tables, where the first registered ones take a slice."""
 
 import itertools
+import unicodedata
 
 from compare import SF
 from pyspark.sql import functions as F
 
+from tidelake.functions import scalars as H
 from tidelake.operators import joins as J
 from tidelake.plans import catalog
 from tidelake.plans.tables import table
@@ -23,3 +25,11 @@ def test_c12_every_part_is_query_and_candidate(spark):
     asked = lambda a: [t for t in a if len(t) >= 2]
     match = lambda a, b: asked(a) and all(any(x.startswith(t) or t.startswith(x) for x in b) for t in asked(a))
     assert sorted(map(tuple, found)) == sorted((i, j) for i, j in itertools.product(names, names) if match(names[i], names[j]))
+
+
+def test_h5_folds_whole_texts(spark):
+    """Marks by their Unicode decomposition; other characters stay."""
+    plain = lambda t: "".join(unicodedata.normalize("NFD", c)[0] if c in H._FOLD_FROM else c for c in t)
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    got = {r.doc_id: r.folded for r in QUERIES["h5_fold_marks_whole"](spark, SF).collect()}
+    assert got == {i: plain(t) for i, t in texts.items()} and max(map(len, got.values())) > 80

@@ -33,6 +33,11 @@ def h5(spark, sf):
     return table(spark, sf, "documents").filter(plain).select("doc_id", H.fold_marks(head).alias("folded"))
 
 
+@query("h5_fold_marks_whole", f"SELECT doc_id, translate(text, '{H._FOLD_FROM}', '{H._FOLD_TO}') AS folded FROM documents")
+def h5_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", H.fold_marks(F.col("text")).alias("folded"))
+
+
 _TITLES = "(SELECT s_suppkey, (ARRAY['GM', 'WGM', ' im ', 'wfm', 'XX'])[(s_suppkey % 5)::INT + 1] AS title, (ARRAY['F', 'M', NULL])[(s_suppkey % 3)::INT + 1] AS sex FROM supplier)"
 
 
