@@ -1,6 +1,7 @@
 """Queries that take whole tables, where the first registered ones take a slice."""
 
 import itertools
+import statistics
 import unicodedata
 
 from compare import SF
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import scalars as H
 from tidelake.operators import joins as J
 from tidelake.plans import catalog
+from tidelake.plans import estimator_queries as E
 from tidelake.plans.tables import table
 
 QUERIES = catalog.queries()
@@ -33,3 +35,12 @@ def test_h5_folds_whole_texts(spark):
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     got = {r.doc_id: r.folded for r in QUERIES["h5_fold_marks_whole"](spark, SF).collect()}
     assert got == {i: plain(t) for i, t in texts.items()} and max(map(len, got.values())) > 80
+
+
+def test_g34_counts_every_event_and_pools_cells_of_one_row(spark):
+    assert QUERIES["g34_cell_noise_whole"](spark, SF).agg(F.sum("n")).first()[0] == table(spark, SF, "events").count()
+    # Two cells of a band with 2 and 3 rows, and one of a single row.
+    rows = [(4, "a", 1.0), (4, "a", 3.0), (8, "a", 0.0), (8, "a", 4.0), (8, "a", 5.0), (12, "a", 7.0)]
+    got = {r.user_id: (r.n, r.noise) for r in E._cell_noise(spark.createDataFrame(rows, "user_id long, event_type string, value double")).collect()}
+    s2 = statistics.variance([0.0, 4.0, 5.0])
+    assert got[4] == (2, 1.0) and got[8] == (3, round(s2 / 3, 6)) and got[12] == (1, round((2 + 2 * s2) / 3, 6))

@@ -147,8 +147,17 @@ def d35(spark, sf):
 @query("g34_cell_noise", """WITH c AS (SELECT user_id, event_type, user_id % 4 AS band, count(value) AS n, avg(value) AS mean, var_samp(value) AS s2 FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2, 3), p AS (SELECT band, sum((n - 1) * s2) / sum(n - 1) AS pooled FROM c WHERE n >= 2 GROUP BY 1)
 SELECT user_id, event_type, c.band, n, round(mean, 6) AS mean, round(CASE WHEN n >= 2 THEN s2 ELSE pooled END / n, 6) AS noise FROM c LEFT JOIN p ON c.band = p.band""")
 def g34(spark, sf):
-    rows = table(spark, sf, "events").filter("event_id % 3 = 0").withColumn("band", F.col("user_id") % 4)
-    out = G.cell_noise(rows, ["user_id", "event_type"], "value", "band")
+    return _cell_noise(table(spark, sf, "events").filter("event_id % 3 = 0"))
+
+
+@query("g34_cell_noise_whole", """WITH c AS (SELECT user_id, event_type, user_id % 4 AS band, count(value) AS n, avg(value) AS mean, var_samp(value) AS s2 FROM events GROUP BY 1, 2, 3), p AS (SELECT band, sum((n - 1) * s2) / sum(n - 1) AS pooled FROM c WHERE n >= 2 GROUP BY 1)
+SELECT user_id, event_type, c.band, n, round(mean, 6) AS mean, round(CASE WHEN n >= 2 THEN s2 ELSE pooled END / n, 6) AS noise FROM c LEFT JOIN p ON c.band = p.band""")
+def g34_whole(spark, sf):
+    return _cell_noise(table(spark, sf, "events"))
+
+
+def _cell_noise(events):
+    out = G.cell_noise(events.withColumn("band", F.col("user_id") % 4), ["user_id", "event_type"], "value", "band")
     return out.select("user_id", "event_type", "band", "n", r6(F.col("mean")).alias("mean"), r6(F.col("noise")).alias("noise"))
 
 
