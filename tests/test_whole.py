@@ -44,3 +44,10 @@ def test_g34_counts_every_event_and_pools_cells_of_one_row(spark):
     got = {r.user_id: (r.n, r.noise) for r in E._cell_noise(spark.createDataFrame(rows, "user_id long, event_type string, value double")).collect()}
     s2 = statistics.variance([0.0, 4.0, 5.0])
     assert got[4] == (2, 1.0) and got[8] == (3, round(s2 / 3, 6)) and got[12] == (1, round((2 + 2 * s2) / 3, 6))
+
+
+def test_rowwise_queries_take_every_line(spark):
+    lines = table(spark, SF, "lineitem")
+    for name in ("c20_chained_assembly", "g4_projection", "f15_conditional_assignment", "h17_h18_results"):
+        assert QUERIES[f"{name}_whole"](spark, SF).count() == lines.count(), name
+    assert QUERIES["f7_column_inequality_whole"](spark, SF).count() == lines.filter("l_partkey % 10 <> l_suppkey % 10").count()

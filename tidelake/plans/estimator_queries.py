@@ -35,7 +35,16 @@ def g3(spark, sf):
 
 @query("g4_projection", "SELECT l_orderkey, l_linenumber, l_suppkey, round(0.5 * l_quantity - 2 * l_discount, 6) AS score FROM lineitem WHERE l_quantity > 45")
 def g4(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_suppkey", r6(G.project(["l_quantity", "l_discount"], [0.5, -2.0])).alias("score"))
+    return _projected(table(spark, sf, "lineitem").filter("l_quantity > 45"))
+
+
+@query("g4_projection_whole", "SELECT l_orderkey, l_linenumber, l_suppkey, round(0.5 * l_quantity - 2 * l_discount, 6) AS score FROM lineitem")
+def g4_whole(spark, sf):
+    return _projected(table(spark, sf, "lineitem"))
+
+
+def _projected(lines):
+    return lines.select("l_orderkey", "l_linenumber", "l_suppkey", r6(G.project(["l_quantity", "l_discount"], [0.5, -2.0])).alias("score"))
 
 
 @query("g5_trend_table", " UNION ALL ".join(f"SELECT '{c}' AS indicator, round(corr(o_totalprice, {e}), 6) AS r, round(regr_slope({e}, o_totalprice) * 100000, 6) AS slope FROM orders" for c, e in (("custkey", "o_custkey"), ("orderkey", "o_orderkey"))))

@@ -174,8 +174,17 @@ def c19(spark, sf):
 
 @query("c20_chained_assembly", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, c_mktsegment, p_brand, s_nationkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45")
 def c20(spark, sf):
+    return _assembly(spark, sf, table(spark, sf, "lineitem").filter("l_quantity > 45"))
+
+
+@query("c20_chained_assembly_whole", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, c_mktsegment, p_brand, s_nationkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey")
+def c20_whole(spark, sf):
+    return _assembly(spark, sf, table(spark, sf, "lineitem"))
+
+
+def _assembly(spark, sf, lines):
     t = lambda n: table(spark, sf, n)
-    out = t("lineitem").filter("l_quantity > 45").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    out = lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     out = out.join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "left").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_orderpriority", "c_mktsegment", "p_brand", "s_nationkey")
 

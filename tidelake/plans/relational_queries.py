@@ -46,7 +46,16 @@ def f6(spark, sf):
 
 @query("f7_column_inequality", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 IS DISTINCT FROM l_suppkey % 10 AND l_quantity > 48")
 def f7(spark, sf):
-    return table(spark, sf, "lineitem").filter(~(F.col("l_partkey") % 10).eqNullSafe(F.col("l_suppkey") % 10) & (F.col("l_quantity") > 48)).select("l_orderkey", "l_partkey", "l_suppkey")
+    return _unequal(table(spark, sf, "lineitem").filter("l_quantity > 48"))
+
+
+@query("f7_column_inequality_whole", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 IS DISTINCT FROM l_suppkey % 10")
+def f7_whole(spark, sf):
+    return _unequal(table(spark, sf, "lineitem"))
+
+
+def _unequal(lines):
+    return lines.filter(~(F.col("l_partkey") % 10).eqNullSafe(F.col("l_suppkey") % 10)).select("l_orderkey", "l_partkey", "l_suppkey")
 
 
 @query("f8_complete_cases", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND event_type IS NOT NULL")
@@ -92,8 +101,17 @@ def f14(spark, sf):
 
 @query("f15_conditional_assignment", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = l_suppkey % 7 THEN 0 ELSE l_quantity - l_linenumber END AS delta FROM lineitem WHERE l_quantity > 45")
 def f15(spark, sf):
+    return _assigned(table(spark, sf, "lineitem").filter("l_quantity > 45"))
+
+
+@query("f15_conditional_assignment_whole", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = l_suppkey % 7 THEN 0 ELSE l_quantity - l_linenumber END AS delta FROM lineitem")
+def f15_whole(spark, sf):
+    return _assigned(table(spark, sf, "lineitem"))
+
+
+def _assigned(lines):
     same = F.col("l_partkey") % 7 == F.col("l_suppkey") % 7
-    return table(spark, sf, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", F.when(same, 0).otherwise(F.col("l_quantity") - F.col("l_linenumber")).alias("delta"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.when(same, 0).otherwise(F.col("l_quantity") - F.col("l_linenumber")).alias("delta"))
 
 
 @query("f16_union_all", "SELECT 'c' AS kind, c_nationkey AS nation FROM customer UNION ALL SELECT 's', s_nationkey FROM supplier")

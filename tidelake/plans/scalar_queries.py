@@ -89,8 +89,17 @@ def h16(spark, sf):
 
 @query("h17_h18_results", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 2 = 0 THEN CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END ELSE 1 - CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END END::DOUBLE AS result, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_quantity / l_discount, 4) END AS fraction FROM lineitem WHERE l_quantity > 47")
 def h17(spark, sf):
+    return _results(table(spark, sf, "lineitem").filter("l_quantity > 47"))
+
+
+@query("h17_h18_results_whole", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 2 = 0 THEN CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END ELSE 1 - CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END END::DOUBLE AS result, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_quantity / l_discount, 4) END AS fraction FROM lineitem")
+def h17_whole(spark, sf):
+    return _results(table(spark, sf, "lineitem"))
+
+
+def _results(lines):
     result = F.when(F.col("l_returnflag") == "A", "1-0").when(F.col("l_returnflag") == "R", "0-1").otherwise("1/2-1/2")
-    return table(spark, sf, "lineitem").filter("l_quantity > 47").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", H.result_for_side(result, F.col("l_partkey") % 2 == 0).alias("result"), F.round(H.clock_fraction(F.col("l_quantity"), F.col("l_discount")), 4).alias("fraction"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", H.result_for_side(result, F.col("l_partkey") % 2 == 0).alias("result"), F.round(H.clock_fraction(F.col("l_quantity"), F.col("l_discount")), 4).alias("fraction"))
 
 
 @query("h19_h21_numbers", "SELECT p_partkey, round(ln(p_retailprice), 6) AS l, round(sqrt(p_retailprice), 6) AS s, sign(p_size - 25)::DOUBLE AS sg, floor(p_retailprice / 7)::BIGINT AS f, round(greatest(0, p_size - 25), 1)::DOUBLE AS pos, round(10 + (90 - 10) * (p_size - 1) / 49.0, 6)::DOUBLE AS mid FROM part")
