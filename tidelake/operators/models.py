@@ -60,16 +60,23 @@ def boosted(train: DataFrame, score: DataFrame, y: str, x: list[str], name: str,
 
 
 def stopped_boosting(df: DataFrame, y: str, x: list[str], holdout: str, rounds: int = 100, patience: int = 10, least: float = 1e-7, depth: int = 4, step: float = 0.05) -> tuple[list[float], int]:
-    """Held-out scores (half the negative squared error, the training mean's first) and the round at which no score of the last ``patience`` beats the one before them."""
+    """Held-out scores (half the negative squared error, the training mean's first) and the round at which no score of the last ``patience`` beats the one before them.
+
+    Rounds are fit until that round is found, ``rounds`` at most: 50, then twice as many, and so on.  A longer fit begins with the trees of the shorter one.
+    """
     train, held = df.filter(~F.col(holdout)), df.filter(holdout)
-    m = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=rounds, maxDepth=depth, stepSize=step, seed=1).fit(_assembled(train, x))
     mean = train.agg(F.avg(y)).first()[0]
     first = -0.5 * held.agg(F.avg((F.col(y) - F.lit(mean)) ** 2)).first()[0]
-    scores = [first, *(-0.5 * e for e in m.evaluateEachIteration(_assembled(held, x), "squared"))]
-    for i in range(patience + 1, len(scores)):
-        if not any(s > scores[i - patience - 1] + least for s in scores[i - patience : i]):
-            return scores, i - 1
-    return scores, len(scores) - 1
+    tried = 0
+    while True:
+        tried = min(rounds, max(50, 2 * tried))
+        m = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=tried, maxDepth=depth, stepSize=step, seed=1).fit(_assembled(train, x))
+        scores = [first, *(-0.5 * e for e in m.evaluateEachIteration(_assembled(held, x), "squared"))]
+        for i in range(patience + 1, len(scores)):
+            if not any(s > scores[i - patience - 1] + least for s in scores[i - patience : i]):
+                return scores, i - 1
+        if tried == rounds:
+            return scores, len(scores) - 1
 
 
 def band_pca(df: DataFrame, band: str, columns: list[str], least: int, full: list[float]) -> DataFrame:

@@ -219,4 +219,4 @@ def g29(spark, sf):
 @query("g13_nested_intercepts")
 def g13(spark, sf):
     rows = table(spark, sf, "events").withColumn("game", F.floor(F.col("event_id") / 500))
-    return _rounded(G.nested_intercepts(rows, "value", [], "user_id", "game", rounds=3), "coef", "se")
+    return _rounded(G.nested_intercepts(rows, "value", [], "user_id", "game"), "coef", "se")

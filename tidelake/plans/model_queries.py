@@ -34,14 +34,14 @@ def g11(spark, sf):
 @query("g16_boosting")
 def g16(spark, sf):
     rows = O.folds(_rows(spark, sf), "l_suppkey", 5, 3)
-    out = M.boosted(rows.filter("fold > 0"), rows.filter("fold = 0"), "y", _X, "fit", rounds=10)
+    out = M.boosted(rows.filter("fold > 0"), rows.filter("fold = 0"), "y", _X, "fit")
     return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fit"), 2).alias("fit"))
 
 
 @query("g17_stopped_boosting")
 def g17(spark, sf):
     rows = O.folds(_rows(spark, sf), "l_suppkey", 10, 3).withColumn("held", F.col("fold") == 0)
-    scores, at = M.stopped_boosting(rows, "y", _X, "held", rounds=15)
+    scores, at = M.stopped_boosting(rows, "y", _X, "held", rounds=500)
     return spark.createDataFrame([(len(scores) - 1, at)], "rounds int, stopped int")
 
 
