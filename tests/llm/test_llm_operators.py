@@ -368,23 +368,106 @@ def test_quality_learns_from_every_label_of_the_sample(spark):
 
 
 def test_quality_screen_is_that_of_all_rows_at_once(spark):
+    """Of all rows and of those without each fold."""
     r = np.random.default_rng(8)
-    grades = r.integers(0, 3, 300)
+    grades, folds = r.integers(0, 3, 300), r.integers(0, quality.FOLDS, 300)
     rows = [np.flatnonzero(r.random(40) < np.where(np.arange(40) < 5, 0.6 - 0.25 * g, 0.3)) for g in grades]
     values = [r.random(len(f)).astype(np.float32) * 6 for f in rows]
-    frame = spark.createDataFrame([(i, int(g), bytearray(f.astype(np.int32).tobytes()), bytearray(v.tobytes())) for i, (g, f, v) in enumerate(zip(grades, rows, values, strict=True))], "id long, grade int, f binary, v binary")
-    pairs_of = lambda b: [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for f, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-    got = {x.feature: x.spread for x in quality._screened(frame.repartition(7), pairs_of, np.bincount(grades, minlength=3)).collect()}
+    frame = spark.createDataFrame([(i, int(g), int(k), bytearray(f.astype(np.int32).tobytes()), bytearray(v.tobytes())) for i, (g, k, f, v) in enumerate(zip(grades, folds, rows, values, strict=True))], quality._TAKEN)
+    counts = np.array([[np.sum((grades == g) & (folds == k)) for g in range(3)] for k in range(quality.FOLDS)])
+    got = {x.feature: x.spreads for x in quality._screened(frame.repartition(7), counts).collect()}
     dense = np.zeros((300, 40))
     for i, (f, v) in enumerate(zip(rows, values, strict=True)):
         dense[i, f] = v
-    want = np.zeros(40)
-    for cut in (1, 2):
-        above, below = dense[grades >= cut], dense[grades < cut]
-        error = np.sqrt(sum((x.var(0) + 1 / len(x)) / len(x) for x in (above, below)))
-        want = np.maximum(want, (below.mean(0) - above.mean(0)) / error)
-    assert {f for f in range(40) if want[f] >= quality.LEAST_Z} == set(got) != set()
-    assert all(s == pytest.approx(np.sqrt(want[f]), rel=1e-6) for f, s in got.items())
+    want = []
+    for some in [np.ones(300, bool), *[folds != k for k in range(quality.FOLDS)]]:
+        most = np.zeros(40)
+        for cut in (1, 2):
+            above, below = dense[some & (grades >= cut)], dense[some & (grades < cut)]
+            error = np.sqrt(sum((x.var(0) + 1 / len(x)) / len(x) for x in (above, below)))
+            most = np.maximum(most, (below.mean(0) - above.mean(0)) / error)
+        want.append(np.where(most >= min(quality.LEVELS), most, 0))
+    want = np.array(want)
+    assert set(np.flatnonzero(want.any(0)).tolist()) == set(got) != set()
+    assert all(s == pytest.approx(want[:, f].tolist(), rel=1e-6) for f, s in got.items())
+
+
+def test_quality_fit_against_a_plain_solver():
+    """The penalised likelihood of a small sample, by loops and by coordinate search, against that of fit()."""
+    r = np.random.default_rng(2)
+    grades = r.integers(0, 3, 50)
+    rows = [(np.flatnonzero(r.random(4) < np.array([0.8 - 0.3 * g, 0.7 - 0.2 * g, 0.3, 0.2 + 0.2 * g])), None) for g in grades]
+    rows = [(f, np.ones(len(f))) for f, _ in rows]
+    spread, ridge = np.zeros(1 << quality.BITS), 0.01
+    spread[:4] = 1
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def loss(w, t):
+        total = ridge / 2 * sum(x * x for x in w)
+        for (f, _), g in zip(rows, grades, strict=True):
+            z = sum(w[k] for k in f)
+            above = [1.0, *(sigmoid(z - x) for x in t), 0.0]
+            total -= np.log(max(above[g] - above[g + 1], 1e-12)) / len(rows)
+        return total
+
+    w, t, step = [0.0] * 4, [-2.0, -1.0], 0.5
+    while step > 1e-4:
+        better = False
+        for params, k in [*((w, i) for i in range(4)), *((t, i) for i in range(2))]:
+            for way in (step, -step):
+                before, old = loss(w, t), params[k]
+                params[k] = min(0.0, old + way) if params is w else old + way
+                if t[0] < t[1] and loss(w, t) < before - 1e-12:
+                    better = True
+                else:
+                    params[k] = old
+        step = step if better else step / 2
+    model = quality.fit(rows, grades, 3, spread, ridge=ridge)
+    assert loss(model.weights[:4].tolist(), model.thresholds.tolist()) <= loss(w, t) + 1e-4
+    assert np.abs(model.weights[:4] - w).max() < 0.05 and np.abs(model.thresholds - t).max() < 0.05
+
+
+def test_quality_scores_are_sums_over_features(spark):
+    """The score of a text, added up feature by feature, and its probabilities."""
+    r = np.random.default_rng(4)
+    model = quality.Model(-r.random(1 << quality.BITS).astype(np.float32) / 50, np.array([-3.0, -2.0]))
+    texts = ["One two two THREE!!", "", "word " * 300, None, "x" * 5000 + " AAAA1111"]
+    got = {x.doc_id: x.rating for x in quality.scored(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        own = (t or "").split()
+        features = [quality.word_features(w) for w in own]
+        z = sum(model.weights[k] for k in {f[0] for f in features})
+        counts = collections.Counter(k for f in features for k in f[1:])
+        counts[quality.AGAIN] += sum(a == b for a, b in zip(own, own[1:]))
+        z += sum(model.weights[k] * quality.SHARE_SCALE * (n / max(1, len(own))) ** 0.5 for k, n in counts.items())
+        above = [1 / (1 + np.exp(x - z)) for x in model.thresholds]
+        assert got[i].expected_grade == pytest.approx(sum(above), rel=1e-4) and got[i].p_top == pytest.approx(above[1], rel=1e-4)
+
+
+def test_quality_sample_is_bounded_by_rows(spark):
+    """Identifiers that many documents share don't let in more rows than the sample holds."""
+    rows = [(i % 3, f"text {i}", "s") for i in range(90)]
+    taken, real = [], quality.fit
+    labels = spark.createDataFrame([(i, int(i != 1), 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    quality.fit = lambda rows, grades, *a, **b: (taken.append(len(rows)), real(rows, grades, *a, **b))[1]
+    try:
+        quality.train(docs(spark, rows), quality.grades_of(labels), sample=10)
+    finally:
+        quality.fit = real
+    assert max(taken) == taken[-1] == 10
+
+
+def test_quality_held_out(spark):
+    """Rows of the test tables that the fit hasn't seen: low, toxic and clean ones."""
+    at = "/root/testdata/sf0.1"
+    grades = quality.grades_of(spark.read.parquet(f"{at}/labels.parquet"))
+    documents = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)) == 0
+    model = quality.train(documents, grades.filter(~held))
+    asked = documents.join(grades.filter(held), F.col("doc_id") == F.col("id"))
+    found = quality.scored(asked, model).groupBy("grade").agg(F.avg((F.col("rating.p_top") < 0.5).cast("int")).alias("rejected")).collect()
+    rejected = {r.grade: r.rejected for r in found}
+    assert rejected[0] >= 0.9 and rejected[1] >= 0.85 and rejected[2] <= 0.03
 
 
 def test_empty_tables(spark):

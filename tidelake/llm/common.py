@@ -136,3 +136,9 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def text_batches(spark: SparkSession, rows: int = 500):  # noqa: ANN201
+    """Batches of at most ``rows`` rows for the jobs within: rows are whole texts."""
+    before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    return batches_of(spark, min(rows, before) if before > 0 else rows)

@@ -10,14 +10,17 @@ Features of a text: each distinct word (lower-cased, outer punctuation removed),
 their share of the words, word beginnings of two to five letters, *shapes* (runs of capitals,
 letters and digits become one mark each, other signs stay) and words equal to the one before.  They are hashed to ``2**BITS``
 numbers.  Features are screened: those stay whose mean is higher below some threshold than above it, by
-``LEAST_Z`` standard errors or more, and they are scaled by the root of that number, so
-the penalty weighs most on those that tell grades apart least.  Their weights can't be
+a number of standard errors, and they are scaled by the root of that number, so
+the penalty weighs most on those that tell grades apart least.  Which of ``LEVELS`` is the least number that
+stays is decided by cross-validation on the sample: the level with the best held-out likelihood, so few
+labels are used as far as they go and many don't let chance in.  Weights can't be
 positive: features are evidence against a text, and passages that many good texts
 share don't make up for it.
 
 The model is fit on a bounded sample, ``sample`` labelled rows with the smallest hash
-of their id.  Their features are staged and screened by partial aggregates on executors; the driver gets
-the features that stay, nothing else.  It is full-batch gradient
+of their id (of rows with repeated identifiers no more than that in all).  Their features are staged and screened by
+partial aggregates on executors, for the whole sample and for it without each fold; the driver gets
+the features that stay at the lowest level, nothing else.  It is full-batch gradient
 descent with per-coordinate steps on the regularised likelihood, the same on every run.  Scoring is a
 scalar function over whole texts: rows keep all their columns and nothing is
 shuffled.
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,9 +45,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import drop_staged, small_batches, stage, worker_state
+from tidelake.llm.common import drop_staged, small_batches, stage, text_batches, worker_state
 
-BITS, LEAST_Z, SHARE_SCALE = 18, 4.0, 6.0
+BITS, SHARE_SCALE = 18, 6.0
+#: Least standard errors a feature may need to stay, and the folds by which one of these is chosen.
+LEVELS, FOLDS = (4.0, 3.0, 2.0, 1.5, 1.0), 8
 #: Sums of the screen are whole numbers of this fraction; values are 6 at most, so 2**20 rows fit in 64 bits.
 FIXED = 2.0**30
 AGAIN = xxhash.xxh3_64_intdigest("again") >> (64 - BITS)
@@ -53,7 +58,7 @@ _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "X"), (r"[a-zß
 
 def word_features(word: str) -> tuple[int, ...]:
     """Numbers of a word, of its shape and of its beginnings."""
-    shape = word[:64]
+    shape = word
     for pattern, mark in _SHAPES:
         shape = pattern.sub(mark, shape)
     core = word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -102,7 +107,7 @@ class Model:
 
 
 def spreads(sums: np.ndarray, squares: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The screen: by feature the root of the standard errors by which its mean is lower above some threshold than below; 0 for those that go.
+    """The screen: by feature the standard errors by which its mean is lower above some threshold than below; 0 for those that are not lower.
 
     ``sums`` and ``squares`` have a row a grade and a column a feature, ``counts`` the documents of each grade.
     """
@@ -114,7 +119,7 @@ def spreads(sums: np.ndarray, squares: np.ndarray, counts: np.ndarray) -> np.nda
             mean, square = sums[side].sum(0) / count, squares[side].sum(0) / count
             sides.append((mean, (square - mean**2 + 1 / count) / count))
         spread = np.maximum(spread, (sides[1][0] - sides[0][0]) / np.sqrt(sides[0][1] + sides[1][1]))
-    return np.sqrt(np.where(spread >= LEAST_Z, spread, 0))
+    return spread
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, spread: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 2e-4) -> Model:
@@ -159,63 +164,129 @@ def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter("quality is not null and toxic is not null").select(F.col(id_col).cast("long").alias("id"), grade.alias("grade"))
 
 
+def _own(rows: list[tuple[np.ndarray, np.ndarray]], spread: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features of rows that have a spread."""
+    return [(f[stays], v[stays]) for f, v in rows for stays in [spread[f] > 0]]
+
+
+def screened_fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, spread: np.ndarray, least: float, **options) -> Model:
+    """fit() on the features whose spread is ``least`` or more."""
+    scale = np.sqrt(np.where(spread >= least, spread, 0))
+    return fit(_own(rows, scale), grades, levels, scale, **options)
+
+
+def deviance(model: Model, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> float:
+    """Minus the log-likelihood of grades."""
+    z = np.array([float(model.weights[f] @ v) for f, v in rows])
+    padded = np.concatenate([np.ones((len(z), 1)), model.above(z), np.zeros((len(z), 1))], 1)
+    at = np.arange(len(z))
+    return float(-np.log(np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-9)).sum())
+
+
+def chosen_level(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, folds: np.ndarray, levels: int, spreads_without: np.ndarray) -> float:
+    """The level of LEVELS with the best likelihood of rows that the fit hasn't seen; ``spreads_without`` has a row a fold, the screen without it."""
+    lost = dict.fromkeys(LEVELS, 0.0)
+    for k in range(FOLDS):
+        seen, held = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
+        if not len(held):
+            continue
+        for least in LEVELS:
+            model = screened_fit([rows[i] for i in seen], grades[seen], levels, spreads_without[k], least, steps=120)
+            lost[least] += deviance(model, [rows[i] for i in held], grades[held])
+    return min(LEVELS, key=lambda least: (round(lost[least], 6), -least))
+
+
+_TAKEN = "id long, grade int, fold int, f binary, v binary"
+
+
+def _packed(ids: pa.Array, grades: pa.Array, folds: pa.Array, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    binary = lambda k, t: pa.array([x[k].astype(t).tobytes() for x in pairs], pa.binary())
+    return pa.RecordBatch.from_arrays([ids, grades, folds, binary(0, np.int32), binary(1, np.float32)], names=["id", "grade", "fold", "f", "v"])
+
+
+def _pairs(features: list[bytes], values: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for f, v in zip(features, values, strict=True)]
+
+
 def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits the model on the documents of ``sample`` rows of grades (id, grade)."""
-    small_batches(docs.sparkSession)
     some = grades.filter("id is not null").orderBy(F.xxhash64("id", F.lit(3)), "id", "grade").limit(sample)
     # The sample is bounded, so it can be sent to all tasks.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id")
-    packed = lambda ids, grades_, pairs: pa.RecordBatch.from_arrays([ids, grades_, pa.array([f.astype(np.int32).tobytes() for f, _ in pairs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in pairs], pa.binary())], names=["id", "grade", "f", "v"])
-    pairs_of = lambda b: [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for f, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+    fold = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = worker_state(("features",), Features)
         for b in batches:
-            yield packed(b.column(0), b.column(2), list(features.of(b.column(1).to_pylist())))
-
-    kind = "id long, grade int, f binary, v binary"
-    taken = stage(rows.select("id", "text", F.col("grade").cast("int")).mapInArrow(take, kind), "labelled")
-    counts = np.zeros(levels, np.int64)
-    for r in taken.groupBy("grade").count().collect():  # a row a grade
-        counts[r["grade"]] = r["count"]
-    spread = np.zeros(1 << BITS)
-    for r in _screened(taken, pairs_of, counts).collect():  # at most 2**BITS rows
-        spread[r["feature"]] = r["spread"]
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield packed(b.column(0), b.column(1), [(f[stays], v[stays]) for f, v in pairs_of(b) for stays in [spread[f] > 0]])
-
-    got = taken.mapInArrow(keep, kind).collect()
+            yield _packed(b.column(0), b.column(2), b.column(3), list(features.of(b.column(1).to_pylist())))
+
+    with text_batches(docs.sparkSession):
+        taken = stage(rows.select("id", "text", F.col("grade").cast("int"), fold).mapInArrow(take, _TAKEN), "labelled")
+        if taken.count() > sample:  # identifiers that several documents have
+            whole, taken = taken, stage(taken.orderBy(F.xxhash64("id", F.lit(3)), "id", "grade", F.xxhash64("f", "v")).limit(sample), "labelled")
+            drop_staged(whole)
+        counts = np.zeros((FOLDS, levels), np.int64)
+        for r in taken.groupBy("fold", "grade").count().collect():  # a row a fold and grade
+            counts[r["fold"], r["grade"]] = r["count"]
+        spread = np.zeros((1 + FOLDS, 1 << BITS))
+        for r in _screened(taken, counts).collect():  # at most 2**BITS rows
+            spread[:, r["feature"]] = r["spreads"]
+        any_ = spread.max(0)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield _packed(b.column(0), b.column(1), b.column(2), _own(_pairs(b.column(3).to_pylist(), b.column(4).to_pylist()), any_))
+
+        got = taken.mapInArrow(keep, _TAKEN).collect()
     drop_staged(taken)
     got.sort(key=lambda r: (r["id"], r["grade"], bytes(r["f"]), bytes(r["v"])))
-    pairs, grades_ = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got], np.array([r["grade"] for r in got], np.int64)
-    return fit(pairs, grades_, levels, spread)
+    pairs, grades_, folds = _pairs([r["f"] for r in got], [r["v"] for r in got]), np.array([r["grade"] for r in got], np.int64), np.array([r["fold"] for r in got])
+    return screened_fit(pairs, grades_, levels, spread[0], chosen_level(pairs, grades_, folds, levels, spread[1:]))
 
 
-def _screened(taken: DataFrame, pairs_of: Callable, counts: np.ndarray) -> DataFrame:
-    """feature, spread of the features that stay.  Tasks add up their documents, features meet by number; whole numbers add up to the same in any order."""
-    levels, size = len(counts), 1 << BITS
-    names = [f"{c}{g}" for c in "sq" for g in range(levels)]
+def _screened(taken: DataFrame, counts: np.ndarray) -> DataFrame:
+    """feature, spreads (of all rows, then without each fold) of the features that reach the lowest level in one of them.
+
+    ``counts`` has a row a fold and a column a grade.  Tasks add up their documents, features meet by number; whole
+    numbers add up to the same in any order.
+    """
+    folds, levels = counts.shape
+    least = min(LEVELS)
+    names = [f"{c}{k}_{g}" for c in "sq" for k in range(folds) for g in range(levels)]
+
+    def added_up(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        feature = np.concatenate([f for _, f, _ in held])
+        cell = np.repeat([c for c, _, _ in held], [len(f) for _, f, _ in held])
+        value = np.concatenate([v for _, _, v in held]).astype(np.float64)
+        there, place = np.unique(feature, return_inverse=True)
+        total = np.zeros((len(names), len(there)), np.int64)
+        for at, x in ((0, value), (folds * levels, value * value)):
+            np.add.at(total, (cell + at, place), np.rint(x * FIXED).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (there, *total)], names=["feature", *names])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 * levels, size), np.int64)
+        held, size = [], 0
         for b in batches:
-            for g, (f, v) in zip(b.column(1).to_pylist(), pairs_of(b), strict=True):
-                v = v.astype(np.float64)
-                np.add.at(total[g], f, np.rint(v * FIXED).astype(np.int64))
-                np.add.at(total[levels + g], f, np.rint(v * v * FIXED).astype(np.int64))
-        there = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (there, *total[:, there])], names=["feature", *names])
+            for g, k, (f, v) in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), _pairs(b.column(3).to_pylist(), b.column(4).to_pylist()), strict=True):
+                held.append((k * levels + g, f, v))
+                size += len(f)
+                if size >= 1_000_000:
+                    yield added_up(held)
+                    held, size = [], 0
+        if held:
+            yield added_up(held)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total = np.array([b.column(c).to_numpy() for c in names]) / FIXED
-            spread = spreads(total[:levels], total[levels:], counts)
-            yield pa.RecordBatch.from_arrays([b.column("feature").filter(pa.array(spread > 0)), pa.array(spread[spread > 0])], names=["feature", "spread"])
+            sums, squares = (np.array([b.column(c).to_numpy() for c in names]) / FIXED).reshape(2, folds, levels, -1)
+            found = [spreads(sums.sum(0), squares.sum(0), counts.sum(0))]
+            found += [spreads(sums.sum(0) - sums[k], squares.sum(0) - squares[k], counts.sum(0) - counts[k]) for k in range(folds)]
+            found = np.where(np.array(found) >= least, found, 0)
+            stays = found.any(0)
+            yield pa.RecordBatch.from_arrays([b.column("feature").filter(pa.array(stays)), pa.array(found[:, stays].T.tolist(), pa.list_(pa.float64()))], names=["feature", "spreads"])
 
     added = taken.mapInArrow(add, ", ".join(f"{c} long" for c in ("feature", *names)))
-    return added.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).mapInArrow(screen, "feature long, spread double")
+    return added.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).mapInArrow(screen, "feature long, spreads array<double>")
 
 
 def scorer(model: Model):
