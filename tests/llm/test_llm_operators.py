@@ -57,7 +57,7 @@ def words(t):
 
 def test_exact_dedup(spark):
     rows = sample()
-    got = exact_dedup.exact_dedup(docs(spark, rows), runs=16, fan_in=4).collect()
+    got = exact_dedup.exact_dedup(docs(spark, rows), least_runs=16, rows_a_cell=2).collect()
     groups = collections.defaultdict(list)
     for i, t, _ in rows:
         groups[SPACE.sub(" ", t or "")].append(i)
@@ -66,7 +66,7 @@ def test_exact_dedup(spark):
     assert sorted((str(r.id), r.keep_id, r.group_size, r.text_sha256) for r in got) == expect
     kept = collections.Counter(r.text_sha256 for r in got if r.kept)
     assert set(kept.values()) == {1} and len(kept) == len(groups)
-    back = exact_dedup.keep_first_copies(docs(spark, rows), runs=16, fan_in=4)
+    back = exact_dedup.keep_first_copies(docs(spark, rows), least_runs=16, rows_a_cell=2)
     assert back.columns == docs(spark, rows).columns and back.count() == len(groups)
 
 
@@ -75,6 +75,42 @@ def test_exact_dedup_of_rows_without_ids(spark):
     assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == [(None, None, 2, False), (None, None, 2, True)]
 
 
+def test_exact_dedup_merges_runs_pair_by_pair(spark):
+    """Every round's runs are those of the pairs before, sorted by digest within ranges that tasks own."""
+    rows = exact_dedup.digest_rows(docs(spark, sample(seed=9, n=120)), "doc_id", "text").collect()
+    entries = spark.createDataFrame([(k % 8, bytearray(r.digest), (r.id is None, r.id, r.row), 1, r.check, r.check) for k, r in enumerate(rows)], "run int, digest binary, first struct<none:boolean,id:long,row:long>, n long, low struct<hash:long,size:int>, high struct<hash:long,size:int>")
+    held = exact_dedup.merge_round(entries, F.col("run"), 2)
+    expect = collections.defaultdict(list)
+    for k, r in enumerate(rows):
+        expect[k % 8, bytes(r.digest)].append((r.id is None, r.id or 0, r.row))
+    for runs in (8, 4, 2, 1):
+        got = {(x.run, bytes(x.digest)): (x.first.row, x.n) for x in held.collect()}
+        assert got == {k: (min(v)[2], len(v)) for k, v in expect.items()}
+        parts = held.rdd.glom().collect() if runs < 8 else []
+        for part in parts:
+            keys = [(x.run, bytes(x.digest)) for x in part]
+            assert all(a < b for a, b in zip(keys, keys[1:]) if a[0] == b[0]) or len({k[0] for k in keys}) > 1
+        merged = collections.defaultdict(list)
+        for (run, digest), v in expect.items():
+            merged[run // 2, digest] += v
+        expect, held = merged, exact_dedup.merge_round(held, F.shiftright("run", 1), 4)
+
+
+def test_exact_dedup_finds_a_clash(spark):
+    entry = lambda size: (0, bytearray(b"x" * 32), (False, 1, size), 1, (5, size), (5, size))
+    entries = spark.createDataFrame([entry(1), entry(2)], "run int, digest binary, first struct<none:boolean,id:long,row:long>, n long, low struct<hash:long,size:int>, high struct<hash:long,size:int>")
+    with pytest.raises(Exception, match="different texts"):
+        exact_dedup.merge_round(entries, F.col("run"), 1).collect()
+
+
+def test_exact_dedup_of_long_texts_and_repeated_rows(spark):
+    long = "word " * 200_000
+    rows = [(1, long, "s"), (2, long.strip() + " ", "s"), (2, long, "s"), (3, "b", "s"), (3, "b", "s"), (3, "c", "s")]
+    got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 3, 1, True), (3, 3, 2, False), (3, 3, 2, True)]
+    assert sorted((r.doc_id, len(r.text)) for r in exact_dedup.keep_first_copies(docs(spark, rows)).collect()) == [(1, 1_000_000), (3, 1), (3, 1)]
+
+
 def test_mixing(spark):
     rows = sample(n=200)
     got = mixing.mix_copies(docs(spark, rows)).collect()
