@@ -212,6 +212,51 @@ def test_cell_links_are_exact(monkeypatch):
                 assert find(x["node"]) == find(y["node"])
 
 
+def test_orders_differ_beyond_ties():
+    """Tokens of different counts stand in different order; those that no other set has come first in every one."""
+    r = np.random.default_rng(3)
+    tokens = np.sort(r.integers(1, 2**63, 400).astype(np.uint64))
+    counts = np.concatenate([np.ones(50), r.integers(2, 100, 350)]).astype(np.uint16)
+    orders = [jaccard_join.in_order(tokens, counts, k) for k in range(jaccard_join.ORDERS)]
+    for o in orders:
+        assert sorted(o) == list(range(400)) and (counts[o[:50]] == 1).all()
+        bands = [jaccard_join.bands(counts, k)[o] for k, x in enumerate(orders) if x is o]
+        assert (np.diff(bands[0].astype(int)) >= 0).all()
+    for a in range(len(orders)):
+        for b in range(a):
+            first = lambda o: set(o[50:150].tolist())
+            assert first(orders[a]) != first(orders[b]) and counts[orders[a][50:150]].tolist() != counts[orders[b][50:150]].tolist()
+
+
+def test_cell_pairs_are_those_of_all_orders(spark):
+    """A pair of cells is a candidate only if it shares a prefix token under every order."""
+    nodes = spark.createDataFrame([(bytearray([k]), k, bytearray([k])) for k in range(4)], "node binary, cell long, label binary")
+    groups = lambda rows: spark.createDataFrame([(t, bytearray([n])) for t, n in rows], "token long, node binary")
+    one = jaccard_join._cell_pairs(groups([(1, 0), (1, 1), (1, 2), (2, 3)]), nodes)
+    two = jaccard_join._cell_pairs(groups([(7, 0), (7, 1), (8, 2), (8, 3)]), nodes)
+    assert sorted(map(tuple, one.collect())) == [(0, 1), (0, 2), (1, 2)] and sorted(map(tuple, one.intersect(two).collect())) == [(0, 1)]
+
+
+def test_routes_cost_no_more_than_keys():
+    """A million parts, and no more routes than keys."""
+    from tidelake.llm.blocks import routed
+
+    r = np.random.default_rng(1)
+    keys = np.unique(r.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    lead = np.uint64(64 - 20)
+    routes = routed(keys, lead)
+    assert len(routes) <= len(keys) and routes[0][1] == 0 and routes[-1][2] == len(keys)
+    assert all(b == c for (_, _, b), (_, c, _) in zip(routes, routes[1:]))
+    assert all((keys[a:b] >> lead == p).all() for p, a, b in routes) and len({p for p, _, _ in routes}) == len(routes)
+    assert routed(keys[:0], lead) == []
+
+
+def test_components_of_a_hot_node(spark):
+    links = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(5)]
+    got = {x.node: x.label for x in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 for i in range(6)}
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]

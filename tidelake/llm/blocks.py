@@ -39,14 +39,25 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_file(uri: str, name: str, parts: Iterator[bytes]) -> None:
-    """Writes a file under a name of its own, then moves it: attempts of the same task don't meet."""
+    """Writes a file under a name of its own, then moves it: attempts of the same task don't meet.
+
+    All attempts write the same bytes, so where another's file stands already it stays: not every store lets a move replace one.
+    """
     store, path = open_store(uri)
     store.create_dir(path, recursive=True)
-    own = f"{path}/.{name}-{uuid.uuid4().hex}"
+    own, there = f"{path}/.{name}-{uuid.uuid4().hex}", lambda: store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound
     with store.open_output_stream(own, compression=None) as out:
         for x in parts:
             out.write(x)
-    store.move(own, f"{path}/{name}")
+    if there():
+        store.delete_file(own)
+        return
+    try:
+        store.move(own, f"{path}/{name}")
+    except OSError:
+        if not there():
+            raise
+        store.delete_file(own)
 
 
 def _is_plain_scan(df: DataFrame) -> bool:
@@ -140,6 +151,13 @@ def distinct(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.
     return k[first], None if more is None else m[first], np.diff(first, append=len(k)), place
 
 
+def routed(keys: np.ndarray, lead: np.uint64) -> list[tuple[int, int, int]]:
+    """part, begin, end of the parts that sorted keys go to.  Parts without keys cost nothing, however many there are."""
+    part = keys >> lead
+    begins = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(part) else np.zeros(0, np.int64)
+    return list(zip(part[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(part)], strict=True)) if len(part) else []
+
+
 _REQUEST = "part int, block long, keys binary, more binary, counts binary"
 
 
@@ -157,8 +175,7 @@ def ask(blocks: DataFrame, keys_of: Callable[[Block], tuple[np.ndarray, np.ndarr
             keys, more = keys_of(block)
             keys, more, counts, _ = distinct(keys >> drop, more)
             counts = np.minimum(counts, 65535).astype(np.uint16)
-            cuts = np.searchsorted(keys >> lead, np.arange(parts + 1, dtype=np.uint64))
-            rows = [(p, block.number, _pack(keys[a:b]), b"" if more is None else more[a:b].tobytes(), zlib.compress(counts[a:b].tobytes(), 1)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            rows = [(p, block.number, _pack(keys[a:b]), b"" if more is None else more[a:b].tobytes(), zlib.compress(counts[a:b].tobytes(), 1)) for p, a, b in routed(keys, lead)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "more", "counts"])
 

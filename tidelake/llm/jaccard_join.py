@@ -3,9 +3,11 @@
 A document is the set of its distinct word shingles; two link when 100 |A and B| >= ``percent`` |A or B|.
 If they do, then under *any* order of all shingles their prefixes share a shingle,
 where a set of n has a prefix of n - ceil(n * percent / 100) + 1.  So candidates have to share a
-prefix shingle under each of several orders; the filters are intersected before sets are
-compared.  All orders begin with rare shingles (by count over the corpus) and
-differ in how they break ties.
+prefix shingle under each of several orders; the filters are intersected, for cells of documents first and
+for each pair then, before sets are
+compared.  All orders begin with rare shingles.  The first goes by their count over the corpus;
+the others by bands of one and of three doublings of it, and by independent hashes within a band, so each has
+prefixes of its own.
 
 1. The corpus is asked how many documents hold each shingle (blocks.ask()).  Shingles of one
    document can't be shared, so a document with too few others has no partner and
@@ -15,13 +17,15 @@ differ in how they break ties.
    of its groups (stars); links give components.  Most of a group of near copies falls
    together here, by as many comparisons as it has members.
 4. Groups that still hold several components are settled exactly: classes lie in
-   cells of bounded size, and pairs of cells that meet in a group and don't lie in one and the same component
+   cells of bounded size.  Candidates are pairs of cells that meet in a group of the first order, and
+   in one of the second, and of the third, and don't lie in one and the same component; they
    are compared whole, under the filters.  Pairs of cells, not of documents, are made; a
    cell pair returns a spanning set of its links.
 5. Components of all links; every document gets its smallest identifier.
 
-Any two classes whose sets link share a group, so they are in one component after step 3, or
-meet in step 4.  No partner is capped.
+Any two classes whose sets link share a group of each order, so they are in one component after step 3, or
+meet in step 4.  No partner is capped.  Shingles are 64-bit hashes of five 64-bit hashes of words, and a class is
+a 128-bit hash of its shingles: sets are compared by these, not by the words themselves.
 
 Defined cases: a document with fewer words than a shingle has its whole sequence as the one
 shingle; without words, or null, it has none and is alone.  Rows with equal
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.blocks import Block, WordHashes, answer, as_blocks, ask, mixed, parts_for, read_blocks, total_bytes
-from tidelake.llm.common import batches_of, stage
+from tidelake.llm.common import batches_of, drop_staged, stage
 from tidelake.llm.components import components
 
 ORDERS, CELL = 3, 200
@@ -64,9 +68,17 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def bands(counts: np.ndarray, order: int) -> np.ndarray:
+    """What an order goes by first: counts, or which band of one (order 1) or three doublings (order 2) they are in.  Tokens that no other set has are a band of their own, the lowest."""
+    if order == 0:
+        return counts
+    doublings = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+    return np.where(counts > 1, 1 + doublings // (1, 3)[order - 1], 0)
+
+
 def in_order(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     """Places of tokens under one of the global orders."""
-    return np.lexsort((mixed(tokens ^ _SALTS[order]) if order else tokens, counts))
+    return np.lexsort((mixed(tokens ^ _SALTS[order]) if order else tokens, bands(counts, order)))
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int, order: int) -> np.ndarray:
@@ -123,25 +135,29 @@ def _opened(n: int, shared: int, tokens: bytes, counts: bytes) -> dict:
     return {"n": n, "shared": shared, "tokens": np.frombuffer(tokens, np.uint64), "counts": np.frombuffer(counts, np.uint16)}
 
 
-def _postings(classes: DataFrame, percent: int) -> DataFrame:
-    """token, node: the first order's prefixes."""
+def _postings(classes: DataFrame, percent: int, order: int) -> DataFrame:
+    """token, node: an order's prefixes."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, nodes = [], []
             for r in batch.to_pylist():
-                p = prefix(np.frombuffer(r["tokens"], np.uint64), None, r["n"], percent, 0)
+                p = prefix(np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["counts"], np.uint16), r["n"], percent, order)
                 tokens.append(p)
                 nodes += [r["node"]] * len(p)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(nodes, pa.binary())], names=["token", "node"])
 
-    return classes.select("node", "n", "tokens").mapInArrow(post, "token long, node binary")
+    return classes.select("node", "n", "tokens", "counts").mapInArrow(post, "token long, node binary")
 
 
 def _stars(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links of classes with the smallest class of some of their groups."""
     picks = [F.max_by("first", F.struct("size", F.xxhash64("token", F.lit(k)))).alias(f"to{k}") for k in range(ORDERS)]
     pairs = groups.groupBy("node").agg(*picks).select(F.col("node").alias("a"), F.explode(F.array(*[f"to{k}" for k in range(ORDERS)])).alias("b")).filter("a != b").distinct()
+    # Sets go to pairs only where their sizes let them link.
+    size = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("shared").alias(f"{s}_shared"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b")
+    pairs = stage(sized.filter(F.least("a_shared", "b_shared") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b"), "pairs")
     of = lambda s: classes.select(F.col("node").alias(f"{s}_node"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "shared", "tokens", "counts")])
     x, y = of("x"), of("y")
     both = pairs.join(x, pairs["a"] == x["x_node"]).join(y, pairs["b"] == y["y_node"]).select("a", "b", *[f"{s}_{c}" for s in "xy" for c in ("n", "shared", "tokens", "counts")])
@@ -215,7 +231,10 @@ def _cell_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     left = stage(by_cell.join(mixed_groups, "token", "left_semi"), "mixed")
     right = left.select("token", F.col("cell").alias("d"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     differ = (F.least("low", "low2") != F.greatest("high", "high2")) & (F.col("cell") <= F.col("d"))
-    return left.join(right, "token").filter(differ).select(F.col("cell").alias("c"), "d").distinct()
+    pairs = stage(left.join(right, "token").filter(differ).select(F.col("cell").alias("c"), "d").distinct(), "pairs")
+    drop_staged(by_cell)
+    drop_staged(left)
+    return pairs
 
 
 def _settled(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +245,14 @@ def _settled(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent:
     salt = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("members") / CELL)).cast("long"))
     cells = home.join(sizes, "home").select("node", F.xxhash64("home", salt).alias("cell"))
     nodes = stage(cells.join(labels, "node", "left").select("node", "cell", F.coalesce("label", "node").alias("label")), "cells")
-    pairs = stage(_cell_pairs(groups, nodes), "pairs")
+    pairs = _cell_pairs(groups, nodes)
+    for order in range(1, ORDERS):  # only cells that are candidates so far are asked again
+        held = nodes.join(pairs.select(F.explode(F.array("c", "d")).alias("cell")).distinct(), "cell", "left_semi")
+        again = _cell_pairs(_postings(classes.join(held, "node", "left_semi"), percent, order), held)
+        both = stage(pairs.join(again, ["c", "d"], "left_semi"), "pairs")
+        drop_staged(pairs)
+        drop_staged(again)
+        pairs = both
     full = stage(nodes.join(pairs.select(F.explode(F.array("c", "d")).alias("cell")).distinct(), "cell", "left_semi").join(classes, "node"), "members")
     sides = pairs.select("c", "d", F.explode(F.when(F.col("c") == F.col("d"), F.array("c")).otherwise(F.array("c", "d"))).alias("cell"))
     sent = sides.join(full, "cell").select("c", "d", "cell", "node", "label", "n", "shared", "tokens", "counts")
@@ -239,7 +265,10 @@ def _settled(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent:
         out = cell_links(sets[c], sets[d], percent) if sets[c] and sets[d] else []
         return pa.table({"u": pa.array([p[0] for p in out], pa.binary()), "v": pa.array([p[1] for p in out], pa.binary())})
 
-    return stage(sent.groupBy("c", "d").applyInArrow(settle, "u binary, v binary"), "links")
+    links = stage(sent.groupBy("c", "d").applyInArrow(settle, "u binary, v binary"), "links")
+    for done in (nodes, pairs, full):
+        drop_staged(done)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -248,13 +277,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = sets.filter("digest is not null")
     classes = some.groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("low_id"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
     classes = stage(classes, "classes")
-    postings = stage(_postings(classes, percent), "postings")
+    postings = stage(_postings(classes, percent, 0), "postings")
     firsts = stage(postings.groupBy("token").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "firsts")
     groups = stage(postings.join(firsts, "token"), "groups")
     stars = _stars(groups, classes, percent)
     links = stars.unionAll(_settled(groups, classes, components(stars), percent))
     # Both sides of the join over labels are staged: a label that most classes have can then be split.
     named = stage(classes.select("node", "low_id").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    for done in (postings, firsts, groups):
+        drop_staged(done)
     lowest = stage(named.groupBy("label").agg(F.min("low_id").alias("component_id")), "lowest")
     by_class = stage(named.select("node", "label").join(lowest, "label").select(F.col("node").alias("digest"), "component_id"), "classes")
     alone, joined = sets.filter("digest is null"), sets.filter("digest is not null").select("id", "n", "digest").join(by_class, "digest")
