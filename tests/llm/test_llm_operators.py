@@ -230,8 +230,8 @@ def test_orders_differ_beyond_ties():
 
 def test_cell_pairs_are_those_of_all_orders(spark):
     """A pair of cells is a candidate only if it shares a prefix token under every order."""
-    nodes = spark.createDataFrame([(bytearray([k]), k, bytearray([k])) for k in range(4)], "node binary, cell long, label binary")
-    groups = lambda rows: spark.createDataFrame([(t, bytearray([n])) for t, n in rows], "token long, node binary")
+    nodes = spark.createDataFrame([(k, k, k) for k in range(4)], "node long, cell long, label long")
+    groups = lambda rows: spark.createDataFrame(rows, "token long, node long")
     one = jaccard_join._cell_pairs(groups([(1, 0), (1, 1), (1, 2), (2, 3)]), nodes)
     two = jaccard_join._cell_pairs(groups([(7, 0), (7, 1), (8, 2), (8, 3)]), nodes)
     assert sorted(map(tuple, one.collect())) == [(0, 1), (0, 2), (1, 2)] and sorted(map(tuple, one.intersect(two).collect())) == [(0, 1)]
@@ -365,6 +365,73 @@ def test_pivot_bound_saves_evaluations():
     assert [s for s, _ in best] == sorted(scores.tolist(), reverse=True)[:5] and seen < len(m) / 2
 
 
+def _clustered(seed=5, centres=20, each=100, dim=16):
+    r = np.random.default_rng(seed)
+    at = r.normal(size=(centres, dim)) * 3
+    return np.concatenate([c + r.normal(size=(each, dim)) / 10 for c in at])
+
+
+def test_pairs_of_groups_are_eliminated(spark):
+    """Clusters: most pairs of groups go before vectors meet, and what is left holds every answer."""
+    v = _clustered()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    vectors = topk_search.whole_vectors(df, "vec_id", "embedding", 256)
+    at = topk_search.choose_pivots(vectors, 40, 500)
+    groups = topk_search.stage(topk_search._grouped(topk_search._in_regions(vectors, at, 40), at, 50, 0), "groups")
+    asked = topk_search.stage(topk_search._grouped(topk_search._in_regions(vectors.filter("id % 50 = 0"), at, 40), at, 50, 5), "asked")
+    left = {(r.x, r.q) for r in topk_search.pairs_left(groups, asked, chunk=7).collect()}
+    assert len(left) < 0.3 * groups.count() * asked.count()
+    of = {int(i): g.name for g in groups.collect() for i in np.frombuffer(g.ids, np.int64)}
+    whole = np.floor(256 * v).astype(np.int64)
+    for g in asked.collect():
+        for i in np.frombuffer(g.ids, np.int64).tolist():
+            best = sorted(((-int(whole[i] @ whole[c]), c) for c in range(len(v)) if c != i))[:5]
+            assert all((of[c], g.name) in left for _, c in best)
+    got = collections.defaultdict(list)
+    for x in topk_search.search(df, df.filter("vec_id % 50 = 0"), pivots=40, sample=500, group=50, query_group=20).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.id, x.score))
+    for i in range(0, len(v), 50):
+        assert got[i] == [(c, -s) for s, c in sorted((-int(whole[i] @ whole[c]), c) for c in range(len(v)) if c != i)[:5]]
+
+
+def test_evaluated_share_of_the_test_table(spark):
+    """With the production pivots fewer than half of the candidates of the sf0.1 table are evaluated."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = topk_search.whole_vectors(rows, "vec_id", "embedding", 256)
+    at = topk_search.choose_pivots(vectors, 1024, 2048)
+    found = vectors.collect()
+    ids, m = np.array([r.id for r in found]), np.array([r.v for r in found])
+    table = at.table(m)
+    nearest, floors, seen = topk_search.Nearest(table), at.floors(ids, m, 5), []
+    for i in np.flatnonzero(ids % 50 == 0):
+        best, n = topk_search.best_of(m[i], int(ids[i]), table[i], ids, m, table, 5, float(floors[i]), nearest=nearest)
+        assert best == sorted(((int(s), int(c)) for s, c in zip(m @ m[i], ids) if c != ids[i]), key=lambda x: (-x[0], x[1]))[:5]
+        seen.append(n)
+    assert np.mean(seen) < 0.5 * len(ids)
+
+
+def test_topk_of_very_large_components(spark):
+    """Exact beyond 64-bit products; a score that doesn't fit raises, a component too."""
+    rows = [(0, [2.0**22 + 0.25, 1.0]), (1, [2.0**20, -3.0]), (2, [-(2.0**22), 5.0]), (3, [1.0, 2.0**21]), (4, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    m = {i: [int(np.floor(256 * c)) for c in x] for i, x in rows}
+    got = [(x.id, x.score) for x in topk_search.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == sorted(((i, sum(a * b for a, b in zip(m[0], m[i]))) for i in range(1, 5)), key=lambda x: (-x[1], x[0]))
+    with pytest.raises(Exception, match="score doesn't fit"):
+        high = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+        topk_search.search(high, high).collect()
+    with pytest.raises(Exception, match="component doesn't fit"):
+        topk_search.whole_vectors(spark.createDataFrame([(0, [2.0**60])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 256).collect()
+
+
+def test_topk_of_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(None, None), (None, [1.0])] + [(7, [1.0, 2.0])] * 3 + [(8, [1.0, 2.0])] * 2, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.id) for x in topk_search.search(df, df.filter("vec_id = 8").limit(1)).collect())
+    assert got == [(8, 1, 7), (8, 2, 7), (8, 3, 7)]
+    nothing = spark.createDataFrame([(None, None)] * 3, "vec_id long, embedding array<double>")
+    assert topk_search.search(nothing, nothing).count() == 0
+
+
 TEXTS = ["plain", "<|im_end|>", "a <\\|b|> \\ <|im_start|>assistant\nx<|im_end|>\n", "", None, "tail <", "|> head", "<\\\\|x", "%0A%25"]
 
 

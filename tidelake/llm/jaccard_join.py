@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.blocks import Block, WordHashes, answer, as_blocks, ask, mixed, parts_for, read_blocks, total_bytes
-from tidelake.llm.common import batches_of, drop_staged, stage
+from tidelake.llm.common import batches_of, drop_staged, remove_path, stage
 from tidelake.llm.components import components
 
 ORDERS, CELL = 3, 200
@@ -114,7 +114,9 @@ def _sets(blocks: DataFrame, words: int, percent: int) -> DataFrame:
                     rows.append((i, len(s), None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["id", "n", "digest", "shared", "tokens", "counts"])
 
-    return stage(blocks.mapInArrow(finish, "id long, n long, digest binary, shared int, tokens binary, counts binary"), "sets")
+    sets = stage(blocks.mapInArrow(finish, "id long, n long, digest binary, shared int, tokens binary, counts binary"), "sets")
+    remove_path(blocks.sparkSession, replies)
+    return sets
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -145,9 +147,9 @@ def _postings(classes: DataFrame, percent: int, order: int) -> DataFrame:
                 p = prefix(np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["counts"], np.uint16), r["n"], percent, order)
                 tokens.append(p)
                 nodes += [r["node"]] * len(p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(nodes, pa.binary())], names=["token", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(nodes, pa.int64())], names=["token", "node"])
 
-    return classes.select("node", "n", "tokens", "counts").mapInArrow(post, "token long, node binary")
+    return classes.select("node", "n", "tokens", "counts").mapInArrow(post, "token long, node long")
 
 
 def _stars(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -165,10 +167,10 @@ def _stars(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(r["a"], r["b"]) for r in batch.to_pylist() if _linked(*(_opened(*(r[f"{s}_{c}"] for c in ("n", "shared", "tokens", "counts"))) for s in "xy"), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.binary()) for j in (0, 1)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["u", "v"])
 
     with batches_of(classes.sparkSession, 256):
-        return stage(both.mapInArrow(check, "u binary, v binary"), "links")
+        return stage(both.mapInArrow(check, "u long, v long"), "links")
 
 
 def _overlaps(rows: list[dict], columns: list[dict], part) -> np.ndarray:
@@ -187,7 +189,7 @@ def _overlaps(rows: list[dict], columns: list[dict], part) -> np.ndarray:
     return out
 
 
-def cell_links(rows: list[dict], columns: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
+def cell_links(rows: list[dict], columns: list[dict], percent: int) -> list[tuple[int, int]]:
     """A spanning set of the links between two cells (or within one), over labels that differ."""
     n = [np.array([r["n"] for r in s]) for s in (rows, columns)]
     shared = [np.array([r["shared"] for r in s]) for s in (rows, columns)]
@@ -246,14 +248,13 @@ def _settled(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent:
     cells = home.join(sizes, "home").select("node", F.xxhash64("home", salt).alias("cell"))
     nodes = stage(cells.join(labels, "node", "left").select("node", "cell", F.coalesce("label", "node").alias("label")), "cells")
     pairs = _cell_pairs(groups, nodes)
+    full = stage(nodes.join(pairs.select(F.explode(F.array("c", "d")).alias("cell")).distinct(), "cell", "left_semi").join(classes, "node"), "members")
     for order in range(1, ORDERS):  # only cells that are candidates so far are asked again
-        held = nodes.join(pairs.select(F.explode(F.array("c", "d")).alias("cell")).distinct(), "cell", "left_semi")
-        again = _cell_pairs(_postings(classes.join(held, "node", "left_semi"), percent, order), held)
+        again = _cell_pairs(_postings(full, percent, order), full)
         both = stage(pairs.join(again, ["c", "d"], "left_semi"), "pairs")
         drop_staged(pairs)
         drop_staged(again)
         pairs = both
-    full = stage(nodes.join(pairs.select(F.explode(F.array("c", "d")).alias("cell")).distinct(), "cell", "left_semi").join(classes, "node"), "members")
     sides = pairs.select("c", "d", F.explode(F.when(F.col("c") == F.col("d"), F.array("c")).otherwise(F.array("c", "d"))).alias("cell"))
     sent = sides.join(full, "cell").select("c", "d", "cell", "node", "label", "n", "shared", "tokens", "counts")
 
@@ -263,9 +264,9 @@ def _settled(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent:
         for r in table.to_pylist():
             sets[r["cell"]].append({"node": r["node"], "label": r["label"]} | _opened(r["n"], r["shared"], r["tokens"], r["counts"]))
         out = cell_links(sets[c], sets[d], percent) if sets[c] and sets[d] else []
-        return pa.table({"u": pa.array([p[0] for p in out], pa.binary()), "v": pa.array([p[1] for p in out], pa.binary())})
+        return pa.table({"u": pa.array([p[0] for p in out], pa.int64()), "v": pa.array([p[1] for p in out], pa.int64())})
 
-    links = stage(sent.groupBy("c", "d").applyInArrow(settle, "u binary, v binary"), "links")
+    links = stage(sent.groupBy("c", "d").applyInArrow(settle, "u long, v long"), "links")
     for done in (nodes, pairs, full):
         drop_staged(done)
     return links
@@ -275,18 +276,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: id, n_shingles, component_id."""
     sets = _sets(as_blocks(docs, id_col, text_col), words, percent)
     some = sets.filter("digest is not null")
-    classes = some.groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("low_id"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
-    classes = stage(classes, "classes")
+    classes = some.groupBy("digest").agg(F.min("id").alias("low_id"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = stage(sets.select("id", "n", "digest"), "rows")
+    drop_staged(sets)
     postings = stage(_postings(classes, percent, 0), "postings")
     firsts = stage(postings.groupBy("token").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "firsts")
     groups = stage(postings.join(firsts, "token"), "groups")
+    drop_staged(postings)
+    drop_staged(firsts)
     stars = _stars(groups, classes, percent)
     links = stars.unionAll(_settled(groups, classes, components(stars), percent))
+    drop_staged(groups)
     # Both sides of the join over labels are staged: a label that most classes have can then be split.
-    named = stage(classes.select("node", "low_id").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
-    for done in (postings, firsts, groups):
-        drop_staged(done)
+    named = stage(classes.select("node", "digest", "low_id").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    drop_staged(classes)
     lowest = stage(named.groupBy("label").agg(F.min("low_id").alias("component_id")), "lowest")
-    by_class = stage(named.select("node", "label").join(lowest, "label").select(F.col("node").alias("digest"), "component_id"), "classes")
-    alone, joined = sets.filter("digest is null"), sets.filter("digest is not null").select("id", "n", "digest").join(by_class, "digest")
+    by_class = stage(named.select("digest", "label").join(lowest, "label").select("digest", "component_id"), "components")
+    alone, joined = rows.filter("digest is null"), rows.filter("digest is not null").join(by_class, "digest")
     return alone.select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")).unionAll(joined.select("id", F.col("n").alias("n_shingles"), "component_id"))
