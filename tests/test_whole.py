@@ -1,4 +1,4 @@
-"""Queries that take whole tables, where the first registered ones take a slice."""
+"""Queries take whole tables, and fits all their rounds."""
 
 import inspect
 import itertools
@@ -20,7 +20,7 @@ QUERIES = catalog.queries()
 
 
 def test_c12_every_part_is_query_and_candidate(spark):
-    got, parts = QUERIES["c12_theta_tokens_whole"](spark, SF), table(spark, SF, "part")
+    got, parts = QUERIES["c12_theta_tokens"](spark, SF), table(spark, SF, "part")
     assert got.select("q").distinct().count() == got.select("c").distinct().count() == parts.count()
     # One name held by many rows: tried once, returned for every pair.
     names = {i: ["red", "bolt"] for i in range(120)} | {120: ["re", "x"], 121: ["bolted", "reddish"], 122: ["y"], 123: []}
@@ -36,12 +36,12 @@ def test_h5_folds_whole_texts(spark):
     """Marks by their Unicode decomposition; other characters stay."""
     plain = lambda t: "".join(unicodedata.normalize("NFD", c)[0] if c in H._FOLD_FROM else c for c in t)
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
-    got = {r.doc_id: r.folded for r in QUERIES["h5_fold_marks_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.folded for r in QUERIES["h5_fold_marks"](spark, SF).collect()}
     assert got == {i: plain(t) for i, t in texts.items()} and max(map(len, got.values())) > 80
 
 
 def test_g34_counts_every_event_and_pools_cells_of_one_row(spark):
-    assert QUERIES["g34_cell_noise_whole"](spark, SF).agg(F.sum("n")).first()[0] == table(spark, SF, "events").count()
+    assert QUERIES["g34_cell_noise"](spark, SF).agg(F.sum("n")).first()[0] == table(spark, SF, "events").count()
     # Two cells of a band with 2 and 3 rows, and one of a single row.
     rows = [(4, "a", 1.0), (4, "a", 3.0), (8, "a", 0.0), (8, "a", 4.0), (8, "a", 5.0), (12, "a", 7.0)]
     got = {r.user_id: (r.n, r.noise) for r in E._cell_noise(spark.createDataFrame(rows, "user_id long, event_type string, value double")).collect()}
@@ -52,8 +52,8 @@ def test_g34_counts_every_event_and_pools_cells_of_one_row(spark):
 def test_rowwise_queries_take_every_line(spark):
     lines = table(spark, SF, "lineitem")
     for name in ("c20_chained_assembly", "g4_projection", "f15_conditional_assignment", "h17_h18_results"):
-        assert QUERIES[f"{name}_whole"](spark, SF).count() == lines.count(), name
-    assert QUERIES["f7_column_inequality_whole"](spark, SF).count() == lines.filter("l_partkey % 10 <> l_suppkey % 10").count()
+        assert QUERIES[f"{name}"](spark, SF).count() == lines.count(), name
+    assert QUERIES["f7_column_inequality"](spark, SF).count() == lines.filter("l_partkey % 10 <> l_suppkey % 10").count()
 
 
 def test_fits_are_registered_with_their_operators_rounds(spark, monkeypatch):

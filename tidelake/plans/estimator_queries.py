@@ -33,13 +33,8 @@ def g3(spark, sf):
     return full.join(F.broadcast(part)).select(F.round(G.congruence(F.col("a"), F.col("b")), 4).alias("congruence"))  # one row each
 
 
-@query("g4_projection", "SELECT l_orderkey, l_linenumber, l_suppkey, round(0.5 * l_quantity - 2 * l_discount, 6) AS score FROM lineitem WHERE l_quantity > 45")
+@query("g4_projection", "SELECT l_orderkey, l_linenumber, l_suppkey, round(0.5 * l_quantity - 2 * l_discount, 6) AS score FROM lineitem")
 def g4(spark, sf):
-    return _projected(table(spark, sf, "lineitem").filter("l_quantity > 45"))
-
-
-@query("g4_projection_whole", "SELECT l_orderkey, l_linenumber, l_suppkey, round(0.5 * l_quantity - 2 * l_discount, 6) AS score FROM lineitem")
-def g4_whole(spark, sf):
     return _projected(table(spark, sf, "lineitem"))
 
 
@@ -153,15 +148,9 @@ def d35(spark, sf):
     return out.select("l_returnflag", "n", *[r6(F.col(c)).alias(c) for c in ("weight", "slope", "mixture")])
 
 
-@query("g34_cell_noise", """WITH c AS (SELECT user_id, event_type, user_id % 4 AS band, count(value) AS n, avg(value) AS mean, var_samp(value) AS s2 FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2, 3), p AS (SELECT band, sum((n - 1) * s2) / sum(n - 1) AS pooled FROM c WHERE n >= 2 GROUP BY 1)
+@query("g34_cell_noise", """WITH c AS (SELECT user_id, event_type, user_id % 4 AS band, count(value) AS n, avg(value) AS mean, var_samp(value) AS s2 FROM events GROUP BY 1, 2, 3), p AS (SELECT band, sum((n - 1) * s2) / sum(n - 1) AS pooled FROM c WHERE n >= 2 GROUP BY 1)
 SELECT user_id, event_type, c.band, n, round(mean, 6) AS mean, round(CASE WHEN n >= 2 THEN s2 ELSE pooled END / n, 6) AS noise FROM c LEFT JOIN p ON c.band = p.band""")
 def g34(spark, sf):
-    return _cell_noise(table(spark, sf, "events").filter("event_id % 3 = 0"))
-
-
-@query("g34_cell_noise_whole", """WITH c AS (SELECT user_id, event_type, user_id % 4 AS band, count(value) AS n, avg(value) AS mean, var_samp(value) AS s2 FROM events GROUP BY 1, 2, 3), p AS (SELECT band, sum((n - 1) * s2) / sum(n - 1) AS pooled FROM c WHERE n >= 2 GROUP BY 1)
-SELECT user_id, event_type, c.band, n, round(mean, 6) AS mean, round(CASE WHEN n >= 2 THEN s2 ELSE pooled END / n, 6) AS noise FROM c LEFT JOIN p ON c.band = p.band""")
-def g34_whole(spark, sf):
     return _cell_noise(table(spark, sf, "events"))
 
 
