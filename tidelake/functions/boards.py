@@ -69,6 +69,12 @@ def pieces(board: Column) -> Column:
     return 64 - (F.length(board) - F.length(F.replace(board, F.lit("."), F.lit(""))))
 
 
+def fen_features(fen: Column) -> list[Column]:
+    """mat (material, from the side to move), n_pieces, in_check (of the side to move)."""
+    board = cells(fen)
+    return [F.when(white_to_move(fen), material(board)).otherwise(-material(board)).alias("mat"), pieces(board).alias("n_pieces"), position_facts(fen)["in_check"].cast("int").alias("in_check")]
+
+
 def white_to_move(fen: Column) -> Column:
     return F.split_part(fen, F.lit(" "), F.lit(2)) == "w"
 

@@ -108,16 +108,62 @@ def stars(p: Column) -> Column:
 
 
 def signed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%+.{digits}f", x)
+    """With its sign; the minus is U+2212."""
+    return F.replace(F.format_string(f"%+.{digits}f", x), F.lit("-"), F.lit("\u2212"))
 
 
 def interval_text(lo: Column, hi: Column, digits: int) -> Column:
-    return F.format_string(f"[%.{digits}f, %.{digits}f]", lo, hi)
+    """Both bounds with their signs."""
+    return F.concat(F.lit("["), signed(lo, digits), F.lit(", "), signed(hi, digits), F.lit("]"))
 
 
-def p_text(p: Column) -> Column:
-    """Three digits without the leading 0; below one thousandth ``<.001``."""
-    return F.when(p < 0.001, "<.001").otherwise(F.substring(F.format_string("%.3f", p), 2, 4))
+def scientific(x: Column, digits: int) -> Column:
+    """Significant digits and a power of ten in superscript."""
+    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    return F.concat(parts[0], F.lit(" \u00d7 10"), F.translate(parts[1].cast("int").cast("string"), "0123456789-", "\u2070\u00b9\u00b2\u00b3\u2074\u2075\u2076\u2077\u2078\u2079\u207b"))
+
+
+def percent(x: Column, digits: int) -> Column:
+    return F.concat(F.format_string(f"%.{digits}f", 100 * x), F.lit("%"))
+
+
+def p_text(p: Column, digits: int = 2) -> Column:
+    """Significant digits, without trailing zeros and without the leading 0; below one in ten thousand with an exponent."""
+    mantissa = F.split(F.format_string(f"%.{digits - 1}e", p), "e")
+    places = F.greatest(F.lit(0), digits - 1 - mantissa[1].cast("int"))
+    plain = F.regexp_replace(F.call_function("format_number", p, places), r"(\.\d*?)0+$", "$1")
+    small = F.concat(F.regexp_replace(mantissa[0], r"\.?0+$", ""), F.lit("e"), mantissa[1])
+    text = F.when((p != 0) & (mantissa[1].cast("int") < -4), small).otherwise(F.regexp_replace(plain, r"\.$", ""))
+    return F.regexp_replace(text, "^0+", "")
+
+
+def run_tag(at: Column) -> Column:
+    """A run's name from its time: UTC, by the second, in ISO 8601."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+#: The fields of a game, its tags and what stands for a tag that isn't there.
+GAME_FIELDS = {
+    "white_player": ("White", ""), "black_player": ("Black", ""), "white_title": ("WhiteTitle", ""), "black_title": ("BlackTitle", ""), "time_control": ("TimeControl", ""),
+    "result": ("Result", ""), "eco": ("ECO", ""), "opening": ("Opening", ""), "variant": ("Variant", "Standard"),
+}
+
+
+def game_fields(tags: Column) -> list[Column]:
+    """A game's fields from the map of its tags; ratings are null unless they are digits (0 if the tag is absent)."""
+    tag = lambda name, default: F.coalesce(tags[name], F.lit(default))
+    out = [tag(t, d).alias(n) for n, (t, d) in GAME_FIELDS.items()]
+    rating = lambda t: F.when(F.rlike(tag(t, "0"), F.lit(r"^[0-9]+\z")), tag(t, "0").try_cast("int"))
+    return [*out, rating("WhiteElo").alias("white_elo"), rating("BlackElo").alias("black_elo"), time_class(tag("TimeControl", "")).alias("time_category")]
+
+
+def too_strong(rating: Column, ceilings: dict[str, int], open_bands: list[str], margin: int = 400, top: str = "2500+") -> Column:
+    """Whether a player can be passed over: the rating, less a margin, is at or above the ceiling of every band that is open. Never while the top band is open."""
+    limits = [ceilings[b] for b in open_bands if b in ceilings]
+    if top in open_bands or not limits:
+        return F.lit(False)
+    r = rating.try_cast("double")
+    return F.coalesce((r > 0) & (r - margin >= max(limits)), F.lit(False))
 
 
 def verdict(lo: Column, hi: Column) -> Column:

@@ -82,7 +82,12 @@ def all_tokens_index(docs: DataFrame, doc_id: str, tokens: Column, queries: Data
     """Documents that hold every token of a query: an inverted index, joined token by token, counted."""
     index = docs.select(F.col(doc_id), F.explode(F.array_distinct(tokens)).alias("token"))
     asked = queries.select(query_id, F.explode(F.array_distinct(query_tokens)).alias("asked"), F.size(F.array_distinct(query_tokens)).alias("wanted"))
-    match = index["token"] == asked["asked"] if not prefix else (F.substring(index["token"], 1, 1) == F.substring(asked["asked"], 1, 1)) & index["token"].startswith(asked["asked"])
+    if prefix:  # an equi-join on the asked length of the token: each length that is asked is one more key of a token
+        lengths = asked.select(F.length("asked").alias("__l")).distinct()
+        index = index.join(F.broadcast(lengths), F.length("token") >= F.col("__l")).withColumn("__k", F.left("token", F.col("__l")))
+        match = (index["__k"] == asked["asked"]) & (index["__l"] == F.length(asked["asked"]))
+    else:
+        match = index["token"] == asked["asked"]
     hits = index.join(asked, match).groupBy(query_id, doc_id, "wanted").agg(F.countDistinct("asked").alias("held"))
     return hits.filter("held = wanted").select(query_id, doc_id)
 
@@ -107,36 +112,40 @@ def blocked_token_join(queries: DataFrame, candidates: DataFrame, query: str, ca
 
 def best_match(scored: DataFrame, query: str, score: str, value: str, candidate: str, rating: str) -> DataFrame:
     """Keeps top-score candidates of a query; they have to agree on value; the representative has the highest rating."""
-    top = scored.withColumn("__r", F.rank().over(Window.partitionBy(query).orderBy(F.desc(score)))).filter("__r = 1")
+    best = scored.groupBy(F.col(query).alias("__q")).agg(F.max(score).alias("__best"))
+    top = scored.join(best, scored[query].eqNullSafe(F.col("__q")) & (F.col(score) == F.col("__best"))).drop("__q", "__best")
     agreed = top.groupBy(query).agg(F.collect_set(value).alias("__v"), F.count(F.lit(1)).alias("n"), F.max_by(candidate, F.struct(rating, candidate)).alias("representative"))
     status = F.when(F.size("__v") == 0, "unmatched").when(F.size("__v") > 1, "ambiguous").when(F.col("n") > 1, "matched_multi_same").otherwise("matched")
     return agreed.select(query, status.alias("status"), F.when(F.size("__v") == 1, F.element_at("__v", 1)).alias(value), "representative", "n")
 
 
 def interval_lookup(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, value: str, name: str, rows_a_bucket: int = 50_000) -> DataFrame:
-    """value of the range that holds the point; else linear between the nearest ranges below and above; else the edge's.
+    """value of the range that holds the point; else linear between the nearest ranges below and above, rounded to a whole number (half to even); else the edge's.
 
-    An as-of join both ways.  Ranges and points are dealt to buckets of equal width over the points' and
-    ranges' span; in a bucket two windows find the last range begun before a point and the first after it.
+    An as-of join both ways.  Ranges and points are dealt to buckets of equal width over the
+    ranges' span, as many as both tables' rows ask for; in a bucket two windows, one up and one down, carry the last range begun
+    before a point and the first after it.
     Where a bucket has none, the neighbours' come from a table with one row a bucket.  Ranges don't overlap.
     """
     span = ranges.agg(F.min(low), F.max(low), F.count(F.lit(1))).first()
     if not span[2]:
         return points.withColumn(name, F.lit(None).cast("double"))
-    width = max(1e-9, float(span[1] - span[0]) / max(1, -(-span[2] // rows_a_bucket)))
+    width = max(1e-9, float(span[1] - span[0]) / max(1, -(-(span[2] + points.count()) // rows_a_bucket)))
     bucket = lambda x: F.floor((x.cast("double") - float(span[0])) / width)
     kept = F.struct(F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi"), F.col(value).cast("double").alias("v"))
     marks = ranges.select(F.col(low).cast("double").alias("__at"), F.lit(0).alias("__kind"), bucket(F.col(low)).alias("__b"), kept.alias("__range"), *[F.lit(None).cast(t).alias(c) for c, t in points.dtypes])
     asked = points.select(F.col(at).cast("double").alias("__at"), F.lit(1).alias("__kind"), bucket(F.col(at)).alias("__b"), F.lit(None).cast(marks.schema["__range"].dataType).alias("__range"), *points.columns)
     both = marks.unionByName(asked)
     edges = both.groupBy("__b").agg(F.max_by("__range", F.when(F.col("__kind") == 0, F.col("__at"))).alias("__last"), F.min_by("__range", F.when(F.col("__kind") == 0, F.col("__at"))).alias("__first"))
-    over = Window.orderBy("__b")  # one row a bucket
-    carried = edges.select(F.col("__b"), F.last("__last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    order = Window.partitionBy("__b").orderBy("__at", "__kind")
-    both = both.withColumn("__below", F.last("__range", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__above", F.first("__range", True).over(order.rowsBetween(1, Window.unboundedFollowing))).filter("__kind = 1").join(carried, "__b", "left")
+    # A frame that ends before the row is carried along; one that begins after it would be computed anew for each row.
+    so_far = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    up, down = Window.orderBy("__b"), Window.orderBy(F.desc("__b"))  # one row a bucket
+    carried = edges.select(F.col("__b"), F.last("__last", True).over(so_far(up, -1)).alias("__before"), F.last("__first", True).over(so_far(down, -1)).alias("__after"))
+    up, down = Window.partitionBy("__b").orderBy("__at", "__kind"), Window.partitionBy("__b").orderBy(F.desc("__at"), F.desc("__kind"))
+    both = both.withColumn("__below", F.last("__range", True).over(so_far(up, 0)))
+    both = both.withColumn("__above", F.last("__range", True).over(so_far(down, -1))).filter("__kind = 1").join(carried, "__b", "left")
     b, a, x = F.coalesce("__below", "__before"), F.coalesce("__above", "__after"), F.col(at).cast("double")
-    between = b["v"] + (a["v"] - b["v"]) * (x - b["hi"]) / (a["lo"] - b["hi"])
+    between = F.bround(b["v"] + (a["v"] - b["v"]) * (x - b["hi"]) / (a["lo"] - b["hi"]))
     found = F.when(x <= b["hi"], b["v"]).when(b.isNull(), a["v"]).when(a.isNull(), b["v"]).otherwise(between)
     return both.select(*points.columns, found.alias(name))
 

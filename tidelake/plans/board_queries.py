@@ -84,3 +84,8 @@ def w2(spark, sf):
     games = spark.createDataFrame(list(enumerate(_GAMES)), "game int, sans string").select("game", F.split("sans", " ").alias("sans"), F.explode(F.array(F.lit(True), F.lit(False))).alias("white"))
     x = games.select("game", "white", C.indicators("sans", "white").alias("x")).select("game", "white", "x.*").filter("total_moves is not null")
     return x.select("game", "white", "position_type", "middlegame_moves_analyzed", "total_moves", *[r6(F.col(c)).alias(c) for c in C.INDICATORS])
+
+
+@query("i11_fen_features", f"WITH {_VALUES} SELECT id, (CASE WHEN split_part(fen, ' ', 2) = 'w' THEN 1 ELSE -1 END * ({_MATERIAL}))::INT AS mat, len(regexp_extract_all(b, '[A-Za-z]'))::INT AS n_pieces, (id = 5)::INT AS in_check FROM b")
+def i11(spark, sf):
+    return _positions(spark).select("id", *C.fen_features(F.col("fen")))

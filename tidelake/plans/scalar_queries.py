@@ -26,15 +26,8 @@ def h4(spark, sf):
     return p.select("p_partkey", H.normalise_name(F.concat("p_name", F.lit(",  X"))).alias("name"), F.size(H.token_set(F.concat_ws(" ", "p_name", "p_type"))).alias("tokens"))
 
 
-@query("h5_fold_marks", "SELECT doc_id, translate(left(text, 80), 'éèêçñäöüÉÈÊÇÑÄÖÜóíáúàùâîôû', 'eeecnaouEEECNAOUoiauauaiou') AS folded FROM documents WHERE regexp_matches(left(text, 80), '^[a-zA-Z .,éèêçñäöüÉÈÊÇÑÄÖÜóíáúàùâîôû]*$')")
+@query("h5_fold_marks", f"SELECT doc_id, translate(text, '{H._FOLD_FROM}', '{H._FOLD_TO}') AS folded FROM documents")
 def h5(spark, sf):
-    head = F.left(F.col("text"), F.lit(80))
-    plain = F.rlike(head, F.lit("^[a-zA-Z .,éèêçñäöüÉÈÊÇÑÄÖÜóíáúàùâîôû]*\\z"))
-    return table(spark, sf, "documents").filter(plain).select("doc_id", H.fold_marks(head).alias("folded"))
-
-
-@query("h5_fold_marks_whole", f"SELECT doc_id, translate(text, '{H._FOLD_FROM}', '{H._FOLD_TO}') AS folded FROM documents")
-def h5_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", H.fold_marks(F.col("text")).alias("folded"))
 
 
@@ -87,13 +80,8 @@ def h16(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", H.md5_bucket(F.col("c_name")).alias("bucket"), F.substring(F.md5("c_name"), 1, 16).alias("short"), F.sha2("c_name", 256).alias("sha"))
 
 
-@query("h17_h18_results", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 2 = 0 THEN CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END ELSE 1 - CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END END::DOUBLE AS result, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_quantity / l_discount, 4) END AS fraction FROM lineitem WHERE l_quantity > 47")
+@query("h17_h18_results", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 2 = 0 THEN CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END ELSE 1 - CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END END::DOUBLE AS result, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_quantity / l_discount, 4) END AS fraction FROM lineitem")
 def h17(spark, sf):
-    return _results(table(spark, sf, "lineitem").filter("l_quantity > 47"))
-
-
-@query("h17_h18_results_whole", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 2 = 0 THEN CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END ELSE 1 - CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END END::DOUBLE AS result, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_quantity / l_discount, 4) END AS fraction FROM lineitem")
-def h17_whole(spark, sf):
     return _results(table(spark, sf, "lineitem"))
 
 
@@ -114,10 +102,11 @@ def h22(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(-1)).alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
 
 
-@query("h23_h30_formats", "SELECT s_suppkey, printf('%+.2f', s_acctbal) AS signed, printf('[%.2f, %.2f]', s_acctbal - 10, s_acctbal + 10) AS ci, CASE WHEN s_suppkey / 2003.0 < 0.001 THEN '<.001' ELSE substr(printf('%.3f', s_suppkey / 2003.0::DOUBLE), 2, 4) END AS p, CASE WHEN s_suppkey / 2003.0 < 0.001 THEN '***' WHEN s_suppkey / 2003.0 < 0.01 THEN '**' WHEN s_suppkey / 2003.0 < 0.05 THEN '*' ELSE '' END AS stars FROM supplier")
+@query("h23_h30_formats", """SELECT s_suppkey, replace(printf('%+.2f', s_acctbal), '-', '−') AS signed, replace(printf('[%+.2f, %+.2f]', s_acctbal - 10, s_acctbal + 10), '-', '−') AS ci, regexp_replace(printf('%.2g', s_suppkey / 2003.0::DOUBLE), '^0+', '') AS p, regexp_replace(printf('%.2g', s_suppkey / 200300000.0::DOUBLE), '^0+', '') AS tiny, printf('%.1f%%', 100 * s_suppkey / 2003.0::DOUBLE) AS pct,
+split_part(printf('%.1e', s_suppkey / 2e20::DOUBLE), 'e', 1) || ' × 10' || translate(split_part(printf('%.1e', s_suppkey / 2e20::DOUBLE), 'e', 2)::INT::VARCHAR, '0123456789-', '⁰¹²³⁴⁵⁶⁷⁸⁹⁻') AS sci, CASE WHEN s_suppkey / 2003.0 < 0.001 THEN '***' WHEN s_suppkey / 2003.0 < 0.01 THEN '**' WHEN s_suppkey / 2003.0 < 0.05 THEN '*' ELSE '' END AS stars FROM supplier""")
 def h23(spark, sf):
     b, p = F.col("s_acctbal"), F.col("s_suppkey") / 2003.0
-    return table(spark, sf, "supplier").select("s_suppkey", H.signed(b, 2).alias("signed"), H.interval_text(b - 10, b + 10, 2).alias("ci"), H.p_text(p).alias("p"), H.stars(p).alias("stars"))
+    return table(spark, sf, "supplier").select("s_suppkey", H.signed(b, 2).alias("signed"), H.interval_text(b - 10, b + 10, 2).alias("ci"), H.p_text(p).alias("p"), H.p_text(F.col("s_suppkey") / F.lit(200300000.0)).alias("tiny"), H.percent(p, 1).alias("pct"), H.scientific(F.col("s_suppkey") / F.lit(2e20), 2).alias("sci"), H.stars(p).alias("stars"))
 
 
 @query("h24_h26_lines", "WITH l AS (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity DESC, l_partkey) AS w FROM lineitem GROUP BY 1) SELECT l_orderkey, w[1] AS first, w[-1] AS last, list_max(w) - list_min(w) AS steep, round(list_stddev_pop(w), 6) AS sd, list_position(w, w[-1]) AS place FROM l")
@@ -131,3 +120,27 @@ def h24(spark, sf):
 def g31(spark, sf):
     half = 2 * F.stddev_samp("value") / F.sqrt(F.count("value"))
     return table(spark, sf, "events").groupBy("event_type").agg(H.verdict(F.avg("value") - half - 50, F.avg("value") + half - 50).alias("verdict"))
+
+
+@query("h27_run_tags", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS tag, epoch(date_trunc('second', ts))::BIGINT AS seconds FROM events")
+def h27(spark, sf):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", H.run_tag(at).alias("tag"), F.unix_seconds(at).alias("seconds"))
+
+
+_HEADERS = "SELECT s_suppkey, s_name, s_suppkey % 3 AS k FROM supplier"
+
+
+@query("h28_game_fields", f"""WITH s AS ({_HEADERS}) SELECT s_suppkey, s_name AS white_player, '' AS black_player, CASE WHEN k = 0 THEN 'GM' ELSE '' END AS white_title, '' AS black_title, CASE WHEN k = 1 THEN '600+5' ELSE '' END AS time_control,
+'1-0' AS result, '' AS eco, '' AS opening, 'Standard' AS variant, CASE WHEN k = 0 THEN s_suppkey::INT WHEN k = 1 THEN NULL ELSE 0 END AS white_elo, 0 AS black_elo FROM s""")
+def h28(spark, sf):
+    k = F.col("s_suppkey") % 3
+    rating = F.when(k == 0, F.col("s_suppkey").cast("string")).when(k == 1, F.lit("?"))
+    tags = F.map_filter(F.create_map(F.lit("White"), F.col("s_name"), F.lit("Result"), F.lit("1-0"), F.lit("WhiteElo"), rating, F.lit("WhiteTitle"), F.when(k == 0, "GM"), F.lit("TimeControl"), F.when(k == 1, "600+5")), lambda _, v: v.isNotNull())
+    return table(spark, sf, "supplier").select("s_suppkey", *H.game_fields(tags)).drop("time_category")
+
+
+@query("h29_router", "SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN FALSE ELSE o_totalprice / 100 > 0 AND o_totalprice / 100 - 400 >= 1500 END AS skip FROM orders")
+def h29(spark, sf):
+    rating = F.when(F.col("o_custkey") % 5 != 0, (F.col("o_totalprice") / 100).cast("string")).otherwise("unrated")
+    return table(spark, sf, "orders").select("o_orderkey", H.too_strong(rating, {"<1000": 1000, "1000-1499": 1500, "1500-1999": 2000}, ["<1000", "1000-1499"]).alias("skip"))

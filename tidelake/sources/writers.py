@@ -2,15 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.functions.scalars import md5_bucket
 
 
+HEADER = "_columns"
+
+
 def csv_append(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Appends the named columns, in order; others are left out."""
-    df.select(*columns).write.mode("append").option("header", True).csv(path)
+    """Appends the named columns, in order; others are left out.
+
+    The header is written once, as a file of its own beside the rows' files, whose names make scans of the folder
+    pass over it; read_appended() puts both together.
+    """
+    spark = df.sparkSession
+    if not exists(df, f"{path}/{HEADER}"):
+        spark.createDataFrame([(",".join(columns),)], "value string").coalesce(1).write.text(f"{path}/{HEADER}")
+    elif (before := spark.read.text(f"{path}/{HEADER}").first()["value"].split(",")) != columns:
+        raise ValueError(f"{path} holds the columns {before}")
+    df.select(*columns).write.mode("append").option("header", False).csv(f"{path}/rows")
+
+
+def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What csv_append() wrote: columns by the header, kinds by the schema."""
+    kinds = T.StructType.fromDDL(schema)
+    names = spark.read.text(f"{path}/{HEADER}").first()["value"].split(",")
+    return spark.read.csv(f"{path}/rows", schema=T.StructType([kinds[n] for n in names])).select(*kinds.names)
+
+
+def chunked_parquet(df: DataFrame, path: str, metadata: dict[str, str], rows_a_file: int = 2000) -> None:
+    """Appends files of at most so many rows, each row with what is known of the run."""
+    df.withColumns({k: F.lit(v) for k, v in metadata.items()}).write.mode("append").option("maxRecordsPerFile", rows_a_file).parquet(path)
+
+
+def checkpointed(df: DataFrame, path: str, key: str, units: int = 200) -> int:
+    """Writes what the output lacks, ``units`` keys at a time; returns the number of writes.  After a stop it goes on behind the last one."""
+    done = 0
+    while True:
+        rest = df.join(df.sparkSession.read.parquet(path).select(key).distinct(), key, "left_anti") if exists(df, path) else df
+        some = rest.select(key).distinct().orderBy(key).limit(units)
+        if some.isEmpty():
+            return done
+        rest.join(F.broadcast(some), key, "left_semi").write.mode("append").parquet(path)  # a bounded number of keys
+        done += 1
+
+
+def merged_log(df: DataFrame, path: str, key: str) -> DataFrame:
+    """The log with its rows replaced by key: the last that was written of each."""
+    df.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").json(path)
+    rows = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("written", T.TimestampType())])).json(path)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*df.columns), "written").alias("x")).select("x.*")
+
+
+def figure_series(df: DataFrame, x: str, y: str, se: str | None = None, by: str | None = None) -> DataFrame:
+    """What a figure draws: series, x, y, and the ends of the error bar."""
+    bar = 1.959963984540054 * F.col(se) if se else F.lit(0.0)
+    return df.select((F.col(by).cast("string") if by else F.lit("all")).alias("series"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(y) - bar).alias("low"), (F.col(y) + bar).alias("high"))
 
 
 def bucketed_shards(df: DataFrame, path: str, key: str, rows_a_file: int = 2_000_000) -> None:
