@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.functions import tails
+from tidelake.operators.windows import top_of
 
 
 def gram(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -28,6 +29,34 @@ def gram(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, f
     return m[:-1, :-1], m[:-1, -1], m[-1, -1], int(m[0, 0])
 
 
+def centred(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int, np.ndarray]:
+    """Covariances of x, of x with y, the variance of y (all times n), n, and the means of x and y.
+
+    Covariance aggregates update centred moments, so large means don't cancel what is left of the residuals.
+    """
+    names = [*x, y]
+    cols = [F.col(c).cast("double") for c in names]
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    row = df.agg(F.count(F.lit(1)), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)], *[F.covar_pop(cols[i], cols[j]).alias(f"c{k}") for k, (i, j) in enumerate(pairs)]).first()
+    n, m = int(row[0]), np.zeros((len(cols), len(cols)))
+    for k, (i, j) in enumerate(pairs):
+        m[i, j] = m[j, i] = (row[1 + len(cols) + k] or 0.0) * n
+    return m[:-1, :-1], m[:-1, -1], m[-1, -1], n, np.array([v or 0.0 for v in row[1 : 1 + len(cols)]])
+
+
+def least_squares(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Coefficients with a leading constant, the inverse of X'X, the residual sum of squares and n, from centred moments."""
+    xx, xy, yy, n, mean = centred(df, x, y)
+    inv = np.linalg.inv(xx) if x else np.zeros((0, 0))
+    slopes = inv @ xy
+    beta = np.concatenate([[mean[-1] - mean[:-1] @ slopes], slopes])
+    whole = np.zeros((len(beta), len(beta)))
+    whole[1:, 1:] = inv
+    whole[0, 1:] = whole[1:, 0] = -inv @ mean[:-1]
+    whole[0, 0] = 1 / max(1, n) + mean[:-1] @ inv @ mean[:-1]
+    return beta, whole, max(0.0, float(yy - slopes @ xy)), n
+
+
 def _frame(df: DataFrame, names: list[str], beta: np.ndarray, cov: np.ndarray, dof: float | None) -> DataFrame:
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     rows = []
@@ -42,16 +71,13 @@ def _frame(df: DataFrame, names: list[str], beta: np.ndarray, cov: np.ndarray, d
 def ols(df: DataFrame, y: str, x: list[str]) -> DataFrame:
     """term, coef, se, lo, hi, p of least squares with a constant."""
     df = df.dropna(subset=[y, *x])
-    xx, xy, yy, n = gram(df, x, y)
-    beta = np.linalg.solve(xx, xy)
-    s2 = max(0.0, yy - beta @ xy) / (n - len(beta))
-    return _frame(df, ["const", *x], beta, s2 * np.linalg.inv(xx), n - len(beta))
+    beta, inv, rss, n = least_squares(df, x, y)
+    return _frame(df, ["const", *x], beta, rss / (n - len(beta)) * inv, n - len(beta))
 
 
 def residuals(df: DataFrame, y: str, x: list[str], name: str) -> DataFrame:
     """Adds what least squares of y on x leaves."""
-    xx, xy, _, _ = gram(df.dropna(subset=[y, *x]), x, y)
-    beta = np.linalg.solve(xx, xy)
+    beta = least_squares(df.dropna(subset=[y, *x]), x, y)[0]
     fit = F.lit(float(beta[0]))
     for c, b in zip(x, beta[1:], strict=True):
         fit = fit + F.col(c) * F.lit(float(b))
@@ -73,8 +99,7 @@ def _meat(df: DataFrame, x: list[str], cluster: list[str]) -> tuple[np.ndarray,
 def cluster_ols(df: DataFrame, y: str, x: list[str], clusters: list[str]) -> DataFrame:
     """Least squares with standard errors clustered one way, or two ways (sum of both less that of their intersection)."""
     df = df.dropna(subset=[y, *x, *clusters])
-    xx, xy, _, n = gram(df, x, y)
-    beta, inv = np.linalg.solve(xx, xy), np.linalg.inv(xx)
+    beta, inv, _, n = least_squares(df, x, y)
     with_u = residuals(df, y, x, "__u")
     k = len(beta)
 
@@ -220,14 +245,16 @@ def resampled_rows(df: DataFrame, unit: str, draws: int, seed: int) -> DataFrame
     return many.withColumn("unit_copy", F.concat_ws("#", F.col(unit).cast("string"), F.col("__k").cast("string"))).drop("__k", "cnt")
 
 
-def policy_value(df: DataFrame, score: str, tie: str, gain: str, fold: str, q: float) -> DataFrame:
-    """Gain of the top share by fold, of the best possible share, precision, all over all rows."""
-    w, all_ = Window.partitionBy(fold), Window.partitionBy(F.lit(0))
-    k = F.bround(F.count(F.lit(1)).over(w) * F.lit(q))
-    chosen = F.row_number().over(w.orderBy(F.desc(score), tie)) <= k
-    best = F.row_number().over(all_.orderBy(F.desc(gain), tie)) <= F.bround(F.count(F.lit(1)).over(all_) * F.lit(q))
-    m = df.select(chosen.alias("c"), best.alias("b"), F.col(gain).alias("g"))
-    return m.agg(F.avg(F.when(F.col("c"), F.col("g")).otherwise(0.0)).alias("gain"), F.avg(F.when(F.col("b"), F.col("g")).otherwise(0.0)).alias("oracle"), (F.count_if(F.col("c") & (F.col("g") > 0)) / F.count_if("c")).alias("precision"), F.count_if("c").alias("selected"))
+def policy_value(df: DataFrame, score: str, tie: str, gain: str, fold: str, q: float, reference: str | None = None, reference_gain: str | None = None) -> DataFrame:
+    """Gain of the top share by fold, of the best possible share, of a random one, precision, all over all rows; with a reference
+    selector its own gain, the difference, and how often both select the same row."""
+    marked = top_of(top_of(df, score, tie, q, fold, "__c"), gain, tie, q, None, "__b")
+    value = lambda p, g: F.avg(F.when(F.col(p), F.col(g)).otherwise(0.0))
+    out = [value("__c", gain).alias("gain"), value("__b", gain).alias("oracle"), (F.lit(q) * F.avg(gain)).alias("random"), (value("__c", gain) - F.lit(q) * F.avg(gain)).alias("over_random"), (F.count_if(F.col("__c") & (F.col(gain) > 0)) / F.count_if("__c")).alias("precision"), F.count_if("__c").alias("selected")]
+    if reference:
+        marked, g = top_of(marked, reference, tie, q, fold, "__r"), reference_gain or gain
+        out += [value("__r", g).alias("reference"), (value("__c", gain) - value("__r", g)).alias("difference"), (F.count_if(F.col("__c") & F.col("__r")) / F.count_if("__c")).alias("coincidence")]
+    return marked.agg(*out)
 
 
 def reliability(df: DataFrame, value: str, x: list[str], noise: str) -> DataFrame:
@@ -237,6 +264,44 @@ def reliability(df: DataFrame, value: str, x: list[str], noise: str) -> DataFram
     return u.agg(lam.alias("reliability"), (1 - lam).alias("noise_share"))
 
 
+def disattenuated(estimates: DataFrame, name: str, coef: str, reliability: str) -> DataFrame:
+    """Each coefficient over its reliability, all of their differences, and what raw coefficients would differ by if the true ones were equal (their mean, attenuated by each reliability)."""
+    true = estimates.select(F.col(name).alias("a"), F.col(coef).alias("raw"), F.col(reliability).alias("lam"), F.try_divide(F.col(coef), F.col(reliability)).alias("true"))
+    mean = true.agg(F.avg("true").alias("common"))  # one row
+    other = true.select(F.col("a").alias("b"), F.col("raw").alias("raw_b"), F.col("lam").alias("lam_b"), F.col("true").alias("true_b"))
+    pairs = true.join(other, F.col("a") < F.col("b")).join(F.broadcast(mean))  # estimates, not rows
+    return pairs.select("a", "b", (F.col("true") - F.col("true_b")).alias("difference"), (F.col("raw") - F.col("raw_b")).alias("raw_difference"), ((F.col("lam") - F.col("lam_b")) * F.col("common")).alias("null_benchmark"))
+
+
+def trend_table(df: DataFrame, at: str, indicators: list[str], band: str, per: float = 100.0) -> DataFrame:
+    """By indicator: Pearson and rank correlation of its band means with the bands' places, the slope per ``per``, and whether it is monotone (|rank correlation| at least 0.9: yes, 0.7: partial, else no)."""
+    from tidelake.operators.aggregates import rank_correlation
+
+    means = df.groupBy(band).agg(F.avg(at).alias("__at"), *[F.avg(c).alias(c) for c in indicators])
+    long = means.unpivot("__at", indicators, "indicator", "__v")
+    rho = rank_correlation(long, "__at", "__v", ["indicator"], ["__at"], average=False)
+    stats = long.groupBy("indicator").agg(F.corr("__at", "__v").alias("r"), (F.regr_slope("__v", "__at") * per).alias("slope"))
+    size = F.abs(F.round("rho", 12))
+    return stats.join(rho, "indicator").withColumn("monotone", F.when(size >= 0.9, "yes").when(size >= 0.7, "partial").otherwise("no"))
+
+
+def concentration(df: DataFrame, weight: str, tie: str, share: float = 0.01) -> DataFrame:
+    """How much of the total weight the largest row and the largest ``share`` of rows carry."""
+    n = df.count()
+    marked = top_of(df, weight, tie, max(1, int(n * share)) / max(1, n), None, "__c")
+    return marked.agg((F.max(weight) / F.sum(weight)).alias("largest"), (F.sum(F.when(F.col("__c"), F.col(weight))) / F.sum(weight)).alias("top_share"))
+
+
+def complete_cells(df: DataFrame, cell: list[str], columns: list[str], imputed: str) -> DataFrame:
+    """Rows whose other columns are all finite, with the one column filled by its own cell's mean; cells that have it nowhere go."""
+    from tidelake.operators.aggregates import finite
+
+    mean = F.avg(F.when(finite(imputed), F.col(imputed)))
+    rows = df.filter(finite(*[c for c in columns if c != imputed]))
+    cells = rows.groupBy(*cell).agg(mean.alias("__mean")).filter("__mean is not null")
+    return rows.join(cells, cell).withColumn("imputed", ~finite(imputed)).withColumn(imputed, F.when(finite(imputed), F.col(imputed)).otherwise(F.col("__mean"))).drop("__mean")
+
+
 def random_intercept(df: DataFrame, y: str, x: list[str], unit: str) -> DataFrame:
     """Random-intercept model by maximum likelihood: term, coef, se, and the rows sd_unit, sd_residual.
 

@@ -50,7 +50,7 @@ def odds_weights(df: DataFrame, target: str, x: list[str], name: str) -> DataFra
     p = vector_to_array("probability")[1]
     scored = m.transform(rows).withColumn("__o", p / (1 - p))
     total = scored.agg(F.sum("__o").alias("__t"))  # one row
-    return scored.join(F.broadcast(total)).withColumn(name, F.col("__o") / F.col("__t") * n).select(*df.columns, name)
+    return scored.join(F.broadcast(total)).withColumn(name, F.col("__o") / F.col("__t") * n).select(*df.columns, name)  # G.concentration() tells how few rows carry them
 
 
 def boosted(train: DataFrame, score: DataFrame, y: str, x: list[str], name: str, rounds: int = 50, depth: int = 4, step: float = 0.05, seed: int = 1) -> DataFrame:

@@ -77,11 +77,40 @@ def standardised_by(df: DataFrame, train: DataFrame, columns: list[str]) -> Data
     return both.withColumns(out).drop(*[f"__{k}{i}" for k in "ms" for i in range(len(columns))])
 
 
+def top_of(df: DataFrame, score: str, tie: str, q: float, fold: str | None, name: str) -> DataFrame:
+    """Marks the round(q n) best rows of each fold (or of all), half to even, ties by ``tie``.
+
+    ``tie`` tells rows of a fold apart; null scores come last.  No task sorts a fold: the score at the share's edge comes from counts by score, and only rows that
+    have just that score are ranked.
+    """
+    keys = [fold] if fold else []
+    part = Window.partitionBy(*(keys or [F.lit(0)]))
+    # Counts by score are partial aggregates; the running count over distinct scores is by coarse ranges of score first.
+    scores = df.groupBy(*keys, F.col(score).alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
+    low, width = _span(scores, "__s")
+    coarse = scores.withColumn("__b", F.least(F.lit(4095), F.greatest(F.lit(0), F.floor((F.col("__s").cast("double") - low) / width))).cast("int"))
+    totals = coarse.groupBy(*keys, "__b").agg(F.sum("__c").alias("__t"))
+    totals = totals.withColumn("__above", F.coalesce(F.sum("__t").over(part.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__t").over(part))
+    totals = totals.withColumn("__k", F.bround(F.col("__n") * F.lit(q)).cast("long"))
+    edge = totals.filter((F.col("__above") < F.col("__k")) & (F.col("__above") + F.col("__t") >= F.col("__k"))).select(*keys, "__b", "__above", "__k")
+    near = coarse.join(edge, [*keys, "__b"])
+    before = F.col("__above") + F.coalesce(F.sum("__c").over(part.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = near.withColumn("__above", before).filter((F.col("__above") < F.col("__k")) & (F.col("__above") + F.col("__c") >= F.col("__k"))).select(*[F.col(k).alias("__f") for k in keys], F.col("__s").alias("__cut"), (F.col("__k") - F.col("__above")).alias("__left"))
+    both = df.join(F.broadcast(cut), df[fold].eqNullSafe(F.col("__f")) if fold else F.lit(True), "left")  # a row a fold
+    tied = both.filter(F.col(score).eqNullSafe(F.col("__cut"))).select(*keys, tie, "__left").withColumn("__r", F.row_number().over(part.orderBy(tie))).filter("__r <= __left").select(F.col(tie).alias("__t"), *[F.col(k).alias("__g") for k in keys])
+    same = (both[tie] == F.col("__t")) & F.col(score).eqNullSafe(F.col("__cut")) & (F.col("__f").eqNullSafe(F.col("__g")) if fold else F.lit(True))
+    out = both.join(tied, same, "left").withColumn(name, F.coalesce(F.col(score) > F.col("__cut"), F.col("__cut").isNull() & F.col("__left").isNotNull() & F.col(score).isNotNull()) | F.col("__t").isNotNull())
+    return out.select(*df.columns, name)
+
+
+def _span(df: DataFrame, value: str, bins: int = 4096) -> tuple[float, float]:
+    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    return low or 0.0, max(1e-300, ((high or 0.0) - (low or 0.0)) / bins)
+
+
 def top_share(df: DataFrame, score: str, tie: str, q: float, fold: str | None) -> DataFrame:
-    """The round(q n) best rows of each fold (or of all), half to even, ties by ``tie``."""
-    w = Window.partitionBy(fold if fold else F.lit(0))
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(F.desc(score), tie))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("__r") <= F.bround(F.col("__n") * F.lit(q))).drop("__r", "__n")
+    """The rows that top_of() marks."""
+    return top_of(df, score, tie, q, fold, "__top").filter("__top").drop("__top")
 
 
 def first_valid(df: DataFrame, keys: list[str], order: list[Column], n: int, valid: Column | None = None) -> DataFrame:

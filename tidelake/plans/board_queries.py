@@ -42,7 +42,14 @@ def i14(spark, sf):
     return _positions(spark).select("id", C.mirrored_board(F.col("fen")).alias("mirror"))
 
 
-@query("i1_i2_position_type")
+_CELLS = "g AS (SELECT id, replace(replace(replace(replace(replace(replace(replace(replace(replace(b, '/', ''), '1', '.'), '2', '..'), '3', '...'), '4', '....'), '5', '.....'), '6', '......'), '7', '.......'), '8', '........') AS c FROM b)"
+_SQ = "c[8 * (8 - {r}) + {f} + 1]"
+_OPEN = " + ".join("(" + " AND ".join(f"{_SQ.format(r=r, f=f)} NOT IN ('P', 'p')" for r in range(1, 9)) + ")::INT" for f in range(8))
+_LOCKED = " + ".join(f"({_SQ.format(r=r, f=f)} = 'P' AND {_SQ.format(r=r + 1, f=f)} = 'p')::INT" for f in range(8) for r in range(2, 7))
+_CENTRAL = " + ".join(f"({_SQ.format(r=r, f=f)} IN ('P', 'p'))::INT" for f in (3, 4) for r in range(3, 7))
+
+
+@query("i1_i2_position_type", f"WITH {_VALUES}, {_CELLS}, n AS (SELECT id, {_OPEN} AS open, {_LOCKED} AS locked, {_CENTRAL} AS central FROM g) SELECT id, open, locked, central, CASE WHEN open >= 2 AND central <= 2 THEN 'open' WHEN locked >= 3 AND open = 0 THEN 'closed' WHEN locked >= 1 AND open >= 1 THEN 'dynamic' ELSE 'static' END AS type FROM n")
 def i1(spark, sf):
     b = F.col("b")
     out = _positions(spark).select("id", C.open_files(b).alias("open"), C.locked_pawns(b).alias("locked"), C.central_pawns(b).alias("central"))

@@ -51,9 +51,15 @@ def g19(spark, sf):
     return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 0).alias("w"))
 
 
-@query("g20_calibration")
+_FOLD5 = "u AS (SELECT l_suppkey, (row_number() OVER (ORDER BY md5(l_suppkey || ':9'), l_suppkey) - 1) % 5 AS fold FROM (SELECT DISTINCT l_suppkey FROM lineitem))"
+
+
+@query("g20_calibration", f"""WITH {_FOLD5}, r AS (SELECT u.fold, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem l JOIN u ON l.l_suppkey = u.l_suppkey),
+m AS (SELECT f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY 1), s AS (SELECT y, a + b * x AS fit FROM r JOIN m ON fold = f),
+q AS (SELECT list_sort(list_distinct(quantile_cont(fit, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS es FROM s), b AS (SELECT len(list_filter(es[2:len(es) - 1], lambda e: e < fit)) AS bin, y, fit FROM s, q)
+SELECT bin, count(*) AS n, round(avg(y), 4) AS observed, round(avg(fit), 4) AS predicted FROM b GROUP BY 1""")
 def g20(spark, sf):
-    rows = G.crossfit(O.folds(_rows(spark, sf), "l_suppkey", 5, 9), "y", _X, "fold", 5, "fit")
+    rows = G.crossfit(O.folds(_rows(spark, sf), "l_suppkey", 5, 9), "y", ["l_quantity"], "fold", 5, "fit")
     return M.calibration(rows, "y", "fit").select("bin", "n", F.round("observed", 4).alias("observed"), F.round("predicted", 4).alias("predicted"))
 
 

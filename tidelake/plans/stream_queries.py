@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelake.operators import joins as J
 from tidelake.operators import validation as L
 from tidelake.plans.catalog import query
 from tidelake.plans.tables import r6, table
@@ -32,7 +33,7 @@ def k_sessions(spark, sf):
 @query("k1_resume", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
 def k1(spark, sf):
     ev = table(spark, sf, "events").select("event_id")
-    return ev.join(ev.filter("event_id % 3 = 0"), ["event_id"], "left_anti")
+    return J.not_yet_done(ev, ev.filter("event_id % 3 = 0"), ["event_id"])
 
 
 @query("k5_min_max_curve", "SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1")
@@ -53,7 +54,7 @@ def l2(spark, sf):
 @query("l3_reproduction", "SELECT count(*) AS n FROM (SELECT o_orderkey, o_totalprice FROM orders EXCEPT SELECT o_orderkey, round(o_totalprice, 0) FROM orders)")
 def l3(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return o.exceptAll(o.withColumn("o_totalprice", F.round("o_totalprice", 0))).agg(F.count(F.lit(1)).alias("n"))
+    return J.mismatches(o, o.withColumn("o_totalprice", F.round("o_totalprice", 0)), ["o_orderkey"], ["o_totalprice"]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l4_invariants", "SELECT 'positive' AS rule, count(*) FILTER (WHERE NOT c_acctbal >= 0) AS n FROM customer UNION ALL SELECT 'round', count(*) FILTER (WHERE NOT c_acctbal = round(c_acctbal, 0)) FROM customer")

@@ -42,7 +42,10 @@ def e5(spark, sf):
     return m.filter("ply % 2 = 1 and ply >= 14 and ply < 40").groupBy("game").agg(F.count_if("reactive").alias("reactive"), F.count(F.lit(1)).alias("n"))
 
 
-@query("e6_resetting_events")
+@query("e6_resetting_events", f"""WITH RECURSIVE {MOVES}, h AS (SELECT game, ply, row_number() OVER (PARTITION BY game ORDER BY ply) AS i FROM m WHERE type = 'purchase'),
+w(game, i, held, n) AS (SELECT game, 1::BIGINT, ply, 0 FROM h WHERE i = 1
+UNION ALL SELECT h.game, h.i, CASE WHEN w.held IS NOT NULL AND h.ply - w.held <= 5 THEN NULL ELSE h.ply END, w.n + CASE WHEN w.held IS NOT NULL AND h.ply - w.held <= 5 THEN 1 ELSE 0 END FROM w JOIN h ON h.game = w.game AND h.i = w.i + 1)
+SELECT game, max(n)::INT AS events FROM w GROUP BY 1""")
 def e6(spark, sf):
     return O.resetting_events(moves(spark, sf), ["game"], "ply", F.col("type") == "purchase", 5)
 
