@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
+from tidelake.operators import formulas as N
 from tidelake.operators import models as M
 from tidelake.operators import windows as O
 from tidelake.plans.catalog import query
@@ -79,3 +80,47 @@ def g28(spark, sf):
 def g32(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_totalprice") / 2000 + F.col("o_custkey") % 7).alias("a"), (F.col("o_custkey") % 11).cast("double").alias("b"))
     return M.linear_importance(rows, "o_orderkey", "y", ["a", "b"]).select("term", F.round("importance", 3).alias("importance"))
+
+
+def _simple(model, rows, y, x, where):
+    fit = f"SELECT regr_slope({y}, {x}) AS b, regr_intercept({y}, {x}) AS a, count(*) AS n, avg({x}) AS mx, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) - pow(regr_sxy({y}, {x}), 2) / regr_sxx({y}, {x}) AS rss FROM lineitem {where}"
+    name = {"l_quantity * l_discount": "l_quantity:l_discount"}.get(x, x)
+    return f"SELECT '{model}' AS model, '{rows}' AS rows, '{name}' AS term, round(b, 6) AS coef, round(sqrt(rss / (n - 2) / sxx), 6) AS se FROM ({fit}) UNION ALL SELECT '{model}', '{rows}', 'const', round(a, 6), round(sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)), 6) FROM ({fit})"
+
+
+_GRID_SQL = " UNION ALL ".join(_simple(m, r, "l_extendedprice / 1000", x, w) for m, x in (("product", "l_quantity * l_discount"), ("tax", "l_tax")) for r, w in (("all", ""), ("returned", "WHERE l_returnflag = 'R'")))
+
+
+@query("n1_model_grid", _GRID_SQL)
+def n1(spark, sf):
+    models = {"product": ("y ~ l_quantity:l_discount", "ols", None), "tax": ("y ~ l_tax", "ols", None)}
+    specs = {"all": F.lit(True), "returned": F.col("l_returnflag") == "R"}
+    return N.model_grid(_rows(spark, sf), models, specs).select("model", "rows", "term", r6(F.col("coef")).alias("coef"), r6(F.col("se")).alias("se"))
+
+
+@query("n2_interactions")
+def n2(spark, sf):
+    models = {"v1": ("y ~ l_quantity * l_discount + l_tax + l_quantity^2", "cluster", ["l_suppkey"]), "late": ("late ~ l_quantity * l_tax", "logit", ["l_suppkey"])}
+    out = N.model_grid(_rows(spark, sf), models, {"all": F.lit(True)})
+    return out.select("model", "rows", "term", F.round("coef", 3).alias("coef"), F.round("se", 3).alias("se"))
+
+
+def _games(spark, sf):
+    return table(spark, sf, "events").withColumn("game", F.floor(F.col("event_id") / 500))
+
+
+@query("g12_inner_only")
+def g12(spark, sf):
+    return G.inner_only(_games(spark, sf), "value", [], "user_id", "game").select("term", r6(F.col("coef")).alias("coef"), r6(F.col("se")).alias("se"))
+
+
+@query("g28_bootstrap_mixed")
+def g28b(spark, sf):
+    fits = G.bootstrap_nested(_games(spark, sf), "value", [], "user_id", "game", 20, 7)
+    return fits.groupBy("term").agg(F.count(F.lit(1)).alias("draws"), F.round(F.percentile("coef", F.lit(0.025)), 4).alias("lo"), F.round(F.percentile("coef", F.lit(0.975)), 4).alias("hi"))
+
+
+@query("g38_search_sweep")
+def g38(spark, sf):
+    log, _ = G.search_sweep(_games(spark, sf), "value", [], "user_id", "game")
+    return log.withColumn("llf", F.round("llf", 1))
