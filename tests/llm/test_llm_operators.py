@@ -461,7 +461,7 @@ def test_secrets(spark):
     bits = ["password: hunter2hunter2 ", "token: secret: abcdefghij ", 'API_KEY = "x9"', "AKIA" + "Q" * 14, "AKIAAKIA12", "é" * 3, "deadbeef" * 5, "token=secret=abcdefgh12 ", "\n", " the cat sat ", "Passwd='" + "a/b+c" * 3 + "'", "f" * 31 + " "]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 12))), "s") for i in range(60)] + [(100, None, "s"), (101, "", "s"), (102, "key x7Qp29fLw0ZkT3vB8nRs1YcD end", "s"), (103, "internationalizationalities everywhere", "s")]
     frame = docs(spark, rows)
-    ordinary = spark.createDataFrame([(w, False) for w in ["international", "everywhere", "application", "configuration", "understanding"] * 40], "text string, random boolean")
+    ordinary = spark.createDataFrame([(w, False, 40) for w in ["international", "everywhere", "application", "configuration", "understanding"]], "text string, random boolean, n long")
     model = secrets.train(secrets.labelled_samples(frame).unionByName(ordinary))
     got = {x.id: x for x in secrets.scan_secrets(frame, model).select("id", "n_assign", "n_access", "n_hex", secrets.spans_string(secrets.F.col("base")).alias("base"), secrets.spans_string(secrets.F.col("spans")).alias("spans")).collect()}
     for i, t, _ in rows:
@@ -474,6 +474,93 @@ def test_secrets(spark):
     assert got[102].spans == "markov:4:28" and got[103].spans == ""
 
 
+def test_secret_model_recall_and_false_alarms(spark):
+    """Random tokens outside the base patterns are found, by length; documents of the test tables without secrets stay clean."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.train(secrets.labelled_samples(table))
+    r = random.Random(1)
+    signs = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789ABCDEF"}
+    kinds = [(name, n) for name in signs for n in (12, 16, 20, 32) for _ in range(100)]
+    asked = spark.createDataFrame([(i, f"see {''.join(r.choice(signs[name]) for _ in range(n))} here", f"{name}-{n}") for i, (name, n) in enumerate(kinds)], "doc_id long, text string, source string")
+    found = secrets.scan_secrets(asked, model).select(F.col("id").alias("doc_id"), F.size("spans").alias("n")).join(asked, "doc_id").groupBy("source").agg(F.avg((F.col("n") > 0).cast("int")).alias("recall")).collect()
+    assert len(found) == 8 and all(x.recall >= (0.85 if x.source.endswith(("12", "16")) else 0.99) for x in found)
+    scanned = secrets.scan_secrets(table, model).select(F.exists("spans", lambda x: x["place"] == 3).alias("hit"))
+    assert scanned.filter("hit").count() <= 0.002 * table.count()
+
+
+def test_secrets_in_a_long_text(spark):
+    """More matches than one chunk of running sums holds, at their places."""
+    part = "é password: hunter2hunter2 " + "deadbeef" * 4 + " "
+    text = part * 1500
+    got = secrets.scan_secrets(docs(spark, [(1, text, "s")]), [0] * len(secrets.ALPHABET) ** 2).select("n_assign", "n_hex", secrets.spans_string(F.col("base")).alias("base")).first()
+    expect = sorted([(m.start(), 0, m.end()) for m in ASSIGN.finditer(text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{32,}", text)])
+    assert (got.n_assign, got.n_hex) == (1500, 1500) and got.base == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in expect)
+
+
+def test_very_long_texts(spark):
+    """One text of several megabytes among short ones, operator by operator."""
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("abcdef") for _ in range(6)) for _ in range(3000)]
+    long = " ".join(r.choice(vocabulary) for _ in range(400_000))
+    near = long + " one two three"
+    frame = docs(spark, [(1, long, "s"), (2, near, "s"), (3, "short text", "s"), (4, None, None)])
+    assert sorted((x.id, x.component_id) for x in jaccard_join.near_duplicates(frame).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    removed = {x.id: (x.n_words, x.n_removed) for x in substring_dedup.remove_repeats(frame).collect()}
+    assert removed == {1: (400_000, 400_000), 2: (400_003, 400_000), 3: (2, 0), 4: (0, 0)}
+    pages = frame.select(F.col("doc_id").alias("page_id"), F.lit("http://x").alias("url"), F.col("text").alias("html"))
+    back = {x.id: (x.payload_bytes, x.payload_digest) for x in warc.round_trip(pages).collect()}
+    assert back[1] == (len(long), hashlib.sha256(long.encode()).hexdigest())
+    model = quality.Model(-np.ones(1 << quality.BITS, np.float32) / 100, np.array([-3.0, -2.0]))
+    assert quality.scored(frame, model).filter("doc_id = 1").first().rating.p_top >= 0
+    turns = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_conversations(turns)).first().loss_text == long
+
+
+def test_all_null_tables_of_the_others(spark):
+    nothing = spark.createDataFrame([(None, None, None)] * 3, "page_id long, url string, html string")
+    assert sorted((x.id, x.payload_bytes, x.record_type) for x in warc.round_trip(nothing).collect()) == [(None, 0, "response")] * 3
+    turns = spark.createDataFrame([(None, None, None, None)] * 2, "conv_id long, turn long, role string, text string")
+    assert [(x.conv_id, len(x.turns), x.loss_text) for x in chat.read_back(chat.format_conversations(turns)).collect()] == [(None, 2, "")]
+    rows = docs(spark, [(None, None, None)] * 3)
+    model = secrets.train(secrets.labelled_samples(rows))
+    assert [x.n for x in secrets.scan_secrets(rows, model).select(F.size("spans").alias("n")).collect()] == [0, 0, 0]
+    labels = spark.createDataFrame([(None, None, None)] * 2, "doc_id long, quality int, toxic int")
+    assert quality.select_top(rows, quality.train(rows, quality.grades_of(labels))).count() == 3
+
+
+def test_mix_emits_rows_not_identifiers(spark):
+    """Rows that share an identifier, or have none, are emitted each by its own copies."""
+    rows = [(7, f"w{i} " * 20, "s0") for i in range(40)] + [(None, f"v{i} " * 10, "s1") for i in range(40)]
+    mixed = mixing.mix(docs(spark, rows)).collect()
+    each = collections.Counter(x.text for x in mixed)
+    assert max(each.values()) <= 2
+    taken, total = collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        total[s] += len(words(t))
+    for x in mixed:
+        taken[x.source] += len(words(x.text))
+    assert abs(taken["s0"] + taken["s1"] - 1.5 * sum(total.values())) <= 60
+
+
+def test_near_copies_by_row(spark):
+    """One row of each component stays, of rows with one identifier too, with all its columns."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, base, "s"), (5, base + " x", "s"), (None, base + " y", "s"), (9, "other words here", "s"), (None, None, None), (3, "", "s")]
+    kept = jaccard_join.keep_first_near_copies(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    got = kept.collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, len(words(x.text))) for x in got) == [(False, 3, 0), (False, 5, [60, 61][len(words(next(x.text for x in got if x.doc_id == 5))) - 60]), (False, 9, 3), (True, 0, 0)]
+
+
+def test_packing_refuses_tokenizers_that_need_white_space():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"a": 0, " ": 1, "b": 2, "?": 3}, unk_token="?"))
+    tok.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    with pytest.raises(ValueError, match="white space"):
+        packing.StretchIds(tok.to_str())
+
+
 def test_quality(spark):
     r = random.Random(6)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]

@@ -37,3 +37,22 @@ def test_pipeline_stages(spark):
     assert set(copies.values()) <= {1, 2}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert collections.Counter(p.doc_id for p in pieces if p.piece == 0) == copies
+
+
+def test_pipeline_stages_take_any_documents(spark):
+    """Null and repeated identifiers, null, empty and repeated texts, columns with names of the operators' own, and no rows at all."""
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base, None), (1, base + " x", "a"), (None, base, "a"), (None, None, None), (4, "", "b"), (4, "", "b"), (6, "entirely different words stand in here", "b")]
+    schema = "doc_id long, text string, source string, lang string, n_chars long, kept string, run int, label string, node string, id string"
+    for some in (rows, []):
+        docs = spark.createDataFrame([(i, t, s, "en", 1, "k", 2, "l", "n", "i") for i, t, s in some], schema)
+        columns, before = docs.columns, len(some)
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.staged(step(spark, docs, SF), "test")
+            assert docs.columns == columns, name
+            if name != "mixing":
+                assert docs.count() <= before
+                before = docs.count()
+        if some:
+            assert docs.select("kept", "run", "id").distinct().collect() in ([("k", 2, "i")], [])
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 0

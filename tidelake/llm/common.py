@@ -51,6 +51,11 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, staged, with the column __row: a number for each row, whatever its identifiers are."""
+    return stage(df.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Frees a staged table that no lazy frame reads any more."""
     jvm = spark.sparkContext._jvm

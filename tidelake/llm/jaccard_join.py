@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.blocks import Block, WordHashes, answer, as_blocks, ask, mixed, parts_for, read_blocks, total_bytes
-from tidelake.llm.common import batches_of, drop_staged, remove_path, stage
+from tidelake.llm.common import batches_of, drop_staged, numbered, remove_path, stage
 from tidelake.llm.components import components
 
 ORDERS, CELL = 3, 200
@@ -272,6 +272,15 @@ def _settled(groups: DataFrame, classes: DataFrame, labels: DataFrame, percent:
     return links
 
 
+def keep_first_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each component the one with the smallest identifier (null is the largest), one only if several have it."""
+    rows = numbered(docs, "near")
+    found = near_duplicates(rows, "__row", text_col, **options).select(F.col("id").alias("__id"), "component_id")
+    named = rows.select("__row", F.col(id_col).alias("__of")).join(found, F.col("__row") == F.col("__id"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("__of").isNull().alias("none"), F.col("__of").alias("of"), F.col("__row").alias("row"))).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("__first")), F.col("__row") == F.col("__first"), "left_semi").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """One row a document: id, n_shingles, component_id."""
     sets = _sets(as_blocks(docs, id_col, text_col), words, percent)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import salt_count, salted_rank, stage, word_count
+from tidelake.llm.common import numbered, salt_count, salted_rank, stage, word_count
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -43,7 +43,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
     filled = (
         ranked.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
         .withColumn("stopped", F.coalesce(F.sum("limit").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("rate", (F.col("budget") - F.col("stopped")) / F.col("open"))
     )
     # The first source in this order that the rate doesn't fill sets the rate of all after it.
@@ -77,8 +77,9 @@ def mix_copies(
     return both.withColumn("copies", copies).select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as often as it is emitted.  Identifiers should be unique; a row is emitted by the copies of its identifier."""
-    copies = mix_copies(docs, id_col, **options).groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    both = docs.join(copies, docs[id_col].eqNullSafe(F.col("__id")))
-    return both.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of docs with all their columns, each as often as it is emitted.  Rows are told apart by numbers of their own, so identifiers may repeat or lack."""
+    rows = numbered(docs, "mixed")
+    copies = mix_copies(rows, "__row", **options).select(F.col("id").alias("__id"), F.col("copies").alias("__copies")).filter("__copies > 0")
+    both = rows.join(copies, F.col("__row") == F.col("__id"))
+    return both.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

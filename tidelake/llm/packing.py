@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.blocks import read_blocks
-from tidelake.llm.common import salt_count, salted_rank, small_batches, stage, worker_state
+from tidelake.llm.common import salt_count, salted_rank, stage, text_batches, worker_state
 
 
 #: Each byte's sign in a byte-level vocabulary: itself if it is printable, else one from 256 on, in order.
@@ -49,6 +49,7 @@ BYTE_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enum
 class StretchIds:
     """Token ids by stretch of text without white space.
 
+    That holds only where white space separates tokens and makes none: a tokenizer for which it doesn't is refused.
     A stretch of lower-case Latin letters, perhaps with one comma or full stop behind it, is one word of the
     model, and goes to the model itself; all others take the tokenizer's whole way.
     """
@@ -59,6 +60,9 @@ class StretchIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_str(tokenizer_json), most
         self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+        alike = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids == [i for x in text.split() for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
+        if not all(map(alike, ("a b", "the  cat\tsat", "x\n\ny 12", " end "))):
+            raise ValueError("this tokenizer makes tokens of white space: texts can't be taken apart at it")
         # Only a tokenizer that does as said above is taken apart; any other is asked for each stretch.
         probe = ["thé", "zzxy,", "añob.", "the"]
         self.plain = [self._word(x) for x in probe] == [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe] and self._lowers()
@@ -127,7 +131,6 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, size: int, end_id: int, id_c
                 rows += [(i, k, a, min(size, n - a), zlib.crc32(data[4 * a : 4 * (a + size)])) for k, a in enumerate(range(0, n, size))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit("").alias("file"), F.lit(0).alias("at"))
     return rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
 
@@ -177,7 +180,8 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stage(pieces_of(docs, Path(tokenizer_path).read_text(encoding="utf-8"), size, end_id, id_col, text_col), "pieces")
+    with text_batches(docs.sparkSession):
+        pieces = stage(pieces_of(docs, Path(tokenizer_path).read_text(encoding="utf-8"), size, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     salts = salt_count(sum(counts.values()))
     cells = pieces.withColumn("salt", F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(salts)).cast("int"))
