@@ -12,14 +12,13 @@ of documents with all their columns:
 A stage is written as Parquet in the shared folder and read again as the next one's documents.  SQL can't express
 stages 1, 3 and 5, so there is no SQL for the whole; tests hold the stages against brute force.
 
-Identifiers of documents should be unique.  Null texts are empty, null identifiers stay documents of
-their own, empty tables give empty results, further columns are carried along.
+Null texts are empty.  Rows with repeated or null identifiers are documents of their own in every stage, empty
+tables give empty results, further columns are carried along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelake.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from tidelake.llm.common import stage as staged
@@ -37,9 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs)
-    first = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
+    return jaccard_join.keep_first_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
