@@ -235,7 +235,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets all when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -78,7 +78,7 @@ class Features:
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Feature numbers and values of each text."""
-        if len(self.numbers) > 500_000:
+        if len(self.numbers) > 200_000:
             self.clear()
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         rows = [np.fromiter(map(self.numbers.__getitem__, w), np.int64, len(w)) for w in split]
