@@ -118,7 +118,8 @@ def interval_text(lo: Column, hi: Column, digits: int) -> Column:
 
 
 def scientific(x: Column, digits: int) -> Column:
-    """Significant digits and a power of ten in superscript."""
+    """Significant digits and a power of ten in superscript.  Like all formats here it rounds the shortest decimal that names the number, halves up;
+    tools that round the binary number itself print some halves one lower (1.05e-19 as 1.0, here 1.1)."""
     parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
     return F.concat(parts[0], F.lit(" \u00d7 10"), F.translate(parts[1].cast("int").cast("string"), "0123456789-", "\u2070\u00b9\u00b2\u00b3\u2074\u2075\u2076\u2077\u2078\u2079\u207b"))
 

@@ -103,10 +103,10 @@ def h22(spark, sf):
 
 
 @query("h23_h30_formats", """SELECT s_suppkey, replace(printf('%+.2f', s_acctbal), '-', '−') AS signed, replace(printf('[%+.2f, %+.2f]', s_acctbal - 10, s_acctbal + 10), '-', '−') AS ci, regexp_replace(printf('%.2g', s_suppkey / 2003.0::DOUBLE), '^0+', '') AS p, regexp_replace(printf('%.2g', s_suppkey / 200300000.0::DOUBLE), '^0+', '') AS tiny, printf('%.1f%%', 100 * s_suppkey / 2003.0::DOUBLE) AS pct,
-split_part(printf('%.1e', s_suppkey / 2e20::DOUBLE), 'e', 1) || ' × 10' || translate(split_part(printf('%.1e', s_suppkey / 2e20::DOUBLE), 'e', 2)::INT::VARCHAR, '0123456789-', '⁰¹²³⁴⁵⁶⁷⁸⁹⁻') AS sci, CASE WHEN s_suppkey / 2003.0 < 0.001 THEN '***' WHEN s_suppkey / 2003.0 < 0.01 THEN '**' WHEN s_suppkey / 2003.0 < 0.05 THEN '*' ELSE '' END AS stars FROM supplier""")
+split_part(printf('%.1e', s_suppkey / 3e20::DOUBLE), 'e', 1) || ' × 10' || translate(split_part(printf('%.1e', s_suppkey / 3e20::DOUBLE), 'e', 2)::INT::VARCHAR, '0123456789-', '⁰¹²³⁴⁵⁶⁷⁸⁹⁻') AS sci, CASE WHEN s_suppkey / 2003.0 < 0.001 THEN '***' WHEN s_suppkey / 2003.0 < 0.01 THEN '**' WHEN s_suppkey / 2003.0 < 0.05 THEN '*' ELSE '' END AS stars FROM supplier""")
 def h23(spark, sf):
     b, p = F.col("s_acctbal"), F.col("s_suppkey") / 2003.0
-    return table(spark, sf, "supplier").select("s_suppkey", H.signed(b, 2).alias("signed"), H.interval_text(b - 10, b + 10, 2).alias("ci"), H.p_text(p).alias("p"), H.p_text(F.col("s_suppkey") / F.lit(200300000.0)).alias("tiny"), H.percent(p, 1).alias("pct"), H.scientific(F.col("s_suppkey") / F.lit(2e20), 2).alias("sci"), H.stars(p).alias("stars"))
+    return table(spark, sf, "supplier").select("s_suppkey", H.signed(b, 2).alias("signed"), H.interval_text(b - 10, b + 10, 2).alias("ci"), H.p_text(p).alias("p"), H.p_text(F.col("s_suppkey") / F.lit(200300000.0)).alias("tiny"), H.percent(p, 1).alias("pct"), H.scientific(F.col("s_suppkey") / F.lit(3e20), 2).alias("sci"), H.stars(p).alias("stars"))
 
 
 @query("h24_h26_lines", "WITH l AS (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity DESC, l_partkey) AS w FROM lineitem GROUP BY 1) SELECT l_orderkey, w[1] AS first, w[-1] AS last, list_max(w) - list_min(w) AS steep, round(list_stddev_pop(w), 6) AS sd, list_position(w, w[-1]) AS place FROM l")
