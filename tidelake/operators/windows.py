@@ -159,3 +159,13 @@ def quota(df: DataFrame, band: str, targets: dict[str, int], order: list[str]) -
     target = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))])
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(band).orderBy(*order)))
     return ranked.filter(F.col("__r") <= F.coalesce(F.element_at(target, F.col(band)), F.lit(0))).drop("__r")
+
+
+def until_stalled(taken: DataFrame, at: str, stall: int) -> DataFrame:
+    """What a collector with a quota keeps: of the rows taken, those before the first gap of more than ``stall`` places, where it gives up.
+
+    The rows taken are as many as the targets add up to, so one window holds them.
+    """
+    w = Window.orderBy(at)
+    gap = F.coalesce(F.col(at) - F.lag(at).over(w) > stall, F.lit(False))
+    return taken.withColumn("__gap", gap).withColumn("__off", F.max("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("__off")).drop("__gap", "__off")

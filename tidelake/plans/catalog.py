@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    for name in ("join_queries", "aggregate_queries", "window_queries", "relational_queries", "scalar_queries", "estimator_queries", "stream_queries", "board_queries", "model_queries", "source_queries"):
+    for name in ("join_queries", "aggregate_queries", "window_queries", "relational_queries", "scalar_queries", "estimator_queries", "stream_queries", "board_queries", "model_queries", "source_queries", "service_queries"):
         if (Path(__file__).parent / f"{name}.py").exists():
             import_module(f"tidelake.plans.{name}")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,21 @@ def store_once(df: DataFrame, path: str, keys: list[str]) -> int:
     return n["n"] - before
 
 
+def write_draw(df: DataFrame, path: str, draw: int) -> bool:
+    """One draw of a resampling as a folder of its own, there whole or not at all: written aside, then renamed.  False if it was there."""
+    if exists(df, f"{path}/draw={draw}"):
+        return False
+    aside = f"{path}/_{draw}-{uuid.uuid4().hex}"  # scans pass over such names
+    df.write.parquet(aside)
+    jvm = df.sparkSession.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(f"{path}/draw={draw}")
+    files = new.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(new) or not files.rename(old, new):
+        files.delete(old, True)
+        return False
+    return True
+
+
 def exists(df: DataFrame, path: str) -> bool:
     jvm = df.sparkSession.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def events_stream(df: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -67,7 +69,61 @@ def with_quota(df: DataFrame, band: str, targets: dict[str, int], stall: int = 1
     return df.groupBy(band).applyInPandasWithState(quota_step(targets, band, stall), df.schema, "taken long", "append", "NoTimeout")
 
 
-def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
+def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Handles what there is and stops; the checkpoint resumes there."""
-    query = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def folded_by_key(df: DataFrame, key: str, at: str, start: tuple, step: Callable[[tuple, dict], tuple], state: str) -> DataFrame:
+    """A fold over each key's rows in order of ``at``, its state kept between batches: key and state after every batch that has rows of the key.
+
+    step(state, row) gives the next state.  Rows of a batch are sorted by key; a row that comes in a later batch
+    than its successors is folded when it comes.
+    """
+    kind = T.StructType.fromDDL(state)
+    out = T.StructType([df.schema[key], *kind])
+
+    def run(k, batches, held):  # noqa: ANN001, ANN202
+        now = held.get if held.exists else start
+        for row in pd.concat(list(batches)).sort_values(at, kind="stable").to_dict("records"):
+            now = step(now, row)
+        held.update(now)
+        yield pd.DataFrame([(k[0], *now)], columns=out.names)
+
+    return df.groupBy(key).applyInPandasWithState(run, out, kind, "update", "NoTimeout")
+
+
+def resetting(hit: Callable[[dict], bool], at: str, span: int, least: int = 2) -> tuple[tuple, Callable[[tuple, dict], tuple], str]:
+    """For folded_by_key(): events of ``least`` hits within ``span`` places; an event clears what was counted."""
+
+    def step(state: tuple, row: dict) -> tuple:
+        held, events = state
+        if not hit(row):
+            return state
+        held = [p for p in held if p >= row[at] - span] + [int(row[at])]
+        return ([], events + 1) if len(held) >= least else (held, events)
+
+    return ([], 0), step, "held array<bigint>, events int"
+
+
+def run_state(flag: Callable[[dict], bool]) -> tuple[tuple, Callable[[tuple, dict], tuple], str]:
+    """For folded_by_key(): length of the run under way, runs begun, rows in runs."""
+
+    def step(state: tuple, row: dict) -> tuple:
+        length, runs, total = state
+        return (length + 1, runs + (length == 0), total + 1) if flag(row) else (0, runs, total)
+
+    return (0, 0, 0), step, "length int, runs int, total int"
+
+
+def last_states(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of an update stream: each batch in a folder of its own, written anew if the batch is repeated."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
+def read_last(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last state of each key that last_states() wrote."""
+    rows = spark.read.parquet(path)
+    kept = F.struct(*[c for c in rows.columns if c != "batch"])
+    return rows.groupBy(key).agg(F.max_by(kept, "batch").alias("__x")).select("__x.*")
