@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import chat, exact_dedup, jaccard_join, mixing, packing, quality, secrets, substring_dedup, topk_search, warc
+from tidelake.llm import chat, divergence, exact_dedup, jaccard_join, mixing, packing, quality, secrets, substring_dedup, token_counts, topk_search, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +73,48 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Parts and entries in long form; a round is a join of parts and entries, the best entry of each part, and means by entry."""
+    assigned = """a{k} AS MATERIALIZED (SELECT row, part, min(struct_pack(far := far, entry := entry)) AS best FROM
+  (SELECT x.row, x.part, b.entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM x JOIN b{k} b ON b.part = x.part) GROUP BY row, part)"""
+    means = """u{k} AS (SELECT part, entry, list(m ORDER BY i) AS v FROM (SELECT a.part, a.best.entry AS entry, i, floor_div(sum(x.v[i])::BIGINT, count(*)) AS m
+  FROM a{k} a JOIN x ON x.row = a.row AND x.part = a.part, (SELECT unnest(range(1, (SELECT max(len(v)) FROM x) + 1)) AS i) GROUP BY ALL) GROUP BY ALL),
+b{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(u.v, b.v) AS v FROM b{k} b LEFT JOIN u{k} u ON u.part = b.part AND u.entry = b.entry)"""
+    steps = ",\n".join(x for k in range(rounds) for x in (assigned.format(k=k), means.format(k=k, n=k + 1)))
+    steps = steps.replace("floor_div(sum(x.v[i])::BIGINT, count(*))", "((sum(x.v[i]) - ((sum(x.v[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT")
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT row, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM e, (SELECT unnest(range(4)) AS part)),
+b0 AS MATERIALIZED (SELECT part, row AS entry, v FROM x WHERE row < 256),
+{steps},
+{assigned.format(k=rounds)},
+r AS (SELECT row, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, sum(best.far)::BIGINT AS error FROM a{rounds} GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds})
+SELECT e.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM e JOIN r USING (row), h"""
+
+
 ORACLE: dict[str, str] = {
     "op1_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -123,6 +159,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS lang_n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM x GROUP BY ALL),
+p AS (SELECT x.lang, x.source, x.term, x.n, 1 + (1000000000 * (x.n + 5)) // (s.total + 5 * l.v) AS p, 1 + (1000000000 * (x.lang_n + 5)) // (l.total + 5 * l.v) AS q
+  FROM x JOIN s USING (lang, source) JOIN l USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE C) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM o WHERE part = 'pair' OR rank <= 50""",
+    "op13_vector_codes": _vector_codes_sql(),
 }
 
 
