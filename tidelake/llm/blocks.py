@@ -1,15 +1,12 @@
 """Questions of all blocks of a corpus at once: how often does each of my hashes occur in all blocks?
 
-A *block* is a run of rows of one input split, of about ``max_bytes`` of text.  Splits and
-the order of rows in them don't change from one scan to the next, so a block can be
-built again in a later pass, or after the loss of an executor, and be told its
-answer by number.  Each block sends, once each, its distinct hashes with their
+A *block* is a run of rows of about ``max_bytes`` of text.  Blocks are cut once and staged, a row a block, with
+their numbers (as_blocks()).  So however later passes are planned, and with whatever cores or executors
+they run, a block is the same and is told its answer by number.  Each block sends, once each, its distinct hashes with their
 counts to the parts that own their leading bits; a part adds up and replies with
 one count a hash, in the order of the request.  So a hash that a third of all rows
 holds makes one entry a block, no row is sent back, and replies are one small
 number a hash.  Replies are files by block in the shared folder.
-
-Rows that aren't a plain scan are staged first, see as_blocks().
 """
 
 from __future__ import annotations
@@ -23,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import new_path, small_batches, stage
+from tidelake.llm.common import new_path, stage
 
 MAX_BYTES = 6_000_000
 
@@ -60,26 +58,6 @@ def write_file(uri: str, name: str, parts: Iterator[bytes]) -> None:
         store.delete_file(own)
 
 
-def _is_plain_scan(df: DataFrame) -> bool:
-    node = df._jdf.queryExecution().optimizedPlan()
-    while True:
-        kind = node.getClass().getSimpleName()
-        if kind == "LogicalRelation":
-            return True
-        if kind != "Project" or node.children().size() != 1:
-            return False
-        node = node.children().apply(0)
-
-
-def as_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, file, at: rows with the input split they are read from.  What isn't a plain scan of files is staged first."""
-    small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if not _is_plain_scan(rows):
-        rows = stage(rows, "blocks")
-    return rows.select("id", "text", F.input_file_name().alias("file"), F.input_file_block_start().alias("at"))
-
-
 @dataclass
 class Block:
     number: int
@@ -87,27 +65,39 @@ class Block:
     texts: list[bytes]
 
 
-def read_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int = MAX_BYTES) -> Iterator[Block]:
-    """Cuts a task's rows into blocks. Null text is empty."""
-    split, k, ids, texts, held = None, 0, [], [], 0
-
-    def block() -> Block:
-        return Block(xxhash.xxh3_64_intdigest(f"{split}#{k}") >> 1, ids, texts)
-
+def runs(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Cuts a task's rows (id, text) into runs of about ``max_bytes`` of text. Null text is empty."""
+    ids, texts, held = [], [], 0
     for batch in batches:
-        marks = [f"{f}:{a}" for f, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        for mark, i, t in zip(marks, batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            if ids and (mark != split or held >= max_bytes):
-                yield block()
-                k, ids, texts, held = (k + 1 if mark == split else 0), [], [], 0
-            elif mark != split:
-                k = 0
-            split = mark
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            if ids and held >= max_bytes:
+                yield ids, texts
+                ids, texts, held = [], [], 0
             ids.append(i)
             texts.append(t or b"")
             held += len(texts[-1])
     if ids:
-        yield block()
+        yield ids, texts
+
+
+def as_blocks(df: DataFrame, id_col: str, text_col: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """block, ids, texts, bytes: the rows in numbered blocks, staged.  The caller frees them with drop_staged() once nothing reads them any more."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, (ids, texts) in enumerate(runs(batches, max_bytes)):
+            columns = [pa.array([task << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary())), pa.array([sum(map(len, texts))], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "texts", "bytes"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return stage(rows.mapInArrow(cut, "block long, ids array<long>, texts array<binary>, bytes long"), "blocks", compression="zstd")
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The blocks of a task, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Block(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
 
 
 def parts_for(total_bytes: int, bytes_a_part: int = 8_000_000, least: int = 64) -> int:
@@ -119,7 +109,7 @@ def parts_for(total_bytes: int, bytes_a_part: int = 8_000_000, least: int = 64)
 
 
 def total_bytes(blocks: DataFrame) -> int:
-    return blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return blocks.agg(F.sum("bytes")).first()[0] or 0
 
 
 def _pack(values: np.ndarray) -> bytes:

@@ -44,9 +44,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back with its own schema."""
     path, writer = new_path(df.sparkSession, name), df.write
+    writer = writer.option("compression", compression) if compression else writer
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,8 +71,11 @@ def drop_staged(df: DataFrame) -> None:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words as long; null has none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}|{SPACE}$", "")
+    """Number of words as long; null has none.
+
+    Only \\z is the end of a text and nothing else: in Java $ also holds before a last line end, U+0085, U+2028 and U+2029 among them.
+    """
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A{SPACE}|{SPACE}\z", "")
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
@@ -124,13 +128,6 @@ def worker_state(key: tuple, make: Callable):
     return held["value"]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Lowers the session's rows in an Arrow batch: rows here are whole texts, and a batch has to fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Rows in an Arrow batch of the jobs within."""

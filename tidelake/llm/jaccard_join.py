@@ -116,6 +116,7 @@ def _sets(blocks: DataFrame, words: int, percent: int) -> DataFrame:
 
     sets = stage(blocks.mapInArrow(finish, "id long, n long, digest binary, shared int, tokens binary, counts binary"), "sets")
     remove_path(blocks.sparkSession, replies)
+    drop_staged(blocks)
     return sets
 
 

@@ -19,19 +19,25 @@ source.  Offsets are a hash of the source and the seed: reruns agree.
 Defined cases: null text has size 0.  A null source is a source of its own, last
 in order.  Documents of size 0 take their turn and add nothing.  Without words
 all targets are 0 and nothing is taken.  Rows with equal identifier are
-documents of their own.  An empty table gives an empty mix.  Other columns
+documents of their own.  Identifiers may be of any type; those that aren't numbers are dealt by their text as all others are.  An empty table gives an empty mix.  Other columns
 aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.llm.common import numbered, salt_count, salted_rank, stage, word_count
 
 
+def hashed_salt(id_: Column, salts: int) -> Column:
+    """A salt from a hash of the identifier's text, that any engine can make: multiples of some number, and texts, spread as well as other identifiers."""
+    mark = F.md5(F.coalesce(id_.cast("string"), F.lit("")))
+    return F.pmod(F.conv(F.substring(mark, 1, 8), 16, 10).cast("long"), F.lit(salts)).cast("int")
+
+
 def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """source, source_size -> source, source_size, target, offset place.  One row a source; their number, not the rows, is what meets here."""
     everything = Window.partitionBy(F.lit(0))
@@ -63,7 +69,7 @@ def mix_copies(
     # Size class: 8 classes to a doubling, from the leading four bits.
     power = F.length(F.bin(F.greatest(F.col("size"), F.lit(1)))) - 1
     level = F.when(F.col("size") == 0, F.lit(-1)).otherwise(power * 8 + F.floor(F.col("size") * 8 / F.pow(F.lit(2.0), power)) - 8).cast("int")
-    cells = sized.withColumns({"level": level, "salt": F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(salts)).cast("int")})
+    cells = sized.withColumns({"level": level, "salt": hashed_salt(F.col("id"), salts)})
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = targets.select(F.col("source").alias("__source"), "source_size", "target")
     attach = lambda starts: starts.join(targets, starts["__c0"].eqNullSafe(targets["__source"])).drop("__source")

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.blocks import read_blocks
+from tidelake.llm.blocks import runs
 from tidelake.llm.common import salt_count, salted_rank, stage, text_batches, worker_state
 
 
@@ -124,14 +124,14 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, size: int, end_id: int, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_state(("stretches", hash(tokenizer_json)), lambda: StretchIds(tokenizer_json))
         end = np.array([end_id], np.uint32)
-        for block in read_blocks(batches, 4_000_000):
+        for own, texts in runs(batches, 4_000_000):
             rows = []
-            for i, ids in zip(block.ids, table.ids(block.texts), strict=True):
+            for i, ids in zip(own, table.ids(texts), strict=True):
                 data, n = np.concatenate([ids, end]).astype("<u4").tobytes(), len(ids) + 1
                 rows += [(i, k, a, min(size, n - a), zlib.crc32(data[4 * a : 4 * (a + size)])) for k, a in enumerate(range(0, n, size))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit("").alias("file"), F.lit(0).alias("at"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
         pieces = stage(pieces_of(docs, Path(tokenizer_path).read_text(encoding="utf-8"), size, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     salts = salt_count(sum(counts.values()))
-    cells = pieces.withColumn("salt", F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(salts)).cast("int"))
+    cells = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     ranked = salted_rank(cells, ["length"], [], "salt", ["id", "piece", "ids_crc32"], "rank")
     # Intervals in order of (length, first rank): one search finds a piece's own.
     steps = np.array(sorted(plan(counts, size)), np.int64).reshape(-1, 4)

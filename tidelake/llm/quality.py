@@ -39,13 +39,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import drop_staged, small_batches, stage, text_batches, worker_state
+from tidelake.llm.common import drop_staged, stage, text_batches, worker_state
 
 BITS, SHARE_SCALE = 18, 6.0
 #: Least standard errors a feature may need to stay, and the folds by which one of these is chosen.
@@ -289,27 +288,25 @@ def _screened(taken: DataFrame, counts: np.ndarray) -> DataFrame:
     return added.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).mapInArrow(screen, "feature long, spreads array<double>")
 
 
-def scorer(model: Model):
-    """A function of a text column -> struct<expected_grade, p_top>."""
+def scorer(model: Model, step: int = 500):
+    """A function of a text column -> struct<expected_grade, p_top>.  A batch's texts are opened ``step`` at a time."""
 
-    @F.pandas_udf("expected_grade double, p_top double")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("expected_grade double, p_top double")
+    def score(texts: pa.Array) -> pa.Array:
         features = worker_state(("features",), Features)
-        z = np.array([float(model.weights[f] @ v) for f, v in features.of(texts.tolist())])
-        above = model.above(z)
-        return pd.DataFrame({"expected_grade": above.sum(1), "p_top": above[:, -1]})
+        some = (features.of(texts.slice(a, step).to_pylist()) for a in range(0, len(texts), step))
+        above = model.above(np.array([float(model.weights[f] @ v) for part in some for f, v in part]))
+        return pa.StructArray.from_arrays([pa.array(above.sum(1)), pa.array(above[:, -1])], names=["expected_grade", "p_top"])
 
     return score
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "rating") -> DataFrame:
     """docs with the struct column ``out``: expected_grade, p_top."""
-    small_batches(docs.sparkSession)
     return docs.withColumn(out, scorer(model)(F.col(text_col)))
 
 
 def select_top(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows whose probability of the top grade is at least ``least``."""
-    small_batches(docs.sparkSession)
     chosen: Column = scorer(model)(F.col(text_col))["p_top"] >= F.lit(least)
     return docs.filter(chosen)

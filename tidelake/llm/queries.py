@@ -140,7 +140,7 @@ h AS (SELECT *, (budget - stopped) / open AS rate FROM g),
 k AS (SELECT rate FROM h WHERE rate * w < lim ORDER BY lim / w LIMIT 1),
 t AS (SELECT h.source, h.total, least(lim, coalesce((SELECT rate FROM k) * w, lim)) AS target FROM h),
 n AS (SELECT greatest(256, (count(*) + 8191) // 8192) AS salts FROM d),
-e AS (SELECT d.*, CASE WHEN size = 0 THEN -1 ELSE (len(bin(size)) - 1) * 8 + floor(size * 8 / pow(2.0, len(bin(size)) - 1)) - 8 END AS level, doc_id % (SELECT salts FROM n) AS salt FROM d),
+e AS (SELECT d.*, CASE WHEN size = 0 THEN -1 ELSE (len(bin(size)) - 1) * 8 + floor(size * 8 / pow(2.0, len(bin(size)) - 1)) - 8 END AS level, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT salts FROM n) AS salt FROM d),
 p AS (SELECT e.*, row_number() OVER (PARTITION BY source ORDER BY level, salt, size, doc_id) - 1 AS place FROM e),
 q AS (SELECT p.doc_id, p.size, t.total, t.target, p.place, CASE WHEN t.total > 0 THEN t.target / t.total ELSE 0 END AS rate,
   ('0x' || substr(md5(coalesce('s' || p.source, 'n') || ':17'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
