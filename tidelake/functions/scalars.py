@@ -63,7 +63,7 @@ def last_segment(url: Column) -> Column:
 
 
 def digits_or_null(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit("^[0-9]+$")), text.try_cast("int"))
+    return F.when(F.rlike(text, F.lit("\\A[0-9]+\\z")), text.try_cast("int"))
 
 
 def time_control(text: Column) -> Column:

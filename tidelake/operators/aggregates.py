@@ -1,4 +1,4 @@
-"""Aggregations: weighted, two-stage, quantile, winsorised, tabulated.  Partial aggregation does the work; nothing is collected."""
+"""Aggregations: weighted, two-stage, quantile, winsorised, tabulated.  Partial aggregation does the work; nothing is collected.  Quantiles and ranks are those of operators.ranks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelake.operators.ranks import attach, exact_quantiles, global_rank
+
 
 def finite(*columns: str) -> Column:
     """All columns hold a number that is neither null nor NaN nor infinite."""
@@ -38,21 +40,24 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
-def quantiles(value: str, at: list[float]) -> Column:
-    """Exact quantiles with linear interpolation."""
-    return F.percentile(value, F.array(*[F.lit(p) for p in at]))
+def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], name: str = "q") -> DataFrame:
+    """Exact quantiles with linear interpolation, by group: keys, n, and an array in the order of ``at``."""
+    return exact_quantiles(df, keys, value, at, name)
 
 
 def winsorised(df: DataFrame, value: str, p: float, name: str) -> DataFrame:
     """Adds the cut (quantile p of all rows) and the value clipped at it; the raw value stays."""
-    cut = df.agg(F.percentile(value, F.lit(p)).alias("winsor_cut"))  # one row
+    cut = exact_quantiles(df, [], value, [p], "__q").select(F.col("__q")[0].alias("winsor_cut"))  # one row
     return df.join(F.broadcast(cut)).withColumn(name, F.when(F.col(value).isNotNull(), F.least(value, "winsor_cut")))
 
 
-def distribution(value: str) -> list[Column]:
-    """n, mean, sd, min, p10, p25, p50, p75, p90, max."""
+def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, mean, sd, min, p10, p25, p50, p75, p90, max.  Null and NaN values don't count."""
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    moments = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
     at = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), *[F.percentile(value, F.lit(p)).alias(k) for k, p in at.items()], F.max(value).alias("max")]
+    both = attach(moments, exact_quantiles(rows, keys, value, [*at.values()], "__q").drop("n"), keys)
+    return both.select(*keys, "n", "mean", "sd", "min", *[F.col("__q")[i].alias(k) for i, k in enumerate(at)], "max")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,13 +68,11 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, keys: list[str], tie: list[str], average: bool) -> DataFrame:
-    """Spearman by group: average ranks of ties, or ordinal ones by ``tie``."""
-    out = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    """Spearman by group: average ranks of ties, or ordinal ones by ``tie``.  Groups are ranked over ranges, whatever their size."""
+    out = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*dict.fromkeys([*keys, a, b, *tie]))
     for c, name in ((a, "__ra"), (b, "__rb")):
-        w = Window.partitionBy(*keys)
-        r = F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2 if average else F.row_number().over(w.orderBy(c, *tie))
-        out = out.withColumn(name, r.cast("double"))
-    return out.groupBy(*keys).agg(F.corr("__ra", "__rb").alias("rho"))
+        out = global_rank(out, keys, [c], name, "average" if average else "ordinal", then=[t for t in tie if t != c])
+    return out.groupBy(*keys).agg(F.corr(F.col("__ra").cast("double"), F.col("__rb").cast("double")).alias("rho"))
 
 
 def crosstab_chi2(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -92,8 +95,10 @@ def pooled_variance(df: DataFrame, group: list[str], within: list[str], value: s
 
 def mad_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """1.4826 times the median absolute deviation from the group's median."""
-    mid = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    return df.join(mid, keys).withColumn("__d", F.abs(F.col(value) - F.col("median"))).groupBy(*keys).agg(F.first("median").alias("median"), (F.percentile("__d", F.lit(0.5)) * 1.4826).alias("scale"))
+    mid = exact_quantiles(df, keys, value, [0.5], "__q").select(*keys, F.col("__q")[0].alias("median"))
+    off = attach(df.select(*keys, value), mid, keys).withColumn("__d", F.abs(F.col(value) - F.col("median")))
+    spread = exact_quantiles(off, keys, "__d", [0.5], "__q").select(*keys, (F.col("__q")[0] * 1.4826).alias("scale"))
+    return attach(mid, spread, keys).select(*keys, "median", "scale")
 
 
 def with_total(df: DataFrame, band: str, aggregates: list[Column], label: str = "ALL") -> DataFrame:

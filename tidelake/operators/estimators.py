@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.functions import tails
+from tidelake.operators.ranks import exact_quantiles, global_rank
 from tidelake.operators.windows import top_of
 
 
@@ -164,7 +165,7 @@ def hinge_grid(df: DataFrame, y: str, x: str, cuts: list[float]) -> DataFrame:
 
 def segmented(df: DataFrame, y: str, x: str, points: int = 81) -> DataFrame:
     """Breakpoint of least residual sum over a grid from the 10th to the 90th percentile, the F test against a line, and the profile interval."""
-    lo, hi = df.agg(F.percentile(x, F.array(F.lit(0.1), F.lit(0.9)))).first()[0]
+    lo, hi = exact_quantiles(df, [], x, [0.1, 0.9]).first()["q"]
     grid = hinge_grid(df, y, x, np.linspace(lo, hi, points).tolist())
     rows = sorted(((r["rss"], r["cut"], r["b1"], r["b2"], r["n"]) for r in grid.collect()))  # one row a grid point
     xx, xy, yy, n = gram(df.dropna(subset=[x, y]), [x], y)
@@ -224,7 +225,7 @@ def draw_counts(units: DataFrame, unit: str, draws: int, seed: int) -> DataFrame
     made by an aggregation, not on the driver.
     """
     n = units.count()
-    ranked = units.select(unit, (F.row_number().over(Window.orderBy(unit)) - 1).alias("__rank"))  # one row a unit
+    ranked = global_rank(units.select(unit), [], [unit], "__r").select(unit, (F.col("__r") - 1).alias("__rank"))
     picks = units.sparkSession.range(n * draws).select((F.col("id") % draws).alias("draw"), (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") % n).alias("__rank"))
     return picks.groupBy("draw", "__rank").agg(F.count(F.lit(1)).alias("cnt")).join(ranked, "__rank").select(unit, "draw", "cnt")
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelake.operators.ranks import attach, exact_quantiles, global_rank, order_statistics
+from tidelake.sources.staging import staged
+
 
 def adjacent_lag(value: str, at: str, keys: list[str], by: int) -> Column:
     """value of the row ``by`` places before, if that row's place is exactly at - by; a negative ``by`` looks ahead."""
@@ -51,12 +54,17 @@ def first_place(p: Column, at: str) -> Column:
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
     """Equal-frequency bins, right-closed, the lowest value included, equal edges dropped; numbered from 0."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.agg(F.array_distinct(F.percentile(value, points)).alias("__edges"))  # one row
+    edges = exact_quantiles(df, [], value, [i / bins for i in range(bins + 1)], "__edges").select(F.array_distinct("__edges").alias("__edges"))  # one row
     inner = F.slice("__edges", 2, F.greatest(F.size("__edges") - 2, F.lit(0)))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(value))))).drop("__edges")
 
 
+def digitized(df: DataFrame, value: str, at: list[float], name: str) -> DataFrame:
+    """Left-closed bins between quantiles of all rows: how many of them the value reaches."""
+    cuts = exact_quantiles(df, [], value, at, "__cuts").select("__cuts")  # one row
+    return df.join(F.broadcast(cuts)).withColumn(name, F.size(F.filter("__cuts", lambda x: x <= F.col(value)))).drop("__cuts")
+
+
 def standardised(df: DataFrame, columns: list[str], keys: list[str] | None = None, sample_sd: bool = True) -> DataFrame:
     """<column>_z; 0 where the deviation is 0.  Statistics come by a join with their own small table, not by a sort."""
     sd = F.stddev_samp if sample_sd else F.stddev_pop
@@ -77,38 +85,32 @@ def standardised_by(df: DataFrame, train: DataFrame, columns: list[str]) -> Data
     return both.withColumns(out).drop(*[f"__{k}{i}" for k in "ms" for i in range(len(columns))])
 
 
-def top_of(df: DataFrame, score: str, tie: str, q: float, fold: str | None, name: str) -> DataFrame:
+def top_of(df: DataFrame, score: str, tie: str, q: float, fold: str | list[str] | None, name: str) -> DataFrame:
     """Marks the round(q n) best rows of each fold (or of all), half to even, ties by ``tie``.
 
-    ``tie`` tells rows of a fold apart; null scores come last.  No task sorts a fold: the score at the share's edge comes from counts by score, and only rows that
-    have just that score are ranked.
+    ``tie`` tells rows of a fold apart; null and NaN scores come last.  No fold is sorted: the score at the share's edge is an order statistic, and of the rows
+    that have just that score the ranks by ``tie`` give the last one that is in.
     """
-    keys = [fold] if fold else []
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    # Counts by score are partial aggregates; the running count over distinct scores is by coarse ranges of score first.
-    scores = df.groupBy(*keys, F.col(score).alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
-    low, width = _span(scores, "__s")
-    coarse = scores.withColumn("__b", F.least(F.lit(4095), F.greatest(F.lit(0), F.floor((F.col("__s").cast("double") - low) / width))).cast("int"))
-    totals = coarse.groupBy(*keys, "__b").agg(F.sum("__c").alias("__t"))
-    totals = totals.withColumn("__above", F.coalesce(F.sum("__t").over(part.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__t").over(part))
-    totals = totals.withColumn("__k", F.bround(F.col("__n") * F.lit(q)).cast("long"))
-    edge = totals.filter((F.col("__above") < F.col("__k")) & (F.col("__above") + F.col("__t") >= F.col("__k"))).select(*keys, "__b", "__above", "__k")
-    near = coarse.join(edge, [*keys, "__b"])
-    before = F.col("__above") + F.coalesce(F.sum("__c").over(part.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = near.withColumn("__above", before).filter((F.col("__above") < F.col("__k")) & (F.col("__above") + F.col("__c") >= F.col("__k"))).select(*[F.col(k).alias("__f") for k in keys], F.col("__s").alias("__cut"), (F.col("__k") - F.col("__above")).alias("__left"))
-    both = df.join(F.broadcast(cut), df[fold].eqNullSafe(F.col("__f")) if fold else F.lit(True), "left")  # a row a fold
-    tied = both.filter(F.col(score).eqNullSafe(F.col("__cut"))).select(*keys, tie, "__left").withColumn("__r", F.row_number().over(part.orderBy(tie))).filter("__r <= __left").select(F.col(tie).alias("__t"), *[F.col(k).alias("__g") for k in keys])
-    same = (both[tie] == F.col("__t")) & F.col(score).eqNullSafe(F.col("__cut")) & (F.col("__f").eqNullSafe(F.col("__g")) if fold else F.lit(True))
-    out = both.join(tied, same, "left").withColumn(name, F.coalesce(F.col(score) > F.col("__cut"), F.col("__cut").isNull() & F.col("__left").isNotNull() & F.col(score).isNotNull()) | F.col("__t").isNotNull())
-    return out.select(*df.columns, name)
-
-
-def _span(df: DataFrame, value: str, bins: int = 4096) -> tuple[float, float]:
-    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    return low or 0.0, max(1e-300, ((high or 0.0) - (low or 0.0)) / bins)
-
-
-def top_share(df: DataFrame, score: str, tie: str, q: float, fold: str | None) -> DataFrame:
+    keys = [fold] if isinstance(fold, str) else list(fold or [])
+    value = F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+    rows = df.withColumn("__s", value)
+    share = lambda n: F.bround(n * F.lit(q)).cast("long")
+    cut = order_statistics(rows, keys, "__s", lambda n: F.array(n - share(n)), [1 - q])
+    cut = staged(cut.select(*keys, F.col("value").alias("__cut"), (share(F.col("n")) - (F.col("n") - F.col("below") - F.col("equal"))).alias("__left"), F.col("equal").alias("__equal")), "cuts")
+    both = attach(rows, cut, keys, "left")
+    split = F.col("__left") < F.col("__equal")
+    if cut.filter(split).isEmpty():
+        last = F.lit(True)
+        marked = both
+    else:
+        tied = both.filter(split & (F.col("__s") == F.col("__cut"))).select(*keys, tie, "__left")
+        ends = global_rank(tied, keys, [tie], "__r").filter("__r <= __left").groupBy(*keys).agg(F.max(tie).alias("__last"))
+        marked = attach(both, ends, keys, "left")
+        last = ~split | (F.col(tie) <= F.col("__last"))
+    return marked.withColumn(name, F.coalesce((F.col("__s") > F.col("__cut")) | ((F.col("__s") == F.col("__cut")) & last), F.lit(False))).select(*df.columns, name)
+
+
+def top_share(df: DataFrame, score: str, tie: str, q: float, fold: str | list[str] | None) -> DataFrame:
     """The rows that top_of() marks."""
     return top_of(df, score, tie, q, fold, "__top").filter("__top").drop("__top")
 
@@ -141,17 +143,22 @@ def seeded_sample(df: DataFrame, id_: str, n: int, seed: int, keys: list[str] |
 
 def folds(df: DataFrame, unit: str, k: int, seed: int, name: str = "fold") -> DataFrame:
     """Folds of equal size over units in hash order."""
-    units = df.select(unit).distinct()
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(seeded_key(F.col(unit), seed), unit)) - 1
-    return df.join(units.withColumn(name, F.pmod(at, F.lit(k)).cast("int")), unit)
+    units = df.select(unit).distinct().withColumn("__h", seeded_key(F.col(unit), seed))
+    at = global_rank(units, [], ["__h", unit], "__r").select(unit, F.pmod(F.col("__r") - 1, F.lit(k)).cast("int").alias(name))
+    return df.join(at, unit)
+
+
+def hash_score(id_: Column, *marks: object) -> Column:
+    """A whole number below 2^52 from an identifier and marks, the same in any engine: a score to choose at random by."""
+    text = F.concat_ws(":", id_.cast("string"), *[m.cast("string") if isinstance(m, Column) else F.lit(str(m)) for m in marks])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def repeated_selection(df: DataFrame, id_: str, fold: str, q: float, repeats: int, seed: int) -> DataFrame:
-    """Share of ``repeats`` random selections of round(q n) rows a fold in which each row is selected."""
+    """Share of ``repeats`` random selections of round(q n) rows a fold in which each row is selected: those of smallest hash, ties by identifier."""
     many = df.select(id_, fold).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy(fold, "__rep")
-    ranked = many.withColumn("__r", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.col(id_).cast("string"), F.col("__rep").cast("string"), F.lit(str(seed)))), id_))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.groupBy(id_, fold).agg(F.avg((F.col("__r") <= F.bround(F.col("__n") * F.lit(q))).cast("int")).alias("p"))
+    scored = many.withColumn("__h", -hash_score(F.col(id_), F.col("__rep"), seed).cast("double"))
+    return top_of(scored, "__h", id_, q, [fold, "__rep"], "__in").groupBy(id_, fold).agg(F.avg(F.col("__in").cast("int")).alias("p"))
 
 
 def quota(df: DataFrame, band: str, targets: dict[str, int], order: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ def d6(spark, sf):
 
 @query("d7_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS a, round(quantile_cont(l_extendedprice, 0.5), 6) AS b, round(quantile_cont(l_extendedprice, 0.99), 6) AS c FROM lineitem GROUP BY 1")
 def d7(spark, sf):
-    q = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(A.quantiles("l_extendedprice", [0.05, 0.5, 0.99]).alias("q"))
+    q = A.quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.99])
     return q.select("l_returnflag", *[r6(F.col("q")[i]).alias(c) for i, c in enumerate("abc")])
 
 
@@ -59,7 +59,7 @@ def d8(spark, sf):
 
 @query("d9_distribution", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS min, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", max(value) AS max FROM events GROUP BY 1")
 def d9(spark, sf):
-    out = table(spark, sf, "events").groupBy("event_type").agg(*A.distribution("value"))
+    out = A.distribution(table(spark, sf, "events"), ["event_type"], "value")
     return out.select("event_type", "n", "min", "max", *[r6(F.col(c)).alias(c) for c in ("mean", "sd", "p10", "p25", "p50", "p75", "p90")])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.operators import windows as O
+from tidelake.operators.ranks import global_rank
 from tidelake.plans.catalog import query
 from tidelake.plans.tables import MOVES, moves, r6, table
 
@@ -71,9 +72,7 @@ def e9(spark, sf):
 
 @query("e10_digitize_shared_cuts", "WITH q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM events) SELECT event_id, len(list_filter(e, lambda x: x <= value)) AS bin FROM events, q")
 def e10(spark, sf):
-    ev = table(spark, sf, "events")
-    cuts = ev.agg(F.percentile("value", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("e"))  # one row
-    return ev.join(F.broadcast(cuts)).select("event_id", F.size(F.filter("e", lambda x: x <= F.col("value"))).alias("bin"))
+    return O.digitized(table(spark, sf, "events"), "value", [0.25, 0.5, 0.75], "bin").select("event_id", "bin")
 
 
 @query("e11_bands", "SELECT c_custkey, least(floor(c_acctbal / 500) * 500, 8000)::INT AS band, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'normal' ELSE 'rich' END AS label FROM customer")
@@ -114,12 +113,7 @@ def e16(spark, sf):
 
 @query("e17_surrogate_key", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS row_id FROM orders")
 def e17(spark, sf):
-    # Ranks by customer and running counts of customers: no task holds all rows.
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    blocks = o.groupBy(F.floor(F.col("o_custkey") / 64).alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    starts = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    local = F.row_number().over(Window.partitionBy("block").orderBy("o_custkey", "o_orderkey")) - 1
-    return o.withColumn("block", F.floor(F.col("o_custkey") / 64)).withColumn("local", local).join(starts, "block").select("o_orderkey", (F.col("start") + F.col("local")).alias("row_id"))
+    return global_rank(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), [], ["o_custkey", "o_orderkey"], "r").select("o_orderkey", (F.col("r") - 1).alias("row_id"))
 
 
 @query("e18_top_share_by_fold", "WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, o_orderpriority FROM r WHERE r <= round_even(n * 0.05, 0)")
@@ -182,9 +176,9 @@ def e29(spark, sf):
     return O.folds(table(spark, sf, "events"), "user_id", 5, 17).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))
 
 
-@query("e30_selection_probability", "WITH c AS (SELECT c_custkey, c_mktsegment, rep FROM customer, (SELECT unnest(range(20)) AS rep)), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, rep ORDER BY md5(c_custkey || ':' || rep || ':2'), c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment, rep) AS n FROM c) SELECT c_custkey, c_mktsegment, round(avg((r <= round_even(n * 0.1, 0))::INT), 6) AS p FROM r GROUP BY 1, 2")
+@query("e30_selection_probability", "WITH c AS (SELECT c_custkey, c_mktsegment, rep FROM customer, (SELECT unnest(range(200)) AS rep)), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, rep ORDER BY ('0x' || substr(md5(c_custkey || ':' || rep || ':2'), 1, 13))::BIGINT, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment, rep) AS n FROM c) SELECT c_custkey, c_mktsegment, round(avg((r <= round_even(n * 0.1, 0))::INT), 6) AS p FROM r GROUP BY 1, 2")
 def e30(spark, sf):
-    return O.repeated_selection(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", 0.1, 20, 2).withColumn("p", r6(F.col("p")))
+    return O.repeated_selection(table(spark, sf, "customer"), "c_custkey", "c_mktsegment", 0.1, 200, 2).withColumn("p", r6(F.col("p")))
 
 
 @query("e31_quota", "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE r <= CASE c_mktsegment WHEN 'BUILDING' THEN 7 WHEN 'MACHINERY' THEN 12 ELSE 0 END")
