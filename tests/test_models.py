@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
 from tidelake.operators import formulas as N
+from tidelake.operators import mixed as X
 from tidelake.operators import models as M
 from tidelake.operators import windows as O
 from tidelake.plans import catalog
@@ -30,6 +31,15 @@ def _table(n=240, seed=3):
     return a, b, player, game, y
 
 
+def _nested_table(n=160, seed=3):
+    """Games of four rows, within players of twenty."""
+    r = np.random.default_rng(seed)
+    a, b = r.normal(size=n), r.normal(size=n) + 1
+    player, game = np.arange(n) // 20, np.arange(n) // 4
+    y = 2 + a - 0.5 * b + r.normal(size=n // 20)[player] + 0.7 * r.normal(size=n // 4)[game] + r.normal(size=n)
+    return a, b, player, game, y
+
+
 def _frame(spark, a, b, player, game, y):
     return spark.createDataFrame([(float(p), float(q), int(u), int(g), float(v)) for p, q, u, g, v in zip(a, b, player, game, y)], "a double, b double, player int, game int, y double")
 
@@ -62,64 +72,113 @@ def test_least_squares_with_large_means(spark):
     assert got["x"].coef == pytest.approx(slope, rel=1e-9) and got["x"].se == pytest.approx(math.sqrt(((yc - slope * xc) ** 2).sum() / 498 / (xc @ xc)), rel=1e-5)
 
 
-def _dense_ll(x, y, outer, inner, p, q):
-    """Log-likelihood of the nested model, profiled over coefficients and the residual variance, by the whole covariance matrix."""
+def _dense_reml(x, y, outer, inner, p, q):
+    """Restricted log-likelihood of the nested model, profiled over coefficients and the residual variance, by the whole covariance matrix; the coefficients, their covariance, and the variance."""
     v = np.eye(len(y)) + p * (outer[:, None] == outer) + q * ((outer[:, None] == outer) & (inner[:, None] == inner))
     w = np.linalg.inv(v)
-    beta = np.linalg.solve(x.T @ w @ x, x.T @ w @ y)
-    u = y - x @ beta
-    s2 = u @ w @ u / len(y)
-    return -0.5 * (len(y) * (math.log(2 * math.pi * s2) + 1) + np.linalg.slogdet(v)[1]), beta
-
-
-def test_nested_likelihood_is_the_dense_one(spark):
+    xx = x.T @ w @ x
+    beta = np.linalg.solve(xx, x.T @ w @ y)
+    u, free = y - x @ beta, len(y) - x.shape[1]
+    s2 = u @ w @ u / free
+    return -0.5 * (free * (math.log(2 * math.pi * s2) + 1) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(xx)[1]), beta, np.linalg.inv(xx) * s2, s2
+
+
+def _dense_fit(x, y, outer, inner, nested=True):
+    """The best ratios by a search without derivatives: ever smaller steps along both."""
+    at, step = np.log([0.1 if nested else 0.0 or 1e-300, 0.1]), 1.0
+    value = lambda a: _dense_reml(x, y, outer, inner, math.exp(a[0]) if nested else 0.0, math.exp(a[1]))[0]
+    best = value(at)
+    while step > 1e-5:
+        moves = [at + step * np.array(d) for d in ([(1, 0), (-1, 0)] if nested else []) + [(0, 1), (0, -1)]]
+        tried = [(value(np.maximum(m, -18.0)), k) for k, m in enumerate(moves)]
+        top, k = max(tried)
+        if top > best + 1e-12:
+            best, at = top, np.maximum(moves[k], -18.0)
+        else:
+            step /= 2
+    return at, best
+
+
+@pytest.mark.parametrize("most", [4_000_000, 64 * 3])
+def test_restricted_likelihood_and_its_derivatives_are_the_dense_ones(spark, most):
+    """With blocks of three units, every outer unit is dealt to several blocks."""
     a, b, player, game, y = _table(96)
     x = np.column_stack([np.ones(96), a])
-    likelihood = G.NestedLikelihood(_frame(spark, a, b, player, game, y), "y", ["a"], "player", "game")
-    for ll, p, q, beta, _, _ in likelihood.at({0: ([0.01, 1.0], [0.1, 3.0])})[0]:
-        dense, coef = _dense_ll(x, y, player, game, p, q)
-        assert ll == pytest.approx(dense) and beta == pytest.approx(coef)
-    likelihood.free()
+    likelihood = X.RestrictedLikelihood(_frame(spark, a, b, player, game, y).repartition(3), "y", ["a"], "game", "player", most=most)
+    assert (likelihood.blocks.filter("key is not null").count() > 0) == (most < 1000)
+    logs = np.log([[0.01, 0.1], [1.0, 3.0], [0.3, 1e-7]])
+    h = 1e-4
+    for point, at in zip(likelihood.at(np.zeros(3, int), logs), logs, strict=True):
+        value = lambda du, dv, at=at: _dense_reml(x, y, player, game, math.exp(at[0] + du), math.exp(at[1] + dv))[0]
+        ll, beta, cov, s2 = _dense_reml(x, y, player, game, *np.exp(at))
+        assert point.ll == pytest.approx(ll) and point.beta == pytest.approx(beta) and point.s2 == pytest.approx(s2) and point.cov.ravel() == pytest.approx(cov.ravel())
+        assert point.gradient == pytest.approx([(value(h, 0) - value(-h, 0)) / (2 * h), (value(0, h) - value(0, -h)) / (2 * h)], rel=1e-5, abs=1e-7)
+        assert point.hessian[0, 0] == pytest.approx((value(h, 0) - 2 * ll + value(-h, 0)) / h**2, rel=1e-3, abs=1e-4)
+        assert point.hessian[1, 1] == pytest.approx((value(0, h) - 2 * ll + value(0, -h)) / h**2, rel=1e-3, abs=1e-4)
+        assert point.hessian[0, 1] == pytest.approx((value(h, h) - value(h, -h) - value(-h, h) + value(-h, -h)) / (4 * h**2), rel=1e-3, abs=1e-4)
+
+
+def test_nested_variances_are_a_dense_solvers(spark):
+    a, b, player, game, y = _nested_table()
+    x = np.column_stack([np.ones(160), a, b])
+    at, best = _dense_fit(x, y, player, game)
+    _, beta, cov, s2 = _dense_reml(x, y, player, game, *np.exp(at))
+    got = {r.term: r for r in X.nested_intercepts(_frame(spark, a, b, player, game, y), "y", ["a", "b"], "player", "game").collect()}
+    assert [got[t].coef for t in ("const", "a", "b")] == pytest.approx(beta.tolist(), rel=1e-4, abs=1e-5) and [got[t].se for t in ("const", "a", "b")] == pytest.approx(np.sqrt(np.diag(cov)).tolist(), rel=1e-3)
+    assert [got[t].coef for t in ("sd_outer", "sd_inner", "sd_residual")] == pytest.approx([math.sqrt(math.exp(at[0]) * s2), math.sqrt(math.exp(at[1]) * s2), math.sqrt(s2)], rel=1e-3, abs=2e-3)
+
+
+def test_one_variance_is_a_dense_solvers(spark):
+    a, b, player, game, y = _nested_table(100)
+    x = np.column_stack([np.ones(100), a])
+    for fit, outer, inner in ((lambda d: X.inner_only(d, "y", ["a"], "player", "game"), player, game), (lambda d: X.random_intercept(d, "y", ["a"], "player"), np.zeros(100, int), player)):
+        at, _ = _dense_fit(x, y, outer, inner, nested=False)
+        _, beta, _, s2 = _dense_reml(x, y, outer, inner, 0.0, math.exp(at[1]))
+        got = {r.term: r.coef for r in fit(_frame(spark, a, b, player, game, y)).collect()}
+        assert [got["const"], got["a"]] == pytest.approx(beta.tolist(), rel=1e-4) and [got["sd_unit"], got["sd_residual"]] == pytest.approx([math.sqrt(math.exp(at[1]) * s2), math.sqrt(s2)], rel=1e-3, abs=2e-3)
+
+
+def test_a_variance_that_is_none(spark):
+    """Outcomes that differ less between units than by chance: the ratio ends at its bound, and the deviation is 0."""
+    r = np.random.default_rng(2)
+    unit = np.repeat(np.arange(20), 5)
+    y = r.normal(size=100)
+    y -= np.array([y[unit == u].mean() for u in range(20)])[unit]
+    df = spark.createDataFrame([(int(u), float(v)) for u, v in zip(unit, y, strict=True)], "u int, y double")
+    got = {t.term: t.coef for t in X.random_intercept(df, "y", [], "u").collect()}
+    assert got["sd_unit"] == 0.0 and got["sd_residual"] == pytest.approx(y.std(ddof=1), rel=1e-6)
 
 
 def test_bootstrap_of_the_nested_model_refits_drawn_rows(spark):
     a, b, player, game, y = _table(96)
     df = _frame(spark, a, b, player, game, y)
     got = collections.defaultdict(dict)
-    for r in G.bootstrap_nested(df, "y", ["a"], "player", "game", 2, 5).collect():
+    for r in X.bootstrap_nested(df, "y", ["a"], "player", "game", 70, 5).collect():
         got[r.draw][r.term] = r.coef
-    counts = {(r.draw, r.game): r.cnt for r in G.draw_counts(df.select("game").distinct(), "game", 2, 5).collect()}
-    for d in range(2):
+    counts = {(r.draw, r.game): r.cnt for r in G.draw_counts(df.select("game").distinct(), "game", 70, 5).collect()}
+    assert len(got) == 70
+    for d in (0, 1, 69):
         rows = [(i, g * 100 + k) for i, g in enumerate(game) for k in range(counts.get((d, int(g)), 0))]
         at, label = np.array([i for i, _ in rows]), np.array([k for _, k in rows])
         x = np.column_stack([np.ones(len(at)), a[at]])
         t = got[d]
         p, q = (t["sd_outer"] / t["sd_residual"]) ** 2, (t["sd_inner"] / t["sd_residual"]) ** 2
-        here, beta = _dense_ll(x, y[at], player[at], label, p, q)
-        assert [t["const"], t["a"]] == pytest.approx(beta.tolist(), rel=1e-6)
+        here, beta, *_ = _dense_reml(x, y[at], player[at], label, p, q)
+        assert [t["const"], t["a"]] == pytest.approx(beta.tolist(), rel=1e-5)
         for dp, dq in ((1.3, 1), (1 / 1.3, 1), (1, 1.3), (1, 1 / 1.3)):
-            assert _dense_ll(x, y[at], player[at], label, p * dp, q * dq)[0] <= here + 1e-3
+            assert _dense_reml(x, y[at], player[at], label, p * dp, q * dq)[0] <= here + 1e-6
 
 
 def test_search_sweep(spark):
     a, b, player, game, y = _table()
-    log, fit = G.search_sweep(_frame(spark, a, b, player, game, y), "y", ["a"], "player", "game")
+    log, fit = X.search_sweep(_frame(spark, a, b, player, game, y), "y", ["a"], "player", "game")
     rows = log.collect()
-    assert [r.method for r in rows] == list(G.SEARCHES) and sum(r.selected for r in rows) == 1 and {r.status for r in rows} == {"ok"}
-    assert max(r.llf for r in rows) - min(r.llf for r in rows) < 0.5 and {r.term for r in fit.collect()} == {"const", "a", "sd_outer", "sd_inner", "sd_residual"}
-    few, none = G.search_sweep(_frame(spark, a[:20], b[:20], player[:20], game[:20], y[:20]), "y", ["a"], "player", "game")
+    assert [r.method for r in rows] == list(X.STARTS) and len(rows) == 5 and sum(r.selected for r in rows) == 1 and {r.status for r in rows} == {"ok"} and all(r.converged and 0 < r.iterations < 40 for r in rows)
+    assert max(r.llf for r in rows) - min(r.llf for r in rows) < 1e-5 and {r.term for r in fit.collect()} == {"const", "a", "sd_outer", "sd_inner", "sd_residual"}
+    few, none = X.search_sweep(_frame(spark, a[:20], b[:20], player[:20], game[:20], y[:20]), "y", ["a"], "player", "game")
     assert none is None and {r.status for r in few.collect()} == {"fewer than 50 rows"}
 
 
-def test_inner_only_is_one_variance(spark):
-    a, b, player, game, y = _table(96)
-    got = {r.term: r.coef for r in G.inner_only(_frame(spark, a, b, player, game, y), "y", ["a"], "player", "game").collect()}
-    x, ratio = np.column_stack([np.ones(96), a]), (got["sd_unit"] / got["sd_residual"]) ** 2
-    here, beta = _dense_ll(x, y, player, game, 0.0, ratio)
-    assert [got["const"], got["a"]] == pytest.approx(beta.tolist(), rel=1e-5)
-    assert all(_dense_ll(x, y, player, game, 0.0, ratio * f)[0] <= here + 1e-6 for f in (0.8, 1.25)) or ratio < 1e-4
-
-
 def test_logit_clustered(spark):
     a, b, player, game, y = _table()
     z = (y > 2).astype(float)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import tails
 from tidelake.operators import estimators as G
+from tidelake.operators import mixed as X
 from tidelake.operators import windows as O
 from tidelake.sources import readers as R
 from tidelake.sources import writers as B
@@ -78,7 +79,7 @@ def test_least_squares(spark):
 
 def test_random_intercept_finds_its_variances(spark):
     x, y, g, df = _regression(spark, 4000)
-    got = {r.term: r for r in G.random_intercept(df, "y", ["a", "b"], "g").collect()}
+    got = {r.term: r for r in X.random_intercept(df, "y", ["a", "b"], "g").collect()}
     assert abs(got["a"].coef - 2) < 0.1 and abs(got["sd_residual"].coef - 1) < 0.05 and 0.6 < got["sd_unit"].coef < 1.5
 
 
@@ -88,7 +89,7 @@ def test_nested_intercepts_reach_the_likelihood_of_the_truth(spark):
     x = r.normal(size=720)
     y = 2 + 0.5 * x + r.normal(size=30)[players] * 1.5 + r.normal(size=120)[games] * 0.7 + r.normal(size=720)
     df = spark.createDataFrame([(float(a), float(b), int(p), int(g)) for a, b, p, g in zip(x, y, players, games, strict=True)], "x double, y double, p int, g int")
-    got = {t.term: t for t in G.nested_intercepts(df, "y", ["x"], "p", "g", rounds=4).collect()}
+    got = {t.term: t for t in X.nested_intercepts(df, "y", ["x"], "p", "g").collect()}
 
     def likelihood(a, b, c):
         """Block by block: players are independent."""

@@ -303,48 +303,6 @@ def complete_cells(df: DataFrame, cell: list[str], columns: list[str], imputed:
     return rows.join(cells, cell).withColumn("imputed", ~finite(imputed)).withColumn(imputed, F.when(finite(imputed), F.col(imputed)).otherwise(F.col("__mean"))).drop("__mean")
 
 
-def random_intercept(df: DataFrame, y: str, x: list[str], unit: str) -> DataFrame:
-    """Random-intercept model by maximum likelihood: term, coef, se, and the rows sd_unit, sd_residual.
-
-    With one variance ratio r the inverse of a unit's block is closed: I - r / (1 + r n) 11'.  So everything follows from
-    totals of unit sums: Gram matrices by unit size, a table with a row a size, and the ratio is searched on the driver.
-    """
-    df = df.dropna(subset=[y, *x, unit])
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
-    p = len(cols)
-    pairs = list(combinations_with_replacement(range(p), 2))
-    units = df.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)], *[F.sum(cols[i] * cols[j]).alias(f"g{k}") for k, (i, j) in enumerate(pairs)])
-    sizes = units.groupBy("n").agg(F.count(F.lit(1)).alias("units"), *[F.sum(f"g{k}").alias(f"g{k}") for k in range(len(pairs))], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"t{k}") for k, (i, j) in enumerate(pairs)]).collect()
-    n_all = sum(r["n"] * r["units"] for r in sizes)
-
-    def full(prefix: str, r: dict) -> np.ndarray:
-        m = np.zeros((p, p))
-        for k, (i, j) in enumerate(pairs):
-            m[i, j] = m[j, i] = r[f"{prefix}{k}"]
-        return m
-
-    g, t = [full("g", r) for r in sizes], [full("t", r) for r in sizes]
-
-    def at(ratio: float) -> tuple[float, np.ndarray, np.ndarray, float]:
-        m = sum(gi - ratio / (1 + ratio * r["n"]) * ti for r, gi, ti in zip(sizes, g, t, strict=True))
-        beta = np.linalg.solve(m[:-1, :-1], m[:-1, -1])
-        s2 = (m[-1, -1] - beta @ m[:-1, -1]) / n_all
-        ll = -0.5 * (n_all * math.log(2 * math.pi * s2) + n_all + sum(r["units"] * math.log1p(ratio * r["n"]) for r in sizes))
-        return ll, beta, np.linalg.inv(m[:-1, :-1]) * s2, s2
-
-    lo, hi, golden = -12.0, 6.0, (math.sqrt(5) - 1) / 2  # of the ratio's logarithm
-    for _ in range(80):
-        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        lo, hi = (lo, b) if at(math.exp(a))[0] >= at(math.exp(b))[0] else (a, hi)
-    ratio = math.exp((lo + hi) / 2)
-    if at(0.0)[0] >= at(ratio)[0]:
-        ratio = 0.0
-    _, beta, cov, s2 = at(ratio)
-    rows = [(n, float(b), float(s)) for n, b, s in zip(["const", *x], beta, np.sqrt(np.diag(cov)), strict=True)]
-    rows += [("sd_unit", math.sqrt(ratio * s2), math.nan), ("sd_residual", math.sqrt(s2), math.nan)]
-    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double")
-
-
 def within_between(df: DataFrame, y: str, x: str, group: str, controls: list[str]) -> DataFrame:
     """Slope of y on x with controls, split by group of rows: each group's weight (its share of the squared residual of x), its own slope, and their mixture.
 
@@ -385,140 +343,3 @@ def cell_noise(df: DataFrame, cell: list[str], score: str, band: str) -> DataFra
     cells = df.groupBy(*cell, band).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.var_samp(score).alias("s2"))
     pooled = cells.filter("n >= 2").groupBy(band).agg((F.sum(F.expr("(n - 1) * s2")) / F.sum(F.expr("n - 1"))).alias("pooled"))
     return cells.join(pooled, band, "left").select(*cell, band, "n", "mean", (F.coalesce(F.when(F.col("n") >= 2, F.col("s2")), F.col("pooled")) / F.col("n")).alias("noise"))
-
-
-class NestedLikelihood:
-    """The likelihood of a model with intercepts of ``outer`` units and of ``inner`` units within them, at many pairs of variance ratios, in any number of weighted draws.
-
-    With ratios p (outer) and q (inner) of the variances to the residual's, the inverse of a block needs only sums: an inner unit of
-    n rows with column sums s gives s / (1 + q n) and n / (1 + q n) to its outer unit, and the outer unit's totals t and w give p t t' / (1 + p w).
-    So one pass over the inner units' sums yields the likelihood at a whole grid of ratios.  Hot units are partial
-    aggregates.  A unit that is drawn c times is c units with the same sums: ``counts`` (inner, draw, cnt) weigh them, and rows are read once, whatever the draws.
-    """
-
-    def __init__(self, df: DataFrame, y: str, x: list[str], outer: str, inner: str, counts: DataFrame | None = None) -> None:
-        df = df.dropna(subset=[y, *x, outer, inner])
-        self.spark, self.terms = df.sparkSession, ["const", *x]
-        cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
-        self.k, self.pairs = len(cols), list(combinations_with_replacement(range(len(cols)), 2))
-        units = df.groupBy(F.col(outer).alias("__outer"), F.col(inner).alias("__inner")).agg(
-            F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)], *[F.sum(cols[i] * cols[j]).alias(f"g{a}") for a, (i, j) in enumerate(self.pairs)]
-        )
-        units = units.join(counts.select(F.col(inner).alias("__inner"), "draw", "cnt"), "__inner") if counts is not None else units.withColumns({"draw": F.lit(0).cast("long"), "cnt": F.lit(1).cast("long")})
-        self.units = units.persist()
-        rows = units.groupBy("draw").agg(F.sum(F.col("cnt") * F.col("n")).alias("n"), *[F.sum(F.col("cnt") * F.col(f"g{a}")).alias(f"g{a}") for a in range(len(self.pairs))]).collect()  # a row a draw
-        self.whole = {r["draw"]: (self._matrix(r, "g"), r["n"]) for r in rows}
-
-    def _matrix(self, row: dict, prefix: str) -> np.ndarray:
-        m = np.zeros((self.k, self.k))
-        for a, (i, j) in enumerate(self.pairs):
-            m[i, j] = m[j, i] = row[f"{prefix}{a}"]
-        return m
-
-    def at(self, grids: dict[int, tuple[list[float], list[float]]]) -> dict[int, list[tuple]]:
-        """By draw, (log-likelihood, p, q, coefficients, their covariance, residual variance) at each point of its own grid."""
-        side = lambda k, name: F.broadcast(self.spark.createDataFrame([(d, float(v)) for d, g in grids.items() for v in g[k]], f"draw long, {name} double"))  # noqa: E731  (a grid's axes)
-        cnt = F.col("cnt")
-        by_q = self.units.join(side(1, "q"), "draw").withColumn("d", 1 + F.col("q") * F.col("n"))
-        inside = by_q.groupBy("draw", "q").agg(F.sum(cnt * F.log("d")).alias("log"), *[F.sum(cnt * F.col("q") / F.col("d") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{a}") for a, (i, j) in enumerate(self.pairs)])
-        totals = by_q.groupBy("draw", "__outer", "q").agg(F.sum(cnt * F.col("n") / F.col("d")).alias("w"), *[F.sum(cnt * F.col(f"s{i}") / F.col("d")).alias(f"t{i}") for i in range(self.k)])
-        by_p = totals.join(side(0, "p"), "draw").withColumn("d", 1 + F.col("p") * F.col("w"))
-        across = by_p.groupBy("draw", "p", "q").agg(F.sum(F.log("d")).alias("log_p"), *[F.sum(F.col("p") / F.col("d") * F.col(f"t{i}") * F.col(f"t{j}")).alias(f"o{a}") for a, (i, j) in enumerate(self.pairs)])
-        out: dict[int, list[tuple]] = {d: [] for d in grids}
-        for r in across.join(inside, ["draw", "q"]).collect():  # a row a grid point
-            whole, n = self.whole[r["draw"]]
-            m = whole - self._matrix(r, "m") - self._matrix(r, "o")
-            beta = np.linalg.solve(m[:-1, :-1], m[:-1, -1])
-            s2 = max(1e-300, (m[-1, -1] - beta @ m[:-1, -1]) / n)
-            ll = -0.5 * (n * (math.log(2 * math.pi * s2) + 1) + r["log"] + r["log_p"])
-            out[r["draw"]].append((ll, r["p"], r["q"], beta, np.linalg.inv(m[:-1, :-1]) * s2, s2))
-        return out
-
-    def free(self) -> None:
-        self.units.unpersist()
-
-
-LOW, HIGH = math.log(1e-6), math.log(1e3)
-#: Searches: points along p and q, how much a round's grid shrinks, rounds; "lines" looks along one axis at a time.
-SEARCHES = {"grid": (7, 7, 4.0, 6), "fine": (11, 11, 3.0, 6), "lines": (25, 25, 4.0, 4)}
-
-
-def maximised(likelihood: NestedLikelihood, method: str = "grid", rounds: int | None = None, points: int | None = None) -> dict[int, tuple[tuple, bool]]:
-    """By draw, the best point a search finds, and whether its last round gained no more than 1e-3 of log-likelihood.  Ratios that want to be 0 stay at the grids' lower end (1e-6)."""
-    along_p, along_q, shrink, most = SEARCHES[method]
-    along_p, along_q, most = points or along_p, points or along_q, rounds or most
-    axis = lambda c, half, n: sorted({math.exp(min(HIGH, max(LOW, c + half * (2 * i / (n - 1) - 1)))) for i in range(n)})
-    centre = {d: [(LOW + HIGH) / 2] * 2 for d in likelihood.whole}
-    best: dict[int, tuple] = {}
-    gained = dict.fromkeys(centre, math.inf)
-    half = (HIGH - LOW) / 2
-    for _ in range(most):
-        for step in ((0,), (1,)) if method == "lines" else ((0, 1),):
-            grids = {d: tuple(axis(c[k], half, (along_p, along_q)[k]) if k in step else [math.exp(c[k])] for k in (0, 1)) for d, c in centre.items()}
-            for d, found in likelihood.at(grids).items():
-                top = max(found, key=lambda r: r[0])
-                before = best.get(d)
-                if before is None or top[0] > before[0]:
-                    best[d] = top
-                gained[d] = math.inf if before is None else max(0.0, top[0] - before[0])
-                centre[d] = [math.log(best[d][1]), math.log(best[d][2])]
-        half /= shrink
-    return {d: (best[d], gained[d] <= 1e-3) for d in best}
-
-
-def _nested_rows(terms: list[str], point: tuple) -> list[tuple]:
-    _, p, q, beta, cov, s2 = point
-    rows = [(n, float(b), float(s)) for n, b, s in zip(terms, beta, np.sqrt(np.maximum(np.diag(cov), 0)), strict=True)]
-    return rows + [(n, math.sqrt(v), math.nan) for n, v in (("sd_outer", p * s2), ("sd_inner", q * s2), ("sd_residual", s2))]
-
-
-def nested_intercepts(df: DataFrame, y: str, x: list[str], outer: str, inner: str, rounds: int = 6, points: int = 7) -> DataFrame:
-    """Model with intercepts of ``outer`` units and of ``inner`` units within them, by maximum likelihood: term, coef, se, and the rows sd_outer, sd_inner, sd_residual.
-
-    ``rounds`` grids of NestedLikelihood, each a quarter of the last, close in on the best.
-    """
-    likelihood = NestedLikelihood(df, y, x, outer, inner)
-    best = maximised(likelihood, "grid", rounds, points)[0][0]
-    likelihood.free()
-    return df.sparkSession.createDataFrame(_nested_rows(likelihood.terms, best), "term string, coef double, se double")
-
-
-def search_sweep(df: DataFrame, y: str, x: list[str], outer: str, inner: str, least_rows: int = 50) -> tuple[DataFrame, DataFrame | None]:
-    """Every search on one model: (method, converged, llf, degenerate, selected, status), and the selected one's term, coef, se.
-
-    Degenerate is a fit without any variance between units whose constant is exactly 0.  Of those that converged and aren't, the largest likelihood
-    is selected, the first of equal ones; where there is none, the status says why and there is no fit.
-    """
-    spark = df.sparkSession
-    likelihood = NestedLikelihood(df, y, x, outer, inner)
-    n = sum(v for _, v in likelihood.whole.values())
-    kind = "method string, converged boolean, llf double, degenerate boolean, selected boolean, status string"
-    if n < least_rows:
-        likelihood.free()
-        return spark.createDataFrame([(m, None, None, None, False, f"fewer than {least_rows} rows") for m in SEARCHES], kind), None
-    tried = []
-    for m in SEARCHES:
-        point, converged = maximised(likelihood, m)[0]
-        zero = max(point[1], point[2]) <= math.exp(LOW) * (1 + 1e-9)
-        tried.append((m, converged, point, bool(zero and point[3][0] == 0.0)))
-    likelihood.free()
-    ok = [t for t in tried if t[1] and not t[3] and math.isfinite(t[2][0])]
-    status = "ok" if ok else "only degenerate converged fit" if any(t[1] for t in tried) else "no converged fit"
-    chosen = max(ok, key=lambda t: round(t[2][0], 6)) if ok else None
-    rows = [(m, c, float(p[0]), d, chosen is not None and m == chosen[0], status) for m, c, p, d in tried]
-    return spark.createDataFrame(rows, kind), spark.createDataFrame(_nested_rows(likelihood.terms, chosen[2]), "term string, coef double, se double") if chosen else None
-
-
-def inner_only(df: DataFrame, y: str, x: list[str], outer: str, inner: str) -> DataFrame:
-    """The older model with one variance only, that of the inner units within outer ones: term, coef, se, sd_unit, sd_residual."""
-    return random_intercept(df.dropna(subset=[outer, inner]).withColumn("__unit", F.struct(outer, inner)), y, x, "__unit")
-
-
-def bootstrap_nested(df: DataFrame, y: str, x: list[str], outer: str, inner: str, draws: int, seed: int, rounds: int = 6) -> DataFrame:
-    """draw, term, coef of the nested model refit in every draw of inner units (copies of a unit are units of their own).  All draws are searched side by side: a round is one job."""
-    counts = draw_counts(df.dropna(subset=[y, *x, outer, inner]).select(inner).distinct(), inner, draws, seed)
-    likelihood = NestedLikelihood(df, y, x, outer, inner, counts)
-    found = maximised(likelihood, "grid", rounds)
-    likelihood.free()
-    rows = [(int(d), t, c) for d, (point, _) in sorted(found.items()) for t, c, _ in _nested_rows(likelihood.terms, point)]
-    return df.sparkSession.createDataFrame(rows, "draw long, term string, coef double")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
+from tidelake.operators import mixed as X
 from tidelake.operators import models as M
 
 
@@ -64,9 +65,9 @@ def fitted(df: DataFrame, formula: str, kind: str = "ols", units: list[str] | No
         "ols": lambda: G.ols(rows, y, [*plain.values()]),
         "cluster": lambda: G.cluster_ols(rows, y, [*plain.values()], units),
         "logit": lambda: M.logit_clustered(rows, y, [*plain.values()], units[0]),
-        "intercept": lambda: G.random_intercept(rows, y, [*plain.values()], units[0]),
-        "nested": lambda: G.nested_intercepts(rows, y, [*plain.values()], *units),
-        "inner": lambda: G.inner_only(rows, y, [*plain.values()], *units),
+        "intercept": lambda: X.random_intercept(rows, y, [*plain.values()], units[0]),
+        "nested": lambda: X.nested_intercepts(rows, y, [*plain.values()], *units),
+        "inner": lambda: X.inner_only(rows, y, [*plain.values()], *units),
     }
     out = by[kind]().select("term", "coef", "se")
     back = F.create_map(*[F.lit(z) for c, p in plain.items() for z in (p, c)]) if plain else None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
+from tidelake.operators import mixed as X
 from tidelake.operators import windows as O
 from tidelake.plans.catalog import query
 from tidelake.plans.tables import r6, table
@@ -107,7 +108,7 @@ def g10(spark, sf):
 
 @query("g14_random_intercept")
 def g14(spark, sf):
-    return _rounded(G.random_intercept(table(spark, sf, "events"), "value", [], "user_id"), "coef", "se")
+    return _rounded(X.random_intercept(table(spark, sf, "events"), "value", [], "user_id"), "coef", "se")
 
 
 @query("g15_crossfit")
@@ -136,11 +137,11 @@ def g24(spark, sf):
 
 
 @query("g26_cluster_bootstrap", """WITH s AS (SELECT user_id, sum(value) AS s, count(*) AS n, row_number() OVER (ORDER BY user_id) - 1 AS rk FROM events GROUP BY 1), g AS (SELECT count(*) AS g FROM s),
-p AS (SELECT id % 200 AS draw, ('0x' || substr(md5(id || ':4'), 1, 12))::BIGINT % g AS rk FROM (SELECT unnest(range((SELECT g FROM g) * 200)) AS id), g),
+p AS (SELECT id % 2000 AS draw, ('0x' || substr(md5(id || ':4'), 1, 12))::BIGINT % g AS rk FROM (SELECT unnest(range((SELECT g FROM g) * 2000)) AS id), g),
 d AS (SELECT draw, sum(s) / sum(n) AS v FROM p JOIN s ON p.rk = s.rk GROUP BY 1)
 SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(*) AS draws, round((SELECT sum(s) / sum(n) FROM s), 6) AS estimate FROM d""")
 def g26(spark, sf):
-    out = G.cluster_bootstrap(table(spark, sf, "events"), "user_id", F.col("value"), F.lit(1), 200, 4)
+    out = G.cluster_bootstrap(table(spark, sf, "events"), "user_id", F.col("value"), F.lit(1), 2000, 4)
     return out.select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "draws", r6(F.col("estimate")).alias("estimate"))
 
 
@@ -188,13 +189,13 @@ def _cell_noise(events):
 
 
 @query("g35_group_difference", """WITH s AS (SELECT user_id, sum(value) FILTER (WHERE event_type = 'click') AS a, count(*) FILTER (WHERE event_type = 'click') AS na, sum(value) FILTER (WHERE event_type <> 'click') AS b, count(*) FILTER (WHERE event_type <> 'click') AS nb, row_number() OVER (ORDER BY user_id) - 1 AS rk FROM events GROUP BY 1), g AS (SELECT count(*) AS g FROM s),
-p AS (SELECT id % 100 AS draw, ('0x' || substr(md5(id || ':6'), 1, 12))::BIGINT % g AS rk FROM (SELECT unnest(range((SELECT g FROM g) * 100)) AS id), g), d AS (SELECT draw, sum(a) / sum(na) - sum(b) / sum(nb) AS v FROM p JOIN s ON p.rk = s.rk GROUP BY 1)
+p AS (SELECT id % 2000 AS draw, ('0x' || substr(md5(id || ':6'), 1, 12))::BIGINT % g AS rk FROM (SELECT unnest(range((SELECT g FROM g) * 2000)) AS id), g), d AS (SELECT draw, sum(a) / sum(na) - sum(b) / sum(nb) AS v FROM p JOIN s ON p.rk = s.rk GROUP BY 1)
 SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM d""")
 def g35(spark, sf):
     click = F.col("event_type") == "click"
     value = lambda p: F.when(p, F.col("value"))
     sums = table(spark, sf, "events").groupBy("user_id").agg(F.sum(value(click)).alias("a"), F.count_if(click).alias("na"), F.sum(value(~click)).alias("b"), F.count_if(~click).alias("nb"))
-    drawn = G.draw_counts(sums.select("user_id"), "user_id", 100, 6).join(sums, "user_id")
+    drawn = G.draw_counts(sums.select("user_id"), "user_id", 2000, 6).join(sums, "user_id")
     total = lambda c: F.sum(F.col("cnt") * F.col(c))
     v = drawn.groupBy("draw").agg((total("a") / total("na") - total("b") / total("nb")).alias("v"))
     return v.agg(r6(F.percentile("v", F.lit(0.025))).alias("lo"), r6(F.percentile("v", F.lit(0.975))).alias("hi"))
@@ -233,7 +234,7 @@ def g29(spark, sf):
 @query("g13_nested_intercepts")
 def g13(spark, sf):
     rows = table(spark, sf, "events").withColumn("game", F.floor(F.col("event_id") / 500))
-    return _rounded(G.nested_intercepts(rows, "value", [], "user_id", "game"), "coef", "se")
+    return _rounded(X.nested_intercepts(rows, "value", [], "user_id", "game"), "coef", "se")
 
 
 @query("g30_disattenuated", """WITH t AS (SELECT event_type AS a, avg(value) AS raw, 1 - 1 / (1 + stddev_samp(value)) AS lam FROM events GROUP BY 1), c AS (SELECT avg(raw / lam) AS common FROM t)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
 from tidelake.operators import formulas as N
+from tidelake.operators import mixed as X
 from tidelake.operators import models as M
 from tidelake.operators import windows as O
 from tidelake.plans.catalog import query
@@ -72,7 +73,7 @@ def g21(spark, sf):
 
 @query("g28_bootstrap_fits")
 def g28(spark, sf):
-    fits = M.bootstrap_fits(_rows(spark, sf), "l_suppkey", "y", ["l_quantity"], 50, 7)
+    fits = M.bootstrap_fits(_rows(spark, sf), "l_suppkey", "y", ["l_quantity"], 2000, 7)
     return fits.groupBy("term").agg(F.count(F.lit(1)).alias("draws"), r6(F.percentile("coef", F.lit(0.025))).alias("lo"), r6(F.percentile("coef", F.lit(0.975))).alias("hi"))
 
 
@@ -111,16 +112,16 @@ def _games(spark, sf):
 
 @query("g12_inner_only")
 def g12(spark, sf):
-    return G.inner_only(_games(spark, sf), "value", [], "user_id", "game").select("term", r6(F.col("coef")).alias("coef"), r6(F.col("se")).alias("se"))
+    return X.inner_only(_games(spark, sf), "value", [], "user_id", "game").select("term", r6(F.col("coef")).alias("coef"), r6(F.col("se")).alias("se"))
 
 
 @query("g28_bootstrap_mixed")
 def g28b(spark, sf):
-    fits = G.bootstrap_nested(_games(spark, sf), "value", [], "user_id", "game", 20, 7)
+    fits = X.bootstrap_nested(_games(spark, sf), "value", [], "user_id", "game", 2000, 7)
     return fits.groupBy("term").agg(F.count(F.lit(1)).alias("draws"), F.round(F.percentile("coef", F.lit(0.025)), 4).alias("lo"), F.round(F.percentile("coef", F.lit(0.975)), 4).alias("hi"))
 
 
 @query("g38_search_sweep")
 def g38(spark, sf):
-    log, _ = G.search_sweep(_games(spark, sf), "value", [], "user_id", "game")
+    log, _ = X.search_sweep(_games(spark, sf), "value", [], "user_id", "game")
     return log.withColumn("llf", F.round("llf", 1))
