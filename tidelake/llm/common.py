@@ -129,15 +129,17 @@ def worker_state(key: tuple, make: Callable):
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows in an Arrow batch of the jobs within."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def batches_of(spark: SparkSession, rows: int, most_bytes: int = 8_000_000) -> Iterator[None]:
+    """Rows, and bytes, in an Arrow batch of the jobs within; the session's own limits hold again afterwards."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most_bytes}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def text_batches(spark: SparkSession, rows: int = 500):  # noqa: ANN201

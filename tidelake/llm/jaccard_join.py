@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.blocks import Block, WordHashes, answer, as_blocks, ask, mixed, parts_for, read_blocks, total_bytes
-from tidelake.llm.common import batches_of, drop_staged, numbered, remove_path, stage
+from tidelake.llm.common import batches_of, drop_staged, numbered, remove_path, stage, text_batches
 from tidelake.llm.components import components
 
 ORDERS, CELL = 3, 200
@@ -284,6 +284,11 @@ def keep_first_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """One row a document: id, n_shingles, component_id."""
+    with text_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     sets = _sets(as_blocks(docs, id_col, text_col), words, percent)
     some = sets.filter("digest is not null")
     classes = some.groupBy("digest").agg(F.min("id").alias("low_id"), F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidelake.llm.blocks import Block, WordHashes, answer, as_blocks, ask, distinct, mixed, parts_for, read_blocks, total_bytes
+from tidelake.llm.common import text_batches
 
 #: A perfect difference set: each residue modulo 21 but 0 is the difference of exactly one pair.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -94,7 +95,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: id, n_words, n_removed, kept_sha256 (hex, of the kept words joined by one space) and, if asked for, kept."""
     if window < PERIOD + 1:
         raise ValueError(f"a window has at least {PERIOD + 1} words")
-    blocks = as_blocks(docs, id_col, text_col)
+    with text_batches(docs.sparkSession):
+        blocks = as_blocks(docs, id_col, text_col)
     parts = parts_for(total_bytes(blocks))
     hashes = WordHashes()
 
@@ -102,7 +104,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         words = Words(block, hashes, window)
         return Rolling(words.hashes, _BASE[0]).at(words.anchors(window), window - PERIOD + 1), None
 
-    anchor_replies = ask(blocks, anchor_keys, parts, "anchors", bits=48)
+    with text_batches(docs.sparkSession):
+        anchor_replies = ask(blocks, anchor_keys, parts, "anchors", bits=48)
 
     def candidates(block: Block) -> tuple[Words, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         words = Words(block, hashes, window)
@@ -111,7 +114,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         starts = words.candidates(window, anchors[answer(anchor_replies, block, keys, None, bits=48) > 1])
         return words, starts, _window_hashes(words, starts, window)
 
-    window_replies = ask(blocks, lambda block: candidates(block)[2], parts, "windows")
+    with text_batches(docs.sparkSession):
+        window_replies = ask(blocks, lambda block: candidates(block)[2], parts, "windows")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in read_blocks(batches):
