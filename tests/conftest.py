@@ -1,6 +1,9 @@
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before NumPy is loaded: small matrices, and Spark has all the cores
+
 import pytest
 
 for folder in (Path(__file__).parent, Path(__file__).parents[1]):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
 from tidelake.operators import formulas as N
+from tidelake.operators import learners as L
 from tidelake.operators import mixed as X
 from tidelake.operators import models as M
 from tidelake.operators import windows as O
@@ -220,7 +221,8 @@ def test_equivalence_importance_and_band_pca(spark):
         want = max(tails.t_tail((m + 1) / se, 99), 1 - tails.t_tail((m - 1) / se, 99))
         assert k.mean == pytest.approx(m) and k.p == pytest.approx(want, abs=1e-9)
     made = df.withColumn("y", 2 * F.col("x") + 0.01 * F.col("w"))
-    got = {t.term: t.importance for t in M.linear_importance(made, "i", "y", ["x", "w"]).collect()}
+    folded = made.withColumn("fold", F.col("i") % 2)
+    got = {t.term: t.importance for t in L.importance(folded, "i", "y", ["x", "w"], "fold", L.LeastSquares().fit(folded, "y", ["x", "w"], "fold", 2)).collect()}
     x = np.array([q[3] for q in rows])
     assert got["x"] == pytest.approx(8 * x.var(), rel=0.35) and abs(got["w"]) < 0.01
     m = np.array([[q[2], q[3], q[4]] for q in rows])
@@ -235,11 +237,9 @@ def test_equivalence_importance_and_band_pca(spark):
 def test_boosting_lowers_the_error(spark):
     r = np.random.default_rng(4)
     x = r.random(400)
-    df = spark.createDataFrame([(float(a), float(a > 0.5) * 3 + float(r.normal()) / 10, bool(i % 4 == 0)) for i, a in enumerate(x)], "x double, y double, held boolean")
-    fit = M.boosted(df.filter("not held"), df.filter("held"), "y", ["x"], "fit", rounds=50).collect()
+    df = spark.createDataFrame([(float(a), float(a > 0.5) * 3 + float(r.normal()) / 10, int(i % 4 > 0)) for i, a in enumerate(x)], "x double, y double, fold int")
+    fit = L.transfer(L.Boosting(rounds=50).fit(df, "y", ["x"], "fold", 1), df.filter("fold = 0"), ["x"], "fold", "fit").collect()
     assert np.mean([(f.fit - f.y) ** 2 for f in fit]) < 0.15 * np.var([f.y for f in fit])
-    scores, at = M.stopped_boosting(df, "y", ["x"], "held", rounds=60)
-    assert scores[at] > scores[0] and at <= 60
 
 
 def test_top_of_against_sorting(spark):

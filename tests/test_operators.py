@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import tails
 from tidelake.operators import estimators as G
+from tidelake.operators import learners as L
 from tidelake.operators import mixed as X
 from tidelake.operators import windows as O
 from tidelake.sources import readers as R
@@ -120,7 +121,7 @@ def test_segmented(spark):
 def test_crossfit_uses_other_folds(spark):
     x, y, g, df = _regression(spark)
     df = df.withColumn("fold", F.col("g") % 5)
-    got = G.crossfit(df, "y", ["a", "b"], "fold", 5, "fit").collect()
+    got = L.crossfit(df, "y", ["a", "b"], "fold", 5, "fit").collect()
     m = np.column_stack([np.ones(len(y)), x])
     for k in range(5):
         beta = np.linalg.lstsq(m[g % 5 != k], y[g % 5 != k], rcond=None)[0]

@@ -1,6 +1,5 @@
 """Queries take whole tables, and fits all their rounds."""
 
-import inspect
 import itertools
 import statistics
 import unicodedata
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import scalars as H
 from tidelake.operators import estimators as G
+from tidelake.operators import learners as L
+from tidelake.operators import mixed as X
 from tidelake.operators import joins as J
 from tidelake.operators import models as M
 from tidelake.plans import catalog
@@ -56,42 +57,12 @@ def test_rowwise_queries_take_every_line(spark):
     assert QUERIES["f7_column_inequality"](spark, SF).count() == lines.filter("l_partkey % 10 <> l_suppkey % 10").count()
 
 
-def test_fits_are_registered_with_their_operators_rounds(spark, monkeypatch):
-    asked, whole = {}, {n: getattr(m, n) for m, n in ((M, "boosted"), (M, "stopped_boosting"), (G, "nested_intercepts"))}
-
-    def record(name, out):
-        def call(*a, **b):
-            asked[name] = {**{k: p.default for k, p in inspect.signature(whole[name]).parameters.items()}, **b}["rounds"]
-            return out(*a)
-
-        return call
-
-    monkeypatch.setattr(M, "boosted", record("boosted", lambda train, score, *_: score.withColumn("fit", F.lit(0.0))))
-    monkeypatch.setattr(M, "stopped_boosting", record("stopped_boosting", lambda *_: ([0.0], 0)))
-    monkeypatch.setattr(G, "nested_intercepts", record("nested_intercepts", lambda df, *_: df.sparkSession.createDataFrame([("const", 0.0, 0.0)], "term string, coef double, se double")))
-    for name in ("g16_boosting", "g17_stopped_boosting", "g13_nested_intercepts"):
+def test_fits_are_registered_with_their_rounds_and_draws(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(L.Boosting, "fit", lambda self, df, y, x, fold, k: asked.append((self.rounds, self.depth, self.unit, k)) or [L.Boosted(0.0)] * k)
+    monkeypatch.setattr(L, "importance", lambda df, *_, repeats, **__: asked.append(repeats) or df.sparkSession.createDataFrame([("a", 0.0)], "term string, importance double"))
+    monkeypatch.setattr(G, "draw_counts", lambda units, unit, draws, seed: asked.append(draws) or units.select(unit, F.lit(0).cast("long").alias("draw"), F.lit(1).cast("long").alias("cnt")))
+    monkeypatch.setattr(X, "bootstrap_nested", lambda df, *a: asked.append(a[-2]) or df.sparkSession.createDataFrame([(0, "const", 0.0)], "draw long, term string, coef double"))
+    for name in ("g16_boosting", "g17_stopped_boosting", "g32_permutation_importance", "g26_cluster_bootstrap", "g35_group_difference", "g28_bootstrap_fits", "g28_bootstrap_mixed"):
         QUERIES[name](spark, SF)
-    assert asked == {"boosted": 50, "stopped_boosting": 500, "nested_intercepts": 6}
-
-
-def test_stopped_boosting_goes_on_until_patience_stops_it(spark, monkeypatch):
-    fits = []
-
-    class Trees:
-        """Held-out errors fall for 130 rounds and rise again."""
-
-        def __init__(self, maxIter, **_):
-            fits.append(maxIter)
-
-        def fit(self, df):
-            return self
-
-        def evaluateEachIteration(self, df, loss):
-            return [abs(130 - i) + 1.0 for i in range(1, fits[-1] + 1)]
-
-    monkeypatch.setattr(M, "GBTRegressor", Trees)
-    df = spark.createDataFrame([(float(i % 7) * 100, float(i), i % 4 == 0) for i in range(40)], "y double, x double, held boolean")
-    scores, at = M.stopped_boosting(df, "y", ["x"], "held", rounds=500)
-    assert fits == [50, 100, 200] and at == 140 and len(scores) == 201
-    fits.clear()
-    assert M.stopped_boosting(df, "y", ["x"], "held", rounds=70)[1] == 70 and fits == [50, 70]
+    assert asked == [(100, 5, None, 1), (500, 4, "l_suppkey", 5), 10, (40, 4, "o_custkey", 5), 10, 2000, 2000, 2000, 2000]

@@ -143,23 +143,19 @@ def project(columns: list[str], loadings: list[float]) -> Column:
 
 
 def hinge_grid(df: DataFrame, y: str, x: str, cuts: list[float]) -> DataFrame:
-    """For each cut the residual sum of squares of y on (1, x, max(0, x - cut)), all cuts in one pass over the rows."""
-    sums = []
-    for i, c in enumerate(cuts):
-        h = F.greatest(F.col(x) - F.lit(c), F.lit(0.0))
-        sums += [F.sum(h).alias(f"h{i}"), F.sum(h * F.col(x)).alias(f"hx{i}"), F.sum(h * h).alias(f"hh{i}"), F.sum(h * F.col(y)).alias(f"hy{i}")]
+    """For each cut the residual sum of squares of y on (1, x, max(0, x - cut)), all cuts in one pass over the rows, by centred moments: large means don't cancel what residuals are left."""
     df = df.dropna(subset=[x, y])
-    xx, xy, yy, n = gram(df, [x], y)
-    row = df.agg(*sums).first()
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    hinges = [F.greatest(xc - F.lit(float(c)), F.lit(0.0)) for c in cuts]
+    moments = [F.avg(h) for h in hinges] + [f(h, z) for h in hinges for f, z in ((F.covar_pop, xc), (F.covar_pop, h), (F.covar_pop, yc))]
+    row = df.agg(F.count(F.lit(1)), F.avg(xc), F.avg(yc), F.var_pop(xc), F.var_pop(yc), F.covar_pop(xc, yc), *moments).first()
+    n, mx, my, vx, vy, cxy = row[:6]
     out = []
     for i, c in enumerate(cuts):
-        g = np.zeros((3, 3))
-        g[:2, :2] = xx
-        g[2, :2] = g[:2, 2] = row[f"h{i}"], row[f"hx{i}"]
-        g[2, 2] = row[f"hh{i}"]
-        b = np.array([*xy, row[f"hy{i}"]])
-        beta = np.linalg.lstsq(g, b, rcond=None)[0]
-        out.append((float(c), float(yy - beta @ b), *map(float, beta), n))
+        mh, (hx, hh, hy) = row[6 + i], row[6 + len(cuts) + 3 * i : 9 + len(cuts) + 3 * i]
+        g, b = np.array([[vx, hx], [hx, hh]]), np.array([cxy, hy])
+        slopes = np.linalg.lstsq(g, b, rcond=None)[0]
+        out.append((float(c), float(max(0.0, n * (vy - slopes @ b))), float(my - slopes @ [mx, mh]), *map(float, slopes), n))
     return df.sparkSession.createDataFrame(out, "cut double, rss double, b0 double, b1 double, b2 double, n long")
 
 
@@ -168,8 +164,7 @@ def segmented(df: DataFrame, y: str, x: str, points: int = 81) -> DataFrame:
     lo, hi = exact_quantiles(df, [], x, [0.1, 0.9]).first()["q"]
     grid = hinge_grid(df, y, x, np.linspace(lo, hi, points).tolist())
     rows = sorted(((r["rss"], r["cut"], r["b1"], r["b2"], r["n"]) for r in grid.collect()))  # one row a grid point
-    xx, xy, yy, n = gram(df.dropna(subset=[x, y]), [x], y)
-    line = yy - np.linalg.solve(xx, xy) @ xy
+    _, _, line, n = least_squares(df.dropna(subset=[x, y]), [x], y)
     rss, cut, b1, b2, _ = rows[0]
     f = (line - rss) / (rss / (n - 4)) / 2
     inside = [c for r, c, *_ in rows if r <= rss * (1 + tails.f_quantile(0.95, 1, n - 4) / (n - 4))]
@@ -197,27 +192,6 @@ def ridge(df: DataFrame, y: str, x: list[str], alpha: float) -> DataFrame:
     return df.sparkSession.createDataFrame([("const", float(my)), *[(c, float(b)) for c, b in zip(x, beta, strict=True)]], "term string, coef double")
 
 
-def crossfit(df: DataFrame, y: str, x: list[str], fold: str, k: int, name: str) -> DataFrame:
-    """Out-of-fold predictions of least squares: each fold's rows by the other folds' fit.  All folds' Gram matrices in one pass."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    rows = {r[0]: r[1:] for r in df.dropna(subset=[y, *x]).groupBy(fold).agg(*[F.sum(cols[i] * cols[j]).alias(f"g{p}") for p, (i, j) in enumerate(pairs)]).collect()}  # k rows
-    fit = F.lit(None).cast("double")
-    for f in range(k):
-        m = np.zeros((len(cols), len(cols)))
-        for g, values in rows.items():
-            if g != f:
-                for (i, j), v in zip(pairs, values, strict=True):
-                    m[i, j] += v
-                    m[j, i] = m[i, j]
-        beta = np.linalg.solve(m[:-1, :-1], m[:-1, -1])
-        value = F.lit(float(beta[0]))
-        for c, b in zip(x, beta[1:], strict=True):
-            value = value + F.col(c) * F.lit(float(b))
-        fit = F.when(F.col(fold) == f, value).otherwise(fit)
-    return df.withColumn(name, fit)
-
-
 def draw_counts(units: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
     """unit, draw, cnt: how often each unit is drawn in each bootstrap draw.
 

@@ -1,4 +1,4 @@
-"""Models on pyspark.ml, and estimators by group: logistic regression, boosting, propensity weights, per-band PCA, importance, resampled fits."""
+"""Models on pyspark.ml, and estimators by group: logistic regression, propensity weights, per-band PCA, resampled fits."""
 
 from __future__ import annotations
 
@@ -10,13 +10,12 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.operators import estimators as G
-from tidelake.operators.windows import quantile_bins, seeded_key
+from tidelake.operators.windows import quantile_bins
 
 
 def _assembled(df: DataFrame, x: list[str]) -> DataFrame:
@@ -53,32 +52,6 @@ def odds_weights(df: DataFrame, target: str, x: list[str], name: str) -> DataFra
     return scored.join(F.broadcast(total)).withColumn(name, F.col("__o") / F.col("__t") * n).select(*df.columns, name)  # G.concentration() tells how few rows carry them
 
 
-def boosted(train: DataFrame, score: DataFrame, y: str, x: list[str], name: str, rounds: int = 50, depth: int = 4, step: float = 0.05, seed: int = 1) -> DataFrame:
-    """Gradient-boosted trees fit on one table and applied to another."""
-    m = GBTRegressor(featuresCol="__x", labelCol=y, predictionCol=name, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(_assembled(train, x))
-    return m.transform(_assembled(score, x)).drop("__x")
-
-
-def stopped_boosting(df: DataFrame, y: str, x: list[str], holdout: str, rounds: int = 100, patience: int = 10, least: float = 1e-7, depth: int = 4, step: float = 0.05) -> tuple[list[float], int]:
-    """Held-out scores (half the negative squared error, the training mean's first) and the round at which no score of the last ``patience`` beats the one before them.
-
-    Rounds are fit until that round is found, ``rounds`` at most: 50, then twice as many, and so on.  A longer fit begins with the trees of the shorter one.
-    """
-    train, held = df.filter(~F.col(holdout)), df.filter(holdout)
-    mean = train.agg(F.avg(y)).first()[0]
-    first = -0.5 * held.agg(F.avg((F.col(y) - F.lit(mean)) ** 2)).first()[0]
-    tried = 0
-    while True:
-        tried = min(rounds, max(50, 2 * tried))
-        m = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=tried, maxDepth=depth, stepSize=step, seed=1).fit(_assembled(train, x))
-        scores = [first, *(-0.5 * e for e in m.evaluateEachIteration(_assembled(held, x), "squared"))]
-        for i in range(patience + 1, len(scores)):
-            if not any(s > scores[i - patience - 1] + least for s in scores[i - patience : i]):
-                return scores, i - 1
-        if tried == rounds:
-            return scores, len(scores) - 1
-
-
 def band_pca(df: DataFrame, band: str, columns: list[str], least: int, full: list[float]) -> DataFrame:
     """First component by band with ``least`` rows or more, turned to the full table's, and their congruence.  Correlations are aggregates; each band's small matrix is solved in a task."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -107,31 +80,6 @@ def calibration(df: DataFrame, y: str, fit: str, bins: int = 10, weight: str | N
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), (F.sum(w * F.col(y)) / F.sum(w)).alias("observed"), (F.sum(w * F.col(fit)) / F.sum(w)).alias("predicted"))
 
 
-def permuted(df: DataFrame, id_: str, column: str, seed: int, blocks: int = 64) -> DataFrame:
-    """The column's values dealt anew among rows of the same block: a row gets the value of the row with its rank in a hash order."""
-    from pyspark.sql.window import Window
-
-    block = F.pmod(F.xxhash64(id_, F.lit(seed + 1)), F.lit(blocks))
-    rows = df.withColumn("__b", block)
-    w = Window.partitionBy("__b")
-    left = rows.withColumn("__r", F.row_number().over(w.orderBy(id_)))
-    right = rows.select("__b", F.col(column).alias("__v"), F.row_number().over(w.orderBy(seeded_key(F.col(id_), seed), id_)).alias("__r"))
-    return left.join(right, ["__b", "__r"]).withColumn(column, F.col("__v")).drop("__b", "__r", "__v")
-
-
-def linear_importance(df: DataFrame, id_: str, y: str, x: list[str], repeats: int = 3, seed: int = 5) -> DataFrame:
-    """Rise of the mean squared error of a least-squares fit when one column is permuted, averaged over repeats."""
-    df = df.dropna(subset=[y, *x])
-    coef = {r["term"]: r["coef"] for r in G.ols(df, y, x).collect()}
-    fit = F.lit(coef["const"])
-    for c in x:
-        fit = fit + F.col(c) * F.lit(coef[c])
-    mse = lambda d: d.agg(F.avg((F.col(y) - fit) ** 2)).first()[0]
-    base = mse(df)
-    rows = [(c, float(np.mean([mse(permuted(df, id_, c, seed + k)) - base for k in range(repeats)]))) for c in x]
-    return df.sparkSession.createDataFrame(rows, "term string, importance double")
-
-
 def grouped_equivalence(df: DataFrame, keys: list[str], value: str, margin: float) -> DataFrame:
     """Mean, standard error and the p of two one-sided tests by group; groups' moments are aggregates."""
     from tidelake.functions.tails import tost

@@ -135,14 +135,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: list[float],
     """keys, n, ``name``: exact quantiles with linear interpolation, all of a list in the same rounds.  Groups without a value are left out; of no keys, there is one row, with nulls if there are no values."""
     if not all(0 <= p <= 1 for p in at):
         raise ValueError("quantiles lie between 0 and 1")
-    place = lambda n, p: (n - 1) * F.lit(float(p))
-    wanted = lambda n: F.array(*[f(place(n, p)).cast("long") for p in at for f in (F.floor, F.ceil)])
+    shares = F.array(*[F.lit(float(p)) for p in at])
+    wanted = lambda n: F.flatten(F.transform(shares, lambda p: F.array(F.floor((n - 1) * p).cast("long"), F.ceil((n - 1) * p).cast("long"))))
     found = order_statistics(df, keys, value, wanted, at, **options)
     values = found.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("__m"))  # two ranks a quantile
-    n = F.col("n")
+    n, m = F.col("n"), F.col("__m")
 
-    def between(p: float) -> Column:
-        low, high = F.floor(place(n, p)).cast("long"), F.ceil(place(n, p)).cast("long")
-        return F.when(low == high, F.col("__m")[low]).otherwise((high - place(n, p)) * F.col("__m")[low] + (place(n, p) - low) * F.col("__m")[high])
+    def between(p: Column) -> Column:
+        at = (n - 1) * p
+        low, high = F.floor(at).cast("long"), F.ceil(at).cast("long")
+        return F.when(low == high, m[low]).otherwise((high - at) * m[low] + (at - low) * m[high])
 
-    return values.select(*keys, "n", F.when(n > 0, F.array(*[between(p) for p in at])).alias(name))
+    return values.select(*keys, "n", F.when(n > 0, F.transform(F.array(*[F.lit(float(p)) for p in at]), between)).alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
+from tidelake.operators import learners as L
 from tidelake.operators import mixed as X
 from tidelake.operators import windows as O
 from tidelake.plans.catalog import query
@@ -114,7 +115,7 @@ def g14(spark, sf):
 @query("g15_crossfit")
 def g15(spark, sf):
     rows = O.folds(_rows(spark, sf), "l_suppkey", 5, 9)
-    out = G.crossfit(rows, "y", _X, "fold", 5, "fit")
+    out = L.crossfit(rows, "y", _X, "fold", 5, "fit")
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(1 - F.sum((F.col("y") - F.col("fit")) ** 2) / F.sum((F.col("y") - 25) ** 2)).alias("gain"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.operators import estimators as G
 from tidelake.operators import formulas as N
+from tidelake.operators import learners as L
 from tidelake.operators import mixed as X
 from tidelake.operators import models as M
 from tidelake.operators import windows as O
@@ -36,15 +40,41 @@ def g11(spark, sf):
 @query("g16_boosting")
 def g16(spark, sf):
     rows = O.folds(_rows(spark, sf), "l_suppkey", 5, 3)
-    out = M.boosted(rows.filter("fold > 0"), rows.filter("fold = 0"), "y", _X, "fit")
+    # One lane: what isn't in fold 0 trains the model that scores fold 0.
+    models = L.Boosting(rounds=100, depth=5, step=0.1).fit(rows, "y", _X, "fold", 1)
+    out = L.transfer(models, rows.filter("fold = 0"), _X, "fold", "fit")
     return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fit"), 2).alias("fit"))
 
 
 @query("g17_stopped_boosting")
 def g17(spark, sf):
-    rows = O.folds(_rows(spark, sf), "l_suppkey", 10, 3).withColumn("held", F.col("fold") == 0)
-    scores, at = M.stopped_boosting(rows, "y", _X, "held", rounds=500)
-    return spark.createDataFrame([(len(scores) - 1, at)], "rounds int, stopped int")
+    rows = O.folds(_rows(spark, sf), "l_suppkey", 5, 3)
+    models = L.Boosting(rounds=500, depth=4, step=0.05, unit="l_suppkey").fit(rows, "y", _X, "fold", 5)
+    return spark.createDataFrame([(f, len(m.trees), len(m.scores) - 1) for f, m in enumerate(models)], "fold int, trees int, stopped int")
+
+
+@query("g15_learners")
+def g15(spark, sf):
+    rows = O.folds(_rows(spark, sf), "l_orderkey", 5, 9)
+    learners = {"ols": L.LeastSquares(), "ridge": L.Ridge(1.0), "mixed": L.Mixed("l_suppkey"), "boosting": L.Boosting(rounds=500, unit="l_suppkey")}
+    parts = [L.fold_r2(L.crossfit(rows, "y", _X, "fold", 5, "fit", m), "y", "fit", "fold").select(F.lit(name).alias("learner"), "fold", "n", F.round("r2", 5).alias("r2")) for name, m in learners.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+_FOLDS_SQL = "u AS (SELECT l_suppkey, (row_number() OVER (ORDER BY md5(l_suppkey || ':9'), l_suppkey) - 1) % 5 AS fold FROM (SELECT DISTINCT l_suppkey FROM lineitem)), r AS (SELECT u.fold, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem l JOIN u ON l.l_suppkey = u.l_suppkey), m AS (SELECT f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS my FROM r, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY 1)"
+
+
+@query("g15_fold_r2", f"WITH {_FOLDS_SQL} SELECT fold::INT AS fold, count(*) AS n, round(1 - sum(pow(y - a - b * x, 2)) / sum(pow(y - my, 2)), 6) AS r2 FROM r JOIN m ON fold = f GROUP BY 1")
+def g15b(spark, sf):
+    rows = L.crossfit(O.folds(_rows(spark, sf), "l_suppkey", 5, 9), "y", ["l_quantity"], "fold", 5, "fit")
+    return L.fold_r2(rows, "y", "fit", "fold").withColumn("r2", r6(F.col("r2")))
+
+
+@query("g15_transfer", f"WITH {_FOLDS_SQL} SELECT p_partkey, round(a + b * p_size, 6) AS fit FROM part JOIN m ON f = p_partkey % 5")
+def g15c(spark, sf):
+    models = L.LeastSquares().fit(O.folds(_rows(spark, sf), "l_suppkey", 5, 9), "y", ["l_quantity"], "fold", 5)
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 5).alias("fold"))
+    return L.transfer(models, parts, ["p_size"], "fold", "fit").select("p_partkey", r6(F.col("fit")).alias("fit"))
 
 
 @query("g19_odds_weights")
@@ -61,7 +91,7 @@ m AS (SELECT f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r, (SELECT
 q AS (SELECT list_sort(list_distinct(quantile_cont(fit, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS es FROM s), b AS (SELECT len(list_filter(es[2:len(es) - 1], lambda e: e < fit)) AS bin, y, fit FROM s, q)
 SELECT bin, count(*) AS n, round(avg(y), 4) AS observed, round(avg(fit), 4) AS predicted FROM b GROUP BY 1""")
 def g20(spark, sf):
-    rows = G.crossfit(O.folds(_rows(spark, sf), "l_suppkey", 5, 9), "y", ["l_quantity"], "fold", 5, "fit")
+    rows = L.crossfit(O.folds(_rows(spark, sf), "l_suppkey", 5, 9), "y", ["l_quantity"], "fold", 5, "fit")
     return M.calibration(rows, "y", "fit").select("bin", "n", F.round("observed", 4).alias("observed"), F.round("predicted", 4).alias("predicted"))
 
 
@@ -79,8 +109,11 @@ def g28(spark, sf):
 
 @query("g32_permutation_importance")
 def g32(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_totalprice") / 2000 + F.col("o_custkey") % 7).alias("a"), (F.col("o_custkey") % 11).cast("double").alias("b"))
-    return M.linear_importance(rows, "o_orderkey", "y", ["a", "b"]).select("term", F.round("importance", 3).alias("importance"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_totalprice") / 2000 + F.col("o_custkey") % 7).alias("a"), (F.col("o_custkey") % 11).cast("double").alias("b"))
+    rows = O.folds(rows, "o_custkey", 5, 3)
+    learners = {"ols": L.LeastSquares(), "boosting": L.Boosting(rounds=40, step=0.2, unit="o_custkey")}
+    parts = [L.importance(rows, "o_orderkey", "y", ["a", "b"], "fold", m.fit(rows, "y", ["a", "b"], "fold", 5), repeats=10).select(F.lit(name).alias("learner"), "term", F.round("importance", 3).alias("importance")) for name, m in learners.items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _simple(model, rows, y, x, where):
