@@ -12,7 +12,6 @@ from tidelake.operators import estimators as G
 from tidelake.operators import learners as L
 from tidelake.operators import mixed as X
 from tidelake.operators import joins as J
-from tidelake.operators import models as M
 from tidelake.plans import catalog
 from tidelake.plans import estimator_queries as E
 from tidelake.plans.tables import table

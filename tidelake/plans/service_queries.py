@@ -137,7 +137,7 @@ def k2(spark, sf):
     path = _new(spark, "names")
     written = F.concat(F.when(F.col("event_id") % 2 == 0, "U").otherwise("u"), F.col("user_id").cast("string"))
     K.run_available(_stream(spark, sf).select(F.lower(written).alias("name")), _new(spark, "checkpoint"), K.append_new(path, ["name"]))
-    return spark.read.parquet(path)
+    return W.stored(spark, path, ["name"])
 
 
 @query("k3_flushed", "SELECT event_id, event_type FROM events")
@@ -148,7 +148,7 @@ def k3(spark, sf):
     for part in (0, 1):
         rows.filter(F.col("event_id") % 2 == part).repartition(2).write.mode("append").parquet(source)
         K.run_available(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), checkpoint, K.append_new(path, ["event_id"]))
-    return spark.read.parquet(path)
+    return W.stored(spark, path, ["event_id"])
 
 
 @query("k4_quota_stream", "SELECT event_type, least(count(*), CASE event_type WHEN 'click' THEN 50 WHEN 'view' THEN 1000000 WHEN 'error' THEN 7 ELSE 0 END) AS n FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1")

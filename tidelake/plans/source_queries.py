@@ -5,25 +5,16 @@ Files go to the shared folder of the session (spark.checkpoint.dir; a temporary
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidelake.plans.catalog import query
 from tidelake.plans.tables import r6, table
 from tidelake.sources import readers as R
 from tidelake.sources import writers as W
+from tidelake.sources.staging import new_path
 
 
-def _new(spark, name):
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
-        import tempfile
-
-        at = f"file://{tempfile.gettempdir()}/tidelake"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_new = new_path
 
 
 @query("a1_csv_inferred", "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal FROM customer")
@@ -167,4 +158,4 @@ def b13(spark, sf):
     path, rows = _new(spark, "store"), table(spark, sf, "customer").select("c_custkey", "c_name")
     W.store_once(rows.filter("c_custkey % 3 <> 0"), path, ["c_custkey"])
     W.store_once(rows.unionAll(rows), path, ["c_custkey"])
-    return spark.read.parquet(path)
+    return W.stored(spark, path, ["c_custkey"])

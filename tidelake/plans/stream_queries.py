@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelake.operators import joins as J
 from tidelake.operators import validation as L
 from tidelake.plans.catalog import query
+from tidelake.plans.source_queries import _new
 from tidelake.plans.tables import r6, table
 from tidelake.streaming import operators as K
 
@@ -62,6 +63,18 @@ def l4(spark, sf):
     return L.violations(table(spark, sf, "customer"), {"positive": F.col("c_acctbal") >= 0, "small": F.col("c_acctbal") < 1e9, "round": F.col("c_acctbal") == F.round("c_acctbal", 0)})
 
 
+@query("l4_checked_write", "SELECT 'rows' AS rule, 0 AS n, false AS published UNION ALL SELECT 'positive', count(*) FILTER (WHERE NOT c_acctbal >= 0), false FROM customer UNION ALL SELECT 'kept', count(*), true FROM customer WHERE c_acctbal >= 0")
+def l4b(spark, sf):
+    rows = table(spark, sf, "customer")
+    rule, n = {"positive": F.col("c_acctbal") >= 0}, rows.count()
+    first = L.checked_write(rows, _new(spark, "checked"), rule, rows=n)
+    path = _new(spark, "checked")
+    second = L.checked_write(rows.filter("c_acctbal >= 0"), path, rule, gates={"some": F.count(F.lit(1)) > 0})
+    out = [(k, v, first.published) for k, v in first.counts.items()]
+    found = spark.createDataFrame(out, "rule string, n long, published boolean")
+    return found.unionAll(spark.read.parquet(path).agg(F.lit("kept").alias("rule"), F.count(F.lit(1)).alias("n"), F.lit(second.published).alias("published")))
+
+
 @query("l5_gates", "SELECT 'share' AS rule, avg((event_type = 'click')::INT) BETWEEN 0.1 AND 0.5 AS passed FROM events UNION ALL SELECT 'median', median(value) < 1 FROM events")
 def l5(spark, sf):
     return L.gates(table(spark, sf, "events"), {"share": F.avg((F.col("event_type") == "click").cast("int")).between(0.1, 0.5), "median": F.median("value") < 1})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions.scalars import md5_bucket
+from tidelake.sources.store import KeyedStore
 
 
 HEADER = "_columns"
@@ -72,18 +73,13 @@ def bucketed_shards(df: DataFrame, path: str, key: str, rows_a_file: int = 2_000
 
 
 def store_once(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends rows whose key the store doesn't hold, one a key; returns how many.  The store's keys stay unique."""
-    spark = df.sparkSession
-    fresh = df.dropDuplicates(keys)
-    if exists(df, path):
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    before = spark.read.parquet(path).count() if exists(df, path) else 0
-    fresh.write.mode("append").parquet(path)
-    stored = spark.read.parquet(path)
-    n = stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(k) for k in keys]).alias("k")).first()
-    if n["n"] != n["k"]:
-        raise ValueError(f"the store at {path} holds a key twice")
-    return n["n"] - before
+    """Appends rows whose key the store (store.KeyedStore) doesn't hold, one a key; returns how many."""
+    return KeyedStore(df.sparkSession, path, keys).append(df).rows
+
+
+def stored(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What store_once() wrote."""
+    return KeyedStore(spark, path, keys).read()
 
 
 def write_draw(df: DataFrame, path: str, draw: int) -> bool:
