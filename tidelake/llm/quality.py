@@ -307,6 +307,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "ra
 
 
 def select_top(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose probability of the top grade is at least ``least``."""
+    """The rows whose probability of the top grade is at least ``least``, staged: texts go to workers in batches bounded by rows and bytes."""
     chosen: Column = scorer(model)(F.col(text_col))["p_top"] >= F.lit(least)
-    return docs.filter(chosen)
+    with text_batches(docs.sparkSession):
+        return stage(docs.filter(chosen), "good")
