@@ -175,7 +175,7 @@ def test_streams_equal_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     K.run_available(stream.select("event_id", "value"), str(tmp_path / "cp"), K.append_new(out, ["event_id"]))
     K.run_available(stream.select("event_id", "value"), str(tmp_path / "cp2"), K.append_new(out, ["event_id"]))
-    assert spark.read.parquet(out).count() == 200
+    assert B.stored(spark, out, ["event_id"]).count() == 200
     quota = K.with_quota(stream.select("event_type", "event_id"), "event_type", {"a": 5, "b": 9}).writeStream.format("memory").queryName("q").outputMode("append").trigger(availableNow=True).start()
     quota.awaitTermination()
     assert {r.event_type: r["count"] for r in spark.table("q").groupBy("event_type").count().collect()} == {"a": 5, "b": 9}
