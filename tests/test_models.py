@@ -263,3 +263,43 @@ def test_pca_of_the_query_table(spark):
     for r, k in zip(sorted(rows, key=lambda r: r.component), np.argsort(values)[::-1]):
         v = vectors[:, k] * (1 if vectors[0, k] >= 0 else -1)
         assert r.share == pytest.approx(values[k] / 4, abs=1e-6) and r.loadings == pytest.approx(v.tolist(), abs=1e-4)
+
+
+def test_bootstrap_fits_refit_each_draw(spark):
+    a, b, player, game, y = _table(120)
+    df = _frame(spark, a, b, player, game, y)
+    got = collections.defaultdict(dict)
+    for r in M.bootstrap_fits(df, "game", "y", ["a", "b"], 40, 7).collect():
+        got[r.draw][r.term] = r.coef
+    counts = collections.defaultdict(dict)
+    for r in G.draw_counts(df.select("game").distinct(), "game", 40, 7).collect():
+        counts[r.draw][r.game] = r.cnt
+    assert len(got) == 40
+    for d in range(40):
+        at = np.repeat(np.arange(120), [counts[d].get(int(g), 0) for g in game])
+        x = np.column_stack([np.ones(len(at)), a[at], b[at]])
+        assert [got[d][t] for t in ("const", "a", "b")] == pytest.approx(np.linalg.lstsq(x, y[at], rcond=None)[0].tolist())
+
+
+def test_rank_correlation_of_drawn_rows(spark):
+    from tidelake.operators.aggregates import rank_correlation
+
+    a, b, player, game, y = _table(90)
+    df = _frame(spark, np.round(a), b, player, game, y)
+    drawn = G.resampled_rows(df.select("game", "a", "y"), "game", 5, 3)
+    got = {r.draw: r.rho for r in rank_correlation(drawn, "a", "y", ["draw"], [], average=True).collect()}
+    counts = collections.defaultdict(dict)
+    for r in G.draw_counts(df.select("game").distinct(), "game", 5, 3).collect():
+        counts[r.draw][r.game] = r.cnt
+    mean_rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    for d in range(5):
+        at = np.repeat(np.arange(90), [counts[d].get(int(g), 0) for g in game])
+        assert got[d] == pytest.approx(np.corrcoef(mean_rank(np.round(a)[at]), mean_rank(y[at]))[0, 1])
+
+
+def test_ledger_of_two_estimates(spark):
+    kind = "term string, coef double, lo double, hi double"
+    old = spark.createDataFrame([("a", 1.0, 0.5, 1.5), ("b", -1.0, -2.0, 0.0), ("gone", 1.0, 0.0, 2.0)], kind)
+    new = spark.createDataFrame([("a", 2.0, 1.6, 2.4), ("b", 0.5, -0.5, 1.5), ("new", 3.0, 2.0, 4.0)], kind)
+    got = {r.term: (r.change, r.same_sign, r.overlap) for r in G.compare_estimates(old, new, ["term"]).collect()}
+    assert got == {"a": (1.0, True, False), "b": (1.5, False, True), "gone": (None, None, None), "new": (None, None, None)}
