@@ -134,3 +134,10 @@ def test_repeated_selection_is_a_share_of_repeats(spark):
     df = spark.range(200).select("id", (F.col("id") % 2).alias("fold"))
     out = O.repeated_selection(df, "id", "fold", 0.1, 50, 2)
     assert out.count() == 200 and out.agg(F.sum("p")).first()[0] == pytest.approx(20.0)
+
+
+def test_quotas_limit_rows_before_the_shuffle(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("band"))
+    out = O.quota(df, "band", {"a": 7, "b": 3, "c": 2}, ["id"])
+    assert sorted((r.band, r.id) for r in out.collect()) == [("a", i) for i in range(0, 21, 3)] + [("b", i) for i in range(1, 10, 3)]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()

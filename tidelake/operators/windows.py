@@ -162,10 +162,11 @@ def repeated_selection(df: DataFrame, id_: str, fold: str, q: float, repeats: in
 
 
 def quota(df: DataFrame, band: str, targets: dict[str, int], order: list[str]) -> DataFrame:
-    """The first rows of each band, up to its target."""
+    """The first rows of each band, up to its target.  The largest target is a limit for every band, which tasks apply before rows are shuffled."""
     target = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))])
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(band).orderBy(*order)))
-    return ranked.filter(F.col("__r") <= F.coalesce(F.element_at(target, F.col(band)), F.lit(0))).drop("__r")
+    some = df.filter(F.col(band).isin(list(targets)))
+    ranked = some.withColumn("__r", F.row_number().over(Window.partitionBy(band).orderBy(*order))).filter(F.col("__r") <= max(targets.values(), default=0))
+    return ranked.filter(F.col("__r") <= F.element_at(target, F.col(band))).drop("__r")
 
 
 def until_stalled(taken: DataFrame, at: str, stall: int) -> DataFrame:
