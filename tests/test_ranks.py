@@ -141,3 +141,11 @@ def test_quotas_limit_rows_before_the_shuffle(spark):
     out = O.quota(df, "band", {"a": 7, "b": 3, "c": 2}, ["id"])
     assert sorted((r.band, r.id) for r in out.collect()) == [("a", i) for i in range(0, 21, 3)] + [("b", i) for i in range(1, 10, 3)]
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_quantile_between_equal_values_is_that_value(spark):
+    """Weights of 0.2 of 5,999 rows add up to one less a bit, and 0.02 would come out as 0.019999999999999997."""
+    df = spark.range(0, 60_000).select(F.lit(0.02).alias("v"))
+    assert R.exact_quantiles(df, [], "v", [0.2, 0.7, 0.8]).first().q == [0.02, 0.02, 0.02]
+    other = spark.range(0, 6_000).select(F.lit(0.08).alias("v"))
+    assert R.exact_quantiles(other, [], "v", [0.1, 0.8]).first().q == [0.08, 0.08]

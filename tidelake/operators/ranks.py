@@ -144,6 +144,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: list[float],
     def between(p: Column) -> Column:
         at = (n - 1) * p
         low, high = F.floor(at).cast("long"), F.ceil(at).cast("long")
-        return F.when(low == high, m[low]).otherwise((high - at) * m[low] + (at - low) * m[high])
+        # Between equal values weights that don't add up to 1 would miss the value by its last bit.
+        return F.when((low == high) | (m[low] == m[high]), m[low]).otherwise((high - at) * m[low] + (at - low) * m[high])
 
     return values.select(*keys, "n", F.when(n > 0, F.transform(F.array(*[F.lit(float(p)) for p in at]), between)).alias(name))
