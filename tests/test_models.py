@@ -209,6 +209,14 @@ def test_odds_weights_and_concentration(spark):
     assert row.largest == pytest.approx(w.max() / w.sum()) and row.top_share == pytest.approx(np.sort(w)[::-1][: len(w) // 10].sum() / w.sum())
 
 
+def test_odds_are_columns(spark):
+    """No function of the model library stays in the plan: it couldn't be sent to tasks in some sessions."""
+    df = spark.createDataFrame([(float(i % 7), float(i % 3 == 0)) for i in range(60)] + [(None, 1.0)], "b double, z double")
+    out = M.odds_weights(df, "z", ["b"], "w")
+    assert "UDF" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 60  # a row without x has no weight
+
+
 def test_equivalence_importance_and_band_pca(spark):
     r = np.random.default_rng(2)
     rows = [(i, "a" if i % 2 else "b", float(r.normal() + (0 if i % 2 else 3)), float(r.normal()), float(r.normal())) for i in range(200)]

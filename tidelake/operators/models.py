@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +43,12 @@ def logit_clustered(df: DataFrame, y: str, x: list[str], cluster: str) -> DataFr
 def odds_weights(df: DataFrame, target: str, x: list[str], name: str) -> DataFrame:
     """p / (1 - p) of a lightly penalised propensity model, scaled to sum to the number of rows."""
     n = df.count()
-    rows = _assembled(df, x)
-    m = LogisticRegression(featuresCol="__x", labelCol=target, regParam=1.0 / n, maxIter=100).fit(rows)
-    p = vector_to_array("probability")[1]
-    scored = m.transform(rows).withColumn("__o", p / (1 - p))
+    m = LogisticRegression(featuresCol="__x", labelCol=target, regParam=1.0 / n, maxIter=100).fit(_assembled(df, x))
+    # The odds are exp(z): written as a Column they take along none of the library's functions of vectors.
+    z = F.lit(float(m.intercept))
+    for c, b in zip(x, m.coefficients, strict=True):
+        z = z + F.col(c) * F.lit(float(b))
+    scored = df.dropna(subset=x).withColumn("__o", F.exp(z))
     total = scored.agg(F.sum("__o").alias("__t"))  # one row
     return scored.join(F.broadcast(total)).withColumn(name, F.col("__o") / F.col("__t") * n).select(*df.columns, name)  # G.concentration() tells how few rows carry them
 
