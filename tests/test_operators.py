@@ -191,3 +191,9 @@ def test_formats_round_the_binary_number(spark):
     df = spark.createDataFrame([(2.675, 1.05e-19, 0.125), (-0.005, 3.5e20, 100.0), (None, None, None)], "a double, b double, c double")
     got = df.select(H.signed(F.col("a"), 2), H.scientific(F.col("b"), 2), H.p_text(F.col("c")), H.percent(F.col("c") / 100, 2)).collect()
     assert [tuple(r) for r in got] == [("+2.67", "1.0 \u00d7 10\u207b\u00b9\u2079", ".12", "0.12%"), ("\u22120.01", "3.5 \u00d7 10\u00b2\u2070", "1e+02", "100.00%"), (None, None, None, None)]
+
+
+def test_a_row_on_the_mean_is_not_above_it(spark):
+    values = [0.1] * 10 + [0.3] * 7  # of either key alone the sum of doubles isn't n times the value
+    df = spark.createDataFrame([(i // 10, v) for i, v in enumerate(values)], "k int, v double").coalesce(1)
+    assert {r.k: r.above for r in O.above_mean(df, ["k"], "v", "above").collect()} == {0: 0, 1: 0}

@@ -65,6 +65,16 @@ def digitized(df: DataFrame, value: str, at: list[float], name: str) -> DataFram
     return df.join(F.broadcast(cuts)).withColumn(name, F.size(F.filter("__cuts", lambda x: x <= F.col(value)))).drop("__cuts")
 
 
+def above_mean(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Rows of each key above the key's mean, decided without rounding: n times the value against the sum, in decimals (ten places, below 10^12).
+
+    A mean of doubles depends on the order of additions by its last bit, and so would the side of a row that lies on the mean.
+    """
+    rows = df.select(*keys, F.col(value).cast("decimal(22,10)").alias("__v"))
+    sums = rows.groupBy(*keys).agg(F.sum("__v").alias("__s"), F.count("__v").cast("decimal(10,0)").alias("__n"))
+    return rows.join(sums, keys).groupBy(*keys).agg(F.count_if(F.col("__v") * F.col("__n") > F.col("__s")).alias(name))
+
+
 def standardised(df: DataFrame, columns: list[str], keys: list[str] | None = None, sample_sd: bool = True) -> DataFrame:
     """<column>_z; 0 where the deviation is 0.  Statistics come by a join with their own small table, not by a sort."""
     sd = F.stddev_samp if sample_sd else F.stddev_pop

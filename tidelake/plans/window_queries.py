@@ -203,5 +203,4 @@ def a28(spark, sf):
 
 @query("e7_band_means_to_rows", f"WITH {MOVES}, b AS (SELECT game, ply, value, avg(value) OVER (PARTITION BY game) AS mean FROM m) SELECT game, count(*) FILTER (WHERE value > mean) AS above FROM b GROUP BY 1")
 def e7b(spark, sf):
-    m = moves(spark, sf)
-    return m.join(m.groupBy("game").agg(F.avg("value").alias("mean")), "game").groupBy("game").agg(F.count_if(F.col("value") > F.col("mean")).alias("above"))
+    return O.above_mean(moves(spark, sf), ["game"], "value", "above")
