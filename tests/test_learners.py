@@ -184,3 +184,23 @@ def test_a_permutation_keeps_a_folds_values(spark):
             own = sorted(r[0] for r in df.filter(F.col("fold") == fold).select(c).collect())
             for rep in range(2):
                 assert sorted(r[0] for r in moved.filter(f"fold = {fold} and __column = '{c}' and __repeat = {rep}").select("__value").collect()) == own
+
+
+def test_rows_with_the_same_bins_are_one_cell(spark):
+    """However many rows there are, what boosting keeps is bounded by the combinations of bins."""
+    a, b, unit, y, fold = _data(2000)
+    df = _frame(spark, np.sign(a), b, unit, y, fold)
+    how = L.Boosting()
+    cells = how._cells(df, "y", ["a", "b"], "fold", F.lit(0).cast("long"), how._edges(df, ["a", "b"]), 0.5, 5).collect()
+    assert len(cells) == len({(p, q) for p, q in zip(np.sign(a), b)})
+    sums = np.array([r.sums for r in cells]).sum(0).reshape(5, 5)
+    assert sums[0].tolist() == [(fold != f).sum() for f in range(5)] and sums[1] == pytest.approx([(y - 0.5)[fold != f].sum() for f in range(5)]) and not sums[2:].any()
+
+
+def test_a_table_scores_as_the_trees_do(spark):
+    a, b, unit, y, fold = _data()
+    a[::17] = np.nan
+    models = L.Boosting(rounds=12, depth=3).fit(_frame(spark, a, b, unit, y, fold), "y", ["a", "b"], "fold", 5)
+    x = np.array([np.append(a, [np.inf, -np.inf, np.nan]), np.append(b, [np.nan, 4.5, np.inf])])
+    for m in models:
+        assert m.tabled(2, 0)(x).tolist() == m.scored(x).tolist() == m.tabled(2)(x).tolist() and m.tabled(2) != m.scored

@@ -5,7 +5,8 @@ A learner's ``fit(df, y, x, fold, k)`` returns one model a fold, fitted on the r
 own taken off the total); the mixed model is fitted by restricted likelihood for each fold; boosting
 grows the trees of all folds side by side, a job a level.
 
-Boosting: features become bins once, by exact quantiles.  A job sums gradients and counts by (lane, node, feature, bin) over blocks of rows in a
+Boosting: features become bins once, by exact quantiles.  Rows that have all bins in common can't be told apart by a tree, so they are summed once: a cell holds, by lane,
+how many rows train it and are held out of it, and their sums.  A job sums gradients and counts by (lane, node, feature, bin) over blocks of cells in a
 reduction tree, the driver picks splits from lanes x nodes x features x bins numbers, and the next level begins.  With a held-out share of
 units the loss on it is looked at after every tree, and a lane ends at the first tree where none of the last ``patience`` scores beats the one before
 them: nothing is fitted again, later trees don't exist.
@@ -13,6 +14,7 @@ them: nothing is fitted again, later trees don't exist.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -141,8 +143,18 @@ class Boosted:
             out += t.leaf[node - (len(t.leaf) - 1)]
         return out
 
+    def tabled(self, features: int, most: int = 100_000) -> Callable[[np.ndarray], np.ndarray]:
+        """scored(), by a table of all cells between the trees' thresholds if there are ``most`` at most: a row then costs a search a feature, however many trees there are."""
+        used = [np.unique(np.concatenate([np.empty(0), *[t.threshold[(t.feature == f) & (t.threshold < np.inf)] for t in self.trees]])) for f in range(features)]
+        shape = [len(e) + 1 for e in used]
+        if math.prod(shape) > most:
+            return self.scored
+        # A cell's values go like its upper threshold; those beyond the last one, and missing ones, like infinity.
+        table = self.scored(np.array([g.ravel() for g in np.meshgrid(*[np.append(e, np.inf) for e in used], indexing="ij")]))
+        return lambda x: table[np.ravel_multi_index([np.searchsorted(e, v, "left") for e, v in zip(used, x, strict=True)], shape)]
+
     def predict(self, columns: list[Column]) -> Column:
-        score = self.scored
+        score = self.tabled(len(columns))
 
         @F.arrow_udf("double")
         def apply(*values: pa.Array) -> pa.Array:
@@ -192,78 +204,87 @@ class Boosting:
                 out.append((found[1:] + found[:-1]) / 2)
         return out
 
-    def _blocks(self, df: DataFrame, y: str, x: list[str], fold: str, held: Column, edges: list[np.ndarray]) -> DataFrame:
-        """y, fold, held (one bit a lane), and bins (features x rows), in blocks of rows."""
-        rows_a_block = self.rows_a_block
+    def _cells(self, df: DataFrame, y: str, x: list[str], fold: str, held: Column, edges: list[np.ndarray], middle: float, k: int) -> DataFrame:
+        """A row for all rows with the same bins (int16 a feature): by lane the rows that train it and their sum of y, and the rows held out of it, their sum and their squares; y as distance from ``middle``."""
 
-        def block(batches):  # noqa: ANN001, ANN202
+        def binned(batches):  # noqa: ANN001, ANN202
             for batch in batches:
-                for part in (batch.slice(a, rows_a_block) for a in range(0, batch.num_rows, rows_a_block)):
-                    values = [part.column(i + 3).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(x))]
-                    # A bin holds what lies above the edge before it, up to its own; missing values have the last one.
-                    bins = np.array([np.where(np.isnan(v), len(e) + 1, np.searchsorted(e, v, "left")) for v, e in zip(values, edges, strict=True)], np.int16)
-                    numbers = [part.column(0).to_numpy().astype(np.float64), part.column(1).to_numpy().astype(np.int32), part.column(2).to_numpy().astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()]) for v in (*numbers, bins)], names=["y", "fold", "held", "bins"])
-
-        rows = df.select(F.col(y).cast("double"), F.col(fold).cast("int"), held.alias("__held"), *[F.col(c).cast("double") for c in x])
-        return rows.mapInArrow(block, "y binary, fold binary, held binary, bins binary")
+                values = [batch.column(i + 3).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(x))]
+                # A bin holds what lies above the edge before it, up to its own; missing values have the last one.
+                bins = np.array([np.where(np.isnan(v), len(e) + 1, np.searchsorted(e, v, "left")) for v, e in zip(values, edges, strict=True)], np.int16).T.copy()
+                offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * (2 * len(x))
+                keys = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(bins)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys], names=["y", "fold", "held", "bins"])
+
+        rows = df.select((F.col(y).cast("double") - F.lit(middle)).alias("__y"), F.col(fold).cast("int"), held.alias("__held"), *[F.col(c).cast("double") for c in x])
+        cells = rows.mapInArrow(binned, "y double, fold int, held long, bins binary").groupBy("bins", "fold", "held").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+        out = [F.getbit("held", F.lit(lane)) == 1 for lane in range(k)]
+        sums = lambda p, c: F.sum(F.when(p, F.col(c)).otherwise(0.0))
+        train = [sums((F.col("fold") != lane) & ~out[lane], c) for c in "ns" for lane in range(k)]
+        return cells.groupBy("bins").agg(F.array(*train, *[sums((F.col("fold") != lane) & out[lane], c) for c in "nsq" for lane in range(k)]).alias("sums"))
 
     def fit(self, df: DataFrame, y: str, x: list[str], fold: str, k: int) -> list[Boosted]:
         df = df.dropna(subset=[y])
         if k > 62:
             raise ValueError("more folds than bits")
+        edges, middle = self._edges(df, x), df.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
         held = F.lit(0).cast("long")
         if self.unit:
             df, held = self._held(df, fold, k), F.col("__bits")
-        edges = self._edges(df, x)
-        base = staged(self._blocks(df, y, x, fold, held, edges), "boosting").rdd.map(lambda r: _Rows(bytes(r["y"]), bytes(r["fold"]), bytes(r["held"]), bytes(r["bins"]), len(x)))
-        return _grow(self, base, edges, k)
+        cells = staged(self._cells(df, y, x, fold, held, edges, middle, k), "boosting")
+        # A task holds rows_a_block cells at least, and each core has three tasks at most.
+        tasks = max(1, min(-(-cells.count() // self.rows_a_block), 3 * df.sparkSession.sparkContext.defaultParallelism))
+
+        def block(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                if batch.num_rows:
+                    bins = b"".join(batch.column(0).to_pylist())
+                    sums = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, 5 * k).T
+                    yield pa.RecordBatch.from_arrays([pa.array([bins]), pa.array([sums.tobytes()])], names=["bins", "sums"])
+
+        base = cells.repartition(tasks, "bins").mapInArrow(block, "bins binary, sums binary").rdd.map(lambda r: _Cells(bytes(r["bins"]), bytes(r["sums"]), len(x), k))
+        return _grow(self, base, edges, k, middle)
 
 
-class _Rows:
-    """A block's rows, and where a lane's predictions stand."""
+class _Cells:
+    """A block's cells, and where a lane's predictions stand."""
 
-    def __init__(self, y: bytes, fold: bytes, held: bytes, bins: bytes, features: int) -> None:
-        self.y, self.fold, self.held = np.frombuffer(y, np.float64), np.frombuffer(fold, np.int32), np.frombuffer(held, np.int64)
-        self.bins = np.frombuffer(bins, np.int16).reshape(features, -1)
+    def __init__(self, bins: bytes, sums: bytes, features: int, k: int) -> None:
+        self.bins = np.frombuffer(bins, np.int16).reshape(-1, features).T
+        self.n, self.s, self.out_n, self.out_s, self.out_q = np.frombuffer(sums, np.float64).reshape(5, k, -1)
         self.fits: dict[int, np.ndarray] = {}
 
     def node(self, tree: Tree, levels: int | None = None) -> np.ndarray:
-        at = np.arange(len(self.y))
-        return tree.of(lambda f, n: self.bins[f, at] > tree.edge[n], len(self.y), levels)
+        at = np.arange(self.bins.shape[1])
+        return tree.of(lambda f, n: self.bins[f, at] > tree.edge[n], self.bins.shape[1], levels)
 
     def fitted(self, lane: int, base: float, trees: list[Tree]) -> np.ndarray:
-        out = self.fits.get(lane, np.full(len(self.y), base)).copy()
+        out = self.fits.get(lane, np.full(self.bins.shape[1], base)).copy()
         for t in trees:
             out += t.leaf[self.node(t) - (len(t.leaf) - 1)]
         return out
 
-    def advanced(self, models: dict[int, tuple[float, list[Tree]]]) -> _Rows:
-        """The same rows with predictions by the trees so far."""
+    def advanced(self, models: dict[int, tuple[float, list[Tree]]]) -> _Cells:
+        """The same cells with predictions by the trees so far."""
         self.fits = {lane: self.fitted(lane, base, trees) for lane, (base, trees) in models.items()}
         return self
 
-    def parts(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which rows train a lane, and which are held out of it."""
-        mine, held = self.fold != lane, (self.held >> lane) & 1 == 1
-        return mine & ~held, mine & held
-
 
 def _reduced(rdd, add, merge):  # noqa: ANN001, ANN202
     return rdd.treeAggregate(None, add, lambda a, b: b if a is None else a if b is None else merge(a, b), 1 if rdd.getNumPartitions() <= 16 else 2)
 
 
-def _grow(how: Boosting, base, edges: list[np.ndarray], k: int) -> list[Boosted]:  # noqa: ANN001
+def _grow(how: Boosting, base, edges: list[np.ndarray], k: int, middle: float) -> list[Boosted]:  # noqa: ANN001
     wide, depth = max(map(len, edges), default=0) + 2, how.depth
     features = len(edges)
 
-    def start(total, rows):  # noqa: ANN001, ANN202
-        own = np.array([[m.sum(), rows.y[m].sum()] for m in (rows.parts(lane)[0] for lane in range(k))])
+    def start(total, cells):  # noqa: ANN001, ANN202
+        own = np.stack([cells.n.sum(1), cells.s.sum(1)], 1)
         return own if total is None else total + own
 
     sums = _reduced(base, start, lambda a, b: a + b)
     sums = np.zeros((k, 2)) if sums is None else sums
-    models = [Boosted(float(s / n) if n else 0.0) for n, s in sums]
+    models = [Boosted(middle + float(s / n) if n else 0.0) for n, s in sums]
     going = {lane for lane in range(k) if sums[lane, 0]}
     cached, kept, seen = base.persist(StorageLevel.MEMORY_AND_DISK), base, 0
 
@@ -271,19 +292,20 @@ def _grow(how: Boosting, base, edges: list[np.ndarray], k: int) -> list[Boosted]
         """By lane: gradients and counts by (node, feature, bin) at a level, and the held-out squared error."""
         state = {lane: (models[lane].base, models[lane].trees[seen:]) for lane in growing}
 
-        def add(total, rows):  # noqa: ANN001, ANN202
+        def add(total, cells):  # noqa: ANN001, ANN202
             total = total if total is not None else ({}, {})
             for lane, tree in growing.items():
-                fit = rows.fitted(lane, *state[lane])
-                train, out = rows.parts(lane)
-                if watch and out.any():
-                    e = np.array([((rows.y[out] - fit[out]) ** 2).sum(), out.sum()])
+                fit = cells.fitted(lane, *state[lane]) - middle
+                if watch and cells.out_n[lane].any():
+                    e = np.array([(cells.out_q[lane] - 2 * fit * cells.out_s[lane] + cells.out_n[lane] * fit**2).sum(), cells.out_n[lane].sum()])
                     total[1][lane] = total[1].get(lane, 0) + e
-                node = rows.node(tree, level)[train] - (2**level - 1)
-                rest = (rows.y - fit)[train]
-                cells = ((node * features)[None, :] + np.arange(features)[:, None]) * wide + rows.bins[:, train]
+                n = cells.n[lane]
+                train = n > 0
+                node = cells.node(tree, level)[train] - (2**level - 1)
+                rest = (cells.s[lane] - n * fit)[train]
+                places = ((node * features)[None, :] + np.arange(features)[:, None]) * wide + cells.bins[:, train]
                 size = 2**level * features * wide
-                hist = np.stack([np.bincount(cells.ravel(), np.tile(rest, features), size), np.bincount(cells.ravel(), minlength=size)])
+                hist = np.stack([np.bincount(places.ravel(), np.tile(w, features), size) for w in (rest, n[train])])
                 total[0][lane] = total[0].get(lane, 0) + hist
             return total
 
@@ -315,7 +337,7 @@ def _grow(how: Boosting, base, edges: list[np.ndarray], k: int) -> list[Boosted]
             models[lane].trees.append(tree)
         if (round_ + 1) % how.refresh == 0 and going:
             sofar = {lane: (models[lane].base, models[lane].trees) for lane in going}
-            fresh = base.map(lambda rows, sofar=sofar: rows.advanced(sofar)).persist(StorageLevel.MEMORY_AND_DISK)
+            fresh = base.map(lambda cells, sofar=sofar: cells.advanced(sofar)).persist(StorageLevel.MEMORY_AND_DISK)
             kept, cached, seen = cached, fresh, round_ + 1
             if kept is not base:
                 kept.unpersist()
@@ -363,6 +385,20 @@ def _split(tree: Tree, level: int, hist: np.ndarray, edges: list[np.ndarray], ho
 
 def by_fold(models: list[Model], columns: list[Column], fold: Column) -> Column:
     """The prediction by the model that hasn't seen the row's fold."""
+    if models and all(isinstance(m, Boosted) for m in models):
+        scores = [m.tabled(len(columns)) for m in models]
+
+        @F.arrow_udf("double")
+        def apply(own: pa.Array, *values: pa.Array) -> pa.Array:
+            of, x = own.to_numpy(zero_copy_only=False), np.array([v.to_numpy(zero_copy_only=False) for v in values], np.float64)
+            out, hit = np.zeros(len(of)), np.zeros(len(of), bool)
+            for f, score in enumerate(scores):
+                mine = of == f
+                if mine.any():
+                    out[mine], hit = score(x[:, mine]), hit | mine
+            return pa.array(out, mask=~hit)
+
+        return apply(fold.cast("int"), *[c.cast("double") for c in columns])
     out = F.lit(None).cast("double")
     for f, m in enumerate(models):
         out = F.when(fold == f, m.predict(columns)).otherwise(out)
@@ -395,19 +431,25 @@ def permuted_rows(df: DataFrame, id_: str, fold: str, x: list[str], repeats: int
     """
     marks = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r"), F.col(c).cast("double").alias("v")) for c in x for r in range(repeats)])).alias("m")
     dealt = df.select(id_, fold, marks).select(id_, fold, F.col("m.c").alias("__column"), F.col("m.r").alias("__repeat"), F.col("m.v").alias("__value"))
-    mark = F.md5(F.concat_ws(":", F.col(id_).cast("string"), "__column", F.col("__repeat").cast("string"), F.lit(str(seed))))
-    dealt = global_rank(dealt.withColumn("__h", mark), [fold, "__column", "__repeat"], ["__h", id_], "__place").drop("__h", id_)
+    mark = F.unhex(F.md5(F.concat_ws(":", F.col(id_).cast("string"), "__column", F.col("__repeat").cast("string"), F.lit(str(seed)))))
+    dealt = global_rank(dealt.withColumn("__h", mark), [fold, "__column", "__repeat"], ["__h", id_], "__place", without=["__h", id_])
     rows = global_rank(df, [fold], [id_], "__place")
-    each = rows.withColumn("__m", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c in x for r in range(repeats)]))).withColumns({"__column": F.col("__m.c"), "__repeat": F.col("__m.r")}).drop("__m")
-    return each.join(dealt, [fold, "__column", "__repeat", "__place"]).drop("__place")
+    # Each value goes to the row of its place: rows aren't repeated before they meet.
+    return rows.join(dealt, [fold, "__place"]).drop("__place")
 
 
-def importance(df: DataFrame, id_: str, y: str, x: list[str], fold: str, models: list[Model], repeats: int = 10, seed: int = 5) -> DataFrame:
-    """term, importance: the rise of a fold's mean squared error when one column is permuted within it, averaged over repeats, then over folds.  All columns and repeats are scored in one job."""
+def importances(df: DataFrame, id_: str, y: str, x: list[str], fold: str, learners: dict[str, list[Model]], repeats: int = 10, seed: int = 5) -> DataFrame:
+    """learner, term, importance: the rise of a fold's mean squared error when one column is permuted within it, averaged over repeats, then over folds.  All learners, columns and repeats are scored in one job."""
     rows = df.dropna(subset=[y]).select(id_, fold, y, *x)
-    base = rows.withColumn("__fit", by_fold(models, [F.col(c) for c in x], F.col(fold))).groupBy(fold).agg(F.avg((F.col(y) - F.col("__fit")) ** 2).alias("__base"))
+    errors = lambda columns, name: [F.avg((F.col(y) - by_fold(models, columns, F.col(fold))) ** 2).alias(f"{name}{i}") for i, models in enumerate(learners.values())]
+    base = rows.groupBy(fold).agg(*errors([F.col(c) for c in x], "__base"))
     moved = permuted_rows(rows, id_, fold, x, repeats, seed)
     columns = [F.when(F.col("__column") == c, F.col("__value")).otherwise(F.col(c).cast("double")) for c in x]
-    scored = moved.withColumn("__fit", by_fold(models, columns, F.col(fold)))
-    mse = scored.groupBy(fold, "__column").agg(F.avg((F.col(y) - F.col("__fit")) ** 2).alias("__mse"))
-    return attach(mse, base, [fold]).groupBy(F.col("__column").alias("term")).agg(F.avg(F.col("__mse") - F.col("__base")).alias("importance"))
+    mse = moved.groupBy(fold, "__column").agg(*errors(columns, "__mse"))
+    rises = F.explode(F.array(*[F.struct(F.lit(name).alias("learner"), (F.col(f"__mse{i}") - F.col(f"__base{i}")).alias("rise")) for i, name in enumerate(learners)])).alias("r")
+    return attach(mse, base, [fold]).select(F.col("__column").alias("term"), rises).groupBy("r.learner", "term").agg(F.avg("r.rise").alias("importance"))
+
+
+def importance(df: DataFrame, id_: str, y: str, x: list[str], fold: str, models: list[Model], repeats: int = 10, seed: int = 5) -> DataFrame:
+    """importances() of one learner: term, importance."""
+    return importances(df, id_, y, x, fold, {"": models}, repeats, seed).drop("learner")

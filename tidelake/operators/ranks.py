@@ -41,11 +41,11 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
     return left.join(right, same, how).drop("__salt_a", "__salt_b", *[f"__k{i}" for i in range(len(keys))])
 
 
-def global_rank(df: DataFrame, keys: list[str], order: list[str], name: str, ties: str = "ordinal", then: list[str] | None = None, descending: bool = False, ranges: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, keys: list[str], order: list[str], name: str, ties: str = "ordinal", then: list[str] | None = None, descending: bool = False, ranges: int | None = None, without: list[str] | None = None) -> DataFrame:
     """Adds ``name``, each row's rank from 1 in its group.
 
     ``ties`` is "ordinal" (rows equal in ``order`` go by ``then``, those equal in that too in any order) or "average" (a double: equal rows share the mean of their ranks).  Nulls
-    are a group of their own as keys, and come first as values (last, if descending).  The rows are returned staged.
+    are a group of their own as keys, and come first as values (last, if descending).  The rows are returned staged, without the columns ``without`` (of ordinal ranks, the order may be among them).
     """
     if ties not in ("ordinal", "average"):
         raise ValueError(f"no such ties: {ties}")
@@ -55,7 +55,7 @@ def global_rank(df: DataFrame, keys: list[str], order: list[str], name: str, tie
     by = [*[F.asc_nulls_first(k) for k in keys], *[way(c) for c in order], *[F.asc_nulls_first(c) for c in (then or [])], F.asc("__in")]
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("__in", F.monotonically_increasing_id()).repartitionByRange(n, *by).sortWithinPartitions(*by)
-    rows = staged(dealt.drop("__in").withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    rows = staged(dealt.drop("__in", *(without or [])).withColumn("__at", F.monotonically_increasing_id()), "ranges")
     rows = rows.withColumn("__range", F.shiftright("__at", _IN_RANGE))
     cells = rows.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
