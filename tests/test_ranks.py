@@ -1,6 +1,7 @@
 """Ranks, order statistics and what stands on them, against NumPy and brute force."""
 
 import collections
+import hashlib
 
 import numpy as np
 import pytest
@@ -149,3 +150,19 @@ def test_a_quantile_between_equal_values_is_that_value(spark):
     assert R.exact_quantiles(df, [], "v", [0.2, 0.7, 0.8]).first().q == [0.02, 0.02, 0.02]
     other = spark.range(0, 6_000).select(F.lit(0.08).alias("v"))
     assert R.exact_quantiles(other, [], "v", [0.1, 0.8]).first().q == [0.08, 0.08]
+
+
+@pytest.mark.parametrize("deviations", [6.0, 0.0])
+def test_repeated_selection_against_sorting(spark, monkeypatch, deviations):
+    """Most rows are dropped when they are hashed; without any room around the expected place the order statistics decide."""
+    general, used = O.top_of, []
+    monkeypatch.setattr(O, "top_of", lambda *a: used.append(1) or general(*a))
+    rows = [(i, "ab"[i % 3 == 0] if i % 50 else None) for i in range(1500)]
+    got = {(r.i, r.k): r.p for r in O.repeated_selection(spark.createDataFrame(rows, "i int, k string"), "i", "k", 0.1, 20, 2, deviations).collect()}
+    want = dict.fromkeys(rows, 0)
+    for rep in range(20):
+        for k in ("a", "b", None):
+            own = sorted((int(hashlib.md5(f"{i}:{rep}:2".encode()).hexdigest()[:13], 16), i) for i, f in rows if f == k)
+            for _, i in own[: round(len(own) * 0.1)]:
+                want[i, k] += 1
+    assert got == pytest.approx({x: n / 20 for x, n in want.items()}) and bool(used) == (deviations == 0)

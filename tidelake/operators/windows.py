@@ -164,11 +164,32 @@ def hash_score(id_: Column, *marks: object) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def repeated_selection(df: DataFrame, id_: str, fold: str, q: float, repeats: int, seed: int) -> DataFrame:
-    """Share of ``repeats`` random selections of round(q n) rows a fold in which each row is selected: those of smallest hash, ties by identifier."""
-    many = df.select(id_, fold).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    scored = many.withColumn("__h", -hash_score(F.col(id_), F.col("__rep"), seed).cast("double"))
-    return top_of(scored, "__h", id_, q, [fold, "__rep"], "__in").groupBy(id_, fold).agg(F.avg(F.col("__in").cast("int")).alias("p"))
+def repeated_selection(df: DataFrame, id_: str, fold: str, q: float, repeats: int, seed: int, deviations: float = 6.0) -> DataFrame:
+    """Share of ``repeats`` random selections of round(q n) rows a fold in which each row is selected: those of smallest hash, ties by identifier.
+
+    Hashes are even, so the last selected row of a fold and repeat lies within some ``deviations`` of its place among them.  Rows are hashed once, those beyond are dropped at once, and
+    only the few around that place are ranked.  Counts tell whether it lies there everywhere; where it doesn't, order statistics of all rows decide.
+    """
+    keys, n = [fold, "__rep"], F.col("__n")
+    sizes = df.groupBy(fold).agg(F.count(F.lit(1)).alias("__n")).withColumn("__share", F.bround(n * F.lit(q)).cast("long"))
+    slack = F.lit(deviations) * F.sqrt(n * F.lit(max(0.0, q * (1 - q)))) + F.lit(deviations)
+    at = lambda rows: (rows / n * F.lit(2.0**52)).cast("double")
+    sizes = staged(sizes.withColumns({"__low": at(F.col("__share") - slack), "__high": at(F.col("__share") + slack)}).drop("__n"), "shares")
+    # A small file is one task to read, and each of its rows is ``repeats`` hashes: as many tasks as those ask for.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * repeats // 2_000_000))
+    many = df.select(id_, fold).repartition(tasks, id_).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    near = attach(many, sizes, [fold]).withColumn("__h", hash_score(F.col(id_), F.col("__rep"), seed)).filter("__h <= __high")
+    near = staged(near.select(id_, *keys, "__h", (F.col("__h") < F.col("__low")).alias("__sure"), "__share"), "selected")
+    counts = staged(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"), F.count_if("__sure").alias("__before"), F.max("__share").alias("__share")).filter("__share > 0"), "counts")
+    if counts.filter("__before < __share and __share <= __c").count() < sizes.filter("__share > 0").count() * repeats:
+        scored = many.withColumn("__h", -hash_score(F.col(id_), F.col("__rep"), seed).cast("double"))
+        return top_of(scored, "__h", id_, q, keys, "__in").groupBy(id_, fold).agg(F.avg(F.col("__in").cast("int")).alias("p"))
+    w = Window.partitionBy(*keys).orderBy("__h", id_)  # twice the slack: some multiple of the fold's root
+    asked = attach(near.filter("not __sure").drop("__share"), counts.drop("__c"), keys).withColumn("__r", F.row_number().over(w) + F.col("__before"))
+    last = asked.filter("__r = __share").select(*keys, F.col("__h").alias("__cut"), F.col(id_).alias("__last"))
+    chosen = attach(near, staged(last, "cuts"), keys).filter((F.col("__h") < F.col("__cut")) | ((F.col("__h") == F.col("__cut")) & (F.col(id_) <= F.col("__last"))))
+    both = df.select(id_, fold, F.lit(1).alias("__row"), F.lit(0).alias("__in")).unionAll(chosen.select(id_, fold, F.lit(0), F.lit(1)))
+    return both.groupBy(id_, fold).agg((F.sum("__in") / (F.sum("__row") * F.lit(repeats))).alias("p"))
 
 
 def quota(df: DataFrame, band: str, targets: dict[str, int], order: list[str]) -> DataFrame:
