@@ -311,3 +311,11 @@ def test_ledger_of_two_estimates(spark):
     new = spark.createDataFrame([("a", 2.0, 1.6, 2.4), ("b", 0.5, -0.5, 1.5), ("new", 3.0, 2.0, 4.0)], kind)
     got = {r.term: (r.change, r.same_sign, r.overlap) for r in G.compare_estimates(old, new, ["term"]).collect()}
     assert got == {"a": (1.0, True, False), "b": (1.5, False, True), "gone": (None, None, None), "new": (None, None, None)}
+
+
+def test_picks_of_a_draw_are_dealt_to_tasks(spark):
+    units = spark.createDataFrame([(i, float(i)) for i in range(300)], "u int, v double")
+    few, many = (G.draw_counts(units, "u", 40, 3, n) for n in (10**6, 500))
+    assert "24), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert {r.n for r in many.groupBy("draw").agg(F.sum("cnt").alias("n")).collect()} == {300} and many.filter("v <> u").isEmpty()

@@ -192,22 +192,25 @@ def ridge(df: DataFrame, y: str, x: list[str], alpha: float) -> DataFrame:
     return df.sparkSession.createDataFrame([("const", float(my)), *[(c, float(b)) for c, b in zip(x, beta, strict=True)]], "term string, coef double")
 
 
-def draw_counts(units: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
-    """unit, draw, cnt: how often each unit is drawn in each bootstrap draw.
+def draw_counts(units: DataFrame, unit: str, draws: int, seed: int, picks_a_task: int = 1_000_000) -> DataFrame:
+    """The units, with draw and cnt: how often each unit is drawn in each bootstrap draw.
 
     Draw j of a round takes the unit whose rank is a hash of (draw, j), so counts are the same on every engine and run, and are
-    made by an aggregation, not on the driver.
+    made by an aggregation, not on the driver.  Picks are dealt by rank to as many tasks as their number asks for, so no task's table of counts grows with
+    units times draws; they are counted and meet their unit, with its columns, where they lie.
     """
-    n = units.count()
-    ranked = global_rank(units.select(unit), [], [unit], "__r").select(unit, (F.col("__r") - 1).alias("__rank"))
-    picks = units.sparkSession.range(n * draws).select((F.col("id") % draws).alias("draw"), (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") % n).alias("__rank"))
-    return picks.groupBy("draw", "__rank").agg(F.count(F.lit(1)).alias("cnt")).join(ranked, "__rank").select(unit, "draw", "cnt")
+    spark, n = units.sparkSession, units.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * draws // picks_a_task))
+    ranked = global_rank(units, [], [unit], "__r").withColumn("__rank", F.col("__r") - 1).drop("__r")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long")
+    picks = spark.range(0, n * draws, 1, tasks).select((F.col("id") % draws).alias("draw"), (hashed % n).alias("__rank")).repartition(tasks, "__rank")
+    return picks.groupBy("draw", "__rank").agg(F.count(F.lit(1)).alias("cnt")).join(ranked, "__rank").select(*units.columns, "draw", "cnt")
 
 
 def cluster_bootstrap(df: DataFrame, unit: str, numerator: Column, denominator: Column, draws: int, seed: int) -> DataFrame:
     """Ratio of sums with a percentile interval: counts times per-unit sums, rows are never drawn again."""
     sums = df.groupBy(unit).agg(F.sum(numerator).alias("__s"), F.sum(denominator).alias("__n"))
-    drawn = draw_counts(sums.select(unit), unit, draws, seed).join(sums, unit)
+    drawn = draw_counts(sums, unit, draws, seed)
     stats = drawn.groupBy("draw").agg((F.sum(F.col("cnt") * F.col("__s")) / F.sum(F.col("cnt") * F.col("__n"))).alias("v"))
     point = sums.agg((F.sum("__s") / F.sum("__n")).alias("estimate"))
     return stats.agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("draws")).join(F.broadcast(point))

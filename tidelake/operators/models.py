@@ -102,7 +102,7 @@ def bootstrap_fits(df: DataFrame, unit: str, y: str, x: list[str], draws: int, s
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
     units = df.groupBy(unit).agg(*[F.sum(cols[i] * cols[j]).alias(f"g{k}") for k, (i, j) in enumerate(pairs)])
-    drawn = G.draw_counts(units.select(unit), unit, draws, seed).join(units, unit)
+    drawn = G.draw_counts(units, unit, draws, seed)
     grams = drawn.groupBy("draw").agg(F.array(*[F.sum(F.col("cnt") * F.col(f"g{k}")) for k in range(len(pairs))]).alias("g"))
     names, size = ["const", *x], len(cols)
 

@@ -196,7 +196,7 @@ def g35(spark, sf):
     click = F.col("event_type") == "click"
     value = lambda p: F.when(p, F.col("value"))
     sums = table(spark, sf, "events").groupBy("user_id").agg(F.sum(value(click)).alias("a"), F.count_if(click).alias("na"), F.sum(value(~click)).alias("b"), F.count_if(~click).alias("nb"))
-    drawn = G.draw_counts(sums.select("user_id"), "user_id", 2000, 6).join(sums, "user_id")
+    drawn = G.draw_counts(sums, "user_id", 2000, 6)
     total = lambda c: F.sum(F.col("cnt") * F.col(c))
     v = drawn.groupBy("draw").agg((total("a") / total("na") - total("b") / total("nb")).alias("v"))
     return v.agg(r6(F.percentile("v", F.lit(0.025))).alias("lo"), r6(F.percentile("v", F.lit(0.975))).alias("hi"))
