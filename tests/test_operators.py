@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import scalars as H
 from tidelake.functions import tails
 from tidelake.operators import estimators as G
+from tidelake.operators import joins as J
 from tidelake.operators import learners as L
 from tidelake.operators import mixed as X
 from tidelake.operators import windows as O
@@ -18,6 +19,19 @@ from tidelake.sources import writers as B
 from tidelake.streaming import operators as K
 
 
+def test_rows_of_one_list_meet_in_several_tasks(spark):
+    rows = [(i, ["red", "bolt"]) for i in range(300)] + [(300, ["red", ""]), (301, ["ring"]), (302, []), (303, None), (304, ["r"]), (5, ["red", "bolt"])]
+    q = spark.createDataFrame(rows, "q int, qt array<string>")
+    c = q.select(F.col("q").alias("c"), F.col("qt").alias("ct"))
+    made = J.blocked_token_join(q, c, "qt", "ct", rows_a_chunk=30, pairs_a_task=5000).select("q", "c", F.spark_partition_id().alias("task")).collect()
+    # Every token continues an empty one.
+    asked = {i: [t for t in ts or [] if len(t) >= 2] for i, ts in rows}
+    want = {(i, j) for i in asked if asked[i] for j, ts in rows if ts and all(any(x.startswith(t) or t.startswith(x) for x in ts) for t in asked[i])}
+    assert sorted((r.q, r.c) for r in made) == sorted(want) and (0, 300) in want and (301, 304) in want
+    tasks = [sum(r.task == t for r in made) for t in {r.task for r in made}]
+    assert len(tasks) > 4 and max(tasks) < len(made) / 3
+
+
 def test_run_lengths(spark):
     bits = {"empty": "000", "all": "1111", "tail": "0110111", "one": "0100"}
     rows = [(k, i, c == "1") for k, s in bits.items() for i, c in enumerate(s)]

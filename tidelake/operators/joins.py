@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelake.operators.ranks import attach
+from tidelake.sources.staging import staged
+
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], value: str, default: object) -> DataFrame:
     """Left join that brings one column; keys without a match get the default."""
@@ -98,16 +101,32 @@ def token_match(query: str, candidate: str, least: int = 2) -> Column:
     return F.forall(F.filter(query, lambda t: F.length(t) >= least), ok)
 
 
-def blocked_token_join(queries: DataFrame, candidates: DataFrame, query: str, candidate: str) -> DataFrame:
+def blocked_token_join(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, rows_a_chunk: int = 8192, pairs_a_task: int = 50_000_000) -> DataFrame:
     """The theta join over token_match(), dealt by the first letters of tokens: no pair without a common letter is tried.
 
-    Lists of tokens are tried once however many rows hold them; rows meet the pairs of lists that match.
+    Lists of tokens are tried once however many rows hold them.  The rows of a list lie in chunks of about ``rows_a_chunk``, and a pair of chunks whose lists match is the key that rows meet by, in as
+    many tasks as the pairs of rows ask for: a list that many rows hold is spread over tasks, none of which holds more than a few chunks.
     """
-    first = lambda tokens: F.explode(F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 1, 1))))
-    a = queries.select(query).distinct().withColumn("__b", first(F.filter(query, lambda t: F.length(t) >= 2)))
-    b = candidates.select(candidate).distinct().withColumn("__b", first(F.col(candidate)))
-    pairs = a.join(b, "__b").drop("__b").distinct().filter(token_match(query, candidate))
-    return queries.distinct().join(pairs, query).join(candidates.distinct(), candidate).select(*queries.columns, *candidates.columns)
+    spark = queries.sparkSession
+    first = lambda tokens: F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 1, 1)))
+    asked = F.filter(query, lambda t: F.length(t) >= 2)
+    a = queries.select(query).distinct().withColumn("__b", F.explode(F.when(F.size(asked) > 0, F.array_union(first(asked), F.array(F.lit(""))))))  # every token continues an empty one
+    b = candidates.select(candidate).distinct().withColumn("__b", F.explode(first(F.col(candidate))))
+    matched = a.join(b, "__b").drop("__b").distinct().filter(token_match(query, candidate))
+    queries, candidates = queries.distinct(), candidates.distinct()
+    sizes = lambda df, tokens, name: df.groupBy(tokens).agg(F.count(F.lit(1)).alias(name))
+    pairs = staged(matched.join(sizes(queries, query, "__qn"), query).join(sizes(candidates, candidate, "__cn"), candidate), "lists")
+    made = pairs.agg(F.sum(F.col("__qn") * F.col("__cn"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made // pairs_a_task))
+    chunks, key = lambda n: F.ceil(F.col(n) / rows_a_chunk).cast("long"), [query, candidate, "__qc", "__cc"]
+
+    def met(df: DataFrame, tokens: str, own: str, n: str, other: str, m: str) -> DataFrame:
+        """Rows once for each chunk that theirs is paired with."""
+        at = F.pmod(F.xxhash64(F.lit(0), *[c for c in df.columns if c != tokens]), chunks(n))
+        return attach(df, pairs, [tokens]).withColumns({own: at, other: F.explode(F.sequence(F.lit(0).cast("long"), chunks(m) - 1))}).drop("__qn", "__cn").repartition(tasks, *key)
+
+    q, c = met(queries, query, "__qc", "__qn", "__cc", "__cn"), met(candidates, candidate, "__cc", "__cn", "__qc", "__qn")
+    return q.join(c.hint("shuffle_hash"), key).select(*queries.columns, *candidates.columns)
 
 
 def best_match(scored: DataFrame, query: str, score: str, value: str, candidate: str, rating: str) -> DataFrame:
