@@ -170,6 +170,20 @@ def test_bootstrap_of_the_nested_model_refits_drawn_rows(spark):
             assert _dense_reml(x, y[at], player[at], label, p * dp, q * dq)[0] <= here + 1e-6
 
 
+def test_counts_are_held_once_an_inner_unit_and_draws_go_in_portions(spark, monkeypatch):
+    """Eight inner units, each within many outer ones: a block holds eight rows of counts, not one a pair."""
+    df = _frame(spark, *_table(96))
+    whole = X.RestrictedLikelihood(df, "y", [], "player", "game")
+    counts = G.draw_counts(whole.units.select("__inner").distinct(), "__inner", 70, 5)
+    assert [tuple(r) for r in whole.drawn(counts, 70).blocks.select(F.length("counts"), F.length("place")).collect()] == [(8 * 70, 96 * 4)]
+    fits = lambda: sorted((r.draw, r.term, r.coef) for r in X.bootstrap_nested(df, "y", [], "player", "game", 70, 5).collect())
+    one = fits()
+    monkeypatch.setattr(X, "_COUNTS_A_UNIT", 0)
+    assert whole.portion(70) == 64
+    two = fits()
+    assert [r[:2] for r in one] == [r[:2] for r in two] and [r[2] for r in one] == pytest.approx([r[2] for r in two], rel=1e-6, abs=1e-6)
+
+
 def test_search_sweep(spark):
     a, b, player, game, y = _table()
     log, fit = X.search_sweep(_frame(spark, a, b, player, game, y), "y", ["a"], "player", "game")

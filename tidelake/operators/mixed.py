@@ -15,30 +15,40 @@ their own), a start of a search is a lane, and one job serves all of them by mat
 
 Unit sums are staged in blocks, whole outer units where they fit.  An outer unit that is larger than a block, even one with a third of all
 rows, is dealt to several; its totals meet by its key in a second step.  The driver gets lanes x k x k numbers.
+
+A block holds an inner unit's counts, a byte a draw, once, however many outer units that inner one lies in.  Where all blocks' counts would still take more than _COUNTS_A_UNIT
+bytes a unit, draws are taken in portions, one after the other, so that what is staged grows with the units.  Weights depend on an inner unit's number of rows only: units of an outer
+one with equal numbers are a cell, whose sums are made first.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations_with_replacement
+from itertools import combinations_with_replacement, pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelake.operators.estimators import draw_counts
-from tidelake.sources.staging import staged
+from tidelake.sources.staging import discarded, staged
 
 #: Logarithms of ratios stay between these; a variance that wants to be 0 stays at the lower one.
 LOW, HIGH = math.log(1e-8), math.log(1e4)
 #: Where searches start: ratios of the outer and the inner variance.
 STARTS = {"even": (0.1, 0.1), "outer": (1.0, 0.01), "inner": (0.01, 1.0), "large": (5.0, 5.0), "small": (1e-3, 1e-3)}
-_BLOCK = "key string, starts binary, sums binary, counts binary"
+_BLOCK = "block long, key string, starts binary, sums binary, place binary"
+_WEIGHED = f"{_BLOCK}, counts binary"
 _PART = "kind int, key string, lane int, data array<double>"
 _LANES_A_ROW = 64
+#: Bytes of staged counts a unit that a portion of draws may take; units that are weighed at a time.
+_COUNTS_A_UNIT, _PIECE = 128, 1024
 
 
 @dataclass
@@ -63,16 +73,66 @@ class Lane:
     converged: bool
 
 
-def _inner_sums(n: np.ndarray, sums: np.ndarray, counts: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
-    """By lane: the inner units' part of M and of log |V|, with two derivatives by q, and the moments' own weights (lanes x units) of s in t, t' and t''."""
-    k = sums.shape[1]
-    pairs = (sums[:, :, None] * sums[:, None, :]).reshape(len(n), k * k)
-    d = 1 + np.outer(q, n)
-    e = 1 / d
-    first, second, third = counts * e, counts * n * e**2, 2 * counts * n**2 * e**3
-    a = np.concatenate([q[:, None] * (first @ pairs), (counts * e**2) @ pairs, -2 * (counts * n * e**3) @ pairs], 1)
-    logs = np.stack([(counts * np.log(d)).sum(1), (first * n).sum(1), -(counts * n**2 * e**2).sum(1)], 1)
-    return a, logs, first, -second, third
+def _cell_sums(counts: np.ndarray, place: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Lanes x cells x columns: sums of ``values`` (entries x columns), weighed by ``counts`` (inner units x lanes) of the inner unit in ``place``, over the cells that begin at ``starts``."""
+    cuts = np.union1d(starts, np.arange(0, len(place), _PIECE))
+    parts = np.empty((len(cuts), values.shape[1], counts.shape[1]))
+    edges = [*np.searchsorted(cuts, np.arange(0, len(place), _PIECE)), len(cuts)]
+    for a, b in pairwise(edges):
+        low, high = cuts[a], cuts[b] if b < len(cuts) else len(place)
+        own, at = counts.take(place[low:high], axis=0), cuts[a:b] - low
+        if len(own) >= 8 * len(at):
+            for j, (i, k) in enumerate(pairwise([*at, len(own)])):
+                np.dot(values[low + i : low + k].T, own[i:k], out=parts[a + j])
+        else:
+            for c in range(values.shape[1]):
+                np.add.reduceat(own * values[low:high, c, None], at, axis=0, out=parts[a:b, c])
+    return (parts if len(cuts) == len(starts) else np.add.reduceat(parts, np.searchsorted(cuts, starts), axis=0)).transpose(2, 0, 1)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
+class _InnerCells:
+    """Inner units of a block by number of rows and inner unit: what M and log |V| need of them."""
+
+    def __init__(self, sums: np.ndarray, place: np.ndarray) -> None:
+        k = sums.shape[1]
+        self.at = np.triu_indices(k)
+        order = np.lexsort((place, sums[:, 0]))
+        s, n = sums[order], sums[order, 0]
+        own = _changes(n, place[order])
+        values = np.concatenate([np.ones((len(s), 1)), s[:, self.at[0]] * s[:, self.at[1]]], 1)
+        self.values, self.place = np.add.reduceat(values, own, axis=0), place[order][own]
+        self.starts = _changes(n[own])
+        self.n, self.k = n[own][self.starts], k
+
+    def moments(self, counts: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By lane: their part of M and of log |V|, with two derivatives by q."""
+        found, n = _cell_sums(counts, self.place, self.values, self.starts), self.n
+        units, pairs = found[:, :, 0], found[:, :, 1:]
+        d = 1 + np.outer(q, n)
+        e = 1 / d
+        full = np.empty((len(q), 3, self.k, self.k))
+        for j, w in enumerate((q[:, None] * e, e**2, -2 * n * e**3)):
+            full[:, j, self.at[0], self.at[1]] = full[:, j, self.at[1], self.at[0]] = np.einsum("lc,lcp->lp", w, pairs)
+        logs = np.stack([(units * np.log(d)).sum(1), (units * e * n).sum(1), -(units * n**2 * e**2).sum(1)], 1)
+        return full.reshape(len(q), -1), logs
+
+
+def _outer_totals(counts: np.ndarray, q: np.ndarray, sums: np.ndarray, place: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """t, t' and t'' (lanes x outer x k) of the outer units that begin at ``starts``; the units of each are in order of their number of rows."""
+    outer = np.zeros(len(sums), np.int64)
+    outer[starts] = 1
+    cells = _changes(np.cumsum(outer), sums[:, 0])
+    n = sums[cells, 0]
+    found = _cell_sums(counts, place, np.concatenate([np.ones((len(sums), 1)), sums[:, 1:]], 1), cells)
+    found[:, :, 0] *= n  # the first column is the number of rows
+    e = 1 / (1 + np.outer(q, n))
+    at = np.searchsorted(cells, starts)
+    return [np.add.reduceat(w[:, :, None] * found, at, axis=1) for w in (e, -n * e**2, 2 * n**2 * e**3)]
 
 
 def _outer_sums(t: np.ndarray, t1: np.ndarray, t2: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -95,79 +155,109 @@ def _outer_sums(t: np.ndarray, t1: np.ndarray, t2: np.ndarray, p: np.ndarray) ->
 class RestrictedLikelihood:
     """Unit sums of a table, and the restricted likelihood of any number of lanes at once."""
 
-    def __init__(self, df: DataFrame, y: str, x: list[str], inner: str, outer: str | None = None, counts: DataFrame | None = None, draws: int = 1, most: int = 4_000_000) -> None:
-        """``counts`` (inner, draw, cnt) weigh inner units in ``draws`` draws; ``most`` bounds a block's units times draws (or lanes of a step, or numbers of a unit's own matrix)."""
+    def __init__(self, df: DataFrame, y: str, x: list[str], inner: str, outer: str | None = None, most: int = 8_000_000) -> None:
+        """``most`` bounds a block's units times lanes of a step (or numbers of a unit's own matrix)."""
         df = df.dropna(subset=[y, *x, inner, *([outer] if outer else [])])
-        self.spark, self.terms, self.nested, self.draws = df.sparkSession, ["const", *x], outer is not None, draws
+        self.spark, self.terms, self.nested, self.draws = df.sparkSession, ["const", *x], outer is not None, 1
         cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
-        self.k, pairs = len(cols), list(combinations_with_replacement(range(len(cols)), 2))
+        self.k, self.pairs = len(cols), list(combinations_with_replacement(range(len(cols)), 2))
         # An inner unit within two outer ones is two units.
         keys = [F.col(inner).alias("__inner"), *([F.col(outer).alias("__outer")] if outer else [])]
-        units = df.groupBy(*keys).agg(F.array(*[F.sum(c) for c in cols]).alias("s"), F.array(*[F.sum(cols[i] * cols[j]) for i, j in pairs]).alias("g"))
-        units = units.withColumn("__key", F.to_json(F.struct("__outer")) if outer else F.lit(None).cast("string"))
-        if counts is not None:
-            drawn = counts.groupBy(F.col(inner).alias("__inner")).agg(F.collect_list(F.col("draw").cast("int")).alias("d"), F.collect_list(F.col("cnt").cast("int")).alias("c"))  # an entry a draw at most
-            units = units.join(drawn, "__inner")
-        else:
-            units = units.withColumns({"d": F.sequence(F.lit(0), F.lit(draws - 1)), "c": F.array_repeat(F.lit(1), draws)})
-        units = staged(units, "unit-sums")
-        self.whole, self.rows = self._totals(units, pairs)
-        self.blocks = staged(self._in_blocks(units, max(1, most // max(draws, _LANES_A_ROW, self.k**2))), "unit-blocks")
+        units = df.groupBy(*keys).agg(F.array(*[F.sum(c) for c in cols]).alias("s"), F.array(*[F.sum(cols[i] * cols[j]) for i, j in self.pairs]).alias("g"))
+        self.units = staged(units, "unit-sums")
+        self.whole, self.rows = self._totals(self.units.withColumns({"draw": F.lit(0), "cnt": F.lit(1)}))
+        self.blocks = staged(self._in_blocks(max(1, most // max(_LANES_A_ROW, self.k**2))), "unit-blocks")
 
-    def _totals(self, units: DataFrame, pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    def _totals(self, weighed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """By draw: Z'Z, and the number of rows."""
-        each = units.select(F.explode(F.arrays_zip("d", "c")).alias("z"), "g").select(F.col("z.d").alias("draw"), F.col("z.c").alias("c"), "g")
-        found = each.groupBy("draw").agg(*[F.sum(F.col("c") * F.col("g")[i]).alias(f"g{i}") for i in range(len(pairs))]).collect()  # a row a draw
+        found = weighed.groupBy("draw").agg(*[F.sum(F.col("cnt") * F.col("g")[i]).alias(f"g{i}") for i in range(len(self.pairs))]).collect()  # a row a draw
         whole = np.zeros((self.draws, self.k, self.k))
         for r in found:
-            for a, (i, j) in enumerate(pairs):
+            for a, (i, j) in enumerate(self.pairs):
                 whole[r["draw"], i, j] = whole[r["draw"], j, i] = r[f"g{a}"]
         return whole, whole[:, 0, 0].copy()
 
-    def _in_blocks(self, units: DataFrame, most: int) -> DataFrame:
-        """Runs of outer units; one that alone has more than ``most`` inner units is dealt to several, with its key."""
-        draws, k = self.draws, self.k
-        if self.nested:
+    def _in_blocks(self, most: int) -> DataFrame:
+        """Outer units in their order, about ``most`` inner ones a block; one that alone has more is dealt to several, with its key."""
+        k, nested, units, n = self.k, self.nested, self.units.drop("g"), self.units.count()
+        if nested:
+            units = units.withColumn("__key", F.to_json(F.struct("__outer")))
             # Outer units of more than `most` inner units: fewer than units / most.
             large = units.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > most).withColumn("__salts", F.ceil(F.col("__c") / most).cast("long")).drop("__c")
             units = units.join(F.broadcast(large), "__key", "left")
             salt = F.pmod(F.xxhash64("__inner"), F.coalesce("__salts", F.lit(1).cast("long")))
         else:
-            units = units.withColumn("__salts", F.lit(None).cast("long"))
+            units = units.withColumns({"__key": F.lit(None).cast("string"), "__salts": F.lit(None).cast("long")})
             salt = F.pmod(F.xxhash64("__inner"), F.lit(1 << 20).cast("long"))
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = units.withColumn("__salt", salt).repartition(n, "__key", "__salt").sortWithinPartitions("__key", "__salt")
+        parts = max(1, -(-n // most), min(self.spark.sparkContext.defaultParallelism, n // 2000))
+        dealt = units.withColumn("__salt", salt).repartitionByRange(parts, *(["__outer"] if nested else []), "__salt")
 
         def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, counts, starts, last, key = [], [], [], None, None
-
-            def put() -> Iterator[pa.RecordBatch]:
-                row = [[key], [np.array(starts, np.int32).tobytes()], [np.array(sums, np.float64).tobytes()], [np.array(counts, np.uint16).T.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["key", "starts", "sums", "counts"])
-
+            """A partition, about ``most`` units, is a block; the parts of outer units that are dealt to several are blocks of their own."""
+            table = pa.Table.from_batches(batches, arrow)
+            if not table.num_rows:
+                return
+            code = lambda c: table.column(c).combine_chunks().fill_null(-1 if c != "__key" else "").dictionary_encode().indices.to_numpy()
+            keys, salts, apart = code("__key"), code("__salt"), table.column("__salts").is_valid().to_numpy()
+            sums, inners = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, k), table.column("__inner").combine_chunks()
+            groups, own = [np.flatnonzero(~apart)], np.flatnonzero(apart)
+            if len(own):
+                own = own[np.lexsort((salts[own], keys[own]))]
+                groups += np.split(own, _changes(keys[own], salts[own])[1:])
+            first = TaskContext.get().partitionId() << 33
+            for i, at in enumerate(groups):
+                if len(at):
+                    at = at[np.lexsort((sums[at, 0], keys[at]))]
+                    names = inners.take(pa.array(at)).dictionary_encode()
+                    key = table.column("__key")[at[0]].as_py() if i else None
+                    row = [[first + i], [key], [_changes(keys[at]).astype(np.int32).tobytes()], [sums[at].tobytes()], [names.indices.to_numpy().astype(np.int32).tobytes()]]
+                    columns = [pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+                    listed = pa.ListArray.from_arrays(pa.array([0, len(names.dictionary)], pa.int32()), names.dictionary)
+                    yield pa.RecordBatch.from_arrays([*columns, listed], names=["block", "key", "starts", "sums", "place", "inners"])
+
+        dealt = dealt.select("__key", "__salt", "__salts", "s", "__inner")
+        arrow = to_arrow_schema(dealt.schema)
+        return dealt.mapInArrow(block, f"{_BLOCK}, inners array<{dict(dealt.dtypes)['__inner']}>")
+
+    def portion(self, draws: int) -> int:
+        """How many draws may be weighed at a time."""
+        size = self.blocks.agg(F.sum(F.size("inners")).alias("entries"), F.sum(F.length("place") / 4).alias("units")).first()
+        return max(1, min(draws, max(_LANES_A_ROW, int(_COUNTS_A_UNIT * (size["units"] or 0) // max(1, size["entries"] or 0)))))
+
+    def drawn(self, counts: DataFrame, draws: int) -> RestrictedLikelihood:
+        """The likelihood that counts inner units (``__inner``, ``draw`` from 0, ``cnt``) in ``draws`` draws."""
+        new = copy.copy(self)
+        new.draws = draws
+        grams = self.units.groupBy("__inner").agg(F.array(*[F.sum(F.col("g")[i]) for i in range(len(self.pairs))]).alias("g"))
+        new.whole, new.rows = new._totals(counts.join(grams, "__inner"))
+
+        def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, salts, apart = (batch.column(c).to_pylist() for c in range(3))
-                flat = [(np.asarray(c.flatten()), np.cumsum([0, *np.asarray(c.value_lengths())])) for c in (batch.column(i) for i in (3, 4, 5))]
-                for j in range(batch.num_rows):
-                    s, d, c = (x[o[j] : o[j + 1]] for x, o in flat)
-                    mark = (keys[j], salts[j]) if nested else None
-                    own = keys[j] if apart[j] is not None else None
-                    # A new outer unit begins a block if the last is full, or if one of both is dealt to several; without outer units a block ends where it is full.
-                    if sums and ((mark != last and (len(sums) >= most or own is not None or key is not None)) or len(sums) >= 2 * most):
-                        yield from put()
-                        sums, counts, starts = [], [], []
-                    if mark != last or not sums:
-                        starts.append(len(sums))
-                    last, key = mark, own
-                    sums.append(s)
-                    dense = np.zeros(draws, np.uint16)
-                    dense[d] = c
-                    counts.append(dense)
-            if sums:
-                yield from put()
-
-        nested = self.nested
-        return dealt.select("__key", "__salt", "__salts", "s", "d", "c").mapInArrow(block, _BLOCK)
+                d, c = batch.column(1), batch.column(2)
+                ends, d, c = np.cumsum([0, *np.asarray(d.value_lengths())]), np.asarray(d.flatten()), np.asarray(c.flatten())
+                rows = []
+                for a, b in pairwise(ends):
+                    row = np.zeros(draws, np.uint8 if c[a:b].max() < 256 else np.uint32)
+                    row[d[a:b]] = c[a:b]
+                    rows.append(row.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["__inner", "counts"])
+
+        listed = counts.groupBy("__inner").agg(F.collect_list(F.col("draw").cast("int")).alias("d"), F.collect_list(F.col("cnt").cast("int")).alias("c"))  # an entry a draw at most
+        rows = listed.mapInArrow(dense, f"__inner {dict(counts.dtypes)['__inner']}, counts binary")
+        asked = self.blocks.select("block", F.posexplode("inners").alias("pos", "__inner")).join(rows, "__inner").select(F.col("block").alias("of"), "pos", "counts")
+
+        def weigh(block: pa.Table, found: pa.Table) -> pa.Table:
+            m = len(block.column("inners")[0])
+            each = [np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == draws else np.uint32) for x in found.column("counts")]
+            full = np.zeros((m, draws), np.uint32 if any(x.dtype != np.uint8 for x in each) else np.uint8)
+            for p, x in zip(found.column("pos").to_pylist(), each, strict=True):
+                full[p] = x
+            return block.drop_columns(["inners"]).append_column("counts", pa.array([np.ascontiguousarray(full.T).tobytes()], pa.binary()))
+
+        tasks = 2 * max(self.blocks.count(), 1)
+        left, right = self.blocks.repartition(tasks, "block"), asked.repartition(tasks, "of")
+        new.blocks = staged(left.groupBy("block").cogroup(right.groupBy("of")).applyInArrow(weigh, _WEIGHED), "weighed-blocks")
+        return new
 
     def moments(self, draw: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """By lane: the derivatives' sums; a lane counts units as draw ``draw`` does."""
@@ -182,20 +272,26 @@ class RestrictedLikelihood:
             total, open_ = np.zeros((lanes, wide)), []
             for batch in batches:
                 for b in range(batch.num_rows):
-                    key, starts, sums, counts = (batch.column(c)[b].as_py() for c in range(4))
-                    starts, sums = np.frombuffer(starts, np.int32), np.frombuffer(sums, np.float64).reshape(-1, k)
-                    counts = np.frombuffer(counts, np.uint16).reshape(draws, -1)
+                    key, starts, sums, place, counts = (batch.column(c)[b].as_py() for c in ("key", "starts", "sums", "place", "counts"))
+                    starts, place, sums = np.frombuffer(starts, np.int32), np.frombuffer(place, np.int32), np.frombuffer(sums, np.float64).reshape(-1, k)
+                    m = int(place.max()) + 1
+                    if counts is not None:
+                        counts = np.frombuffer(counts, np.uint8 if len(counts) == draws * m else np.uint32).reshape(draws, m)
+                    inner = _InnerCells(sums, place)
+                    # Outer units that begin within the same pieces are summed together.
+                    runs = [*starts[_changes(starts // (8 * _PIECE))], len(sums)]
                     for c in range(0, lanes, _LANES_A_ROW):
                         own = slice(c, c + _LANES_A_ROW)
-                        a, logs, *weights = _inner_sums(sums[:, 0], sums, counts[draw[own]].astype(np.float64), q[own])
-                        total[own, : 3 * k * k + 3] += np.concatenate([a, logs], 1)
+                        weights = np.ones((m, len(q[own]))) if counts is None else np.ascontiguousarray(counts[draw[own]].T, np.float64)
+                        total[own, : 3 * k * k + 3] += np.concatenate(inner.moments(weights, q[own]), 1)
                         if not nested:
                             continue
-                        t = [np.stack([np.add.reduceat(w * sums[:, i], starts, axis=1) for i in range(k)], 2) for w in weights]
-                        if key is None:
-                            total[own, 3 * k * k + 3 :] += _outer_sums(*t, p[own])
-                        else:
-                            open_.append({"kind": 1, "key": key, "lane": c, "data": np.concatenate([x.sum(1) for x in t], 1).ravel()})
+                        for low, high in pairwise(runs):
+                            t = _outer_totals(weights, q[own], sums[low:high], place[low:high], starts[(starts >= low) & (starts < high)] - low)
+                            if key is None:
+                                total[own, 3 * k * k + 3 :] += _outer_sums(*t, p[own])
+                            else:
+                                open_.append({"kind": 1, "key": key, "lane": c, "data": np.concatenate([x.sum(1) for x in t], 1).ravel()})
             yield pa.RecordBatch.from_pylist([*rows(0, None, total), *open_], schema=schema)
 
         schema = pa.schema([("kind", pa.int32()), ("key", pa.string()), ("lane", pa.int32()), ("data", pa.list_(pa.float64()))])
@@ -211,7 +307,8 @@ class RestrictedLikelihood:
                 kind, key, data = 0, None, full.ravel()
             return pa.Table.from_pylist([{"kind": kind, "key": key, "lane": lane, "data": data}], schema=schema)
 
-        parts = self.blocks.mapInArrow(add, _PART)
+        blocks = self.blocks if "counts" in self.blocks.columns else self.blocks.withColumn("counts", F.lit(None).cast("binary"))
+        parts = blocks.select("key", "starts", "sums", "place", "counts").mapInArrow(add, _PART)
         if nested:
             parts = parts.groupBy("kind", "key", "lane").applyInArrow(merge, _PART)
         out = np.zeros((lanes, wide))
@@ -349,12 +446,19 @@ def search_sweep(df: DataFrame, y: str, x: list[str], outer: str, inner: str, le
 
 
 def bootstrap_nested(df: DataFrame, y: str, x: list[str], outer: str, inner: str, draws: int, seed: int) -> DataFrame:
-    """draw, term, coef of the nested model refit in every draw of inner units.  All draws go side by side from the whole table's ratios: a step of all of them is one job."""
+    """draw, term, coef of the nested model refit in every draw of inner units.  The draws of a portion go side by side from the whole table's ratios: a step of all of them is one job."""
     df = df.dropna(subset=[y, *x, outer, inner])
     whole = RestrictedLikelihood(df, y, x, inner, outer)
     start = _best(maximised(whole, np.zeros(len(STARTS), int), _starts([*STARTS]))).at
-    likelihood = RestrictedLikelihood(df, y, x, inner, outer, draw_counts(df.select(inner).distinct(), inner, draws, seed), draws)
-    # From the bound no step leads back, so searches start a little above it.
-    lanes = maximised(likelihood, np.arange(draws), np.repeat(np.maximum(start, math.log(1e-4))[None], draws, 0))
-    rows = [(d, t, c) for d, lane in enumerate(lanes) for t, c, _ in _rows(likelihood, lane)]
+    counts = staged(draw_counts(whole.units.select("__inner").distinct(), "__inner", draws, seed), "draw-counts")
+    rows, portion = [], whole.portion(draws)
+    for first in range(0, draws, portion):
+        n = min(portion, draws - first)
+        likelihood = whole.drawn(counts.filter(F.col("draw").between(first, first + n - 1)).withColumn("draw", F.col("draw") - first), n)
+        # From the bound no step leads back, so searches start a little above it.
+        lanes = maximised(likelihood, np.arange(n), np.repeat(np.maximum(start, math.log(1e-4))[None], n, 0))
+        rows += [(first + d, t, c) for d, lane in enumerate(lanes) for t, c, _ in _rows(likelihood, lane)]
+        discarded(likelihood.blocks)
+    for table in (counts, whole.blocks, whole.units):
+        discarded(table)
     return df.sparkSession.createDataFrame(rows, "draw long, term string, coef double")
