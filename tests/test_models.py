@@ -319,6 +319,31 @@ def test_rank_correlation_of_drawn_rows(spark):
         assert got[d] == pytest.approx(np.corrcoef(mean_rank(np.round(a)[at]), mean_rank(y[at]))[0, 1])
 
 
+def test_bootstrap_rank_correlation_is_that_of_drawn_rows(spark):
+    from tidelake.operators.aggregates import rank_correlation
+
+    a, b, player, game, y = _table(90)
+    df = _frame(spark, np.round(a), b, player, game, y).select("game", "a", "y")
+    want = {r.draw: r.rho for r in rank_correlation(G.resampled_rows(df, "game", 5, 3), "a", "y", ["draw"], [], average=True).collect()}
+    for lanes in (2, 25):
+        got = {r.draw: r.rho for r in G.bootstrap_rank_correlation(df, "game", "a", "y", 5, 3, lanes).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_bootstrap_of_ranks_ranks_no_row_anew_for_each_draw(spark, monkeypatch):
+    """What is staged has a row a row of the table, not a row a drawn row."""
+    from tidelake.operators import estimators, ranks
+    from tidelake.sources import staging
+
+    staged = []
+    for module in (ranks, estimators):
+        monkeypatch.setattr(module, "staged", lambda df, name: staged.append(x := staging.staged(df, name)) or sizes.append(x.count()) or x, raising=False)
+    sizes = []
+    got = catalog.queries()["g29_bootstrap_spearman"](spark, "/root/testdata/sf0.001").collect()
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert [tuple(r) for r in got] == [(-0.039706, 0.031728)] and max(sizes) <= n
+
+
 def test_ledger_of_two_estimates(spark):
     kind = "term string, coef double, lo double, hi double"
     old = spark.createDataFrame([("a", 1.0, 0.5, 1.5), ("b", -1.0, -2.0, 0.0), ("gone", 1.0, 0.0, 2.0)], kind)

@@ -166,3 +166,26 @@ def test_repeated_selection_against_sorting(spark, monkeypatch, deviations):
             for _, i in own[: round(len(own) * 0.1)]:
                 want[i, k] += 1
     assert got == pytest.approx({x: n / 20 for x, n in want.items()}) and bool(used) == (deviations == 0)
+
+
+@pytest.mark.parametrize("values", ["tied", "constant", "nan", "text", "distinct"])
+def test_weighted_rank_correlations_are_those_of_the_copies(spark, values):
+    """Runs of equal rows end in the range, go on in the next, or fill several; copies are counted, not made."""
+    r = np.random.default_rng(11)
+    n, lanes = 900, 4
+    b = {"tied": r.choice([-1.0, -0.0, 0.0, 5.0], n, p=[0.1, 0.4, 0.4, 0.1]), "constant": np.ones(n), "nan": r.choice([1.0, 2.0, np.nan], n), "text": r.integers(0, 9, n), "distinct": r.permutation(n) * 1.0}[values]
+    a, w = r.integers(0, 40, n) + np.nan_to_num(b) // 2, r.poisson(1, (n, lanes))
+    w[:, 3] = 0
+    w[:, 2] = np.where(np.arange(n) == 7, 3, 0)  # copies of a single row
+    held = [(float(x), f"v{y}" if values == "text" else float(y), z) for x, y, z in zip(a, b, w.tolist(), strict=True)]
+    kind = "string" if values == "text" else "double"
+    df = spark.createDataFrame([*held, (None, held[0][1], [9] * lanes), (1.0, None, [9] * lanes)], f"a double, b {kind}, w array<int>")
+    mean_rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    whole = np.nan_to_num(b, nan=99.0)
+    for size in (45, 5000):
+        got = R.weighted_rank_correlations(df, "a", "b", "w", lanes, rows_a_range=size)
+        assert got[2:] == [None, None]
+        for lane in range(2):
+            x, y = np.repeat(a, w[:, lane]), np.repeat(whole, w[:, lane])
+            assert got[lane] is None if values == "constant" else got[lane] == pytest.approx(np.corrcoef(mean_rank(x), mean_rank(y))[0, 1], abs=1e-12)
+    assert R.weighted_rank_correlations(df.filter("a is null"), "a", "b", "w", lanes) == [None] * lanes

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.functions import tails
-from tidelake.operators.ranks import exact_quantiles, global_rank
+from tidelake.operators.ranks import attach, exact_quantiles, global_rank, weighted_rank_correlations
 from tidelake.operators.windows import top_of
+from tidelake.sources.staging import discarded, staged
 
 
 def gram(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -223,6 +224,20 @@ def resampled_rows(df: DataFrame, unit: str, draws: int, seed: int) -> DataFrame
     return many.withColumn("unit_copy", F.concat_ws("#", F.col(unit).cast("string"), F.col("__k").cast("string"))).drop("__k", "cnt")
 
 
+def bootstrap_rank_correlation(df: DataFrame, unit: str, a: str, b: str, draws: int, seed: int, lanes: int = 25) -> DataFrame:
+    """Spearman (average ranks) of each draw's rows: draw, rho.  A row weighs as often as its unit is drawn, so rows are sorted twice for each ``lanes`` draws, not drawn and ranked anew in each."""
+    df = df.select(*dict.fromkeys([unit, a, b])).dropna(subset=[unit])
+    counts = staged(draw_counts(df.select(unit).distinct(), unit, draws, seed), "draws")
+    out = []
+    for first in range(0, draws, lanes):
+        own = range(first, min(draws, first + lanes))
+        weights = F.array(*[F.coalesce(F.sum(F.when(F.col("draw") == d, F.col("cnt"))), F.lit(0)) for d in own])
+        some = counts.filter(F.col("draw").between(own[0], own[-1])).groupBy(unit).agg(weights.alias("__counts"))
+        out += zip(own, weighted_rank_correlations(attach(df, some, [unit]), a, b, "__counts", len(own)), strict=True)
+    discarded(counts)
+    return df.sparkSession.createDataFrame(out, "draw long, rho double")
+
+
 def policy_value(df: DataFrame, score: str, tie: str, gain: str, fold: str, q: float, reference: str | None = None, reference_gain: str | None = None) -> DataFrame:
     """Gain of the top share by fold, of the best possible share, of a random one, precision, all over all rows; with a reference
     selector its own gain, the difference, and how often both select the same row."""

@@ -8,17 +8,24 @@ place of each row.  A group's rows in the ranges before it, a prefix sum over on
 rows in the open intervals between splitters and at the splitters themselves.  A rank that falls on a splitter
 is found, however many rows are tied there; else only the rows of its interval are left, and the next round narrows that down.  Sketches only
 propose splitters: what is returned follows from exact counts.  The last rows, ``most`` of an interval at most, are ranked.
+
+*Weighted ranks*: where a row stands for several copies, another number of them in each of several lanes (the draws of a bootstrap), rows are sorted once for all lanes and
+never copied.  A range's task sums the weights along its rows; the sums of ranges, and of the runs of equal rows at their two ends, make places in a range into ranks among all copies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.sources.staging import staged
+from tidelake.sources.staging import discarded, staged
 
 #: Rows of a small table that may be broadcast.  Beyond it, it is dealt to salts.
 SMALL = 100_000
@@ -148,3 +155,118 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, at: list[float],
         return F.when((low == high) | (m[low] == m[high]), m[low]).otherwise((high - at) * m[low] + (at - low) * m[high])
 
     return values.select(*keys, "n", F.when(n > 0, F.transform(F.array(*[F.lit(float(p)) for p in at]), between)).alias(name))
+
+
+def _in_ranges(df: DataFrame, by: str, ranges: int) -> DataFrame:
+    """Rows dealt to ranges by a column and sorted there; equal rows are spread over ranges, too."""
+    order = [F.asc_nulls_first(by), F.asc("__in")]
+    return df.withColumn("__in", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("__in")
+
+
+def _matrix(column: pa.Array, lanes: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, lanes)
+
+
+def _places(values: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a range's sorted rows: the copies before each row's run of equal rows plus those up to its end, by lane, and the edge: 1 in the first run, 2 in the last, else 0."""
+    n = len(values)
+    differs = pc.not_equal(values[1:], values[:-1])
+    if pa.types.is_floating(values.type):
+        differs = pc.and_not(differs, pc.and_(pc.is_nan(values[1:]), pc.is_nan(values[:-1])))
+    starts = np.concatenate([[0], np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1])
+    lengths = np.diff(np.append(starts, n))
+    upto = np.cumsum(weights, axis=0, dtype=np.int64)[starts + lengths - 1]
+    before = np.vstack([np.zeros((1, weights.shape[1]), np.int64), upto[:-1]])
+    edge = np.zeros(len(starts), np.int8)
+    edge[-1], edge[0] = 2, 1
+    return np.repeat(before + upto, lengths, axis=0), np.repeat(edge, lengths)
+
+
+def _shifts(cells: list[tuple], lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """All copies by lane, and what makes the places of a range's edge into places among all rows, at 3 x range + edge.
+
+    A cell is (range, edge, value, copies by lane): three a range at most.  A run of equal rows may go on through many ranges.
+    """
+    cells = sorted(cells, key=lambda c: (c[0], (1, 0, 2).index(c[1])))
+    out = np.zeros((3 * (max((c[0] for c in cells), default=0) + 1), lanes), np.int64)
+    total, start, run = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), []
+    same = lambda x, y: x == y or (x != x and y != y)  # noqa: E731 - NaN equals NaN
+
+    def close() -> None:
+        """Rows of a run have the copies before its first cell and those up to the end of its last."""
+        for at, own, _ in run:
+            out[at] = run[0][2] + total - own
+
+    for i, (range_, edge, value, copies) in enumerate(cells):
+        copies = np.array(copies, np.int64)
+        if i == 0 or cells[i - 1][0] != range_:
+            start = total
+        if run and not (edge and same(value, last)):
+            close()
+            run = []
+        if edge:
+            run.append((3 * range_ + edge, 2 * (total - start) + copies, total))
+            last = value
+        else:
+            out[3 * range_] = 2 * start
+        total = total + copies
+    close()
+    return total, out
+
+
+def weighted_rank_correlations(df: DataFrame, a: str, b: str, weights: str, lanes: int, rows_a_range: int = 100_000) -> list[float | None]:
+    """Spearman with average ranks in each lane, where lane i has ``weights``[i] copies of each row; None where a lane has no copies, or no two different values.
+
+    Two sorts of the rows whatever the lanes: by a (staged, with the places), then by b, whose ranges return only sums.  Ranges are as many as the rows ask for, so that a task's
+    arrays are bounded; the driver gets three cells a range.
+    """
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(weights).cast("array<long>").alias("__w"))
+    ranges = max(1, -(-rows.count() // rows_a_range))
+    kind = rows.schema["__b"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if x.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        column = lambda name: t[name].combine_chunks()
+        places, edge = _places(column("__a"), _matrix(column("__w"), lanes))
+        ids = pa.array(3 * TaskContext.get().partitionId() + edge.astype(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, places.size + 1, lanes, dtype=np.int32)), pa.array(places.ravel()))
+        yield from pa.table({"__a": t["__a"], "__b": t["__b"], "__w": t["__w"], "__cell": ids, "__place": lists}).to_batches(10_000)
+
+    first = rows.schema["__a"].dataType.simpleString()
+    placed = staged(_in_ranges(rows, "__a", ranges).mapInArrow(place, f"__a {first}, __b {kind}, __w array<long>, __cell long, __place array<long>"), "places")
+    sums = placed.groupBy("__cell").agg(F.first("__a").alias("value"), F.array(*[F.sum(F.col("__w")[i]) for i in range(lanes)]).alias("copies"))
+    total, shifts = _shifts([(r["__cell"] // 3, r["__cell"] % 3, r["value"], r["copies"]) for r in sums.collect()], lanes)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if x.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        column = lambda name: t[name].combine_chunks()
+        w = _matrix(column("__w"), lanes)
+        y, edge = _places(column("__b"), w)
+        # Twice the rank less twice the mean rank; of b, what its cell adds is known only when all ranges are through.
+        x = (_matrix(column("__place"), lanes) + shifts[column("__cell").to_numpy()] - total).astype(float)
+        out = []
+        for e in np.unique(edge):
+            i = edge == e
+            ww, xx, yy = w[i], x[i], y[i].astype(float)
+            ends = {"low": np.where(ww > 0, y[i], np.iinfo(np.int64).max).min(0), "high": np.where(ww > 0, y[i], -1).max(0), "copies": ww.sum(0)}
+            out.append({"range": TaskContext.get().partitionId(), "edge": int(e), "value": t["__b"][int(np.argmax(i))].as_py()} | {k: v.tolist() for k, v in ends.items()} | {k: v.sum(0).tolist() for k, v in (("x", ww * xx), ("y", ww * yy), ("xx", ww * xx * xx), ("yy", ww * yy * yy), ("xy", ww * xx * yy))})
+        yield from pa.Table.from_pylist(out, pa.schema([("range", pa.int64()), ("edge", pa.int64()), ("value", t["__b"].type), *[(k, pa.list_(pa.int64())) for k in ("low", "high", "copies")], *[(k, pa.list_(pa.float64())) for k in ("x", "y", "xx", "yy", "xy")]])).to_batches()
+
+    found = _in_ranges(placed.drop("__a"), "__b", ranges).mapInArrow(moments, f"range long, edge long, value {kind}, low array<long>, high array<long>, copies array<long>, x array<double>, y array<double>, xx array<double>, yy array<double>, xy array<double>").collect()
+    discarded(placed)
+    _, shifts_b = _shifts([(r["range"], r["edge"], r["value"], r["copies"]) for r in found], lanes)
+    sxx, syy, sxy = (np.zeros(lanes) for _ in range(3))
+    varied = np.zeros(lanes, bool)  # some copy isn't at the mean rank; by whole numbers, as sums of squares are rounded
+    for r in found:
+        s = shifts_b[3 * r["range"] + r["edge"]] - total
+        varied |= (np.array(r["copies"]) > 0) & ((np.array(r["low"]) != -s) | (np.array(r["high"]) != -s))
+        s = s.astype(float)
+        n, x, y, xx, yy, xy = (np.array(r[k], float) for k in ("copies", "x", "y", "xx", "yy", "xy"))
+        sxx, syy, sxy = sxx + xx, syy + yy + 2 * s * y + s * s * n, sxy + xy + s * x
+    return [float(c / np.sqrt(p * q)) if p > 0 and v else None for p, q, c, v in zip(sxx, syy, sxy, varied, strict=True)]

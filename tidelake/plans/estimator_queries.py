@@ -225,10 +225,7 @@ def g39(spark, sf):
 
 @query("g29_bootstrap_spearman")
 def g29(spark, sf):
-    from tidelake.operators.aggregates import rank_correlation
-
-    drawn = G.resampled_rows(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", 10, 3)
-    rho = rank_correlation(drawn, "event_id", "value", ["draw"], [], average=True)
+    rho = G.bootstrap_rank_correlation(table(spark, sf, "events"), "user_id", "event_id", "value", 10, 3)
     return rho.agg(r6(F.percentile("rho", F.lit(0.025))).alias("lo"), r6(F.percentile("rho", F.lit(0.975))).alias("hi"))
 
 
