@@ -65,3 +65,16 @@ def test_fits_are_registered_with_their_rounds_and_draws(spark, monkeypatch):
     for name in ("g16_boosting", "g17_stopped_boosting", "g32_permutation_importance", "g26_cluster_bootstrap", "g35_group_difference", "g28_bootstrap_fits", "g28_bootstrap_mixed"):
         QUERIES[name](spark, SF)
     assert asked == [(100, 5, None, 1), (500, 4, "l_suppkey", 5), 10, (40, 4, "o_custkey", 5), 10, 2000, 2000, 2000, 2000]
+
+
+def test_c12_shuffles_chunks_without_tokens_and_writes_short_repeats(spark, tmp_path):
+    """Parts as the table has them, copies of a row too: as many pairs as SQL makes, a shuffled row a chunk, and few bytes a pair."""
+    names = ["red bolt", "old ring"]
+    spark.range(3000).select(F.col("id").alias("p_partkey"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 2 + 1).cast("int")).alias("p_name")).unionAll(spark.createDataFrame([(0, "red bolt")], "a long, b string")).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["c12_theta_tokens"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and "collect_list" in plan
+    got.write.parquet(f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 1501**2 + 1500**2 and back.filter("q = 0 and c = 0").count() == 4 and back.distinct().count() == 2 * 1500**2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < back.count() / 2

@@ -101,32 +101,48 @@ def token_match(query: str, candidate: str, least: int = 2) -> Column:
     return F.forall(F.filter(query, lambda t: F.length(t) >= least), ok)
 
 
-def blocked_token_join(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, rows_a_chunk: int = 8192, pairs_a_task: int = 50_000_000) -> DataFrame:
+def blocked_token_join(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, rows_a_chunk: int = 8192, pairs_a_task: int = 50_000_000, rows_a_tile: int = 256, rows_a_piece: int = 32, copies: bool = False) -> DataFrame:
     """The theta join over token_match(), dealt by the first letters of tokens: no pair without a common letter is tried.
 
-    Lists of tokens are tried once however many rows hold them.  The rows of a list lie in chunks of about ``rows_a_chunk``, and a pair of chunks whose lists match is the key that rows meet by, in as
-    many tasks as the pairs of rows ask for: a list that many rows hold is spread over tasks, none of which holds more than a few chunks.
+    Lists of tokens are tried once however many rows hold them, and numbered.  The rows of a list lie in chunks of about ``rows_a_chunk``, and a pair of chunks whose lists match is the key that they meet by,
+    in as many tasks as the pairs of rows ask for: a list that many rows hold is spread over tasks, none of which holds more than a few chunks.  A chunk is shuffled as one array a query's, as arrays
+    of about ``rows_a_tile`` rows a candidate's, without tokens, and rows are made where chunks have met: a tile's rows once for each query row, so that what is written of them repeats at short distance.
+    Rows that are equal in all columns count once, or as often as they occur (``copies``).
     """
     spark = queries.sparkSession
     first = lambda tokens: F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 1, 1)))
     asked = F.filter(query, lambda t: F.length(t) >= 2)
-    a = queries.select(query).distinct().withColumn("__b", F.explode(F.when(F.size(asked) > 0, F.array_union(first(asked), F.array(F.lit(""))))))  # every token continues an empty one
-    b = candidates.select(candidate).distinct().withColumn("__b", F.explode(first(F.col(candidate))))
-    matched = a.join(b, "__b").drop("__b").distinct().filter(token_match(query, candidate))
-    queries, candidates = queries.distinct(), candidates.distinct()
-    sizes = lambda df, tokens, name: df.groupBy(tokens).agg(F.count(F.lit(1)).alias(name))
-    pairs = staged(matched.join(sizes(queries, query, "__qn"), query).join(sizes(candidates, candidate, "__cn"), candidate), "lists")
+    chunks, tiles = lambda n: F.ceil(F.col(n) / rows_a_chunk).cast("long"), lambda n: F.ceil(F.col(n) / rows_a_tile).cast("long")
+
+    def listed(df: DataFrame, tokens: str, name: str) -> DataFrame:
+        """The lists by number, with their rows."""
+        sizes = df.groupBy(tokens).agg(F.count(F.lit(1)).alias(f"{name}n"))
+        return staged(sizes.withColumn(name, F.monotonically_increasing_id()), "token-lists")
+
+    def packed(df: DataFrame, lists: DataFrame, tokens: str, name: str, parts: Column) -> DataFrame:
+        """A row for each part of a list: the other columns of its rows, in order."""
+        others = [c for c in df.columns if c != tokens]
+        at = F.pmod(F.xxhash64(F.lit(0), *others), parts).alias(f"{name}t")
+        rows = attach(df, lists, [tokens]).select(name, f"{name}n", at, F.struct(F.lit(0).alias("__x") if not others else others[0], *others[1:]).alias("__row"))
+        collected = F.collect_list("__row") if copies else F.collect_set("__row")
+        return rows.groupBy(name, f"{name}n", f"{name}t").agg(F.sort_array(collected).alias(f"{name}s"))
+
+    ql, cl = listed(queries, query, "__q"), listed(candidates, candidate, "__c")
+    a = ql.withColumn("__b", F.explode(F.when(F.size(asked) > 0, F.array_union(first(asked), F.array(F.lit(""))))))  # every token continues an empty one
+    b = cl.withColumn("__b", F.explode(first(F.col(candidate))))
+    pairs = staged(a.join(b, "__b").drop("__b").distinct().filter(token_match(query, candidate)), "lists")
     made = pairs.agg(F.sum(F.col("__qn") * F.col("__cn"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made // pairs_a_task))
-    chunks, key = lambda n: F.ceil(F.col(n) / rows_a_chunk).cast("long"), [query, candidate, "__qc", "__cc"]
-
-    def met(df: DataFrame, tokens: str, own: str, n: str, other: str, m: str) -> DataFrame:
-        """Rows once for each chunk that theirs is paired with."""
-        at = F.pmod(F.xxhash64(F.lit(0), *[c for c in df.columns if c != tokens]), chunks(n))
-        return attach(df, pairs, [tokens]).withColumns({own: at, other: F.explode(F.sequence(F.lit(0).cast("long"), chunks(m) - 1))}).drop("__qn", "__cn").repartition(tasks, *key)
-
-    q, c = met(queries, query, "__qc", "__qn", "__cc", "__cn"), met(candidates, candidate, "__cc", "__cn", "__qc", "__qn")
-    return q.join(c.hint("shuffle_hash"), key).select(*queries.columns, *candidates.columns)
+    tasks, key = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made // pairs_a_task)), ["__q", "__qt", "__c", "__ct"]
+    # Chunks once for each chunk that theirs is paired with.
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), chunks(n) - 1))
+    q = attach(packed(queries, ql, query, "__q", chunks("__qn")).drop("__qn"), pairs, ["__q"]).withColumn("__ct", each("__cn")).drop("__qn", "__cn").repartition(tasks, *key)
+    c = packed(candidates, cl, candidate, "__c", tiles("__cn")).withColumn("__ct", F.pmod("__ct", chunks("__cn"))).drop("__cn")
+    c = attach(c, pairs.drop(query, candidate), ["__c"]).withColumn("__qt", each("__qn")).drop("__qn", "__cn").repartition(tasks, *key)
+    # Generated code holds all rows that it makes of one: pairs are made of a few query rows and a tile at a time.
+    few = F.transform(F.sequence(F.lit(1), F.size("__qs"), F.lit(rows_a_piece)), lambda i: F.slice("__qs", i, rows_a_piece))
+    met = q.join(c.hint("shuffle_hash"), key).withColumn("__qs", F.explode(few)).withColumn("__qs", F.explode("__qs")).withColumn("__cs", F.explode("__cs"))
+    of = lambda df, tokens, rows: [F.col(c) if c == tokens else F.col(rows)[c].alias(c) for c in df.columns]
+    return met.select(*of(queries, query, "__qs"), *of(candidates, candidate, "__cs"))
 
 
 def best_match(scored: DataFrame, query: str, score: str, value: str, candidate: str, rating: str) -> DataFrame:

@@ -111,7 +111,7 @@ def c12(spark, sf):
     tokens = F.split(F.lower("p_name"), " ")
     q = table(spark, sf, "part").select(F.col("p_partkey").alias("q"), tokens.alias("qt"))
     c = table(spark, sf, "part").select(F.col("p_partkey").alias("c"), tokens.alias("ct"))
-    return J.blocked_token_join(q, c, "qt", "ct").select("q", "c")
+    return J.blocked_token_join(q, c, "qt", "ct", copies=True).select("q", "c")
 
 
 @query("c13_best_match", """WITH s AS (SELECT l_orderkey % 50 AS q, l_partkey AS cand, l_returnflag AS sex, l_linenumber AS score, l_extendedprice AS rating FROM lineitem),
