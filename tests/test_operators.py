@@ -32,6 +32,14 @@ def test_rows_of_one_list_meet_in_several_tasks(spark):
     assert len(tasks) > 4 and max(tasks) < len(made) / 3
 
 
+def test_rows_above_the_mean_of_any_doubles(spark):
+    """Rows on the mean, a null key, null values, and values that ten places below 10^12 don't express."""
+    groups = {1: [0.1, 0.2, 0.3], None: [1.0, 2.0, 6.0, None], 2: [1e13, 2e13, 9e13], 3: [1e-12, 2e-12, 6e-12], 4: [None], 5: [1.0, float("nan")], 6: [0.7, 0.7, 0.7]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, v double")
+    got = {r.k: r.n for r in O.above_mean(df, ["k"], "v", "n").collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+
+
 def test_run_lengths(spark):
     bits = {"empty": "000", "all": "1111", "tail": "0110111", "one": "0100"}
     rows = [(k, i, c == "1") for k, s in bits.items() for i, c in enumerate(s)]

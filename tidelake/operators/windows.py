@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,11 +71,18 @@ def digitized(df: DataFrame, value: str, at: list[float], name: str) -> DataFram
 def above_mean(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Rows of each key above the key's mean, decided without rounding: n times the value against the sum, in decimals (ten places, below 10^12).
 
-    A mean of doubles depends on the order of additions by its last bit, and so would the side of a row that lies on the mean.
+    A mean of doubles depends on the order of additions by its last bit, and so would the side of a row that lies on the mean.  It decides only for keys, null among them, that hold a value
+    which those decimals don't express.
     """
-    rows = df.select(*keys, F.col(value).cast("decimal(22,10)").alias("__v"))
-    sums = rows.groupBy(*keys).agg(F.sum("__v").alias("__s"), F.count("__v").cast("decimal(10,0)").alias("__n"))
-    return rows.join(sums, keys).groupBy(*keys).agg(F.count_if(F.col("__v") * F.col("__n") > F.col("__s")).alias(name))
+    v = F.col(value).cast("double")
+    exact = v.try_cast("decimal(22,10)")
+    rows = df.select(*keys, v.alias("__d"), exact.alias("__v"))
+    sums = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        F.sum("__v").alias("__s"), F.count("__v").cast("decimal(10,0)").alias("__n"), F.avg("__d").alias("__mean"), (F.count_if(~F.col("__v").cast("double").eqNullSafe(F.col("__d"))) > 0).alias("__other")
+    )
+    both = rows.join(sums, reduce(and_, [rows[k].eqNullSafe(sums[f"__k{i}"]) for i, k in enumerate(keys)]))
+    above = F.when(F.col("__other"), F.col("__d") > F.col("__mean")).otherwise(F.col("__v") * F.col("__n") > F.col("__s"))
+    return both.groupBy(*keys).agg(F.count_if(above).alias(name))
 
 
 def standardised(df: DataFrame, columns: list[str], keys: list[str] | None = None, sample_sd: bool = True) -> DataFrame:
