@@ -184,6 +184,19 @@ def test_counts_are_held_once_an_inner_unit_and_draws_go_in_portions(spark, monk
     assert [r[:2] for r in one] == [r[:2] for r in two] and [r[2] for r in one] == pytest.approx([r[2] for r in two], rel=1e-6, abs=1e-6)
 
 
+def test_steps_of_draws_read_cells_not_units(spark):
+    """Sums by cells, made once, give the moments that units and counts give; one outer unit lies in several blocks."""
+    df = spark.range(6000).selectExpr("id % 997 as game", "if(id % 3 = 0, 0, id % 11) as player", "cast((id * 37) % 101 as double) as y")
+    whole = X.RestrictedLikelihood(df, "y", [], "game", "player", most=64 * 300)
+    assert whole.blocks.filter("key is not null").count() > 1 and whole.by_cells(whole.cells())
+    counts = G.draw_counts(whole.units.select("__inner").distinct(), "__inner", 70, 5)
+    units, cells = whole.drawn(counts, 70), whole.drawn(counts, 70, True)
+    assert cells.blocks.agg(F.sum(F.length("outer"))).first()[0] < 70 * 16 * whole.units.count() / 4
+    for draw in (np.arange(70), np.array([3, 65, 69])):
+        p, q = np.linspace(0.01, 1, len(draw)), np.linspace(2, 0.1, len(draw))
+        assert cells.moments(draw, p, q) == pytest.approx(units.moments(draw, p, q), rel=1e-9)
+
+
 def test_search_sweep(spark):
     a, b, player, game, y = _table()
     log, fit = X.search_sweep(_frame(spark, a, b, player, game, y), "y", ["a"], "player", "game")

@@ -18,7 +18,8 @@ rows, is dealt to several; its totals meet by its key in a second step.  The dri
 
 A block holds an inner unit's counts, a byte a draw, once, however many outer units that inner one lies in.  Where all blocks' counts would still take more than _COUNTS_A_UNIT
 bytes a unit, draws are taken in portions, one after the other, so that what is staged grows with the units.  Weights depend on an inner unit's number of rows only: units of an outer
-one with equal numbers are a cell, whose sums are made first.
+one with equal numbers are a cell, whose sums are made first.  A cell's sums in a draw don't depend on the ratios: where cells are far fewer than units, a bootstrap stages them once, by block and
+_LANES_A_ROW draws, and its steps read cells, and of these only the draws that go on.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelake.operators.estimators import draw_counts
-from tidelake.sources.staging import discarded, staged
+from tidelake.sources.staging import discarded, new_path, staged
 
 #: Logarithms of ratios stay between these; a variance that wants to be 0 stays at the lower one.
 LOW, HIGH = math.log(1e-8), math.log(1e4)
@@ -45,10 +46,13 @@ LOW, HIGH = math.log(1e-8), math.log(1e4)
 STARTS = {"even": (0.1, 0.1), "outer": (1.0, 0.01), "inner": (0.01, 1.0), "large": (5.0, 5.0), "small": (1e-3, 1e-3)}
 _BLOCK = "block long, key string, starts binary, sums binary, place binary"
 _WEIGHED = f"{_BLOCK}, counts binary"
+_SUMMED = "key string, n binary, inner binary, m binary, at binary, outer binary, first int"
 _PART = "kind int, key string, lane int, data array<double>"
 _LANES_A_ROW = 64
-#: Bytes of staged counts a unit that a portion of draws may take; units that are weighed at a time.
-_COUNTS_A_UNIT, _PIECE = 128, 1024
+#: Bytes of staged counts a unit that a portion of draws may take; units that are weighed at a time; units a cell from which cells are staged.
+_COUNTS_A_UNIT, _PIECE, _UNITS_A_CELL = 128, 1024, 8
+#: Bytes of cells' sums that a portion may take in any case: few units go in one portion.
+_CELLS_AT_LEAST = 200_000_000
 
 
 @dataclass
@@ -111,36 +115,49 @@ class _InnerCells:
 
     def moments(self, counts: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By lane: their part of M and of log |V|, with two derivatives by q."""
-        found, n = _cell_sums(counts, self.place, self.values, self.starts), self.n
-        units, pairs = found[:, :, 0], found[:, :, 1:]
-        d = 1 + np.outer(q, n)
-        e = 1 / d
-        full = np.empty((len(q), 3, self.k, self.k))
-        for j, w in enumerate((q[:, None] * e, e**2, -2 * n * e**3)):
-            full[:, j, self.at[0], self.at[1]] = full[:, j, self.at[1], self.at[0]] = np.einsum("lc,lcp->lp", w, pairs)
-        logs = np.stack([(units * np.log(d)).sum(1), (units * e * n).sum(1), -(units * n**2 * e**2).sum(1)], 1)
-        return full.reshape(len(q), -1), logs
+        return _inner_moments(_cell_sums(counts, self.place, self.values, self.starts), self.n, q, self.k)
 
 
-def _outer_totals(counts: np.ndarray, q: np.ndarray, sums: np.ndarray, place: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """t, t' and t'' (lanes x outer x k) of the outer units that begin at ``starts``; the units of each are in order of their number of rows."""
+def _inner_moments(found: np.ndarray, n: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """_InnerCells.moments() from the cells' sums."""
+    at, units, pairs = np.triu_indices(k), found[:, :, 0], found[:, :, 1:]
+    d = 1 + np.outer(q, n)
+    e = 1 / d
+    full = np.empty((len(q), 3, k, k))
+    for j, w in enumerate((q[:, None] * e, e**2, -2 * n * e**3)):
+        full[:, j, at[0], at[1]] = full[:, j, at[1], at[0]] = np.einsum("lc,lcp->lp", w, pairs)
+    logs = np.stack([(units * np.log(d)).sum(1), (units * e * n).sum(1), -(units * n**2 * e**2).sum(1)], 1)
+    return full.reshape(len(q), -1), logs
+
+
+def _outer_cells(counts: np.ndarray, sums: np.ndarray, place: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums (lanes x cells x k) of the units of each outer one by number of rows, these numbers, and the first cell of each outer unit."""
     outer = np.zeros(len(sums), np.int64)
     outer[starts] = 1
     cells = _changes(np.cumsum(outer), sums[:, 0])
     n = sums[cells, 0]
     found = _cell_sums(counts, place, np.concatenate([np.ones((len(sums), 1)), sums[:, 1:]], 1), cells)
     found[:, :, 0] *= n  # the first column is the number of rows
+    return found, n, np.searchsorted(cells, starts)
+
+
+def _cell_totals(found: np.ndarray, n: np.ndarray, at: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    """t, t' and t'' (lanes x outer x k) from the cells."""
     e = 1 / (1 + np.outer(q, n))
-    at = np.searchsorted(cells, starts)
     return [np.add.reduceat(w[:, :, None] * found, at, axis=1) for w in (e, -n * e**2, 2 * n**2 * e**3)]
 
 
+def _outer_totals(counts: np.ndarray, q: np.ndarray, sums: np.ndarray, place: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """t, t' and t'' (lanes x outer x k) of the outer units that begin at ``starts``; the units of each are in order of their number of rows."""
+    return _cell_totals(*_outer_cells(counts, sums, place, starts), q)
+
+
 def _outer_sums(t: np.ndarray, t1: np.ndarray, t2: np.ndarray, p: np.ndarray) -> np.ndarray:
     """By lane: what outer units (lanes x outer x k totals and their derivatives by q) take off M, and add to log |V|, with derivatives: O, O_p, O_q, O_pp, O_pq, O_qq, then six logs."""
     lanes, _, k = t.shape
     w, w1, w2, p = t[:, :, 0], t1[:, :, 0], t2[:, :, 0], p[:, None]
     d = 1 + p * w
-    cross = lambda c, a, b: np.einsum("lo,loi,loj->lij", c, a, b)
+    cross = lambda c, a, b: np.matmul((c[:, :, None] * a).transpose(0, 2, 1), b)
     both = lambda c, a, b: cross(c, a, b) + cross(c, b, a)
     b, bp, bw = p / d, 1 / d**2, -(p**2) / d**2
     bpp, bpw, bww = -2 * w / d**3, -2 * p / d**3, 2 * p**3 / d**3
@@ -219,13 +236,22 @@ class RestrictedLikelihood:
         arrow = to_arrow_schema(dealt.schema)
         return dealt.mapInArrow(block, f"{_BLOCK}, inners array<{dict(dealt.dtypes)['__inner']}>")
 
-    def portion(self, draws: int) -> int:
+    def portion(self, draws: int, cells: int = 0) -> int:
         """How many draws may be weighed at a time."""
         size = self.blocks.agg(F.sum(F.size("inners")).alias("entries"), F.sum(F.length("place") / 4).alias("units")).first()
-        return max(1, min(draws, max(_LANES_A_ROW, int(_COUNTS_A_UNIT * (size["units"] or 0) // max(1, size["entries"] or 0)))))
+        by_cells, units = self.by_cells(cells), size["units"] or 0
+        most = max(_COUNTS_A_UNIT * units, _CELLS_AT_LEAST if by_cells else 0)
+        return max(1, min(draws, max(_LANES_A_ROW, int(most // max(1, size["entries"] or 0, 8 * self.k * cells if by_cells else 0)))))
 
-    def drawn(self, counts: DataFrame, draws: int) -> RestrictedLikelihood:
-        """The likelihood that counts inner units (``__inner``, ``draw`` from 0, ``cnt``) in ``draws`` draws."""
+    def cells(self) -> int:
+        """Outer units by number of rows of their inner ones."""
+        return self.units.select("__outer", F.col("s")[0]).distinct().count() if self.nested else 0
+
+    def by_cells(self, cells: int) -> bool:
+        return 0 < cells * _UNITS_A_CELL <= self.units.count()
+
+    def drawn(self, counts: DataFrame, draws: int, by_cells: bool = False) -> RestrictedLikelihood:
+        """The likelihood that counts inner units (``__inner``, ``draw`` from 0, ``cnt``) in ``draws`` draws; ``by_cells``, its blocks hold the cells' sums in each draw, not units and counts."""
         new = copy.copy(self)
         new.draws = draws
         grams = self.units.groupBy("__inner").agg(F.array(*[F.sum(F.col("g")[i]) for i in range(len(self.pairs))]).alias("g"))
@@ -246,17 +272,35 @@ class RestrictedLikelihood:
         rows = listed.mapInArrow(dense, f"__inner {dict(counts.dtypes)['__inner']}, counts binary")
         asked = self.blocks.select("block", F.posexplode("inners").alias("pos", "__inner")).join(rows, "__inner").select(F.col("block").alias("of"), "pos", "counts")
 
+        k, summed = self.k, pa.schema([("key", pa.string()), *[(c, pa.binary()) for c in ("n", "inner", "m", "at", "outer")], ("first", pa.int32())])
+
         def weigh(block: pa.Table, found: pa.Table) -> pa.Table:
             m = len(block.column("inners")[0])
             each = [np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == draws else np.uint32) for x in found.column("counts")]
             full = np.zeros((m, draws), np.uint32 if any(x.dtype != np.uint8 for x in each) else np.uint8)
             for p, x in zip(found.column("pos").to_pylist(), each, strict=True):
                 full[p] = x
+            if by_cells:
+                starts, place, sums = (np.frombuffer(block.column(c)[0].as_py(), t) for c, t in (("starts", np.int32), ("place", np.int32), ("sums", np.float64)))
+                sums, key, rows = sums.reshape(-1, k), block.column("key")[0].as_py(), []
+                inner = _InnerCells(sums, place)
+                for first in range(0, draws, _LANES_A_ROW):
+                    weights = np.ascontiguousarray(full[:, first : first + _LANES_A_ROW], np.float64)
+                    outer, n, at = _outer_cells(weights, sums, place, starts)
+                    data = (inner.n, _cell_sums(weights, inner.place, inner.values, inner.starts), n, at.astype(np.int32), outer)
+                    rows.append((key, *[np.ascontiguousarray(x).tobytes() for x in data], first))
+                return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), summed.types, strict=True)], schema=summed)
             return block.drop_columns(["inners"]).append_column("counts", pa.array([np.ascontiguousarray(full.T).tobytes()], pa.binary()))
 
         tasks = 2 * max(self.blocks.count(), 1)
         left, right = self.blocks.repartition(tasks, "block"), asked.repartition(tasks, "of")
-        new.blocks = staged(left.groupBy("block").cogroup(right.groupBy("of")).applyInArrow(weigh, _WEIGHED), "weighed-blocks")
+        weighed = left.groupBy("block").cogroup(right.groupBy("of")).applyInArrow(weigh, _SUMMED if by_cells else _WEIGHED)
+        if by_cells:
+            path = new_path(self.spark, "weighed-cells")
+            weighed.write.partitionBy("first").parquet(path)
+            new.blocks = self.spark.read.schema(weighed.schema).parquet(path)
+        else:
+            new.blocks = staged(weighed, "weighed-blocks")
         return new
 
     def moments(self, draw: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -294,21 +338,47 @@ class RestrictedLikelihood:
                                 open_.append({"kind": 1, "key": key, "lane": c, "data": np.concatenate([x.sum(1) for x in t], 1).ravel()})
             yield pa.RecordBatch.from_pylist([*rows(0, None, total), *open_], schema=schema)
 
+        def add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, open_ = np.zeros((lanes, wide)), []
+            for batch in batches:
+                for b in range(batch.num_rows):
+                    first, key = batch.column(6)[b].as_py(), batch.column(0)[b].as_py()
+                    n, inner, m, at, outer = (np.frombuffer(batch.column(c)[b].as_buffer(), t) for c, t in zip(range(1, 6), (np.float64, np.float64, np.float64, np.int32, np.float64), strict=True))
+                    # Lanes are in order of their draws, so a row's are neighbours.
+                    low, high = np.searchsorted(draw, [first, first + _LANES_A_ROW])
+                    if low == high:
+                        continue
+                    own, each = slice(low, high), draw[low:high] - first
+                    total[own, : 3 * k * k + 3] += np.concatenate(_inner_moments(inner.reshape(-1, len(n), 1 + k * (k + 1) // 2)[each], n, q[own], k), 1)
+                    outer, runs = outer.reshape(-1, len(m), k), [*range(0, len(at), _PIECE), len(at)]
+                    for u, v in pairwise(runs):  # some outer units at a time
+                        low_cell, high_cell = at[u], at[v] if v < len(at) else len(m)
+                        t = _cell_totals(outer[each, low_cell:high_cell], m[low_cell:high_cell], at[u:v] - low_cell, q[own])
+                        if key is None:
+                            total[own, 3 * k * k + 3 :] += _outer_sums(*t, p[own])
+                        else:
+                            open_.append({"kind": 1, "key": key, "lane": int(low), "data": np.concatenate([x.sum(1) for x in t], 1).ravel()})
+            yield pa.RecordBatch.from_pylist([*rows(0, None, total), *open_], schema=schema)
+
         schema = pa.schema([("kind", pa.int32()), ("key", pa.string()), ("lane", pa.int32()), ("data", pa.list_(pa.float64()))])
 
         def merge(table: pa.Table) -> pa.Table:
             kind, key, lane = (table.column(c)[0].as_py() for c in ("kind", "key", "lane"))
             data = np.sum([np.asarray(x.values) for x in table.column("data")], 0)
             if kind == 1:  # an outer unit whose parts are now together
-                own = p[lane : lane + _LANES_A_ROW]
+                own = p[lane : lane + len(data) // (3 * k)]
                 t = data.reshape(len(own), 3, 1, k)
                 full = np.zeros((len(own), wide))
                 full[:, 3 * k * k + 3 :] = _outer_sums(t[:, 0], t[:, 1], t[:, 2], own)
-                kind, key, data = 0, None, full.ravel()
+                kind, key, data = 2, None, full.ravel()
             return pa.Table.from_pylist([{"kind": kind, "key": key, "lane": lane, "data": data}], schema=schema)
 
-        blocks = self.blocks if "counts" in self.blocks.columns else self.blocks.withColumn("counts", F.lit(None).cast("binary"))
-        parts = blocks.select("key", "starts", "sums", "place", "counts").mapInArrow(add, _PART)
+        if "outer" in self.blocks.columns:
+            asked = sorted({int(d) // _LANES_A_ROW * _LANES_A_ROW for d in draw})
+            parts = self.blocks.filter(F.col("first").isin(asked)).select("key", "n", "inner", "m", "at", "outer", "first").mapInArrow(add_cells, _PART)
+        else:
+            blocks = self.blocks if "counts" in self.blocks.columns else self.blocks.withColumn("counts", F.lit(None).cast("binary"))
+            parts = blocks.select("key", "starts", "sums", "place", "counts").mapInArrow(add, _PART)
         if nested:
             parts = parts.groupBy("kind", "key", "lane").applyInArrow(merge, _PART)
         out = np.zeros((lanes, wide))
@@ -451,10 +521,11 @@ def bootstrap_nested(df: DataFrame, y: str, x: list[str], outer: str, inner: str
     whole = RestrictedLikelihood(df, y, x, inner, outer)
     start = _best(maximised(whole, np.zeros(len(STARTS), int), _starts([*STARTS]))).at
     counts = staged(draw_counts(whole.units.select("__inner").distinct(), "__inner", draws, seed), "draw-counts")
-    rows, portion = [], whole.portion(draws)
+    cells = whole.cells()
+    rows, portion, by_cells = [], whole.portion(draws, cells), whole.by_cells(cells)
     for first in range(0, draws, portion):
         n = min(portion, draws - first)
-        likelihood = whole.drawn(counts.filter(F.col("draw").between(first, first + n - 1)).withColumn("draw", F.col("draw") - first), n)
+        likelihood = whole.drawn(counts.filter(F.col("draw").between(first, first + n - 1)).withColumn("draw", F.col("draw") - first), n, by_cells)
         # From the bound no step leads back, so searches start a little above it.
         lanes = maximised(likelihood, np.arange(n), np.repeat(np.maximum(start, math.log(1e-4))[None], n, 0))
         rows += [(first + d, t, c) for d, lane in enumerate(lanes) for t, c, _ in _rows(likelihood, lane)]
